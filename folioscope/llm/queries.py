@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import exact_dedup, mixing, quality_rules, simhash
 
 QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
+    "op6_simhash": simhash.op6_simhash,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op3_mixing": mixing.OP3_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
 }

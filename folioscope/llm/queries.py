@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, quality_rules, simhash
+from . import bpe, exact_dedup, mixing, quality_rules, simhash
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op3_mixing": mixing.op3_mixing,
     "op6_simhash": simhash.op6_simhash,
     "op8_quality_rules": quality_rules.op8_quality_rules,

@@ -18,79 +18,76 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, text_or_empty, words_of
+from .common import WORD, documents, text_or_empty, words_of
 
-SYMBOLS = "#*$%&|<>"
-BLANKS = " \t\n\x0b\x0c\r"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SYMBOLS = r"[#*$%&|<>]"
+BLANK = r"[\x20\x09-\x0D]"
+UPPER = "[A-Z]"
 #: Names that the operator adds while it works.
 TEXT, WORDS, COUNT = "__q_text", "__q_words", "__q_n"
 
 
 def n_chars_in(text: Column, characters: str) -> Column:
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+    return F.regexp_count(text, F.lit(characters)).cast("long")
 
 
 def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, BLANKS, "")).cast("long")
+    return F.length(text).cast("long") - n_chars_in(text, BLANK)
 
 
 def filled_lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda line: F.length(F.translate(line, BLANKS, "")) > 0)
+    return F.filter(F.split(text, "\n"), lambda line: F.rlike(line, F.lit(WORD)))
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, even where Spark moves the expression into a filter or a lambda."""
+    return F.transform(F.array(value), use)[0]
 
 
 def n_dup_lines(text: Column) -> Column:
-    return F.transform(
-        F.array(filled_lines(text)), lambda lines: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
-    )[0]
+    return bound(filled_lines(text), lambda lines: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
 
 
-def n_repeat_words(words: Column, n: Column) -> Column:
+def n_repeat_words(words: Column) -> Column:
     """Words in 3-word windows found twice or more.
 
     A window is one long: the top bits of its hash, then its position. Sorted,
     equal windows stand side by side; the words themselves are then compared,
     so a shared hash alone counts for nothing.
     """
-    bits = F.length(F.bin(n)).cast("int")
-
-    def packed(i: Column) -> Column:
-        h = F.xxhash64(words[i], words[i + 1], words[i + 2])
-        return F.call_function("shiftleft", h, bits).bitwiseOR(i.cast("long"))
-
-    windows = F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n.cast("int") - 3), packed)))
-    mask = (F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("long")
-
-    def at(key: Column) -> Column:
-        return key.bitwiseAND(mask).cast("int")
-
-    def same(a: Column, b: Column) -> Column:
-        hashes = F.call_function("shiftright", a, bits) == F.call_function("shiftright", b, bits)
-        p, q = at(a), at(b)
-        return hashes & (words[p] == words[q]) & (words[p + 1] == words[q + 1]) & (words[p + 2] == words[q + 2])
-
-    def starts(keys: Column) -> Column:
-        last = F.size(keys) - 1
-        return F.sort_array(
-            F.transform(
-                F.filter(
-                    keys,
-                    lambda k, i: ((i > 0) & same(k, F.get(keys, i - 1))) | ((i < last) & same(k, F.get(keys, i + 1))),
-                ),
-                at,
-            )
-        )
-
-    def covered(places: Column) -> Column:
-        return F.aggregate(
-            F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3)))),
-            F.lit(0).cast("long"),
-            lambda a, x: a + x.cast("long"),
-        )
-
-    # one-element arrays bind a value to a name, so that it is computed once
-    found = F.transform(F.transform(F.array(windows), starts), covered)[0]
-    return F.coalesce(found, F.lit(0).cast("long"))
+
+    def counted(words: Column, bits: Column, mask: Column) -> Column:
+        def packed(i: Column) -> Column:
+            h = F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+            return F.call_function("shiftleft", h, bits).bitwiseOR(i)
+
+        def at(key: Column) -> Column:
+            return key.bitwiseAND(mask).cast("int")
+
+        def same_words(p: Column, q: Column) -> Column:
+            return F.slice(words, p + 1, 3) == F.slice(words, q + 1, 3)
+
+        def same(a: Column, b: Column) -> Column:
+            return a.bitwiseXOR(b).between(0, mask) & same_words(at(a), at(b))
+
+        def starts(keys: Column) -> Column:
+            # beside the first and the last key stands null, which equals nothing
+            twice = F.filter(keys, lambda k, i: same(k, F.get(keys, i - 1)) | same(k, F.get(keys, i + 1)))
+            return F.sort_array(F.transform(twice, at))
+
+        def covered(places: Column) -> Column:
+            steps = F.transform(places, lambda p, i: F.least(F.lit(3), F.coalesce(F.get(places, i + 1) - p, F.lit(3))))
+            return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+
+        keys = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: packed(i)))
+        return bound(bound(keys, starts), covered)
+
+    def shifted(words: Column) -> Column:
+        width = F.length(F.bin(F.size(words)))
+        one = F.lit(1).cast("long")
+        return bound(width, lambda bits: bound(F.call_function("shiftleft", one, bits) - 1, lambda mask: counted(words, bits, mask)))
+
+    return bound(words, lambda w: F.when(F.size(w) >= 3, shifted(w)).otherwise(F.lit(0).cast("long")))
 
 
 @dataclass(frozen=True)
@@ -101,23 +98,38 @@ class Rule:
     test: Column
 
 
-def base_rules() -> list[Rule]:
-    n = F.col(COUNT)
+def features() -> dict[str, Column]:
+    """What the rules are stated over; each is computed only where it is asked for."""
+    text, words = F.col(TEXT), F.col(WORDS)
+    return {
+        "n_words": F.col(COUNT),
+        "word_chars": word_chars(text),
+        "n_symbols": n_chars_in(text, SYMBOLS),
+        "n_upper": n_chars_in(text, UPPER),
+        "n_lines": F.size(filled_lines(text)),
+        "n_dup_lines": n_dup_lines(text),
+        "n_repeat_words": n_repeat_words(words),
+    }
+
+
+def base_rules(known: dict[str, Column] | None = None) -> list[Rule]:
+    f = features() | (known or {})
+    return [Rule("few_words", f["n_words"] < 50), Rule("repeated_windows", f["n_repeat_words"] * 100 > f["n_words"] * 50)]
+
+
+def more_rules(known: dict[str, Column] | None = None) -> list[Rule]:
+    """``known``: columns that hold features already."""
+    f = features() | (known or {})
     return [
-        Rule("few_words", n < 50),
-        Rule("repeated_windows", n_repeat_words(F.col(WORDS), n) * 100 > n * 50),
+        Rule("symbols", f["n_symbols"] * 100 > f["n_words"] * 20),
+        Rule("shouting", f["n_upper"] * 100 > f["word_chars"] * 50),
+        Rule("repeated_lines", f["n_dup_lines"] * 100 > f["n_lines"] * 50),
+        Rule("odd_words", ~f["word_chars"].between(f["n_words"] * 2, f["n_words"] * 20)),
     ]
 
 
 def standard_rules() -> list[Rule]:
-    n, text = F.col(COUNT), F.col(TEXT)
-    return [
-        *base_rules(),
-        Rule("symbols", n_chars_in(text, SYMBOLS) * 100 > n * 20),
-        Rule("shouting", n_chars_in(text, UPPER) * 100 > word_chars(text) * 50),
-        Rule("repeated_lines", n_dup_lines(text) * 100 > F.size(filled_lines(text)) * 50),
-        Rule("odd_words", ~word_chars(text).between(n * 2, n * 20)),
-    ]
+    return base_rules() + more_rules()
 
 
 def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -175,24 +187,15 @@ def keep_good(docs: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    text, words, n = F.col(TEXT), F.col(WORDS), F.col(COUNT)
-    extra = [r for r in standard_rules() if r.name not in {b.name for b in base_rules()}]
-    rules = ordered(measured(docs, extra))
-    counted = prepared(docs).select(
-        "doc_id",
-        TEXT,
-        COUNT,
-        n.alias("n_words"),
-        word_chars(text).alias("word_chars"),
-        n_chars_in(text, SYMBOLS).alias("n_symbols"),
-        n_dup_lines(text).alias("n_dup_lines"),
-        n_repeat_words(words, n).alias("n_repeat_words"),
-    )
+    order = [r.name for r in ordered(measured(docs, more_rules()))]
+    shown = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    have = features()
+    counted = prepared(docs).select("doc_id", TEXT, *(have[c].alias(c) for c in shown))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    out = counted.withColumn("base_failed", failed)
+    by_name = {r.name: r for r in more_rules({c: F.col(c) for c in shown})}
     # the base verdict is at hand, so it is tried first
-    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade(rules).isNull())
-    return out.withColumn("kept", kept).drop(TEXT, COUNT)
+    kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(cascade([by_name[n] for n in order]).isNull())
+    return counted.withColumn("base_failed", failed).withColumn("kept", kept).drop(TEXT)
 
 
 OP8_SQL = r"""

@@ -79,7 +79,7 @@ def sized(docs: DataFrame, seed: str) -> DataFrame:
 
 def queued(sizes: DataFrame) -> DataFrame:
     """Each document with the words its source serves before it in one round."""
-    by_source = targets(sizes)
+    by_source = written(targets(sizes), "targets")  # so that its size is known when the join is planned
     share = F.conv(F.substring("place", 1, HASH_BITS // 4), 16, 10).cast("double") / F.lit(float(2**HASH_BITS))
     rows = (
         sizes.join(by_source, "sk")

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality_rules, simhash
+from . import bpe, exact_dedup, mixing, quality_rules, simhash, substring_dedup
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op3_mixing": mixing.op3_mixing,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op3_mixing": mixing.OP3_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,

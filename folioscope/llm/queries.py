@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, quality_rules, simhash, substring_dedup
+from . import bpe, exact_dedup, lm_scoring, mixing, quality_rules, simhash, substring_dedup
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 

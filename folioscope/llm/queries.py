@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, lm_scoring, mixing, quality_rules, simhash, substring_dedup
+from . import bpe, exact_dedup, lm_scoring, mixing, pii, quality_rules, simhash, substring_dedup
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_bpe": bpe.op2_bpe,
     "op3_mixing": mixing.op3_mixing,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,

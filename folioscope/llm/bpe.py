@@ -42,7 +42,7 @@ from .common import documents, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words and pre-tokens that a worker remembers, in each of two generations.
-KEPT_WORDS, KEPT_PIECES = 200_000, 250_000
+KEPT_WORDS, KEPT_PIECES = 100_000, 120_000
 
 
 def byte_alphabet() -> list[str]:
@@ -92,7 +92,7 @@ class Merges:
         """
         known = self._fits.get((a, b))
         if known is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 200_000:
                 self._fits.clear()
             rank = self.rank
             right = self.edge(b, 0)

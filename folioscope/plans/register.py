@@ -282,7 +282,7 @@ def section_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SETS = """
-WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, list_sort(list_distinct([list_aggregate(w[i : i + 4], 'string_agg', ' ') for i in range(1, len(w) - 3)])) AS s FROM w WHERE len(w) >= 5),
 f AS (SELECT s, min(doc_id) AS doc_id FROM s GROUP BY s),
 g AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM f),
@@ -317,8 +317,8 @@ def privacy_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("garble_gate", """
-WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), x -> x <> '') AS w FROM documents),
-h AS (SELECT doc_id, text, coalesce(len(list_filter(w, x -> x IN ('the', 'of', 'and', 'de', 'la', 'der', 'die', 'und', 'el', 'que'))) / nullif(len(w), 0), 0) AS share FROM w)
+WITH w AS (SELECT doc_id, text, list_filter(string_split_regex(lower(text), '[^\\p{L}]+'), lambda x: x <> '') AS w FROM documents),
+h AS (SELECT doc_id, text, coalesce(len(list_filter(w, lambda x: x IN ('the', 'of', 'and', 'de', 'la', 'der', 'die', 'und', 'el', 'que'))) / nullif(len(w), 0), 0) AS share FROM w)
 SELECT doc_id, round(share, 6) AS share, CASE WHEN length(trim(text)) < 200 THEN 'empty' WHEN share < 0.05 THEN 'garbled' END AS hold FROM h
 """)
 def garble_gate(spark: SparkSession, sf: str) -> DataFrame:

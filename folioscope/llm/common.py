@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +57,25 @@ def words_of(text: Column) -> Column:
 def plan_partitions(df: DataFrame) -> int:
     """Partitions for a key-less repartition: follows the session's setting."""
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def slabs(sizes: list[int], most: int = 1 << 20) -> Iterator[slice]:
+    """Cut rows of these sizes into stretches of at most ``most`` bytes, or one row: what a worker unfolds at once."""
+    low = held = 0
+    for k, size in enumerate(sizes):
+        if held and held + size > most:
+            yield slice(low, k)
+            low, held = k, 0
+        held += size
+    if low < len(sizes):
+        yield slice(low, len(sizes))
+
+
+def heavy(rows: DataFrame, key: str, parts: int) -> list:
+    """Values of ``key`` that may hold over 1/``parts`` of the rows, at most 2 * ``parts`` of them.
+
+    A frequent-items sketch over all rows: each task sends one sketch of fixed
+    size. It errs by far less than a share, so no heavy value is missed.
+    """
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({key}, {2 * parts}, {100 * parts})").alias("top")).first()
+    return sorted(r["item"] for r in found["top"] or [] if r["item"] is not None and r["count"] * parts > found["n"])

@@ -9,8 +9,10 @@ hashed (96 bits) and compared. Older runs count as earlier; within a batch the s
 doc_id, then the earlier start. Runs are never changed; ``compact`` writes many
 as one.
 
-Counts are combined before shuffles, and joins are on evenly spread keys, so
-a passage in a third of all documents meets no single task in the window step.
+Anchors that hold over a quarter of a bucket's share (a sketch over all rows
+names them; there are at most eight times as many as buckets) are dealt by document as well, and their
+first occurrences come from grouped minima, which are combined before the
+shuffle. So a passage in a third of all documents fills no single task.
 
 Defined results: a null or empty text has no words; texts under 20 words lose
 none; documents that share a doc_id are taken as one id, whose places are
@@ -25,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, shared_dir, text_or_empty, written
+from .common import documents, heavy, shared_dir, slabs, text_or_empty, written
 from .passages import in_one_text, mixed, sequence_hashes, window_anchors, word_hashes
 
 SPAN, GRAM = 20, 6
@@ -83,11 +86,13 @@ def anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, anchor, around, place = _anchor_rows(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor), pa.array(around), batch.column(0).take(pa.array(text)), pa.array(place)],
-                names=["anchor", "around", "doc_id", "place"],
-            )
+            ids, texts = batch.column(0), batch.column(1)
+            for cut in slabs(pc.binary_length(texts).to_pylist()):
+                text, anchor, around, place = _anchor_rows(texts[cut].to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor), pa.array(around), ids[cut].take(pa.array(text)), pa.array(place)],
+                    names=["anchor", "around", "doc_id", "place"],
+                )
 
     return docs.mapInArrow(run, schema)
 
@@ -111,22 +116,30 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Runs of anchors in the shared folder, oldest first."""
+    """Runs of anchors in the shared folder, oldest first.
+
+    ``slot`` is -1, or for a heavy anchor one of BUCKETS by document.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
         self.runs: list[str] = []
+        self.heavy: list[int] = []
 
     def append(self, rows: DataFrame) -> DataFrame:
+        """``rows`` is read twice: a written table, or cheap to compute."""
         name = f"run_{uuid.uuid4().hex}"
+        self.heavy = sorted({*self.heavy, *heavy(rows, "anchor", 4 * BUCKETS)})
+        slot = F.when(F.col("anchor").isin(self.heavy), F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))).otherwise(-1)
         (
-            rows.repartition(BUCKETS, "anchor")
+            rows.withColumn("slot", slot.cast("int"))
+            .repartition(BUCKETS, "anchor", "slot")
             .write.format("parquet")
             .option("path", f"{self.path}/{name}")
             .option("compression", "zstd")
-            .bucketBy(BUCKETS, "anchor")
-            .sortBy("anchor")
+            .bucketBy(BUCKETS, "anchor", "slot")
+            .sortBy("anchor", "slot")
             .saveAsTable(name)
         )
         self.runs.append(name)
@@ -145,27 +158,36 @@ class FingerprintIndex:
         rows = self.spark.table(old[0])
         for name in old[1:]:
             rows = rows.unionByName(self.spark.table(name))
-        self.runs = []
-        self.append(rows)
+        self.runs, self.heavy = [], []
+        self.append(rows.drop("slot"))
         for name in old:
             self.spark.sql(f"DROP TABLE {name}")
 
 
-def _marks(run: DataFrame, older: DataFrame | None) -> DataFrame:
+def _marks(run: DataFrame, older: DataFrame | None, heavy_anchors: list[int]) -> DataFrame:
     """doc_id, new, place, seen: anchors whose windows all occurred before (seen) or may have."""
     rows = run.withColumn("new", F.lit(True))
     if older is not None:
         rows = rows.unionByName(older.withColumn("new", F.lit(False)))
-    order = [F.col("around"), F.col("new"), F.col("doc_id").asc_nulls_last(), F.col("place")]
-    by_anchor = Window.partitionBy("anchor").orderBy(*order)
+    order = [F.col("new"), F.col("doc_id").asc_nulls_last(), F.col("place")]
+    is_heavy = F.col("anchor").isin(heavy_anchors)
+    by_anchor = Window.partitionBy("anchor", "slot")
+    sorted_by = by_anchor.orderBy("around", *order)
     stepped = (
-        rows.withColumn("before", F.lag("around").over(by_anchor))
-        .withColumn("after", F.lead("around").over(by_anchor))
+        rows.where(~is_heavy)
+        .withColumn("before", F.lag("around").over(sorted_by))
+        .withColumn("after", F.lead("around").over(sorted_by))
         .where("before IS NOT NULL OR after IS NOT NULL")
         .withColumn("seen", F.coalesce(F.col("before") == F.col("around"), F.lit(False)))
     )
-    kinds = F.sum((~F.col("seen")).cast("int")).over(Window.partitionBy("anchor"))
-    return stepped.withColumn("kinds", kinds).where("seen OR kinds > 1").select("doc_id", "new", "place", "seen")
+    kinds = F.sum((~F.col("seen")).cast("int")).over(by_anchor)
+    light = stepped.withColumn("kinds", kinds).where("seen OR kinds > 1").select("doc_id", "new", "place", "seen")
+    if not heavy_anchors:
+        return light
+    at = F.struct("new", F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")
+    crowd = rows.where(is_heavy)
+    first = crowd.groupBy("anchor", "around").agg(F.min(at).alias("first"))
+    return light.unionByName(crowd.join(first, ["anchor", "around"]).select("doc_id", "new", "place", (at > F.col("first")).alias("seen")))
 
 
 def _window_rows(texts: DataFrame) -> DataFrame:
@@ -177,24 +199,27 @@ def _window_rows(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            bodies = [expand(t) for t in batch.column(1).to_pylist()]
-            words, starts = word_hashes(bodies)
-            again, _ = word_hashes(bodies, seed=1)
-            first, second = sequence_hashes(words, SPAN), sequence_hashes(again, SPAN)
-            for row, places in enumerate(batch.column(3).to_pylist()):
-                low, high = _windows_of(np.array(places, dtype=np.int64))
-                size = starts[row + 1] - starts[row]
-                held = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high)]))
-                held = held[held + SPAN <= size]  # of rows that share a doc_id, another may be the longer
-                at = held + starts[row]
-                n = len(held)
+            ids, new, places = (batch.column(k) for k in (0, 2, 3))
+            for cut in slabs(pc.binary_length(batch.column(1)).to_pylist()):
+                bodies = [expand(t) for t in batch.column(1)[cut].to_pylist()]
+                words, starts = word_hashes(bodies)
+                again, _ = word_hashes(bodies, seed=1)
+                chosen, rows = [], []
+                for row, held in enumerate(places[cut].to_pylist()):
+                    low, high = _windows_of(np.array(held, dtype=np.int64))
+                    at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high)]))
+                    at = at[at + SPAN <= starts[row + 1] - starts[row]]  # of rows that share a doc_id, another may be the longer
+                    chosen.append(at + starts[row])
+                    rows.append(np.full(len(at), row))
+                at, row = np.concatenate(chosen), np.concatenate(rows)
+                second = sequence_hashes(again, SPAN)[at] >> np.uint64(32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(first[at].view(np.int64)),
-                        pa.array((second[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                        pa.repeat(batch.column(2)[row], n),
-                        pa.repeat(batch.column(0)[row], n),
-                        pa.array(held),
+                        pa.array(sequence_hashes(words, SPAN)[at].view(np.int64)),
+                        pa.array(second.astype(np.uint32).view(np.int32)),
+                        new[cut].take(pa.array(row)),
+                        ids[cut].take(pa.array(row)),
+                        pa.array(at - starts[row]),
                     ],
                     names=["h1", "h2", "new", "doc_id", "start"],
                 )
@@ -202,49 +227,54 @@ def _window_rows(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "text", "new", "places").mapInArrow(run, schema)
 
 
-def _removed(texts: DataFrame) -> DataFrame:
-    """Every document with its counts and the digest of the words that stay."""
-    fields = [texts.schema["doc_id"]] + [T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")]
-    schema = T.StructType([*fields, T.StructField("kept_text", T.StringType()), T.StructField("kept_sha256", T.StringType())])
+def _removed(texts: DataFrame, with_text: bool) -> DataFrame:
+    """Every document with its counts and the digest of the words that stay, and, if asked, those words."""
+    fields = [texts.schema["doc_id"]] + [T.StructField(c, T.LongType()) for c in ("n_words", "n_removed")] + [T.StructField("kept_sha256", T.StringType())]
+    fields += [T.StructField("kept_text", T.StringType())] * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
-            for body, seen, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                words = expand(body).split()
-                low, high = _windows_of(np.array(seen or [], dtype=np.int64))
-                alone = np.array(starts or [], dtype=np.int64)
-                low, high = np.concatenate([low, alone]), np.concatenate([high, alone])
-                low = np.minimum(low, len(words))
-                high = np.minimum(high + SPAN, len(words))
-                steps = np.zeros(len(words) + 1, dtype=np.int64)
-                np.add.at(steps, low, 1)
-                np.add.at(steps, high, -1)
-                gone = np.cumsum(steps)[:-1] > 0
-                n = int(gone.sum())
-                kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g] if n else words)
-                out.append((len(words), n, kept.decode("utf-8"), hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())],
-                names=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
-            )
-
-    return texts.mapInArrow(run, schema)
-
-
-def deduplicated(docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+            ids, bodies, marked, alone = (batch.column(k) for k in range(4))
+            for cut in slabs(pc.binary_length(bodies).to_pylist()):
+                n_words, n_removed, shas, texts = [], [], [], []
+                for body, seen, starts in zip(*(c[cut].to_pylist() for c in (bodies, marked, alone))):
+                    words = expand(body).split()
+                    n = 0
+                    if seen or starts:
+                        low, high = _windows_of(np.array(seen or [], dtype=np.int64))
+                        single = np.array(starts or [], dtype=np.int64)
+                        steps = np.zeros(len(words) + 1, dtype=np.int64)
+                        np.add.at(steps, np.minimum(np.concatenate([low, single]), len(words)), 1)
+                        np.add.at(steps, np.minimum(np.concatenate([high, single]) + SPAN, len(words)), -1)
+                        gone = np.cumsum(steps)[:-1] > 0
+                        n = int(gone.sum())
+                        words = [w for w, g in zip(words, gone.tolist()) if not g]
+                    kept = b" ".join(words)
+                    n_words.append(len(words) + n)
+                    n_removed.append(n)
+                    shas.append(hashlib.sha256(kept).hexdigest())
+                    if with_text:
+                        texts.append(kept.decode("utf-8"))
+                columns = [ids[cut], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(shas, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(texts, pa.string())] * with_text, names=[f.name for f in fields])
+
+    return texts.mapInArrow(run, T.StructType(fields))
+
+
+def deduplicated(
+    docs: DataFrame, index: FingerprintIndex | None = None, history: DataFrame | None = None, with_text: bool = True
+) -> DataFrame:
     """``docs`` cut by what they or the index's runs hold; appends their run.
 
-    Returns doc_id, n_words, n_removed, kept_text and kept_sha256 of every row.
+    Returns doc_id, n_words, n_removed, kept_sha256 and, if asked, kept_text of every row.
     ``history`` has the documents of the older runs (doc_id, text), read only
     where an anchor of theirs is met again in other words.
     """
     spark = docs.sparkSession
     index = index or FingerprintIndex(spark)
-    run = index.append(anchors(plain(docs)))
-    marks = _marks(run, index.older())
+    run = index.append(written(anchors(plain(docs)), "anchors"))
+    marks = _marks(run, index.older(), index.heavy)
     new = packed(docs)
     place = F.when(~F.col("seen"), F.col("place"))
     by_doc = marks.withColumn("key", F.xxhash64("doc_id")).groupBy("key", "new").agg(
@@ -261,11 +291,12 @@ def deduplicated(docs: DataFrame, index: FingerprintIndex | None = None, history
     later = rows.join(first, ["h1", "h2"]).where(F.col("new") & (at > F.col("first")))
     starts = later.withColumn("key", F.xxhash64("doc_id")).groupBy("key").agg(F.collect_list("start").alias("starts"))
     seen = by_doc.where("new").select("key", "seen")
-    return _removed(new.join(seen, "key", "left").join(starts, "key", "left").select("doc_id", "text", "seen", "starts"))
+    joined = new.join(seen, "key", "left").join(starts, "key", "left")
+    return _removed(joined.select("doc_id", "text", "seen", "starts"), with_text)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(documents(spark, sf_dir)).drop("kept_text")
+    return deduplicated(documents(spark, sf_dir), with_text=False)
 
 
 OP5_SQL = r"""

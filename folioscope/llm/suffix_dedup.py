@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, documents, text_or_empty, written
+from .common import WORD, documents, slabs, text_or_empty, written
 from .passages import in_one_text, mixed, sequence_hashes, window_anchors, word_hashes
 from .substring_dedup import packed, plain
 
@@ -76,11 +77,13 @@ def suffixes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, prefix, around, place = _suffixes(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(prefix), pa.array(around), batch.column(0).take(pa.array(text)), pa.array(place)],
-                names=["prefix", "around", "doc_id", "place"],
-            )
+            ids, texts = batch.column(0), batch.column(1)
+            for cut in slabs(pc.binary_length(texts).to_pylist()):
+                text, prefix, around, place = _suffixes(texts[cut].to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(prefix), pa.array(around), ids[cut].take(pa.array(text)), pa.array(place)],
+                    names=["prefix", "around", "doc_id", "place"],
+                )
 
     return plain(docs).mapInArrow(run, schema)
 

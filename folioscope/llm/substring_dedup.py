@@ -186,8 +186,12 @@ def _marks(run: DataFrame, older: DataFrame | None, heavy_anchors: list[int]) ->
         return light
     at = F.struct("new", F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")
     crowd = rows.where(is_heavy)
-    first = crowd.groupBy("anchor", "around").agg(F.min(at).alias("first"))
-    return light.unionByName(crowd.join(first, ["anchor", "around"]).select("doc_id", "new", "place", (at > F.col("first")).alias("seen")))
+    # a group of many rows is met by document as well, so its first occurrence goes to every slot
+    deal = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
+    first = crowd.groupBy("anchor", "around").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = first.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BUCKETS - 1).cast("long")))).drop("n")
+    told = crowd.withColumn("deal", deal).join(first, ["anchor", "around", "deal"], "left")
+    return light.unionByName(told.select("doc_id", "new", "place", F.coalesce(at > F.col("first"), F.lit(False)).alias("seen")))
 
 
 def _window_rows(texts: DataFrame) -> DataFrame:

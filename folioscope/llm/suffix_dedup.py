@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, documents, slabs, text_or_empty, written
+from .common import WORD, documents, heavy, plan_partitions, slabs, text_or_empty, written
 from .passages import in_one_text, mixed, sequence_hashes, window_anchors, word_hashes
 from .substring_dedup import packed, plain
 
 LEAST, GRAM, COUNT = 50, 6, 23
 PREFIX = LEAST - COUNT + 1
 LEFT, RIGHT = COUNT - 1, 88
+#: Prefixes over this part of all are dealt by document as well, in so many slots.
+HEAVY_PARTS, SLOTS = 100, 24
 #: How far apart in the sorted order suffixes are compared.
 NEIGHBOURS = 4
 #: A place packs the word number with the words at hand to its left and right.
@@ -89,9 +91,15 @@ def suffixes(docs: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Suffixes whose prefix occurs again: ``other`` where the whole neighbourhood does, ``compare`` where neighbours must tell."""
+    """Suffixes whose prefix occurs again: ``other`` where the whole neighbourhood does, ``compare`` where neighbours must tell.
+
+    ``rows`` is a written table. Heavy prefixes (a sketch over all rows names
+    them) are told from grouped minima, which are combined before the shuffle.
+    """
+    crowded = heavy(rows, "prefix", HEAVY_PARTS)
+    shown = ["prefix", "doc_id", "place", "whole", "other", "compare"]
     order = Window.partitionBy("prefix").orderBy("around", F.col("doc_id").asc_nulls_last(), "place")
-    beside = rows
+    beside = rows.where(~F.col("prefix").isin(crowded))
     for name, step in (("before", F.lag), ("after", F.lead)):
         beside = beside.withColumn(name, step(F.struct("around", "doc_id")).over(order))
     beside = beside.where("before IS NOT NULL OR after IS NOT NULL")
@@ -107,7 +115,19 @@ def _shared(rows: DataFrame) -> DataFrame:
         .withColumn("loners", F.sum(F.col("alone").cast("int")).over(group))
     )
     told = told.withColumn("compare", F.col("first") & (F.col("kinds") > 1) & (F.col("loners") > 0))
-    return told.where("whole OR compare").select("prefix", "doc_id", "place", "whole", "other", "compare")
+    light = told.where("whole OR compare").select(*shown)
+    if not crowded:
+        return light
+    at = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")
+    slots = F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long"))
+    crowd = rows.where(F.col("prefix").isin(crowded))
+    groups = crowd.groupBy("prefix", "around").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count(F.lit(1)).alias("n"))
+    # a group of many rows is met by document as well, so its ends go to every slot
+    groups = groups.where("n > 1").withColumn("slot", F.explode(slots)).drop("n")
+    met = crowd.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))).join(groups, ["prefix", "around", "slot"], "left")
+    leads = F.col("low").isNull() | (F.col("low") == at)
+    other = F.when(leads, F.col("high.doc_id")).otherwise(F.col("low.doc_id"))
+    return light.unionByName(met.select("prefix", "doc_id", "place", F.col("low").isNotNull().alias("whole"), other.alias("other"), leads.alias("compare")))
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
@@ -144,46 +164,73 @@ def agreement(a: bytes, b: bytes) -> int:
     return int(np.argmax(x != y))
 
 
-def _compared(contexts: DataFrame) -> DataFrame:
-    """Matches (doc_id, start, end, other) between neighbours of the sorted suffixes."""
-    id_field = contexts.schema["doc_id"]
-    schema = T.StructType([id_field, T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("other", id_field.dataType)])
+def _neighbours(sorted_rows: DataFrame) -> DataFrame:
+    """Matches (doc_id, start, end, other) between neighbours of each partition; and its first and last rows, for the cuts between partitions."""
+    id_field = sorted_rows.schema["doc_id"]
+    fields = [id_field, T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("other", id_field.dataType)]
+    edge_fields = [T.StructField("prefix", T.LongType()), T.StructField("to_right", T.BinaryType()), T.StructField("to_left", T.BinaryType()), T.StructField("place", T.LongType())]
+    schema = T.StructType([*fields, *edge_fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: deque = deque(maxlen=NEIGHBOURS)  # the suffixes before
+        seen, kind = 0, pa.null()
+        edges: list = []
         for batch in batches:
-            out = []
+            out, kind = [], batch.column(3).type
             for row in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                if held and held[0][0] != row[0]:
-                    held.clear()
+                seen += 1
+                if seen <= NEIGHBOURS:
+                    edges.append(row)
                 for beside in held:
+                    if beside[0] != row[0]:
+                        continue
                     right, left = agreement(beside[1], row[1]), agreement(beside[2], row[2])
                     if left + right >= LEAST:
                         for one, two in ((beside, row), (row, beside)):
                             at = one[4] >> (2 * BITS)
                             out.append((one[3], at - left, at + right, two[3]))
                 held.append(row)
-            columns = list(zip(*out)) or [(), (), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, f.dataType.simpleString() == "bigint" and pa.int64() or batch.column(3).type) for c, f in zip(columns, schema.fields)],
-                names=[f.name for f in schema.fields],
-            )
+            if out:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (kind, pa.int64(), pa.int64(), kind))]
+                blank = [pa.nulls(len(out), t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + blank, names=[f.name for f in schema.fields])
+        edges += list(held)[max(0, NEIGHBOURS - (seen - len(held))) :] if seen > NEIGHBOURS else []
+        if edges:
+            prefix, to_right, to_left, doc, place = zip(*edges)
+            n = len(edges)
+            columns = [pa.array(doc, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, kind)]
+            columns += [pa.array(prefix, pa.int64()), pa.array(to_right, pa.binary()), pa.array(to_left, pa.binary()), pa.array(place, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in schema.fields])
+
+    return sorted_rows.select("prefix", "to_right", "to_left", "doc_id", "place").mapInArrow(run, schema)
+
+
+def _compared(contexts: DataFrame) -> DataFrame:
+    """Matches between neighbours of the sorted suffixes. ``contexts`` is a written table.
 
+    The sorted order is cut by range, so that one prefix fills no single task;
+    the rows at the cuts are then compared across them.
+    """
+    parts, out = plan_partitions(contexts), None
     # a neighbour by what follows shares most to the right, one by what precedes most to the left
-    dealt = contexts.repartition("prefix")
-    by_right = dealt.sortWithinPartitions("prefix", "to_right", "to_left").mapInArrow(run, schema)
-    return by_right.unionByName(dealt.sortWithinPartitions("prefix", "to_left", "to_right").mapInArrow(run, schema))
+    for order in (["prefix", "to_right", "to_left"], ["prefix", "to_left", "to_right"]):
+        found = written(_neighbours(contexts.repartitionByRange(parts, *order).sortWithinPartitions(*order)), "neighbours")
+        edges = found.where("start IS NULL").repartition("prefix").sortWithinPartitions(*order)
+        across = _neighbours(edges).where("start IS NOT NULL")
+        both = found.where("start IS NOT NULL").unionByName(across).select("doc_id", "start", "end", "other")
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 def matches(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, other: stretches of at least LEAST words that occur again, in ``other`` among them."""
-    shared = written(_shared(suffixes(docs)), "suffixes")
+    shared = written(_shared(written(suffixes(docs), "suffixes")), "shared")
     mask = F.lit((1 << BITS) - 1)
     at, left, right = F.expr(f"shiftright(place, {2 * BITS})"), F.expr(f"shiftright(place, {BITS})").bitwiseAND(mask), F.col("place").bitwiseAND(mask)
     whole = shared.where("whole").select("doc_id", (at - left).alias("start"), (at + right).alias("end"), "other")
     kept = shared.where("compare").withColumn("key", F.xxhash64("doc_id")).groupBy("key").agg(F.collect_list(F.struct("prefix", "place")).alias("kept"))
     texts = packed(docs).join(kept, "key")
-    return whole.unionByName(_compared(_contexts(texts)))
+    return whole.unionByName(_compared(written(_contexts(texts), "contexts")))
 
 
 def repeated(docs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ import numpy as np
 import xxhash
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
+_INVERSE = pow(_MULTIPLIER, -1, 2**64)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -59,6 +60,15 @@ def sequence_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mixed(done)
 
 
+def stretch_hashes(words: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The hash of each stretch of ``width`` words from ``low``, of any widths, from sums over prefixes."""
+    with np.errstate(over="ignore"):
+        ups = np.cumprod(np.concatenate([[1], np.full(len(words), _MULTIPLIER)]).astype(np.uint64))
+        downs = np.cumprod(np.concatenate([[1], np.full(len(words), _INVERSE)]).astype(np.uint64))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * downs[:-1])])
+        return mixed((sums[low + width] - sums[low]) * ups[low])
+
+
 def window_anchors(grams: np.ndarray, count: int) -> np.ndarray:
     """For each run of ``count`` grams, the place of the leftmost least one."""
     at, size = np.arange(len(grams), dtype=np.int64), 1

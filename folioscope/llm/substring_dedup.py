@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, heavy, shared_dir, slabs, text_or_empty, written
-from .passages import in_one_text, mixed, sequence_hashes, window_anchors, word_hashes
+from .passages import in_one_text, mixed, sequence_hashes, stretch_hashes, window_anchors, word_hashes
 
 SPAN, GRAM = 20, 6
 COUNT = SPAN - GRAM + 1
@@ -63,12 +63,8 @@ def _anchor_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     last = np.append(first[1:], len(window)) - 1
     low, high, mid = window[first], window[last], anchor[first]
     # the words from the first window's start to the last window's end, and where the anchor lies in them
-    neighbourhood = np.zeros(len(first), dtype=np.uint64)
     width = high - low + SPAN
-    for w in np.unique(width):
-        chosen = np.nonzero(width == w)[0]
-        neighbourhood[chosen] = sequence_hashes(words, int(w))[low[chosen]]
-    neighbourhood = mixed(neighbourhood + (width * 64 + (mid - low)).astype(np.uint64))
+    neighbourhood = mixed(stretch_hashes(words, low, width) + (width * 64 + (mid - low)).astype(np.uint64))
     place = ((mid - starts[text[first]]) << (2 * PLACE_BITS)) | ((mid - low) << PLACE_BITS) | (mid - high)
     return text[first], grams[mid].view(np.int64), neighbourhood.view(np.int64), place
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import WORD, documents, heavy, plan_partitions, slabs, text_or_empty, written
-from .passages import in_one_text, mixed, sequence_hashes, window_anchors, word_hashes
+from .passages import in_one_text, mixed, sequence_hashes, stretch_hashes, window_anchors, word_hashes
 from .substring_dedup import packed, plain
 
 LEAST, GRAM, COUNT = 50, 6, 23
@@ -58,11 +58,8 @@ def _suffixes(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     whole = (right >= PREFIX) & (left + right >= LEAST)
     anchor, text, left, right = anchor[whole], text[whole], left[whole], right[whole]
     prefix = sequence_hashes(words, PREFIX)[anchor]
-    width, around = left + right, np.zeros(len(anchor), dtype=np.uint64)
-    for w in np.unique(width):
-        chosen = np.nonzero(width == w)[0]
-        around[chosen] = sequence_hashes(words, int(w))[(anchor - left)[chosen]]
-    around = mixed(around + (width * 256 + left).astype(np.uint64))
+    width = left + right
+    around = mixed(stretch_hashes(words, anchor - left, width) + (width * 256 + left).astype(np.uint64))
     place = ((anchor - starts[text]) << (2 * BITS)) | (left << BITS) | right
     return text, prefix.view(np.int64), around.view(np.int64), place
 

@@ -32,17 +32,19 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, text_or_empty
+from .common import documents, slabs, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words and pre-tokens that a worker remembers, in each of two generations.
-KEPT_WORDS, KEPT_PIECES = 100_000, 120_000
+KEPT_WORDS, KEPT_PIECES = 80_000, 80_000
 
 
 def byte_alphabet() -> list[str]:
@@ -282,19 +284,20 @@ def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = True) ->
         tok = tokenizer(path)
         sha = hashlib.sha256
         for batch in batches:
-            counts, ids_sha, text_sha, ids = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = tok.encode(text)
-                raw = b"".join([w[0] for w in words])
-                counts.append(len(raw) // 4)
-                ids_sha.append(sha(raw).hexdigest())
-                text_sha.append(sha("".join([w[1] for w in words])[1:].encode("utf-8")).hexdigest())
+            doc, texts = batch.column(0), batch.column(1)
+            for cut in slabs(pc.binary_length(texts).to_pylist()):
+                raws, ids_sha, text_sha = [], [], []
+                for text in texts[cut].to_pylist():
+                    words = tok.encode(text)
+                    raws.append(b"".join([w[0] for w in words]))
+                    ids_sha.append(sha(raws[-1]).hexdigest())
+                    text_sha.append(sha("".join([w[1] for w in words])[1:].encode("utf-8")).hexdigest())
+                counts = np.array([len(r) // 4 for r in raws], dtype=np.int64)
+                columns = [doc[cut], pa.array(counts), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if with_ids:
-                    ids.append(memoryview(raw).cast("I").tolist())
-            columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
-            if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+                    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raws), dtype="<i4"))))
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, T.StructType(fields))
 

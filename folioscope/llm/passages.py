@@ -63,9 +63,10 @@ def sequence_hashes(words: np.ndarray, width: int) -> np.ndarray:
 def stretch_hashes(words: np.ndarray, low: np.ndarray, width: np.ndarray) -> np.ndarray:
     """The hash of each stretch of ``width`` words from ``low``, of any widths, from sums over prefixes."""
     with np.errstate(over="ignore"):
-        ups = np.cumprod(np.concatenate([[1], np.full(len(words), _MULTIPLIER)]).astype(np.uint64))
-        downs = np.cumprod(np.concatenate([[1], np.full(len(words), _INVERSE)]).astype(np.uint64))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * downs[:-1])])
+        factors = np.full((2, len(words) + 1), 1, dtype=np.uint64)
+        factors[0, 1:], factors[1, 1:] = _MULTIPLIER, _INVERSE
+        ups, downs = np.cumprod(factors, axis=1, dtype=np.uint64)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * downs[:-1], dtype=np.uint64)])
         return mixed((sums[low + width] - sums[low]) * ups[low])
 
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACES = r"\s+"
 #: Curly quotes and dashes, and what they fold to; the soft hyphen goes.
@@ -27,7 +28,7 @@ def quote_folded(text: Column) -> Column:
     return collapsed(F.lower(F.translate(text, FOLD_FROM, FOLD_TO)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_folded(text: pd.Series) -> pd.Series:
     """Compatibility form and full case folding, which Spark has no function for."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))

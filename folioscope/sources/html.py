@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Elements whose text is no text of the page, and those that end a line.
 UNSEEN = {"script", "style", "nav", "header", "footer", "aside", "noscript", "template", "head"}
@@ -59,7 +60,7 @@ def region_text(html: str | None) -> tuple[str, str]:
     return "body", ""
 
 
-@F.pandas_udf("region string, text string")
+@F.pandas_udf(T.StructType([T.StructField("region", T.StringType()), T.StructField("text", T.StringType())]))
 def _read(html: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([region_text(h) for h in html], columns=["region", "text"])
 

@@ -79,3 +79,11 @@ def heavy(rows: DataFrame, key: str, parts: int) -> list:
     """
     found = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({key}, {2 * parts}, {100 * parts})").alias("top")).first()
     return sorted(r["item"] for r in found["top"] or [] if r["item"] is not None and r["count"] * parts > found["n"])
+
+
+def first_by_hash(docs: DataFrame, rows: int, total: int) -> DataFrame:
+    """The ``rows`` documents of least hash, of ``total``; most are dropped before tasks send their own."""
+    spread = F.xxhash64("doc_id")
+    share = min(1.0, 2 * rows / max(1, total) + 1e-9)
+    near = docs if share == 1.0 else docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(2**32)) < F.lit(int(share * 2**32)))
+    return near.orderBy(spread, "doc_id", "text").limit(rows)

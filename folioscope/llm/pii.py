@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, slabs, text_or_empty
+from .common import documents, first_by_hash, slabs, text_or_empty
 from .lstm_crf import BiLstmCrf
 
 KINDS = ("email", "ip", "card", "phone")
@@ -167,9 +167,11 @@ def drawer(texts: list[str], rows: int = 64, steps: int = 96):
 
 def trained(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, updates: int = UPDATES) -> BiLstmCrf:
     """Half of the sample has digits or an @, where there are such documents."""
-    hashed = docs.select(text_or_empty().alias("text"), F.xxhash64("doc_id").alias("h"))
-    busy = hashed.where(F.col("text").rlike("[0-9@]")).orderBy("h", "text").limit(sample_docs // 2)
-    any_docs = hashed.orderBy("h", "text").limit(sample_docs // 2)
+    held = docs.select("doc_id", text_or_empty().alias("text"))
+    is_busy = F.col("text").rlike("[0-9@]")
+    n = held.agg(F.count(F.lit(1)).alias("all"), F.count_if(is_busy).alias("busy")).first()
+    busy = first_by_hash(held.where(is_busy), sample_docs // 2, n["busy"]).select("text")
+    any_docs = first_by_hash(held, sample_docs // 2, n["all"]).select("text")
     texts = sorted(r.text for r in busy.unionAll(any_docs).collect())
     model = BiLstmCrf(OUTSIDE + 1, len(KINDS) + 1)
     model.train(drawer(texts), updates)

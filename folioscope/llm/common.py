@@ -81,9 +81,19 @@ def heavy(rows: DataFrame, key: str, parts: int) -> list:
     return sorted(r["item"] for r in found["top"] or [] if r["item"] is not None and r["count"] * parts > found["n"])
 
 
-def first_by_hash(docs: DataFrame, rows: int, total: int) -> DataFrame:
-    """The ``rows`` documents of least hash, of ``total``; most are dropped before tasks send their own."""
-    spread = F.xxhash64("doc_id")
-    share = min(1.0, 2 * rows / max(1, total) + 1e-9)
-    near = docs if share == 1.0 else docs.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(2**32)) < F.lit(int(share * 2**32)))
-    return near.orderBy(spread, "doc_id", "text").limit(rows)
+def first_by_hash(docs: DataFrame, rows: int, total: int) -> list:
+    """Texts of the ``rows`` documents of least hash, of ``total``.
+
+    Most rows are dropped before tasks send their own, so the driver gets about
+    twice ``rows`` however many tasks there are; only where ids repeat so much
+    that too few are left do all tasks send.
+    """
+
+    def least(of: DataFrame) -> list:
+        return [r["text"] for r in of.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text").collect()]
+
+    if total <= 2 * rows:
+        return least(docs)
+    limit = -(2**63) + 2**64 * 2 * rows // total
+    found = least(docs.where(F.xxhash64("doc_id") < F.lit(limit)))
+    return found if len(found) == rows else least(docs)

@@ -170,9 +170,9 @@ def trained(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, updates: int = UPDA
     held = docs.select("doc_id", text_or_empty().alias("text"))
     is_busy = F.col("text").rlike("[0-9@]")
     n = held.agg(F.count(F.lit(1)).alias("all"), F.count_if(is_busy).alias("busy")).first()
-    busy = first_by_hash(held.where(is_busy), sample_docs // 2, n["busy"]).select("text")
-    any_docs = first_by_hash(held, sample_docs // 2, n["all"]).select("text")
-    texts = sorted(r.text for r in busy.unionAll(any_docs).collect())
+    busy = first_by_hash(held.where(is_busy), sample_docs // 2, n["busy"])
+    any_docs = first_by_hash(held, sample_docs // 2, n["all"])
+    texts = sorted(busy + any_docs)
     model = BiLstmCrf(OUTSIDE + 1, len(KINDS) + 1)
     model.train(drawer(texts), updates)
     return model

@@ -38,6 +38,16 @@ def line_hits(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "line_no", F.explode(F.array_compact(kinds)).alias("kind"))
 
 
+def run_hashes(words: Column, size: int) -> Column:
+    """Hashes of the runs of ``size`` words; the words are computed once a row, even where Spark moves them into the lambda."""
+
+    def hashed(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
+
+    return F.transform(F.array(words), hashed)[0]
+
+
 def shingle_pairs(docs: DataFrame, size: int = 5, similar: float = SIMILAR) -> DataFrame:
     """Pairs of texts whose sets of ``size``-word shingles have a Jaccard similarity of at least ``similar``.
 
@@ -49,7 +59,7 @@ def shingle_pairs(docs: DataFrame, size: int = 5, similar: float = SIMILAR) -> D
     words = F.array_remove(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), "")
     # Spark may build the shingles before it drops short texts
     held = docs.select("doc_id", words.alias("w")).where(F.size("w") >= size)
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, size), " ")))
+    grams = run_hashes(F.col("w"), size)
     sets = held.select("doc_id", F.array_sort(F.array_distinct(grams)).alias("s"))
     sets = sets.groupBy("s").agg(F.min("doc_id").alias("doc_id"))
     rows = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("g"))
@@ -77,7 +87,7 @@ def quotes_found(quotes: DataFrame, texts: DataFrame, words: int = 8) -> DataFra
     parts = folded.withColumn("w", F.split("q", " ")).where(F.size("w") >= words)
     keyed = parts.select("item_id", "q", F.xxhash64(F.array_join(F.slice("w", 1, words), " ")).alias("k"))
     body = texts.select("doc_id", quote_folded(F.col("text")).alias("t")).withColumn("w", F.split("t", " ")).where(F.size("w") >= words)
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - words, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, words), " ")))
+    grams = run_hashes(F.col("w"), words)
     # texts are joined again by id, so that no text is repeated for each of its runs
     met = body.select("doc_id", F.explode(F.array_distinct(grams)).alias("k")).join(keyed, "k").select("doc_id", "item_id", "q")
     return met.join(body.select("doc_id", "t"), "doc_id").where(F.contains("t", "q")).select("item_id", "doc_id").distinct()

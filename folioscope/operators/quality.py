@@ -6,9 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import quote_folded
+from ..session import checkpointed
+from .graph import clusters
 
 #: Least length, least share of function words, largest share of unprintable characters, least similarity.
 LEAST_CHARS, LEAST_FUNCTION, MOST_UNPRINTABLE, SIMILAR = 200, 0.05, 0.01, 0.8
+#: Copies of one text are dealt over so many slots.
+SLOTS = 24
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 PHONE = r"\+[0-9][0-9 ().-]{7,}[0-9]"
 ADDRESS = r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b"
@@ -48,19 +52,26 @@ def run_hashes(words: Column, size: int) -> Column:
     return F.transform(F.array(words), hashed)[0]
 
 
+def shingle_words() -> Column:
+    return F.array_remove(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), "")
+
+
+def shingle_set(words: Column, size: int) -> Column:
+    return F.array_sort(F.array_distinct(run_hashes(words, size)))
+
+
 def shingle_pairs(docs: DataFrame, size: int = 5, similar: float = SIMILAR) -> DataFrame:
     """Pairs of texts whose sets of ``size``-word shingles have a Jaccard similarity of at least ``similar``.
 
     Only different sets are paired: copies are folded to the one with the
-    smallest id. A set's rarest shingles come first, and two sets as similar as
+    smallest id, and ``shingle_members`` says which texts it stands for. A set's rarest shingles come first, and two sets as similar as
     asked must share one of the first few (the prefix filter), so only texts that
     share a rare shingle meet; their sets are then compared whole.
     """
-    words = F.array_remove(F.split(F.lower("text"), r"[\x20\x09-\x0D]+"), "")
+    words = shingle_words()
     # Spark may build the shingles before it drops short texts
     held = docs.select("doc_id", words.alias("w")).where(F.size("w") >= size)
-    grams = run_hashes(F.col("w"), size)
-    sets = held.select("doc_id", F.array_sort(F.array_distinct(grams)).alias("s"))
+    sets = held.select("doc_id", shingle_set(F.col("w"), size).alias("s"))
     sets = sets.groupBy("s").agg(F.min("doc_id").alias("doc_id"))
     rows = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("g"))
     common = rows.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
@@ -76,6 +87,31 @@ def shingle_pairs(docs: DataFrame, size: int = 5, similar: float = SIMILAR) -> D
     return met.join(left, "a").join(right, "b").select("a", "b", F.round(jaccard, 6).alias("jaccard")).where(jaccard >= similar)
 
 
+def shingle_members(docs: DataFrame, size: int = 5, similar: float = SIMILAR) -> DataFrame:
+    """Every row of ``docs`` with its class (the smallest id with the same shingle set), the rows in that class,
+    its cluster (the smallest id reachable over copies and pairs) and the class's links in ``shingle_pairs``.
+
+    Texts of under ``size`` words have no set, hence no class. A class is met by
+    slots of documents, so that many copies fill no single task.
+    """
+    held = docs.select("doc_id", shingle_words().alias("w"))
+    joined = F.array_join(shingle_set(F.col("w"), size).cast("array<string>"), ",")
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
+    keyed = checkpointed(held.select("doc_id", F.when(F.size("w") >= size, F.sha2(joined, 256)).alias("set_key"), slot))
+    slots = keyed.where("set_key IS NOT NULL").groupBy("set_key", "slot").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = slots.groupBy("set_key").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_copies"), F.collect_list("slot").alias("slots"))
+    pairs = checkpointed(shingle_pairs(docs, size, similar).select("a", "b"))
+    ends = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b"))
+    links = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    labels = clusters(pairs).select(F.col("node").alias("class_id"), "label")
+    told = classes.join(labels, "class_id", "left").join(links, "class_id", "left")
+    shown = told.select(
+        "set_key", "class_id", "n_copies", F.coalesce("label", "class_id").alias("cluster_id"),
+        F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), F.explode("slots").alias("slot"),
+    )
+    return keyed.join(shown, ["set_key", "slot"], "left").select("doc_id", "class_id", "n_copies", "cluster_id", "n_links")
+
+
 def quotes_found(quotes: DataFrame, texts: DataFrame, words: int = 8) -> DataFrame:
     """Quotes (item_id, quote) that a text (doc_id, text) holds word for word after folding.
 

@@ -305,6 +305,17 @@ def dup_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return graph.clusters(quality.shingle_pairs(table(spark, sf, "documents")).select("a", "b"))
 
 
+@query("dup_members", "WITH RECURSIVE " + _SETS.strip()[len("WITH "):] + """
+, e AS (SELECT a, b FROM j UNION SELECT b, a FROM j), r AS (SELECT a AS node, a AS label FROM e UNION SELECT e.b, r.label FROM r JOIN e ON r.node = e.a),
+c AS (SELECT s, min(doc_id) AS class_id, count(*) AS n_copies FROM s GROUP BY s),
+l AS (SELECT node, min(label) AS label FROM r GROUP BY node), k AS (SELECT a AS node, count(*) AS n FROM e GROUP BY a)
+SELECT d.doc_id, c.class_id, c.n_copies, coalesce(l.label, c.class_id) AS cluster_id, CASE WHEN c.class_id IS NOT NULL THEN coalesce(k.n, 0) END AS n_links
+FROM documents d LEFT JOIN s ON d.doc_id = s.doc_id LEFT JOIN c ON s.s = c.s LEFT JOIN l ON c.class_id = l.node LEFT JOIN k ON c.class_id = k.node
+""")
+def dup_members(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.shingle_members(table(spark, sf, "documents"))
+
+
 @query("privacy_hits", """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents)
 SELECT doc_id, line_no, kind FROM (

@@ -8,6 +8,11 @@ by what follows and once by what precedes, neighbours are compared word by word,
 the matches are extended left and right, up to ``LEFT`` and ``RIGHT`` words; a
 longer passage is the union of the matches of its anchors.
 
+A passage shared in part to the left and in part to the right may lie far off in
+both orders. Where a prefix has more suffixes than neighbours are compared, the
+``LEAST``-word windows that hold the anchor are therefore hashed and grouped too,
+so the verdict does not depend on how many variants there are.
+
 Suffixes that agree in all of that neighbourhood match each other whole, and
 one of them stands for all in the sort, so copies cost no comparison.
 
@@ -94,7 +99,7 @@ def _shared(rows: DataFrame) -> DataFrame:
     them) are told from grouped minima, which are combined before the shuffle.
     """
     crowded = heavy(rows, "prefix", HEAVY_PARTS)
-    shown = ["prefix", "doc_id", "place", "whole", "other", "compare"]
+    shown = ["prefix", "doc_id", "place", "whole", "other", "compare", "many"]
     order = Window.partitionBy("prefix").orderBy("around", F.col("doc_id").asc_nulls_last(), "place")
     beside = rows.where(~F.col("prefix").isin(crowded))
     for name, step in (("before", F.lag), ("after", F.lead)):
@@ -112,6 +117,8 @@ def _shared(rows: DataFrame) -> DataFrame:
         .withColumn("loners", F.sum(F.col("alone").cast("int")).over(group))
     )
     told = told.withColumn("compare", F.col("first") & (F.col("kinds") > 1) & (F.col("loners") > 0))
+    # so few lie within NEIGHBOURS of each other in any order
+    told = told.withColumn("many", F.col("kinds") > NEIGHBOURS + 1)
     light = told.where("whole OR compare").select(*shown)
     if not crowded:
         return light
@@ -124,11 +131,14 @@ def _shared(rows: DataFrame) -> DataFrame:
     met = crowd.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))).join(groups, ["prefix", "around", "slot"], "left")
     leads = F.col("low").isNull() | (F.col("low") == at)
     other = F.when(leads, F.col("high.doc_id")).otherwise(F.col("low.doc_id"))
-    return light.unionByName(met.select("prefix", "doc_id", "place", F.col("low").isNotNull().alias("whole"), other.alias("other"), leads.alias("compare")))
+    return light.unionByName(met.select("prefix", "doc_id", "place", F.col("low").isNotNull().alias("whole"), other.alias("other"), leads.alias("compare"), F.lit(True).alias("many")))
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
-    """prefix, to_right, to_left, doc_id, place: the word hashes to either side, big-endian, so that bytes sort as the words do."""
+    """prefix, to_right, to_left, doc_id, place: the word hashes to either side, big-endian, so that bytes sort as the words do.
+
+    Rows without contexts are windows of the anchors with many suffixes: the hash as prefix, the first word as place.
+    """
     schema = T.StructType([T.StructField("prefix", T.LongType()), T.StructField("to_right", T.BinaryType()), T.StructField("to_left", T.BinaryType()), texts.schema["doc_id"], T.StructField("place", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,11 +147,20 @@ def _contexts(texts: DataFrame) -> DataFrame:
             for row, kept in enumerate(batch.column(2).to_pylist()):
                 words, _ = word_hashes([expand(batch.column(1)[row].as_py())])
                 held = (words >> np.uint64(32)).astype(">u4")
-                rows = []
+                rows, many = [], []
                 for item in kept:
                     at, left, right = (int(x) for x in _parts(np.int64(item["place"])))
                     if at + right <= len(held):  # of rows that share a doc_id, another may be the longer
                         rows.append((item["prefix"], held[at : at + right].tobytes(), held[at - left : at][::-1].tobytes(), item["place"]))
+                        if item["many"]:
+                            many.append(np.arange(at - left, min(at, at + right - LEAST) + 1))
+                if many:
+                    start = np.unique(np.concatenate(many))
+                    n, blank = len(start), pa.nulls(len(start), pa.binary())
+                    window = sequence_hashes(words, LEAST)[start].view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(window), blank, blank, pa.repeat(batch.column(0)[row], n), pa.array(start)], names=[f.name for f in schema.fields]
+                    )
                 if rows:
                     columns = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays(
@@ -219,15 +238,33 @@ def _compared(contexts: DataFrame) -> DataFrame:
     return out
 
 
+def _windows(rows: DataFrame) -> DataFrame:
+    """Matches of whole windows (window, doc_id, start; a written table): each with the least, or the last, that is the same.
+
+    Heavy windows are met by document as well.
+    """
+    crowded = F.col("window").isin(heavy(rows, "window", HEAVY_PARTS))
+    at, none = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start"), F.lit(0).cast("long")
+    slots = F.sequence(none, F.lit(SLOTS - 1).cast("long"))
+    groups = rows.groupBy("window").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = groups.withColumn("slot", F.explode(F.when(crowded, slots).otherwise(F.array(none)))).drop("n")
+    slot = F.when(crowded, F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))).otherwise(none)
+    other = F.when(F.col("low") == at, F.col("high.doc_id")).otherwise(F.col("low.doc_id"))
+    met = rows.withColumn("slot", slot).join(groups, ["window", "slot"])
+    return met.select("doc_id", "start", (F.col("start") + LEAST).alias("end"), other.alias("other"))
+
+
 def matches(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, other: stretches of at least LEAST words that occur again, in ``other`` among them."""
     shared = written(_shared(written(suffixes(docs), "suffixes")), "shared")
     mask = F.lit((1 << BITS) - 1)
     at, left, right = F.expr(f"shiftright(place, {2 * BITS})"), F.expr(f"shiftright(place, {BITS})").bitwiseAND(mask), F.col("place").bitwiseAND(mask)
     whole = shared.where("whole").select("doc_id", (at - left).alias("start"), (at + right).alias("end"), "other")
-    kept = shared.where("compare").withColumn("key", F.xxhash64("doc_id")).groupBy("key").agg(F.collect_list(F.struct("prefix", "place")).alias("kept"))
+    kept = shared.where("compare").withColumn("key", F.xxhash64("doc_id")).groupBy("key").agg(F.collect_list(F.struct("prefix", "place", "many")).alias("kept"))
     texts = packed(docs).join(kept, "key")
-    return whole.unionByName(_compared(written(_contexts(texts), "contexts")))
+    contexts = written(_contexts(texts), "contexts")
+    windows = contexts.where("to_right IS NULL").select(F.col("prefix").alias("window"), "doc_id", F.col("place").alias("start"))
+    return whole.unionByName(_compared(contexts.where("to_right IS NOT NULL"))).unionByName(_windows(windows))
 
 
 def repeated(docs: DataFrame) -> DataFrame:

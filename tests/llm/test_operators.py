@@ -231,6 +231,31 @@ def test_suffix_dedup(spark, docs, corpus):
     assert by_id(suffix_dedup.repeated(empty(spark))) == {}
 
 
+@pytest.mark.parametrize("parts", [suffix_dedup.HEAVY_PARTS, 1000])
+def test_suffix_dedup_with_many_variants(spark, monkeypatch, parts):
+    """Of 16 passages, each two texts share 12 words left and 38 right of an anchor; 20 texts share more to the right, 20 more to the left.
+
+    With the second HEAVY_PARTS every prefix is heavy.
+    """
+    monkeypatch.setattr(suffix_dedup, "HEAVY_PARTS", parts)
+    rng, rows = random.Random(11), []
+
+    def fresh(n):
+        return [f"f{rng.getrandbits(40)}" for _ in range(n)]
+
+    while len(rows) < 16 * 42:
+        passage = fresh(120)
+        grams = passages.sequence_hashes(passages.word_hashes([" ".join(passage).encode()])[0], suffix_dedup.GRAM)
+        least = [k for k in range(22, 60) if grams[k] == grams[k - 22 : k + 23].min()]
+        for a in least[:1]:
+            for left, right in [(22, 60), (12, 38), *[(2, 45)] * 20, *[(16, 30)] * 20]:
+                rows.append((len(rows), " ".join(fresh(30) + passage[a - left : a + right] + fresh(60))))
+    got = by_id(suffix_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    for doc, places in brute.repeated_places(rows).items():
+        found = {k for s in got[doc].spans.split(",") if s for k in range(*map(int, s.split(":")))}
+        assert found == places, doc
+
+
 def test_quality_rules(spark, docs, corpus):
     figures = quality_rules.measured(docs, quality_rules.standard_rules())
     assert [f[0].name for f in figures] == [r.name for r in quality_rules.standard_rules()]

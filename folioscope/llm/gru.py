@@ -13,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 F32 = np.float32
+WEIGHTS = ("inputs", "hidden", "to_class", "class_bias", "to_word", "word_bias")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -53,6 +54,24 @@ class Gru:
             log_class.astype(F32), small(n_words, size), log_word.astype(F32), bounds,
         )
 
+    def flat(self) -> np.ndarray:
+        """All weights in a row."""
+        return np.concatenate([getattr(self, k).ravel() for k in WEIGHTS])
+
+    def copy(self, flat: np.ndarray | None = None) -> "Gru":
+        """A network of its own, of the same weights or of ``flat``."""
+        rest, parts = self.flat() if flat is None else flat, []
+        for k in WEIGHTS:
+            held = getattr(self, k)
+            parts.append(rest[: held.size].reshape(held.shape).astype(F32))
+            rest = rest[held.size :]
+        return Gru(*parts, self.bounds)
+
+    @staticmethod
+    def updates_for(n: int, rows: int = 64, steps: int = 32) -> int:
+        """Updates in which ``train`` reads each of ``n`` places."""
+        return max(1, -(-(-(-n // rows)) // steps))
+
     def run(self, tokens: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States after each of ``tokens`` (steps, rows), and the last; ``keep`` gets what the backward pass needs."""
         size = self.size
@@ -137,7 +156,7 @@ class Gru:
         place = (np.arange(rows) * (length / rows)).astype(np.int64)
         start = int(self.inputs.shape[0] - 1)
         h = np.zeros((rows, self.size), dtype=F32)
-        names = ["inputs", "hidden", "to_class", "class_bias", "to_word", "word_bias"]
+        names = WEIGHTS
         m = {k: np.zeros_like(getattr(self, k)) for k in names}
         v = {k: np.zeros_like(getattr(self, k)) for k in names}
         late: list[float] = []

@@ -4,9 +4,10 @@ Counts of all training tokens are a Spark aggregation, combined in each batch
 before the shuffle. Documents are dealt into blocks of about ``BLOCK_BYTES``;
 a block's distinct tokens are joined with the counts and brought back to the
 block, so no vocabulary is held whole anywhere. Class probabilities, tail distributions
-and the smoothed unigram score use those counts over all training documents;
-the recurrent weights are fitted to a sample of ``SAMPLE_DOCS`` whole training
-documents, a documented bound.
+and the smoothed unigram score use those counts over all training documents.
+The recurrent weights start from a fit to ``SAMPLE_DOCS`` training documents;
+from there each block trains its own copy on all words of all its training
+documents, once, and the copies are averaged by their words.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is
 taken as the empty string for the split; rows that repeat score alike; with no
@@ -38,6 +39,8 @@ ADD = 0.1
 HEAD_WORDS, HEAD_CLASSES, TAIL_CLASSES, HIDDEN = 1024, 24, 24, 16
 SAMPLE_DOCS, UPDATES = 1500, 500
 BLOCK_BYTES = 24_000_000
+#: Rows that a block's copy trains side by side.
+LANES = 256
 
 
 def tail_class(token: bytes) -> int:
@@ -130,16 +133,55 @@ def fitted(rows: DataFrame, counts: DataFrame, sample_docs: int, updates: int) -
     return model
 
 
+def refined(model: Model, dealt: DataFrame, blocks: int) -> Gru:
+    """The network trained on by every block on its own training documents, averaged by words.
+
+    Copies are summed in about the root of so many groups before the driver takes them.
+    """
+    held = dealt.sparkSession.sparkContext.broadcast(model)
+    groups = math.isqrt(blocks - 1) + 1
+    schema = "part int, block int, n long, weights binary"
+
+    def row(part: int, block: int, n: int, weights: np.ndarray) -> pa.Table:
+        return pa.table({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n": pa.array([n], pa.int64()), "weights": pa.array([weights.tobytes()], pa.binary())})
+
+    def train(table: pa.Table) -> pa.Table:
+        m = held.value
+        block = table.column("block")[0].as_py()
+        texts = []
+        body = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")]).column("text")
+        for cut in slabs(pc.binary_length(body).to_pylist(), 4 << 20):
+            place: dict[bytes, int] = {}
+            places = [np.array([place.setdefault(t, len(place)) for t in tokens_of(text.as_py())]) for text in body[cut]]
+            classes, words = m.numbered(list(place))
+            texts += [tuple(part.astype(np.int32) for part in m.sequence(at, classes, words)) for at in places]
+        n = sum(len(text[0]) for text in texts)
+        own = m.gru.copy()
+        own.train(texts, own.updates_for(n, LANES), rows=LANES)
+        return row(block % groups, block, n, own.flat().astype(np.float64) * n)
+
+    def add(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")  # sums depend on the order
+        total = sum(np.frombuffer(w.as_py()) for w in table.column("weights"))
+        return row(table.column("part")[0].as_py(), 0, pc.sum(table.column("n")).as_py(), total)
+
+    copies = dealt.where("NOT held_out").groupBy("block").applyInArrow(train, schema)
+    sums = sorted(copies.groupBy("part").applyInArrow(add, schema).collect(), key=lambda r: r["part"])
+    return model.gru.copy(sum(np.frombuffer(r["weights"]) for r in sums) / sum(r["n"] for r in sums))
+
+
 def scored(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, updates: int = UPDATES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Counts, smoothed unigram score and model score of every row."""
     spark = docs.sparkSession
     rows = split(docs)
     counts = written(counted(rows), "counts")
     model = fitted(rows, counts, sample_docs, updates)
-    held = spark.sparkContext.broadcast(model)  # head words and weights only: of fixed size
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    if model.gru:
+        model.gru = refined(model, dealt, blocks)
+    held = spark.sparkContext.broadcast(model)  # head words and weights only: of fixed size
 
     def distinct(table: pa.Table) -> pa.Table:
         seen: set[bytes] = set()

@@ -318,6 +318,41 @@ def test_lm_learns_order(spark):
     assert sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
 
 
+def test_lm_learns_from_documents_outside_the_sample(spark):
+    """One training document, not sampled, is turned round: the counts stay and the other scores change."""
+    import xxhash
+
+    rng = random.Random(8)
+    texts = {k: prose(rng, 60) for k in range(60)}
+    split = brute.unigram(list(texts.items()))
+
+    def order(k):
+        h = xxhash.xxh64_intdigest(k.to_bytes(8, "little"), 42)
+        return h - 2**64 if h >= 2**63 else h
+
+    last = max((k for k in texts if not split[k][0]), key=order)
+
+    def run():
+        df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+        return by_id(lm_scoring.scored(df, sample_docs=5, updates=5, block_bytes=8_000))
+
+    before, again = run(), run()
+    assert before == again
+    texts[last] = " ".join(reversed(texts[last].split()))
+    after = run()
+    for k in texts.keys() - {last}:
+        assert before[k].base_score == after[k].base_score and before[k].score != after[k].score
+
+
+def test_lm_update_count_reads_every_place():
+    from folioscope.llm.gru import Gru
+
+    for n in (1, 63, 64, 2048, 2049, 100_003):
+        place = [int(k * (n / 64)) for k in range(64)]
+        span = 32 * Gru.updates_for(n)
+        assert all(b - a <= span for a, b in zip(place, [*place[1:], n]))
+
+
 def test_exact_dedup(spark, docs, corpus):
     import re
 

@@ -13,6 +13,8 @@ from .graph import clusters
 LEAST_CHARS, LEAST_FUNCTION, MOST_UNPRINTABLE, SIMILAR = 200, 0.05, 0.01, 0.8
 #: Copies of one text are dealt over so many slots.
 SLOTS = 24
+#: Short quotes are looked up by so many characters at most.
+LETTERS = 16
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 PHONE = r"\+[0-9][0-9 ().-]{7,}[0-9]"
 ADDRESS = r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b"
@@ -113,17 +115,25 @@ def shingle_members(docs: DataFrame, size: int = 5, similar: float = SIMILAR) ->
 
 
 def quotes_found(quotes: DataFrame, texts: DataFrame, words: int = 8) -> DataFrame:
-    """Quotes (item_id, quote) that a text (doc_id, text) holds word for word after folding.
+    """Quotes (item_id, quote) that a text (doc_id, text) holds after folding; an empty quote is nowhere.
 
-    A text is looked up only by runs of ``words`` words that begin a quote, so
-    quotes and texts meet by an equi-join; the whole quote is then compared.
-    Shorter quotes are not looked up.
+    A quote may begin and end inside a word, so a text is looked up by the
+    quote's second word and those after it, at most ``words`` and without the
+    last; quotes of under four words by their first characters. Each is met by
+    runs of its own length (those that occur among the quotes), by an
+    equi-join; the whole quote is then compared.
     """
-    folded = quotes.select("item_id", quote_folded(F.col("quote")).alias("q"))
-    parts = folded.withColumn("w", F.split("q", " ")).where(F.size("w") >= words)
-    keyed = parts.select("item_id", "q", F.xxhash64(F.array_join(F.slice("w", 1, words), " ")).alias("k"))
-    body = texts.select("doc_id", quote_folded(F.col("text")).alias("t")).withColumn("w", F.split("t", " ")).where(F.size("w") >= words)
-    grams = run_hashes(F.col("w"), words)
+    folded = quotes.select("item_id", quote_folded(F.col("quote")).alias("q")).where("q <> ''")
+    parts = folded.select("item_id", "q", F.split("q", " ").alias("w"), F.split("q", "").alias("c"))
+    # the length of the run; below zero for characters
+    run = F.when(F.size("w") >= 4, F.least(F.size("w") - 2, F.lit(words))).otherwise(-F.least(F.size("c"), F.lit(LETTERS)))
+    sized = parts.withColumn("run", run)
+    cut = F.when(F.col("run") > 0, F.slice("w", F.lit(2), F.abs("run"))).otherwise(F.slice("c", F.lit(1), F.abs("run")))
+    keyed = sized.select("item_id", "q", F.xxhash64(F.array_join(cut, " ")).alias("k"))
+    runs = sorted(r["run"] for r in sized.select("run").distinct().collect()) or [words]
+    body = texts.select("doc_id", quote_folded(F.col("text")).alias("t"))
+    split = {True: F.split("t", " "), False: F.split("t", "")}
+    grams = F.flatten(F.array(*(run_hashes(split[n > 0], abs(n)) for n in runs)))
     # texts are joined again by id, so that no text is repeated for each of its runs
     met = body.select("doc_id", F.explode(F.array_distinct(grams)).alias("k")).join(keyed, "k").select("doc_id", "item_id", "q")
-    return met.join(body.select("doc_id", "t"), "doc_id").where(F.contains("t", "q")).select("item_id", "doc_id").distinct()
+    return met.join(body, "doc_id").where(F.contains("t", "q")).select("item_id", "doc_id").distinct()

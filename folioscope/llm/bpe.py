@@ -45,6 +45,8 @@ from .common import documents, slabs, text_or_empty
 VOCABULARY = "word_bpe_49k.json"
 #: Words and pre-tokens that a worker remembers, in each of two generations.
 KEPT_WORDS, KEPT_PIECES = 80_000, 80_000
+#: Ids that are decoded at once.
+STRETCH = 4096
 
 
 def byte_alphabet() -> list[str]:
@@ -214,23 +216,23 @@ class Tokenizer:
         for piece in self.piece.findall(plain.lower()):
             yield from self.pieces[piece]
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        """The ids as little-endian 32-bit numbers, surface; of a word between white space."""
+    def _word(self, word: str) -> bytes:
+        """The ids of a word between white space, as little-endian 32-bit numbers."""
         ids: list[int] = []
         if "<|" in word:
             for part in self.split_special.split(word):
                 ids.extend([self.special[part]] if part in self.special else self.word_ids(part))
         else:
             ids.extend(self.word_ids(word))
-        return array("I", ids).tobytes(), "".join([" " + self.surface[i] for i in ids])
+        return array("I", ids).tobytes()
 
-    def encode(self, text: str) -> list[tuple[bytes, str]]:
+    def encode(self, text: str) -> list[bytes]:
         """The text word by word, in order."""
         odd = self.separator.search(text)  # str.split() takes these for white space; the vocabulary does not
         return list(map(self.words.__getitem__, filter(None, self.blank.split(text)) if odd else text.split()))
 
     def ids(self, text: str) -> list[int]:
-        return memoryview(b"".join([w[0] for w in self.encode(text)])).cast("I").tolist()
+        return memoryview(b"".join(self.encode(text))).cast("I").tolist()
 
 
 class Decoder:
@@ -247,14 +249,16 @@ class Decoder:
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
+        tokens = map(self.tokenizer.surface.__getitem__, ids)
+        if self.surface:
+            held = list(tokens)
+            lead = "" if self.first or not held else " "
+            self.first = self.first and not held
+            return lead + " ".join(held)
         out = []
         suffix = self.tokenizer.merges.suffix
-        for i in ids:
-            token = self.tokenizer.surface[i]
-            if self.surface:
-                out.append(token if self.first else " " + token)
-                self.first = False
-            elif token in self.tokenizer.special:
+        for token in tokens:
+            if token in self.tokenizer.special:
                 out.append(self.state.decode(b"", True) + token)
                 self.state.reset()
             else:
@@ -273,6 +277,15 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
+def decoded_sha(tok: Tokenizer, raw: bytes) -> str:
+    """Digest of what ids (little-endian 32-bit numbers) decode to, fed a stretch at a time."""
+    decoder, sha, ids = Decoder(tok, surface=True), hashlib.sha256(), memoryview(raw).cast("I")
+    for low in range(0, len(ids), STRETCH):
+        sha.update(decoder.feed(ids[low : low + STRETCH]).encode("utf-8"))
+    sha.update(decoder.finish().encode("utf-8"))
+    return sha.hexdigest()
+
+
 def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked, the ids of every row."""
     path = path or default_path()
@@ -288,10 +301,9 @@ def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = True) ->
             for cut in slabs(pc.binary_length(texts).to_pylist()):
                 raws, ids_sha, text_sha = [], [], []
                 for text in texts[cut].to_pylist():
-                    words = tok.encode(text)
-                    raws.append(b"".join([w[0] for w in words]))
+                    raws.append(b"".join(tok.encode(text)))
                     ids_sha.append(sha(raws[-1]).hexdigest())
-                    text_sha.append(sha("".join([w[1] for w in words])[1:].encode("utf-8")).hexdigest())
+                    text_sha.append(decoded_sha(tok, raws[-1]))
                 counts = np.array([len(r) // 4 for r in raws], dtype=np.int64)
                 columns = [doc[cut], pa.array(counts), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if with_ids:

@@ -269,10 +269,13 @@ def deduplicated(
 
     Returns doc_id, n_words, n_removed, kept_sha256 and, if asked, kept_text of every row.
     ``history`` has the documents of the older runs (doc_id, text), read only
-    where an anchor of theirs is met again in other words.
+    where an anchor of theirs is met again in other words; an index that has
+    runs needs it.
     """
     spark = docs.sparkSession
     index = index or FingerprintIndex(spark)
+    if index.runs and history is None:
+        raise ValueError("the index has runs: their documents are needed as history")
     run = index.append(written(anchors(plain(docs)), "anchors"))
     marks = _marks(run, index.older(), index.heavy)
     new = packed(docs)

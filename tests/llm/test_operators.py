@@ -138,6 +138,25 @@ def test_bpe_decoder_takes_ids_one_by_one():
     assert out.split() == text.split()
 
 
+def test_bpe_digest_is_of_decoded_ids(monkeypatch):
+    """Whole stretches and a rest; and with another surface for an id, its digest changes though the words are remembered."""
+    made = bpe.Tokenizer(bpe.default_path())
+    monkeypatch.setattr(bpe, "STRETCH", 3)
+    ids = made.ids("old stones by the old river")
+    raw = b"".join(made.encode("old stones by the old river"))
+    assert bpe.decoded_sha(made, raw) == brute.sha(" ".join(made.surface[i] for i in ids))
+    made.surface[ids[-1]] = "changed"
+    assert bpe.decoded_sha(made, raw) == brute.sha(" ".join(made.surface[i] for i in ids))
+    assert bpe.decoded_sha(made, b"") == brute.sha("")
+
+
+def test_substring_dedup_asks_for_history(spark, docs):
+    index = substring_dedup.FingerprintIndex(spark)
+    substring_dedup.deduplicated(docs.where("doc_id < 5"), index)
+    with pytest.raises(ValueError, match="history"):
+        substring_dedup.deduplicated(docs.where("doc_id >= 5"), index)
+
+
 def test_mixing(spark, docs, corpus):
     rows = mixing.plan(docs).collect()
     assert len(rows) == len(corpus)

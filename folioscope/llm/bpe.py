@@ -11,7 +11,8 @@ further back than the lookahead is final and is emitted, so memory does not
 grow with the text.
 
 Words between white space do not affect each other, so a worker keeps a bounded
-table of words it has transduced.
+table of words it has transduced, and takes new ones in sorted order, each going
+on from the state it shares with the one before. Long texts go through in stretches.
 
 Decoding is a state machine over bytes: it turns ids into bytes and bytes into
 text as soon as a character is whole.
@@ -44,9 +45,9 @@ from .common import documents, slabs, text_or_empty
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words and pre-tokens that a worker remembers, in each of two generations.
-KEPT_WORDS, KEPT_PIECES = 80_000, 80_000
-#: Ids that are decoded at once.
-STRETCH = 4096
+KEPT_WORDS, KEPT_PIECES = 250_000, 250_000
+#: Characters of a long text that are transduced at once.
+STRETCH = 1 << 20
 
 
 def byte_alphabet() -> list[str]:
@@ -76,6 +77,8 @@ class Merges:
         self.parts = {vocab[a + b] if not suffix else vocab[a.removesuffix(suffix) + b]: (vocab[a], vocab[b]) for a, b in merges}
         self.length = {i: len(t.removesuffix(suffix)) if suffix else len(t) for t, i in vocab.items()}
         self.longest = max(self.length.values())
+        #: What may stand last: tokens with the mark, by their symbols.
+        self.at_end = {t.removesuffix(suffix): i for t, i in vocab.items() if t.endswith(suffix)} if suffix else vocab
         # one size alone can fit, so the order is for speed: the commonest first
         self.sizes = [3, 2, 4, 1, *range(5, self.longest + 1)]
         self._fits: dict[tuple[int, int], bool] = {}
@@ -167,24 +170,52 @@ class Merges:
                 cut = max(base, min(done, i - longest))
                 last, base = last[cut - base :], cut
 
+    def transduced(self, pieces: list[str]) -> Iterator[bytes]:
+        """The tokens of each of ``pieces`` (sorted, of the byte alphabet) as little-endian 32-bit numbers.
 
-class Remembered(dict):
-    """A table of bounded size: what is asked for again outlives what is not."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.old = make, most, {}
-
-    def __missing__(self, key: str):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) < 60:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
-        return value
+        What the transducer holds after a prefix depends on the prefix alone, so
+        a piece goes on from where it parts with the one before. Pieces within the
+        lookahead are emitted at their end; longer ones are streamed.
+        """
+        vocab, at_end, fits, fit, length, sizes = self.vocab, self.at_end, self._fits, self.fit, self.length, self.sizes
+        most = self.lookahead + self.longest
+        before, last = "", [-1]
+        for symbols in pieces:
+            end = len(symbols)
+            if end > most:
+                yield array("I", self.stream(symbols)).tobytes()
+                continue
+            shared, limit = 0, min(len(before), end, len(last)) - 1
+            while shared < limit and before[shared] == symbols[shared]:
+                shared += 1
+            before = symbols
+            del last[shared + 1 :]
+            for i in range(shared + 1, end + 1):
+                known = at_end if i == end else vocab
+                for size in sizes:
+                    start = i - size
+                    if start < 0:
+                        continue
+                    token = known.get(symbols[start:i])
+                    if token is not None:
+                        held = last[start]
+                        if start == 0:
+                            break
+                        if held >= 0:
+                            fitting = fits.get((held, token))
+                            if fit(held, token) if fitting is None else fitting:
+                                break
+                else:
+                    raise ValueError("the vocabulary lacks a symbol")
+                last.append(token)
+            path, at = [], end
+            while at > 0:
+                token = last[at]
+                path.append(token)
+                at -= length[token]
+            path.reverse()
+            del last[end:]  # with the end-of-word mark, so no prefix of another piece
+            yield array("I", path).tobytes()
 
 
 class Tokenizer:
@@ -197,51 +228,93 @@ class Tokenizer:
         self.surface = {i: t for t, i in model["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in held["added_tokens"]}
         self.surface |= {i: t for t, i in self.special.items()}
+        self.bytes_of = [self.surface.get(i, "").encode("utf-8") for i in range(max(self.surface) + 1)]
+        self.table = pa.array(self.bytes_of, pa.binary())
         steps = held["pre_tokenizer"]["pretokenizers"]
         self.piece = regex.compile(steps[0]["pattern"]["Regex"])
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.separator = re.compile("[\x1c-\x1f]")
         self.blank = regex.compile(r"\p{White_Space}+")
-        self.pieces = Remembered(self._piece, KEPT_PIECES)
-        self.words = Remembered(self._word, KEPT_WORDS)
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        if not (piece.isascii() and piece.isprintable()):
-            piece = "".join(map(ALPHABET.__getitem__, piece.encode()))
-        return tuple(self.merges.stream(piece))
+    def symbols(self, piece: str) -> str:
+        return piece if piece.isascii() and piece.isprintable() else "".join(map(ALPHABET.__getitem__, piece.encode()))
 
-    def word_ids(self, word: str) -> Iterator[int]:
-        """Ids of text without white space and special tokens."""
+    def word_pieces(self, word: str) -> list[str]:
+        """Pre-tokens of text without white space and special tokens."""
         plain = word if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ")
-        for piece in self.piece.findall(plain.lower()):
-            yield from self.pieces[piece]
-
-    def _word(self, word: str) -> bytes:
-        """The ids of a word between white space, as little-endian 32-bit numbers."""
-        ids: list[int] = []
-        if "<|" in word:
-            for part in self.split_special.split(word):
-                ids.extend([self.special[part]] if part in self.special else self.word_ids(part))
-        else:
-            ids.extend(self.word_ids(word))
-        return array("I", ids).tobytes()
+        return self.piece.findall(plain.lower())
+
+    def parts(self, word: str) -> list[str | int]:
+        """A word between white space as pre-tokens and ids of special tokens."""
+        if "<|" not in word:
+            return self.word_pieces(word)
+        out: list[str | int] = []
+        for part in self.split_special.split(word):
+            if part in self.special:
+                out.append(self.special[part])
+            else:
+                out.extend(self.word_pieces(part))
+        return out
 
-    def encode(self, text: str) -> list[bytes]:
-        """The text word by word, in order."""
+    def learn(self, words: set[str]) -> None:
+        """Transduce what is not remembered; afterwards ``self.words`` has the ids of all of ``words``.
+
+        What is asked for again outlives what is not: a full table becomes the older one.
+        """
+        if len(self.words) > KEPT_WORDS or len(self.pieces) > KEPT_PIECES:
+            self.older, self.words, self.pieces = (self.words, self.pieces), {}, {}
+        known, (old_words, old_pieces) = self.words, self.older
+        wanted = words - known.keys()
+        again = wanted & old_words.keys()
+        for word in again:
+            known[word] = old_words[word]
+        cut = {word: self.parts(word) for word in wanted - again}
+        asked = {p for parts in cut.values() for p in parts if type(p) is str} - self.pieces.keys()
+        for piece in asked & old_pieces.keys():
+            self.pieces[piece] = old_pieces[piece]
+        fresh = sorted((self.symbols(p), p) for p in asked - old_pieces.keys())
+        for (_, piece), ids in zip(fresh, self.merges.transduced([s for s, _ in fresh])):
+            self.pieces[piece] = ids
+        pieces = self.pieces
+        for word, parts in cut.items():
+            known[word] = b"".join([pieces[p] if type(p) is str else p.to_bytes(4, "little") for p in parts])
+
+    def split(self, text: str) -> list[str]:
         odd = self.separator.search(text)  # str.split() takes these for white space; the vocabulary does not
-        return list(map(self.words.__getitem__, filter(None, self.blank.split(text)) if odd else text.split()))
+        return list(filter(None, self.blank.split(text))) if odd else text.split()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit numbers. Words do not affect each other, so each is transduced once."""
+        held = [self.split(text) for text in texts]
+        self.learn(set().union(*held))
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) for words in held]
 
     def ids(self, text: str) -> list[int]:
-        return memoryview(b"".join(self.encode(text))).cast("I").tolist()
+        return memoryview(self.encode([text])[0]).cast("I").tolist()
+
+    def stretches(self, text: str) -> Iterator[str]:
+        """A text in stretches of about ``STRETCH`` characters, cut at white space."""
+        low = 0
+        while len(text) - low > 2 * STRETCH:
+            found = self.blank.search(text, low + STRETCH)
+            if not found:
+                break
+            yield text[low : found.end()]
+            low = found.end()
+        yield text[low:]
 
 
 class Decoder:
-    """Ids to text, incrementally.
+    """Ids to text, incrementally: a state machine that turns ids into bytes and bytes into text.
 
-    The state is the bytes of a character not yet whole. The end-of-word mark
-    ends a word with a space; with ``surface``, tokens are written as the
-    vocabulary has them, one space between, as the tokenizers library does for
-    a file that names no decoder.
+    The state is the bytes of a character not yet whole, and whether a token
+    came before. The end-of-word mark ends a word with a space; with
+    ``surface``, tokens are written as the vocabulary has them, one space
+    between, as the tokenizers library does for a file that names no decoder.
     """
 
     def __init__(self, tokenizer: Tokenizer, surface: bool = False):
@@ -249,12 +322,10 @@ class Decoder:
         self.state = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
-        tokens = map(self.tokenizer.surface.__getitem__, ids)
         if self.surface:
-            held = list(tokens)
-            lead = "" if self.first or not held else " "
-            self.first = self.first and not held
-            return lead + " ".join(held)
+            held = b" ".join(map(self.tokenizer.bytes_of.__getitem__, ids))
+            return self.step(held, bool(len(held)))
+        tokens = map(self.tokenizer.surface.__getitem__, ids)
         out = []
         suffix = self.tokenizer.merges.suffix
         for token in tokens:
@@ -267,6 +338,12 @@ class Decoder:
                 out.append(self.state.decode(raw) + " " * ends)
         return "".join(out)
 
+    def step(self, held: bytes, any_token: bool) -> str:
+        """The text of the bytes of the next tokens, joined by spaces."""
+        lead = b"" if self.first or not any_token else b" "
+        self.first = self.first and not any_token
+        return self.state.decode(lead + held)
+
     def finish(self) -> str:
         return self.state.decode(b"", True)
 
@@ -277,13 +354,48 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer(path)
 
 
-def decoded_sha(tok: Tokenizer, raw: bytes) -> str:
-    """Digest of what ids (little-endian 32-bit numbers) decode to, fed a stretch at a time."""
-    decoder, sha, ids = Decoder(tok, surface=True), hashlib.sha256(), memoryview(raw).cast("I")
-    for low in range(0, len(ids), STRETCH):
-        sha.update(decoder.feed(ids[low : low + STRETCH]).encode("utf-8"))
-    sha.update(decoder.finish().encode("utf-8"))
-    return sha.hexdigest()
+def joined_bytes(tok: Tokenizer, raws: list[bytes]) -> list[bytes]:
+    """For each row of ids, the bytes of its tokens with spaces between: looked up and joined for all rows at once."""
+    counts = np.array([len(r) // 4 for r in raws], dtype=np.int64)
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    tokens = tok.table.take(pa.array(np.frombuffer(b"".join(raws), dtype="<u4")))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), tokens), b" ").to_pylist()
+
+
+class Digests:
+    """Of one text, fed stretch by stretch: its ids and what they decode to."""
+
+    def __init__(self, tok: Tokenizer):
+        self.decoder, self.n = Decoder(tok, surface=True), 0
+        self.of_ids, self.of_text = hashlib.sha256(), hashlib.sha256()
+
+    def feed(self, raw: bytes, shown: bytes) -> None:
+        self.n += len(raw) // 4
+        self.of_ids.update(raw)
+        self.of_text.update(self.decoder.step(shown, bool(raw)).encode("utf-8"))
+
+    def done(self) -> tuple[int, str, str]:
+        self.of_text.update(self.decoder.finish().encode("utf-8"))
+        return self.n, self.of_ids.hexdigest(), self.of_text.hexdigest()
+
+
+def encoded_rows(tok: Tokenizer, texts: list[str]) -> Iterator[tuple[list[bytes], tuple[int, str, str]]]:
+    """For each text the ids of its stretches, and count and digests. Long texts take turns of a stretch."""
+    short = [k for k, text in enumerate(texts) if len(text) <= 2 * STRETCH]
+    raws = tok.encode([texts[k] for k in short])
+    ready = dict(zip(short, zip(raws, joined_bytes(tok, raws))))
+    for k, text in enumerate(texts):
+        digests, kept = Digests(tok), []
+        if k in ready:
+            raw, shown = ready.pop(k)
+            digests.feed(raw, shown)
+            kept.append(raw)
+        else:
+            for stretch in tok.stretches(text):
+                held = tok.encode([stretch])
+                digests.feed(held[0], joined_bytes(tok, held)[0])
+                kept += held
+        yield kept, digests.done()
 
 
 def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = True) -> DataFrame:
@@ -295,20 +407,15 @@ def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = True) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
-        sha = hashlib.sha256
         for batch in batches:
             doc, texts = batch.column(0), batch.column(1)
-            for cut in slabs(pc.binary_length(texts).to_pylist()):
-                raws, ids_sha, text_sha = [], [], []
-                for text in texts[cut].to_pylist():
-                    raws.append(b"".join(tok.encode(text)))
-                    ids_sha.append(sha(raws[-1]).hexdigest())
-                    text_sha.append(decoded_sha(tok, raws[-1]))
-                counts = np.array([len(r) // 4 for r in raws], dtype=np.int64)
-                columns = [doc[cut], pa.array(counts), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            for cut in slabs(pc.binary_length(texts).to_pylist(), 4 << 20):
+                rows = [(b"".join(raw) if with_ids else b"", told) for raw, told in encoded_rows(tok, texts[cut].to_pylist())]
+                counts, ids_sha, text_sha = zip(*(told for _, told in rows))
+                columns = [doc[cut], pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 if with_ids:
                     ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raws), dtype="<i4"))))
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw for raw, _ in rows), dtype="<i4"))))
                 yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, T.StructType(fields))

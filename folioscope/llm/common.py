@@ -1,8 +1,8 @@
 """Helpers that the training-data operators share.
 
-Nothing here touches a driver-local file: intermediate tables go to the folder
-named by ``spark.checkpoint.dir``, which every executor can read, so a lost
-executor costs a re-read and never the job.
+Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which
+every executor can read, so a lost executor costs a re-read and never the job.
+Where none is named, ``shared_dir`` raises on a cluster.
 """
 
 from __future__ import annotations
@@ -20,15 +20,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder. Local mode, which has one machine, may do without a name."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held:
-        return held.rstrip("/")
-    made = tempfile.mkdtemp(prefix="folioscope-")
-    spark.sparkContext.setCheckpointDir(f"file://{made}")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioscope-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
@@ -40,6 +38,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str):
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held.getFileSystem(spark._jsc.hadoopConfiguration()), held
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, held = _folder(spark, path)
+    return files.exists(held)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    files, held = _folder(spark, path)
+    files.delete(held, True)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -71,12 +85,39 @@ def slabs(sizes: list[int], most: int = 1 << 20) -> Iterator[slice]:
         yield slice(low, len(sizes))
 
 
+#: Parts of all rows that the sketch of ``heavy`` tells apart at most, so that it stays of fixed size.
+MOST_PARTS = 2000
+
+
+def cut_by_id(rows: DataFrame, batches: int, id_column: str = "doc_id") -> list[DataFrame]:
+    """``rows`` in so many parts of ascending ids; null ids last.
+
+    The cuts are quantiles of about 1000 ids of least hash, of any ordered type.
+    Where they fall changes the parts' sizes alone.
+    """
+    if batches < 2:
+        return [rows]
+    ids = rows.select(F.col(id_column).alias("i")).where("i IS NOT NULL")
+    total = ids.count()
+    limit = -(2**63) + 2**64 * 1000 // max(total, 1000)
+    sample = ids if total <= 2000 else ids.where(F.xxhash64("i") < F.lit(limit))
+    held = [r["i"] for r in sample.distinct().orderBy(F.xxhash64("i")).limit(2000).collect()]
+    held.sort()
+    cuts = sorted({held[len(held) * k // batches] for k in range(1, batches)}) if held else []
+    if not cuts:
+        return [rows]
+    at = F.col(id_column)
+    inner = [rows.where((at >= F.lit(a)) & (at < F.lit(b))) for a, b in zip(cuts, cuts[1:])]
+    return [rows.where(at < F.lit(cuts[0])), *inner, rows.where((at >= F.lit(cuts[-1])) | at.isNull())]
+
+
 def heavy(rows: DataFrame, key: str, parts: int) -> list:
     """Values of ``key`` that may hold over 1/``parts`` of the rows, at most 2 * ``parts`` of them.
 
     A frequent-items sketch over all rows: each task sends one sketch of fixed
     size. It errs by far less than a share, so no heavy value is missed.
     """
+    parts = min(parts, MOST_PARTS)
     found = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({key}, {2 * parts}, {100 * parts})").alias("top")).first()
     return sorted(r["item"] for r in found["top"] or [] if r["item"] is not None and r["count"] * parts > found["n"])
 

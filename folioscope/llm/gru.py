@@ -72,12 +72,17 @@ class Gru:
         """Updates in which ``train`` reads each of ``n`` places."""
         return max(1, -(-(-(-n // rows)) // steps))
 
-    def run(self, tokens: np.ndarray, h: np.ndarray, keep: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each of ``tokens`` (steps, rows), and the last; ``keep`` gets what the backward pass needs."""
+    def run(self, tokens: np.ndarray, h: np.ndarray, keep: list | None = None, goes_on: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """States after each of ``tokens`` (steps, rows), and the last; ``keep`` gets what the backward pass needs.
+
+        ``goes_on`` (steps, rows, 1) is 0 where a text begins, which clears the state.
+        """
         size = self.size
         out = np.empty((*tokens.shape, size), dtype=F32)
         for t in range(len(tokens)):
             x = self.inputs[tokens[t]]
+            if goes_on is not None:
+                h = h * goes_on[t]
             u = h @ self.hidden
             gates = sigmoid(x[:, : 2 * size] + u[:, : 2 * size])
             z, r = gates[:, :size], gates[:, size:]
@@ -88,21 +93,33 @@ class Gru:
             out[t] = h = new
         return out, h
 
-    def back(self, tokens: np.ndarray, kept: list, d_out: np.ndarray) -> dict[str, np.ndarray]:
+    def back(self, tokens: np.ndarray, kept: list, d_out: np.ndarray, goes_on: np.ndarray) -> dict[str, np.ndarray]:
         size = self.size
         d_in, d_hidden = np.zeros_like(self.inputs), np.zeros_like(self.hidden)
-        dh = np.zeros_like(d_out[0])
+        dh, across = np.zeros_like(d_out[0]), self.hidden.T.copy()
+        d_x = np.empty((*tokens.shape, 3 * size), dtype=F32)
+        du = np.empty((tokens.shape[1], 3 * size), dtype=F32)
         for t in range(len(tokens) - 1, -1, -1):
             h, z, r, n, un = kept[t]
-            dh = dh + d_out[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            dx = np.concatenate([dz, dr, dn], axis=1)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(d_in, tokens[t], dx)
+            dh += d_out[t]
+            dx = d_x[t]
+            dn = dh * (1 - z)
+            dn *= 1 - n * n
+            np.multiply(dh * (h - n), z * (1 - z), out=dx[:, :size])
+            np.multiply(dn * un, r * (1 - r), out=dx[:, size : 2 * size])
+            dx[:, 2 * size :] = dn
+            du[:] = dx
+            du[:, 2 * size :] *= r
             d_hidden += h.T @ du
-            dh = dh * z + du @ self.hidden.T
+            dh = dh * z
+            dh += du @ across
+            dh *= goes_on[t]
+        # sums by token: sorted, then one sum for each stretch of equal tokens
+        flat = tokens.ravel()
+        order = np.argsort(flat, kind="stable")
+        of = flat[order]
+        first = np.concatenate([[0], np.nonzero(of[1:] != of[:-1])[0] + 1])
+        d_in[of[first]] = np.add.reduceat(d_x.reshape(-1, 3 * size)[order], first, axis=0)
         return {"inputs": d_in, "hidden": d_hidden}
 
     def log_probs(self, states: np.ndarray, classes: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -129,8 +146,10 @@ class Gru:
         d /= n
         grads = {"to_class": states.T @ d, "class_bias": d.sum(axis=0), "to_word": np.zeros_like(self.to_word), "word_bias": np.zeros_like(self.word_bias)}
         d_states = d @ self.to_class.T
+        order = np.argsort(classes, kind="stable")
+        cuts = np.searchsorted(classes[order], np.arange(len(self.bounds)))
         for c in range(len(self.bounds) - 1):
-            rows = np.nonzero(classes == c)[0]
+            rows = order[cuts[c] : cuts[c + 1]]
             low, high = self.bounds[c], self.bounds[c + 1]
             if len(rows) and high - low > 1:
                 lp = log_softmax(states[rows] @ self.to_word[low:high].T + self.word_bias[low:high])
@@ -163,12 +182,11 @@ class Gru:
         for update in range(1, updates + 1):
             at = (place[None, :] + np.arange(steps)[:, None]) % length
             tokens, classes, words = (lane[at] for lane in lanes)
-            # a start resets the state: rows are cut where a text begins only at window ends
-            h[tokens[0] == start] = 0
+            goes_on = (tokens != start).astype(F32)[:, :, None]
             kept: list = []
-            states, last = self.run(tokens, h, kept)
+            states, last = self.run(tokens, h, kept, goes_on)
             loss, d_states, grads = self.loss_back(states.reshape(-1, self.size), classes.ravel(), words.ravel())
-            grads |= self.back(tokens, kept, d_states.reshape(states.shape).astype(F32))
+            grads |= self.back(tokens, kept, d_states.reshape(states.shape).astype(F32), goes_on)
             step_rate = rate * min(1.0, 2.0 * (1 - (update - 1) / updates))
             for k in names:
                 g = np.clip(grads[k], -1, 1)

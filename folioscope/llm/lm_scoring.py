@@ -5,9 +5,11 @@ before the shuffle. Documents are dealt into blocks of about ``BLOCK_BYTES``;
 a block's distinct tokens are joined with the counts and brought back to the
 block, so no vocabulary is held whole anywhere. Class probabilities, tail distributions
 and the smoothed unigram score use those counts over all training documents.
-The recurrent weights start from a fit to ``SAMPLE_DOCS`` training documents;
-from there each block trains its own copy on all words of all its training
-documents, once, and the copies are averaged by their words.
+
+The recurrent weights start from one block's training documents, in a task.
+From there every partition of the input trains its own copy on all words of all
+its training documents, a block at a time, and the copies are averaged by their
+words. A state begins anew with each document, in training as in scoring.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is
 taken as the empty string for the split; rows that repeat score alike; with no
@@ -19,7 +21,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,17 +31,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, first_by_hash, slabs, text_or_empty, written
+from .common import documents, slabs, text_or_empty, written
 from .gru import Gru
 
 #: No word has white space, so this is none.
 END = b"\n"
 ADD = 0.1
 HEAD_WORDS, HEAD_CLASSES, TAIL_CLASSES, HIDDEN = 1024, 24, 24, 16
-SAMPLE_DOCS, UPDATES = 1500, 500
 BLOCK_BYTES = 24_000_000
-#: Rows that a block's copy trains side by side.
-LANES = 256
+#: Words over which errors are carried back.
+STEPS = 32
+#: Rows that a copy trains side by side: fewer where few words would make too few updates.
+LANES, LEAST_LANES, LEAST_UPDATES = 256, 8, 64
 
 
 def tail_class(token: bytes) -> int:
@@ -54,6 +56,17 @@ def tokens_of(text: bytes) -> list[bytes]:
     return out
 
 
+def numbers_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct tokens of the texts, the number of each token in order, and where each text starts (one more than texts)."""
+    tokens: list[bytes] = []
+    starts = [0]
+    for text in texts:
+        tokens += tokens_of(text)
+        starts.append(len(tokens))
+    held = pa.array(tokens, pa.large_binary()).dictionary_encode()
+    return held.dictionary.cast(pa.binary()), held.indices.to_numpy(), np.array(starts)
+
+
 @dataclass
 class Model:
     gru: Gru | None
@@ -90,16 +103,16 @@ def counted(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                seen.update(tokens_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["token", "c"])
+            for cut in slabs(pc.binary_length(batch.column(0)).to_pylist(), 8 << 20):
+                tokens, numbers, _ = numbers_of(batch.column(0)[cut].to_pylist())
+                yield pa.RecordBatch.from_arrays([tokens, pa.array(np.bincount(numbers, minlength=len(tokens)))], names=["token", "c"])
 
     parts = rows.where("NOT held_out").select("text").mapInArrow(run, "token binary, c long")
     return parts.groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def fitted(rows: DataFrame, counts: DataFrame, sample_docs: int, updates: int) -> Model:
+def fresh(counts: DataFrame) -> Model:
+    """The model of the counts, with a network that has learnt nothing yet."""
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.orderBy(F.desc("c"), "token").limit(HEAD_WORDS).collect()
     freq = np.array([r.c for r in top], dtype=np.float64)
@@ -120,78 +133,89 @@ def fitted(rows: DataFrame, counts: DataFrame, sample_docs: int, updates: int) -
         return model
     by_class = np.concatenate([np.bincount(class_of, weights=freq, minlength=HEAD_CLASSES), tail_n + ADD * (tail_v + 1)])
     inside = np.bincount(class_of, weights=freq, minlength=HEAD_CLASSES)[class_of]
-    gru = Gru.fresh(bounds, TAIL_CLASSES, np.log(by_class + ADD) - math.log(by_class.sum()), np.log(freq / inside), HIDDEN, seed=7)
-    share = rows.where("NOT held_out")
-    sample = first_by_hash(share, sample_docs, share.count())
-    texts = []
-    for text in sample:
-        tokens = tokens_of(bytes(text))
-        classes, words = model.numbered(tokens)
-        texts.append(model.sequence(np.arange(len(tokens)), classes, words))
-    gru.train(texts, updates)
-    model.gru = gru
+    model.gru = Gru.fresh(bounds, TAIL_CLASSES, np.log(by_class + ADD) - math.log(by_class.sum()), np.log(freq / inside), HIDDEN, seed=7)
     return model
 
 
-def refined(model: Model, dealt: DataFrame, blocks: int) -> Gru:
-    """The network trained on by every block on its own training documents, averaged by words.
+def trained(model: Model, rows: DataFrame, block_bytes: int, groups: int) -> Gru | None:
+    """The network after each partition of ``rows`` (training documents) trained its copy on them, averaged by words; null where there are none.
 
-    Copies are summed in about the root of so many groups before the driver takes them.
+    Copies are summed in ``groups`` before the driver takes them.
     """
-    held = dealt.sparkSession.sparkContext.broadcast(model)
-    groups = math.isqrt(blocks - 1) + 1
-    schema = "part int, block int, n long, weights binary"
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    schema = "part int, n long, weights binary"
 
-    def row(part: int, block: int, n: int, weights: np.ndarray) -> pa.Table:
-        return pa.table({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n": pa.array([n], pa.int64()), "weights": pa.array([weights.tobytes()], pa.binary())})
+    def row(part: int, n: int, weights: np.ndarray) -> pa.Table:
+        return pa.table({"part": pa.array([part], pa.int32()), "n": pa.array([n], pa.int64()), "weights": pa.array([weights.tobytes()], pa.binary())})
 
-    def train(table: pa.Table) -> pa.Table:
-        m = held.value
-        block = table.column("block")[0].as_py()
-        texts = []
-        body = table.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")]).column("text")
-        for cut in slabs(pc.binary_length(body).to_pylist(), 4 << 20):
-            place: dict[bytes, int] = {}
-            places = [np.array([place.setdefault(t, len(place)) for t in tokens_of(text.as_py())]) for text in body[cut]]
-            classes, words = m.numbered(list(place))
-            texts += [tuple(part.astype(np.int32) for part in m.sequence(at, classes, words)) for at in places]
-        n = sum(len(text[0]) for text in texts)
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, part, n, texts, size = held.value, 0, 0, [], 0
         own = m.gru.copy()
-        own.train(texts, own.updates_for(n, LANES), rows=LANES)
-        return row(block % groups, block, n, own.flat().astype(np.float64) * n)
+
+        def learn() -> int:
+            words = sum(len(text[0]) for text in texts)
+            lanes = min(LANES, max(LEAST_LANES, words // (LEAST_UPDATES * STEPS)))
+            own.train(texts, own.updates_for(words, lanes, STEPS), rows=lanes, steps=STEPS)
+            texts.clear()
+            return words
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, lengths = batch.column(1)[0].as_py(), pc.binary_length(batch.column(0)).to_pylist()
+            for cut in slabs(lengths, 4 << 20):
+                distinct, numbers, starts = numbers_of(batch.column(0)[cut].to_pylist())
+                classes, words = m.numbered(distinct.to_pylist())
+                for a, b in zip(starts, starts[1:]):
+                    texts.append(tuple(x.astype(np.int32) for x in m.sequence(numbers[a:b], classes, words)))
+                size += sum(lengths[cut])
+                if size >= block_bytes:
+                    n, size = n + learn(), 0
+        if texts:
+            n += learn()
+        if n:
+            yield from row(part, n, own.flat().astype(np.float64) * n).to_batches()
 
     def add(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")  # sums depend on the order
+        table = table.sort_by([("n", "ascending"), ("weights", "ascending")])  # sums depend on the order
         total = sum(np.frombuffer(w.as_py()) for w in table.column("weights"))
-        return row(table.column("part")[0].as_py(), 0, pc.sum(table.column("n")).as_py(), total)
+        return row(table.column("part")[0].as_py(), pc.sum(table.column("n")).as_py(), total)
 
-    copies = dealt.where("NOT held_out").groupBy("block").applyInArrow(train, schema)
-    sums = sorted(copies.groupBy("part").applyInArrow(add, schema).collect(), key=lambda r: r["part"])
+    told = rows.select("text", F.pmod(F.spark_partition_id(), F.lit(groups)).alias("part"))
+    sums = told.mapInArrow(train, schema).groupBy("part").applyInArrow(add, schema).collect()
+    if not sums:
+        return None
+    sums = sorted(sums, key=lambda r: r["part"])
     return model.gru.copy(sum(np.frombuffer(r["weights"]) for r in sums) / sum(r["n"] for r in sums))
 
 
-def scored(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, updates: int = UPDATES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Counts, smoothed unigram score and model score of every row."""
     spark = docs.sparkSession
     rows = split(docs)
     counts = written(counted(rows), "counts")
-    model = fitted(rows, counts, sample_docs, updates)
+    model = fresh(counts)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    # by text too, so that rows of one id do not fill one block
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
     if model.gru:
-        model.gru = refined(model, dealt, blocks)
+        learners = dealt.where("NOT held_out")
+        # about one block, in one task: of fixed size
+        model.gru = trained(model, learners.where("block = 0").repartition(1), block_bytes, 1) or model.gru
+        model.gru = trained(model, learners, block_bytes, math.isqrt(blocks) + 1) or model.gru
     held = spark.sparkContext.broadcast(model)  # head words and weights only: of fixed size
+    dealt = dealt.repartition(blocks, "block")
 
     def distinct(table: pa.Table) -> pa.Table:
-        seen: set[bytes] = set()
-        for text in table.column("text"):
-            seen.update(tokens_of(text.as_py()))
-        tokens = pa.array(list(seen), pa.binary())
-        return pa.table({"block": pa.repeat(table.column("block")[0], len(tokens)), "token": tokens})
+        out = None
+        for cut in slabs(pc.binary_length(table.column("text")).to_pylist(), 8 << 20):
+            tokens, _, _ = numbers_of(table.column("text")[cut].to_pylist())
+            out = tokens if out is None else pc.unique(pa.concat_arrays([out, tokens]))
+        return pa.table({"block": pa.repeat(table.column("block")[0], len(out)), "token": out})
 
     # broadcasting is left to Spark's own check of sizes
-    known = dealt.groupBy("block").applyInArrow(distinct, "block int, token binary").join(counts, "token", "left")
+    known = dealt.groupBy("block").applyInArrow(distinct, "block int, token binary").join(counts, "token", "left").repartition(blocks, "block")
     fields = [docs.schema["doc_id"], T.StructField("held_out", T.BooleanType())]
     fields += [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")]
     fields += [T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]
@@ -199,7 +223,7 @@ def scored(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, updates: int = UPDAT
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         m = held.value
         tokens = right.column("token").to_pylist()
-        place = dict(zip(tokens, range(len(tokens))))
+        place = dict(zip(tokens, range(len(tokens)))).__getitem__
         c = np.nan_to_num(right.column("c").to_numpy().astype(np.float64))
         base = np.log10((c + ADD) / (m.n + ADD * (m.v + 1)))
         classes, words = m.numbered(tokens)
@@ -208,9 +232,10 @@ def scored(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, updates: int = UPDAT
         sums, model_sum = [], []
         for cut in slabs(pc.binary_length(left.column("text")).to_pylist(), 4 << 20):  # no block's sequences are held whole
             texts = []
-            for text in left.column("text")[cut]:
-                words_in = tokens_of(text.as_py())
-                at = np.fromiter(map(place.__getitem__, words_in), dtype=np.int64, count=len(words_in))
+            shown, numbers, starts = numbers_of(left.column("text")[cut].to_pylist())
+            every = np.fromiter(map(place, shown.to_pylist()), dtype=np.int64, count=len(shown))[numbers]
+            for a, b in zip(starts, starts[1:]):
+                at = every[a:b]
                 sums.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(inside[at].sum())))
                 if m.gru:
                     texts.append(m.sequence(at, classes, words))

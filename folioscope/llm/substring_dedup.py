@@ -1,13 +1,15 @@
 """Removal of repeated 20-word windows with a log-structured fingerprint index.
 
 A batch of documents becomes a run: one row per anchor of its windows (see
-passages), with a fingerprint of the anchor's whole neighbourhood, written once
+passages), with a 96-bit fingerprint of the anchor's whole neighbourhood, written once
 as a table bucketed and sorted by anchor. A new run is merged with the older
-ones on the anchor. Where anchor and neighbourhood both occurred before, every
-window of the anchor did. Where only the anchor did, the windows themselves are
-hashed (96 bits) and compared. Older runs count as earlier; within a batch the smaller
+ones on the anchor; buckets meet without a shuffle. Candidates that share an
+anchor are then verified: where the fingerprint of the whole neighbourhood is one
+that occurred before, every window of the anchor did; where only the anchor did,
+the texts are read again and the windows themselves are hashed (96 bits) and
+compared. Older runs count as earlier; within a batch the smaller
 doc_id, then the earlier start. Runs are never changed; ``compact`` writes many
-as one.
+as one. An index can be opened again by its path.
 
 Anchors that hold over a quarter of a bucket's share (a sketch over all rows
 names them; there are at most eight times as many as buckets) are dealt by document as well, and their
@@ -15,13 +17,18 @@ first occurrences come from grouped minima, which are combined before the
 shuffle. So a passage in a third of all documents fills no single task.
 
 Defined results: a null or empty text has no words; texts under 20 words lose
-none; documents that share a doc_id are taken as one id, whose places are
-judged together; a null doc_id comes after all others; an empty table gives no rows.
+none; rows that share a doc_id are one document with several texts: each row is
+cut by its own words, a window is repeated where its words start earlier (at a
+smaller doc_id, or at a smaller word number of the same id), and so rows that
+repeat whole lose nothing to each other; a null doc_id comes after all others;
+ids may be of any ordered type; further columns are not looked at; very long
+texts are taken whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -29,32 +36,35 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, heavy, shared_dir, slabs, text_or_empty, written
+from .common import cut_by_id, documents, exists, heavy, removed, shared_dir, slabs, text_or_empty, written
 from .passages import in_one_text, mixed, sequence_hashes, stretch_hashes, window_anchors, word_hashes
 
 SPAN, GRAM = 20, 6
 COUNT = SPAN - GRAM + 1
-BUCKETS = 24
+#: Buckets of an index at least, bytes of text a bucket is made for, and Spark's own bound on buckets.
+LEAST_BUCKETS, BUCKET_BYTES, MOST_BUCKETS = 24, 128 << 20, 100_000
+#: Slots that a heavy anchor is dealt over, by document.
+SLOTS = 24
 #: A place packs the anchor's word number with how far its first and last window start before it.
 PLACE_BITS = 5
 
 
-def _anchor_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a batch: text number, anchor hash, neighbourhood hash and place of each anchor."""
+def _anchor_rows(texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of a batch: text number, anchor hash, neighbourhood hash, a second one, and place of each anchor."""
     words, starts = word_hashes(texts)
     none = np.zeros(0, dtype=np.int64)
     if len(words) < SPAN:
-        return none, none, none, none
+        return none, none, none, none.astype(np.int32), none
     grams = sequence_hashes(words, GRAM)
     at = window_anchors(grams, COUNT)
     ok = in_one_text(starts, SPAN, len(at))
     window, anchor = np.nonzero(ok)[0], at[ok]
     if not len(window):
-        return none, none, none, none
+        return none, none, none, none.astype(np.int32), none
     text = np.searchsorted(starts, window, side="right") - 1
     # windows of one anchor follow one another; a new text begins a new anchor
     fresh = np.ones(len(window), dtype=bool)
@@ -64,9 +74,11 @@ def _anchor_rows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     low, high, mid = window[first], window[last], anchor[first]
     # the words from the first window's start to the last window's end, and where the anchor lies in them
     width = high - low + SPAN
-    neighbourhood = mixed(stretch_hashes(words, low, width) + (width * 64 + (mid - low)).astype(np.uint64))
+    shape = (width * 64 + (mid - low)).astype(np.uint64)
+    neighbourhood = mixed(stretch_hashes(words, low, width) + shape)
+    second = mixed(stretch_hashes(mixed(words), low, width) + shape) >> np.uint64(32)
     place = ((mid - starts[text[first]]) << (2 * PLACE_BITS)) | ((mid - low) << PLACE_BITS) | (mid - high)
-    return text[first], grams[mid].view(np.int64), neighbourhood.view(np.int64), place
+    return text[first], grams[mid].view(np.int64), neighbourhood.view(np.int64), second.astype(np.uint32).view(np.int32), place
 
 
 def _windows_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,24 +89,29 @@ def _windows_of(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """anchor, around, doc_id, place of every anchor of ``docs`` (doc_id, text as binary)."""
-    schema = T.StructType([T.StructField("anchor", T.LongType()), T.StructField("around", T.LongType()), docs.schema["doc_id"], T.StructField("place", T.LongType())])
+    """anchor, around, check, key, doc_id, place of every anchor of ``docs`` (key, doc_id, text as binary)."""
+    long = T.LongType()
+    fields = [T.StructField("anchor", long), T.StructField("around", long), T.StructField("check", T.IntegerType())]
+    schema = T.StructType([*fields, T.StructField("key", long), docs.schema["doc_id"], T.StructField("place", long)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            keys, ids, texts = (batch.column(k) for k in range(3))
             for cut in slabs(pc.binary_length(texts).to_pylist()):
-                text, anchor, around, place = _anchor_rows(texts[cut].to_pylist())
+                text, anchor, around, check, place = _anchor_rows(texts[cut].to_pylist())
+                at = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(around), ids[cut].take(pa.array(text)), pa.array(place)],
-                    names=["anchor", "around", "doc_id", "place"],
+                    [pa.array(anchor), pa.array(around), pa.array(check), keys[cut].take(at), ids[cut].take(at), pa.array(place)],
+                    names=[f.name for f in schema.fields],
                 )
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("key", "doc_id", "text").mapInArrow(run, schema)
 
 
 def plain(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.encode(text_or_empty(), "UTF-8").alias("text"))
+    """key, doc_id, text: the key is of the row, not of the id alone."""
+    rows = docs.select("doc_id", F.encode(text_or_empty(), "UTF-8").alias("text"))
+    return rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -103,47 +120,83 @@ def packed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([squeeze(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "text"]
-            )
+            small = pa.array([squeeze(t) for t in batch.column(2).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), small], names=["key", "doc_id", "text"])
+
+    rows = plain(docs)
+    return rows.mapInArrow(run, rows.schema).repartition("key")
+
+
+def same_row(left: DataFrame, right: DataFrame) -> Column:
+    """Rows of ``right`` belong to a row where key and id agree."""
+    return (left["key"] == right["key"]) & left["doc_id"].eqNullSafe(right["doc_id"])
 
-    small = plain(docs)
-    return small.mapInArrow(run, small.schema).withColumn("key", F.xxhash64("doc_id")).repartition("key")
+
+def buckets_for(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // BUCKET_BYTES)))
 
 
 class FingerprintIndex:
     """Runs of anchors in the shared folder, oldest first.
 
-    ``slot`` is -1, or for a heavy anchor one of BUCKETS by document.
+    ``slot`` is -1, or for a heavy anchor one of SLOTS by document. The number of
+    buckets is fixed for all runs, so it is chosen for the documents expected. A
+    session that opens the index by its path finds the runs by the table that lists them.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = LEAST_BUCKETS):
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
-        self.runs: list[str] = []
-        self.heavy: list[int] = []
+        self.buckets, self.runs, self.heavy, self.id_type = buckets, [], [], "bigint"
+        if path and exists(spark, f"{path}/state"):
+            self._open()
+
+    def _open(self) -> None:
+        """The newest state that was written whole."""
+        newest = self.spark.read.parquet(f"{self.path}/state").orderBy(F.desc("version")).first()
+        held = json.loads(newest["state"])
+        self.buckets, self.runs, self.heavy, self.id_type = held["buckets"], held["runs"], held["heavy"], held["id_type"]
+        for name in self.runs:
+            self.spark.sql(
+                f"CREATE TABLE IF NOT EXISTS {name} (anchor BIGINT, around BIGINT, check INT, key BIGINT, doc_id {self.id_type}, place BIGINT, slot INT) USING parquet "
+                f"CLUSTERED BY (anchor, slot) SORTED BY (anchor, slot) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'"
+            )
+
+    def _save(self) -> None:
+        state = json.dumps({"buckets": self.buckets, "runs": self.runs, "heavy": self.heavy, "id_type": self.id_type})
+        version = 1
+        if exists(self.spark, f"{self.path}/state"):
+            version += self.spark.read.parquet(f"{self.path}/state").agg(F.max("version")).first()[0]
+        row = self.spark.range(1).select(F.lit(version).cast("long").alias("version"), F.lit(state).alias("state"))
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/state")
 
     def append(self, rows: DataFrame) -> DataFrame:
         """``rows`` is read twice: a written table, or cheap to compute."""
         name = f"run_{uuid.uuid4().hex}"
-        self.heavy = sorted({*self.heavy, *heavy(rows, "anchor", 4 * BUCKETS)})
-        slot = F.when(F.col("anchor").isin(self.heavy), F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))).otherwise(-1)
+        self.id_type = rows.schema["doc_id"].dataType.simpleString()
+        self.heavy = sorted({*self.heavy, *heavy(rows, "anchor", 4 * self.buckets)})
+        slot = F.when(F.col("anchor").isin(self.heavy), F.pmod(F.col("key"), F.lit(SLOTS))).otherwise(-1)
         (
             rows.withColumn("slot", slot.cast("int"))
-            .repartition(BUCKETS, "anchor", "slot")
+            .repartition(self.buckets, "anchor", "slot")
             .write.format("parquet")
             .option("path", f"{self.path}/{name}")
             .option("compression", "zstd")
-            .bucketBy(BUCKETS, "anchor", "slot")
+            .bucketBy(self.buckets, "anchor", "slot")
             .sortBy("anchor", "slot")
             .saveAsTable(name)
         )
         self.runs.append(name)
+        self._save()
         return self.spark.table(name)
 
     def older(self) -> DataFrame | None:
+        return self._union(self.runs[:-1])
+
+    def _union(self, names: list[str]) -> DataFrame | None:
         out = None
-        for name in self.runs[:-1]:
+        for name in names:
             run = self.spark.table(name)
             out = run if out is None else out.unionByName(run)
         return out
@@ -151,80 +204,87 @@ class FingerprintIndex:
     def compact(self) -> None:
         """Write all runs as one; the old ones stay until the new one is whole."""
         old = self.runs
-        rows = self.spark.table(old[0])
-        for name in old[1:]:
-            rows = rows.unionByName(self.spark.table(name))
+        if len(old) < 2:
+            return
+        rows = self._union(old)
         self.runs, self.heavy = [], []
         self.append(rows.drop("slot"))
         for name in old:
             self.spark.sql(f"DROP TABLE {name}")
+            removed(self.spark, f"{self.path}/{name}")
 
 
 def _marks(run: DataFrame, older: DataFrame | None, heavy_anchors: list[int]) -> DataFrame:
-    """doc_id, new, place, seen: anchors whose windows all occurred before (seen) or may have."""
+    """key, doc_id, new, place, seen: anchors whose windows all occurred before (seen) or may have.
+
+    An anchor occurred before where the first of its neighbourhood lies earlier;
+    rows that repeat lie at the same place, so neither comes before the other.
+    """
     rows = run.withColumn("new", F.lit(True))
     if older is not None:
         rows = rows.unionByName(older.withColumn("new", F.lit(False)))
-    order = [F.col("new"), F.col("doc_id").asc_nulls_last(), F.col("place")]
+    at = F.struct("new", F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")
     is_heavy = F.col("anchor").isin(heavy_anchors)
     by_anchor = Window.partitionBy("anchor", "slot")
-    sorted_by = by_anchor.orderBy("around", *order)
+    order = ["around", "check", "new", F.col("doc_id").asc_nulls_last(), "place"]
+    sorted_by = by_anchor.orderBy(*order)
+    alike = Window.partitionBy("anchor", "slot", "around", "check").orderBy("new", F.col("doc_id").asc_nulls_last(), "place")
+    shown = ["key", "doc_id", "new", "place", "seen"]
     stepped = (
         rows.where(~is_heavy)
         .withColumn("before", F.lag("around").over(sorted_by))
         .withColumn("after", F.lead("around").over(sorted_by))
         .where("before IS NOT NULL OR after IS NOT NULL")
-        .withColumn("seen", F.coalesce(F.col("before") == F.col("around"), F.lit(False)))
+        .withColumn("seen", at > F.first(at).over(alike))
     )
     kinds = F.sum((~F.col("seen")).cast("int")).over(by_anchor)
-    light = stepped.withColumn("kinds", kinds).where("seen OR kinds > 1").select("doc_id", "new", "place", "seen")
+    light = stepped.withColumn("kinds", kinds).where("seen OR kinds > 1").select(*shown)
     if not heavy_anchors:
         return light
-    at = F.struct("new", F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")
     crowd = rows.where(is_heavy)
     # a group of many rows is met by document as well, so its first occurrence goes to every slot
-    deal = F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS))
-    first = crowd.groupBy("anchor", "around").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BUCKETS - 1).cast("long")))).drop("n")
-    told = crowd.withColumn("deal", deal).join(first, ["anchor", "around", "deal"], "left")
-    return light.unionByName(told.select("doc_id", "new", "place", F.coalesce(at > F.col("first"), F.lit(False)).alias("seen")))
+    deal = F.pmod(F.col("key"), F.lit(SLOTS))
+    first = crowd.groupBy("anchor", "around", "check").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = first.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long")))).drop("n")
+    told = crowd.withColumn("deal", deal).join(first, ["anchor", "around", "check", "deal"], "left")
+    return light.unionByName(told.withColumn("seen", F.coalesce(at > F.col("first"), F.lit(False))).select(*shown))
 
 
 def _window_rows(texts: DataFrame) -> DataFrame:
-    """high, low, doc_id, start of the windows of the places that may have occurred before."""
-    schema = T.StructType(
-        [T.StructField("h1", T.LongType()), T.StructField("h2", T.IntegerType()), T.StructField("new", T.BooleanType()), texts.schema["doc_id"], T.StructField("start", T.LongType())]
-    )
+    """h1, h2, new, key, doc_id, start of the windows of the places that may have occurred before."""
+    long = T.LongType()
+    schema = T.StructType([T.StructField("h1", long), T.StructField("h2", T.IntegerType()), T.StructField("new", T.BooleanType()), T.StructField("key", long), texts.schema["doc_id"], T.StructField("start", long)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            ids, new, places = (batch.column(k) for k in (0, 2, 3))
-            for cut in slabs(pc.binary_length(batch.column(1)).to_pylist()):
-                bodies = [expand(t) for t in batch.column(1)[cut].to_pylist()]
+            keys, ids, new, places = (batch.column(k) for k in (0, 1, 3, 4))
+            for cut in slabs(pc.binary_length(batch.column(2)).to_pylist()):
+                bodies = [expand(t) for t in batch.column(2)[cut].to_pylist()]
                 words, starts = word_hashes(bodies)
                 again, _ = word_hashes(bodies, seed=1)
                 chosen, rows = [], []
                 for row, held in enumerate(places[cut].to_pylist()):
                     low, high = _windows_of(np.array(held, dtype=np.int64))
                     at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high)]))
-                    at = at[at + SPAN <= starts[row + 1] - starts[row]]  # of rows that share a doc_id, another may be the longer
                     chosen.append(at + starts[row])
                     rows.append(np.full(len(at), row))
                 at, row = np.concatenate(chosen), np.concatenate(rows)
                 second = sequence_hashes(again, SPAN)[at] >> np.uint64(32)
+                of = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(sequence_hashes(words, SPAN)[at].view(np.int64)),
                         pa.array(second.astype(np.uint32).view(np.int32)),
-                        new[cut].take(pa.array(row)),
-                        ids[cut].take(pa.array(row)),
+                        new[cut].take(of),
+                        keys[cut].take(of),
+                        ids[cut].take(of),
                         pa.array(at - starts[row]),
                     ],
-                    names=["h1", "h2", "new", "doc_id", "start"],
+                    names=[f.name for f in schema.fields],
                 )
 
-    return texts.select("doc_id", "text", "new", "places").mapInArrow(run, schema)
+    return texts.select("key", "doc_id", "text", "new", "places").mapInArrow(run, schema)
 
 
 def _removed(texts: DataFrame, with_text: bool) -> DataFrame:
@@ -272,34 +332,52 @@ def deduplicated(
     where an anchor of theirs is met again in other words; an index that has
     runs needs it.
     """
-    spark = docs.sparkSession
-    index = index or FingerprintIndex(spark)
+    index = index or FingerprintIndex(docs.sparkSession, buckets=buckets_for(docs))
     if index.runs and history is None:
         raise ValueError("the index has runs: their documents are needed as history")
-    run = index.append(written(anchors(plain(docs)), "anchors"))
+    run = index.append(anchors(plain(docs)))
     marks = _marks(run, index.older(), index.heavy)
     new = packed(docs)
-    place = F.when(~F.col("seen"), F.col("place"))
-    by_doc = marks.withColumn("key", F.xxhash64("doc_id")).groupBy("key", "new").agg(
-        F.collect_list(place).alias("places"), F.collect_list(F.when(F.col("seen"), F.col("place"))).alias("seen")
+    by_doc = marks.groupBy("key", "doc_id", "new").agg(
+        F.collect_list(F.when(~F.col("seen"), F.col("place"))).alias("places"), F.collect_list(F.when(F.col("seen"), F.col("place"))).alias("seen")
     )
     by_doc = written(by_doc, "marks")
-    unsure = by_doc.where(F.size("places") > 0).select("key", "new", "places")
-    texts = new.join(unsure.where("new"), "key")
+    unsure = by_doc.where(F.size("places") > 0)
+    shown = ["text", "new", "places"]
+
+    def met(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        return rows.join(wanted, same_row(rows, wanted)).select(rows["key"], rows["doc_id"], *shown)
+
+    texts = met(new, unsure.where("new"))
     if history is not None:
-        texts = texts.unionByName(packed(history).join(unsure.where("NOT new"), "key"))
+        texts = texts.unionByName(met(packed(history), unsure.where("NOT new")))
     rows = _window_rows(texts)
     at = F.struct("new", F.col("doc_id").isNull().alias("no_id"), "doc_id", "start")
     first = rows.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = rows.join(first, ["h1", "h2"]).where(F.col("new") & (at > F.col("first")))
-    starts = later.withColumn("key", F.xxhash64("doc_id")).groupBy("key").agg(F.collect_list("start").alias("starts"))
-    seen = by_doc.where("new").select("key", "seen")
-    joined = new.join(seen, "key", "left").join(starts, "key", "left")
-    return _removed(joined.select("doc_id", "text", "seen", "starts"), with_text)
+    starts = later.groupBy("key", "doc_id").agg(F.collect_set("start").alias("starts"))
+    seen = by_doc.where("new").select("key", "doc_id", "seen")
+    joined = new.join(seen, same_row(new, seen), "left").select(new["key"], new["doc_id"], "text", "seen")
+    joined = joined.join(starts, same_row(joined, starts), "left").select(joined["doc_id"], "text", "seen", "starts")
+    return _removed(joined, with_text)
+
+
+def deduplicated_in_batches(docs: DataFrame, batches: int = 3, with_text: bool = True) -> DataFrame:
+    """``docs`` cut in batches of ascending doc_id, as days of a crawl would come: each against the runs before it, which are compacted before the last."""
+    index = FingerprintIndex(docs.sparkSession, buckets=buckets_for(docs))
+    cuts = cut_by_id(docs, batches)
+    out = before = None
+    for n, batch in enumerate(cuts):
+        if n == len(cuts) - 1:
+            index.compact()
+        part = written(deduplicated(batch, index, before, with_text), "kept")
+        out = part if out is None else out.unionByName(part)
+        before = batch if before is None else before.unionByName(batch)
+    return out
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(documents(spark, sf_dir), with_text=False)
+    return deduplicated_in_batches(documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
 
 
 OP5_SQL = r"""

@@ -46,7 +46,7 @@ from .passages import in_one_text, mixed, sequence_hashes, stretch_hashes, windo
 SPAN, GRAM = 20, 6
 COUNT = SPAN - GRAM + 1
 #: Buckets of an index at least, bytes of text a bucket is made for, and Spark's own bound on buckets.
-LEAST_BUCKETS, BUCKET_BYTES, MOST_BUCKETS = 24, 128 << 20, 100_000
+LEAST_BUCKETS, BUCKET_BYTES, MOST_BUCKETS = 8, 128 << 20, 100_000
 #: Slots that a heavy anchor is dealt over, by document.
 SLOTS = 24
 #: A place packs the anchor's word number with how far its first and last window start before it.
@@ -148,7 +148,7 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = LEAST_BUCKETS):
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
-        self.buckets, self.runs, self.heavy, self.id_type = buckets, [], [], "bigint"
+        self.buckets, self.runs, self.heavy, self.batches, self.id_type = buckets, [], [], 0, "bigint"
         if path and exists(spark, f"{path}/state"):
             self._open()
 
@@ -156,15 +156,15 @@ class FingerprintIndex:
         """The newest state that was written whole."""
         newest = self.spark.read.parquet(f"{self.path}/state").orderBy(F.desc("version")).first()
         held = json.loads(newest["state"])
-        self.buckets, self.runs, self.heavy, self.id_type = held["buckets"], held["runs"], held["heavy"], held["id_type"]
+        self.buckets, self.runs, self.heavy, self.batches, self.id_type = (held[k] for k in ("buckets", "runs", "heavy", "batches", "id_type"))
         for name in self.runs:
             self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {name} (anchor BIGINT, around BIGINT, check INT, key BIGINT, doc_id {self.id_type}, place BIGINT, slot INT) USING parquet "
+                f"CREATE TABLE IF NOT EXISTS {name} (anchor BIGINT, around BIGINT, check INT, key BIGINT, doc_id {self.id_type}, place BIGINT, batch INT, slot INT) USING parquet "
                 f"CLUSTERED BY (anchor, slot) SORTED BY (anchor, slot) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'"
             )
 
     def _save(self) -> None:
-        state = json.dumps({"buckets": self.buckets, "runs": self.runs, "heavy": self.heavy, "id_type": self.id_type})
+        state = json.dumps({"buckets": self.buckets, "runs": self.runs, "heavy": self.heavy, "batches": self.batches, "id_type": self.id_type})
         version = 1
         if exists(self.spark, f"{self.path}/state"):
             version += self.spark.read.parquet(f"{self.path}/state").agg(F.max("version")).first()[0]
@@ -172,7 +172,12 @@ class FingerprintIndex:
         row.coalesce(1).write.mode("append").parquet(f"{self.path}/state")
 
     def append(self, rows: DataFrame) -> DataFrame:
-        """``rows`` is read twice: a written table, or cheap to compute."""
+        """``rows`` is read twice: a written table, or cheap to compute. Returns the run, numbered as the next batch."""
+        self.batches += 1
+        self._write(rows.withColumn("batch", F.lit(self.batches)))
+        return self.spark.table(self.runs[-1])
+
+    def _write(self, rows: DataFrame) -> None:
         name = f"run_{uuid.uuid4().hex}"
         self.id_type = rows.schema["doc_id"].dataType.simpleString()
         self.heavy = sorted({*self.heavy, *heavy(rows, "anchor", 4 * self.buckets)})
@@ -189,16 +194,12 @@ class FingerprintIndex:
         )
         self.runs.append(name)
         self._save()
-        return self.spark.table(name)
-
-    def older(self) -> DataFrame | None:
-        return self._union(self.runs[:-1])
 
-    def _union(self, names: list[str]) -> DataFrame | None:
-        out = None
-        for name in names:
-            run = self.spark.table(name)
-            out = run if out is None else out.unionByName(run)
+    def rows(self) -> DataFrame:
+        """All runs; they have equal buckets, so what goes by anchor and slot needs no shuffle."""
+        out = self.spark.table(self.runs[0])
+        for name in self.runs[1:]:
+            out = out.unionByName(self.spark.table(name))
         return out
 
     def compact(self) -> None:
@@ -206,30 +207,29 @@ class FingerprintIndex:
         old = self.runs
         if len(old) < 2:
             return
-        rows = self._union(old)
+        rows = self.rows()
         self.runs, self.heavy = [], []
-        self.append(rows.drop("slot"))
+        self._write(rows.drop("slot"))
         for name in old:
             self.spark.sql(f"DROP TABLE {name}")
             removed(self.spark, f"{self.path}/{name}")
 
 
-def _marks(run: DataFrame, older: DataFrame | None, heavy_anchors: list[int]) -> DataFrame:
+def _marks(index: FingerprintIndex) -> DataFrame:
     """key, doc_id, new, place, seen: anchors whose windows all occurred before (seen) or may have.
 
     An anchor occurred before where the first of its neighbourhood lies earlier;
     rows that repeat lie at the same place, so neither comes before the other.
     """
-    rows = run.withColumn("new", F.lit(True))
-    if older is not None:
-        rows = rows.unionByName(older.withColumn("new", F.lit(False)))
-    at = F.struct("new", F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")
+    rows, heavy_anchors = index.rows(), index.heavy
+    at = F.struct("batch", F.col("doc_id").isNull().alias("no_id"), "doc_id", "place")
     is_heavy = F.col("anchor").isin(heavy_anchors)
     by_anchor = Window.partitionBy("anchor", "slot")
-    order = ["around", "check", "new", F.col("doc_id").asc_nulls_last(), "place"]
+    order = ["around", "check", "batch", F.col("doc_id").asc_nulls_last(), "place"]
     sorted_by = by_anchor.orderBy(*order)
-    alike = Window.partitionBy("anchor", "slot", "around", "check").orderBy("new", F.col("doc_id").asc_nulls_last(), "place")
-    shown = ["key", "doc_id", "new", "place", "seen"]
+    alike = Window.partitionBy("anchor", "slot", "around", "check").orderBy("batch", F.col("doc_id").asc_nulls_last(), "place")
+    # columns made before the first window would hide the buckets of the union
+    shown = ["key", "doc_id", (F.col("batch") == index.batches).alias("new"), "place", "seen"]
     stepped = (
         rows.where(~is_heavy)
         .withColumn("before", F.lag("around").over(sorted_by))
@@ -335,8 +335,8 @@ def deduplicated(
     index = index or FingerprintIndex(docs.sparkSession, buckets=buckets_for(docs))
     if index.runs and history is None:
         raise ValueError("the index has runs: their documents are needed as history")
-    run = index.append(anchors(plain(docs)))
-    marks = _marks(run, index.older(), index.heavy)
+    index.append(anchors(plain(docs)))
+    marks = _marks(index)
     new = packed(docs)
     by_doc = marks.groupBy("key", "doc_id", "new").agg(
         F.collect_list(F.when(~F.col("seen"), F.col("place"))).alias("places"), F.collect_list(F.when(F.col("seen"), F.col("place"))).alias("seen")

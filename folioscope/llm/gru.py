@@ -4,6 +4,9 @@ Words are split into head words, each in a class with its own softmax given the
 state, and tail classes, whose words share a fixed distribution given by
 counts. The probability of a word is that of its class given the state times
 that of the word in its class.
+
+States are held as (units, places): gates, classes and words are stretches of
+memory, and sums over them run along the places.
 """
 
 from __future__ import annotations
@@ -16,13 +19,16 @@ F32 = np.float32
 WEIGHTS = ("inputs", "hidden", "to_class", "class_bias", "to_word", "word_bias")
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def log_softmax(x: np.ndarray) -> np.ndarray:
+    """Over the first axis."""
+    x = x - x.max(axis=0)
+    x -= np.log(np.exp(x).sum(axis=0))
+    return x
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def places_of(states: np.ndarray) -> np.ndarray:
+    """(steps, units, rows) as (units, places)."""
+    return states.transpose(1, 0, 2).reshape(states.shape[1], -1)
 
 
 @dataclass
@@ -73,95 +79,122 @@ class Gru:
         return max(1, -(-(-(-n // rows)) // steps))
 
     def run(self, tokens: np.ndarray, h: np.ndarray, keep: list | None = None, goes_on: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """States after each of ``tokens`` (steps, rows), and the last; ``keep`` gets what the backward pass needs.
+        """States (steps, units, rows) after each of ``tokens`` (steps, rows), and the last; ``keep`` gets what the backward pass needs.
 
-        ``goes_on`` (steps, rows, 1) is 0 where a text begins, which clears the state.
+        ``goes_on`` (steps, rows) is 0 where a text begins, which clears the state.
         """
-        size = self.size
-        out = np.empty((*tokens.shape, size), dtype=F32)
+        size, across = self.size, self.hidden.T.copy()
+        out = np.empty((len(tokens), size, tokens.shape[1]), dtype=F32)
         for t in range(len(tokens)):
-            x = self.inputs[tokens[t]]
+            x = self.inputs.take(tokens[t], axis=0).T
             if goes_on is not None:
                 h = h * goes_on[t]
-            u = h @ self.hidden
-            gates = sigmoid(x[:, : 2 * size] + u[:, : 2 * size])
-            z, r = gates[:, :size], gates[:, size:]
-            n = np.tanh(x[:, 2 * size :] + r * u[:, 2 * size :])
-            new = n + z * (h - n)
+            u = across @ h
+            gates = u[: 2 * size] + x[: 2 * size]
+            gates *= 0.5
+            np.tanh(gates, out=gates)
+            gates *= 0.5
+            gates += 0.5
+            z, un = gates[:size], u[2 * size :]
+            n = gates[size:] * un
+            n += x[2 * size :]
+            np.tanh(n, out=n)
+            new = h - n
+            new *= z
+            new += n
             if keep is not None:
-                keep.append((h, z, r, n, u[:, 2 * size :]))
+                keep.append((h, gates, n, un))
             out[t] = h = new
         return out, h
 
     def back(self, tokens: np.ndarray, kept: list, d_out: np.ndarray, goes_on: np.ndarray) -> dict[str, np.ndarray]:
-        size = self.size
-        d_in, d_hidden = np.zeros_like(self.inputs), np.zeros_like(self.hidden)
-        dh, across = np.zeros_like(d_out[0]), self.hidden.T.copy()
-        d_x = np.empty((*tokens.shape, 3 * size), dtype=F32)
-        du = np.empty((tokens.shape[1], 3 * size), dtype=F32)
+        """Gradients of the inputs and of the hidden weights; ``d_out`` is (steps, units, rows)."""
+        size, rows = self.size, tokens.shape[1]
+        d_x = np.empty((len(tokens), rows, 3 * size), dtype=F32)
+        d_hidden = np.zeros((3 * size, size), dtype=F32)
+        dx = np.empty((3 * size, rows), dtype=F32)
+        dh = np.zeros((size, rows), dtype=F32)
         for t in range(len(tokens) - 1, -1, -1):
-            h, z, r, n, un = kept[t]
+            h, gates, n, un = kept[t]
+            z, r = gates[:size], gates[size:]
             dh += d_out[t]
-            dx = d_x[t]
-            dn = dh * (1 - z)
+            slope = 1 - gates
+            dn = dh * slope[:size]
             dn *= 1 - n * n
-            np.multiply(dh * (h - n), z * (1 - z), out=dx[:, :size])
-            np.multiply(dn * un, r * (1 - r), out=dx[:, size : 2 * size])
-            dx[:, 2 * size :] = dn
-            du[:] = dx
-            du[:, 2 * size :] *= r
-            d_hidden += h.T @ du
-            dh = dh * z
-            dh += du @ across
+            slope *= gates
+            slope[:size] *= h - n
+            slope[:size] *= dh
+            slope[size:] *= un
+            slope[size:] *= dn
+            dx[: 2 * size] = slope
+            dx[2 * size :] = dn
+            d_x[t] = dx.T
+            dx[2 * size :] *= r
+            d_hidden += dx @ h.T
+            dh *= z
+            dh += self.hidden @ dx
             dh *= goes_on[t]
         # sums by token: sorted, then one sum for each stretch of equal tokens
-        flat = tokens.ravel()
+        flat, d_in = tokens.ravel(), np.zeros_like(self.inputs)
         order = np.argsort(flat, kind="stable")
         of = flat[order]
         first = np.concatenate([[0], np.nonzero(of[1:] != of[:-1])[0] + 1])
-        d_in[of[first]] = np.add.reduceat(d_x.reshape(-1, 3 * size)[order], first, axis=0)
-        return {"inputs": d_in, "hidden": d_hidden}
+        d_in[of[first]] = np.add.reduceat(d_x.reshape(-1, 3 * size).take(order, axis=0), first, axis=0)
+        return {"inputs": d_in, "hidden": d_hidden.T}
 
-    def log_probs(self, states: np.ndarray, classes: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Natural log of each target's class and, for head words, of the word in its class. ``words`` is -1 in tail classes."""
-        by_class = log_softmax(states @ self.to_class + self.class_bias)
-        out = by_class[np.arange(len(classes)), classes].astype(np.float64)
+    def by_class(self, classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+        """The places in the order of their classes, and for head classes of several words: the stretch of that order and the words."""
         order = np.argsort(classes, kind="stable")
         cuts = np.searchsorted(classes[order], np.arange(len(self.bounds)))
-        for c in range(len(self.bounds) - 1):
-            rows = order[cuts[c] : cuts[c + 1]]
-            low, high = self.bounds[c], self.bounds[c + 1]
-            if len(rows) and high - low > 1:
-                inside = log_softmax(states[rows] @ self.to_word[low:high].T + self.word_bias[low:high])
-                out[rows] += inside[np.arange(len(rows)), words[rows] - low]
+        parts = [(int(cuts[c]), int(cuts[c + 1]), int(self.bounds[c]), int(self.bounds[c + 1])) for c in range(len(self.bounds) - 1)]
+        return order, [p for p in parts if p[1] > p[0] and p[3] - p[2] > 1]
+
+    def log_probs(self, states: np.ndarray, classes: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Natural log of each target's class and, for head words, of the word in its class. ``words`` is -1 in tail classes; states are (units, places)."""
+        lp = log_softmax(self.to_class.T @ states + self.class_bias[:, None])
+        out = lp[classes, np.arange(len(classes))].astype(np.float64)
+        order, parts = self.by_class(classes)
+        states, words, inside = states.take(order, axis=1), words[order], np.zeros(len(order))
+        for a, b, low, high in parts:
+            lp = log_softmax(self.to_word[low:high] @ states[:, a:b] + self.word_bias[low:high, None])
+            inside[a:b] = lp[words[a:b] - low, np.arange(b - a)]
+        out[order] += inside
         return out
 
     def loss_back(self, states: np.ndarray, classes: np.ndarray, words: np.ndarray) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
-        """Mean loss of the targets, its gradient by state, and by the output weights."""
+        """Mean loss of the targets, its gradient by state (units, places), and by the output weights."""
         n = len(classes)
-        lp = log_softmax(states @ self.to_class + self.class_bias)
-        total = -lp[np.arange(n), classes].sum()
-        d = np.exp(lp)
-        d[np.arange(n), classes] -= 1
-        d /= n
-        grads = {"to_class": states.T @ d, "class_bias": d.sum(axis=0), "to_word": np.zeros_like(self.to_word), "word_bias": np.zeros_like(self.word_bias)}
-        d_states = d @ self.to_class.T
-        order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(len(self.bounds)))
-        for c in range(len(self.bounds) - 1):
-            rows = order[cuts[c] : cuts[c + 1]]
-            low, high = self.bounds[c], self.bounds[c + 1]
-            if len(rows) and high - low > 1:
-                lp = log_softmax(states[rows] @ self.to_word[low:high].T + self.word_bias[low:high])
-                at = words[rows] - low
-                total -= lp[np.arange(len(rows)), at].sum()
-                d = np.exp(lp)
-                d[np.arange(len(rows)), at] -= 1
-                d /= n
-                grads["to_word"][low:high] = d.T @ states[rows]
-                grads["word_bias"][low:high] = d.sum(axis=0)
-                d_states[rows] += d @ self.to_word[low:high]
-        return float(total / n), d_states, grads
+        every = np.arange(n)
+
+        def sloped(x: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray]:
+            """Loss of the targets ``at`` and its gradient by the scores ``x``, which are overwritten."""
+            x -= x.max(axis=0)
+            aim = x[at]
+            np.exp(x, out=x)
+            mass = x.sum(axis=0)
+            loss = float((np.log(mass) - aim).sum(dtype=np.float64))
+            mass *= n
+            x /= mass
+            x[at] -= F32(1 / n)
+            return loss, x
+
+        x = self.to_class.T @ states
+        x += self.class_bias[:, None]
+        total, d = sloped(x, (classes, every))
+        grads = {"to_class": states @ d.T, "class_bias": d.sum(axis=1), "to_word": np.zeros_like(self.to_word), "word_bias": np.zeros_like(self.word_bias)}
+        d_states = self.to_class @ d
+        order, parts = self.by_class(classes)
+        held, words, d_held = states.take(order, axis=1), words[order], np.zeros_like(states)
+        for a, b, low, high in parts:
+            x = self.to_word[low:high] @ held[:, a:b]
+            x += self.word_bias[low:high, None]
+            loss, d = sloped(x, (words[a:b] - low, every[: b - a]))
+            total += loss
+            grads["to_word"][low:high] = d @ held[:, a:b].T
+            grads["word_bias"][low:high] = d.sum(axis=1)
+            np.matmul(self.to_word[low:high].T, d, out=d_held[:, a:b])
+        d_states[:, order] += d_held
+        return total / n, d_states, grads
 
     def train(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], updates: int, rows: int = 64, steps: int = 32, rate: float = 0.01, seed: int = 1) -> float:
         """Adam over windows of ``steps``; each row reads one text after the other and carries its state from window to window.
@@ -174,7 +207,7 @@ class Gru:
         length = len(lanes[0])
         place = (np.arange(rows) * (length / rows)).astype(np.int64)
         start = int(self.inputs.shape[0] - 1)
-        h = np.zeros((rows, self.size), dtype=F32)
+        h = np.zeros((self.size, rows), dtype=F32)
         names = WEIGHTS
         m = {k: np.zeros_like(getattr(self, k)) for k in names}
         v = {k: np.zeros_like(getattr(self, k)) for k in names}
@@ -182,11 +215,11 @@ class Gru:
         for update in range(1, updates + 1):
             at = (place[None, :] + np.arange(steps)[:, None]) % length
             tokens, classes, words = (lane[at] for lane in lanes)
-            goes_on = (tokens != start).astype(F32)[:, :, None]
+            goes_on = (tokens != start).astype(F32)
             kept: list = []
             states, last = self.run(tokens, h, kept, goes_on)
-            loss, d_states, grads = self.loss_back(states.reshape(-1, self.size), classes.ravel(), words.ravel())
-            grads |= self.back(tokens, kept, d_states.reshape(states.shape).astype(F32), goes_on)
+            loss, d_states, grads = self.loss_back(places_of(states), classes.ravel(), words.ravel())
+            grads |= self.back(tokens, kept, d_states.reshape(self.size, steps, rows).transpose(1, 0, 2), goes_on)
             step_rate = rate * min(1.0, 2.0 * (1 - (update - 1) / updates))
             for k in names:
                 g = np.clip(grads[k], -1, 1)
@@ -201,24 +234,24 @@ class Gru:
 
     def score(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int = 512, steps: int = 64) -> np.ndarray:
         """Natural log probability of each whole text; windows of ``steps``, the state carried across."""
-        order = sorted(range(len(texts)), key=lambda i: -len(texts[i][0]))
+        lengths = np.array([len(text[0]) for text in texts], dtype=np.int64)
+        starts = np.cumsum(lengths) - lengths
+        lanes = [np.concatenate(part) for part in zip(*texts)]
+        order = np.argsort(-lengths, kind="stable")  # the longest come first
         out = np.zeros(len(texts))
         for k in range(0, len(order), rows):
             group = order[k : k + rows]
-            lengths = np.array([len(texts[i][0]) for i in group])
-            total, h = np.zeros(len(group)), np.zeros((len(group), self.size), dtype=F32)
-            for low in range(0, int(lengths[0]) if len(lengths) else 0, steps):
-                live = int((lengths > low).sum())  # the longest come first
-                width = int(min(steps, lengths[0] - low))
-                blocks = [np.zeros((width, live), dtype=np.int64) for _ in range(3)]
-                used = np.zeros((width, live), dtype=bool)
-                for row in range(live):
-                    n = min(width, lengths[row] - low)
-                    used[:n, row] = True
-                    for block, part in zip(blocks, texts[group[row]]):
-                        block[:n, row] = part[low : low + n]
-                states, h = self.run(blocks[0], h[:live])
-                lp = self.log_probs(states[used], blocks[1][used], blocks[2][used])
-                total[:live] += np.bincount(np.nonzero(used)[1], weights=lp, minlength=live)
+            size, begin = lengths[group], starts[group]
+            total, h = np.zeros(len(group)), np.zeros((self.size, len(group)), dtype=F32)
+            for low in range(0, int(size[0]), steps):
+                live = int((size > low).sum())
+                place = low + np.arange(min(steps, int(size[0]) - low))[:, None]
+                used = place < size[:live]
+                at = np.where(used, begin[:live] + place, 0)
+                states, h = self.run(lanes[0][at], h[:, :live])
+                held = np.nonzero(used.ravel())[0]
+                flat = at.ravel()[held]
+                lp = self.log_probs(places_of(states).take(held, axis=1), lanes[1][flat], lanes[2][flat])
+                total[:live] += np.bincount(held % live, weights=lp, minlength=live)
             out[group] = total
         return out

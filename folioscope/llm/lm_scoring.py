@@ -12,7 +12,9 @@ its training documents, a block at a time, and the copies are averaged by their
 words. A state begins anew with each document, in training as in scoring.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is
-taken as the empty string for the split; rows that repeat score alike; with no
+taken as the empty string for the split; ids may be of any type that casts to
+text; rows that repeat score alike; further columns are not looked at; a very
+long text is scored whole, its state carried from window to window; with no
 training document, counts are zero and the score is that of the smoothed
 unigram; an empty table gives no rows.
 """
@@ -23,6 +25,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,22 @@ def tail_class(token: bytes) -> int:
     return zlib.crc32(token[-2:]) % TAIL_CLASSES
 
 
+@lru_cache(maxsize=1)
+def ending_classes() -> np.ndarray:
+    """The tail class by the last two bytes, then by the only byte of tokens that have one."""
+    two = [tail_class(bytes((a, b))) for a in range(256) for b in range(256)]
+    return np.array(two + [tail_class(bytes((b,))) for b in range(256)], dtype=np.int64)
+
+
+def tail_classes(tokens: pa.Array) -> np.ndarray:
+    """The tail class of each of ``tokens``, none empty, from the bytes where they end."""
+    _, offsets, data = tokens.buffers()
+    ends = np.frombuffer(offsets, np.int32)[tokens.offset : tokens.offset + len(tokens) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8).astype(np.int64) if data else np.zeros(1, np.int64)
+    last = held[ends[1:] - 1]
+    return ending_classes()[np.where(np.diff(ends) > 1, held[ends[1:] - 2] * 256 + last, 65536 + last)]
+
+
 def tokens_of(text: bytes) -> list[bytes]:
     out = text.lower().split()  # of bytes: ASCII alone
     out.append(END)
@@ -77,10 +96,11 @@ class Model:
     n: int
     v: int
 
-    def numbered(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def numbered(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Class and head word (-1 in tails) of distinct tokens."""
-        word = np.array([self.head.get(t, -1) for t in tokens], dtype=np.int64)
-        tail = np.array([tail_class(t) for t in tokens], dtype=np.int64) + HEAD_CLASSES
+        found = pc.index_in(tokens, value_set=pa.array(list(self.head), pa.binary()))
+        word = pc.fill_null(found, -1).to_numpy().astype(np.int64)
+        tail = tail_classes(tokens) + HEAD_CLASSES
         return np.where(word >= 0, self.class_of[np.maximum(word, 0)] if len(self.class_of) else 0, tail), word
 
     def sequence(self, at: np.ndarray, classes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,9 +183,9 @@ def trained(model: Model, rows: DataFrame, block_bytes: int, groups: int) -> Gru
             if not batch.num_rows:
                 continue
             part, lengths = batch.column(1)[0].as_py(), pc.binary_length(batch.column(0)).to_pylist()
-            for cut in slabs(lengths, 4 << 20):
+            for cut in slabs(lengths, 8 << 20):
                 distinct, numbers, starts = numbers_of(batch.column(0)[cut].to_pylist())
-                classes, words = m.numbered(distinct.to_pylist())
+                classes, words = m.numbered(distinct)
                 for a, b in zip(starts, starts[1:]):
                     texts.append(tuple(x.astype(np.int32) for x in m.sequence(numbers[a:b], classes, words)))
                 size += sum(lengths[cut])
@@ -222,15 +242,15 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         m = held.value
-        tokens = right.column("token").to_pylist()
-        place = dict(zip(tokens, range(len(tokens)))).__getitem__
+        tokens = right.column("token").combine_chunks()
+        place = dict(zip(tokens.to_pylist(), range(len(tokens)))).__getitem__
         c = np.nan_to_num(right.column("c").to_numpy().astype(np.float64))
         base = np.log10((c + ADD) / (m.n + ADD * (m.v + 1)))
         classes, words = m.numbered(tokens)
         tail = np.maximum(classes - HEAD_CLASSES, 0)
         inside = np.where(words >= 0, 0.0, np.log10((c + ADD) / (m.tail_n[tail] + ADD * (m.tail_v[tail] + 1))))
         sums, model_sum = [], []
-        for cut in slabs(pc.binary_length(left.column("text")).to_pylist(), 4 << 20):  # no block's sequences are held whole
+        for cut in slabs(pc.binary_length(left.column("text")).to_pylist(), 8 << 20):  # no block's sequences are held whole
             texts = []
             shown, numbers, starts = numbers_of(left.column("text")[cut].to_pylist())
             every = np.fromiter(map(place, shown.to_pylist()), dtype=np.int64, count=len(shown))[numbers]

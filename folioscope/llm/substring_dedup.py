@@ -12,7 +12,7 @@ doc_id, then the earlier start. Runs are never changed; ``compact`` writes many
 as one. An index can be opened again by its path.
 
 Anchors that hold over a quarter of a bucket's share (a sketch over all rows
-names them; there are at most eight times as many as buckets) are dealt by document as well, and their
+names them; their number is bounded) are dealt by document as well, and their
 first occurrences come from grouped minima, which are combined before the
 shuffle. So a passage in a third of all documents fills no single task.
 
@@ -47,8 +47,8 @@ SPAN, GRAM = 20, 6
 COUNT = SPAN - GRAM + 1
 #: Buckets of an index at least, bytes of text a bucket is made for, and Spark's own bound on buckets.
 LEAST_BUCKETS, BUCKET_BYTES, MOST_BUCKETS = 8, 128 << 20, 100_000
-#: Slots that a heavy anchor is dealt over, by document.
-SLOTS = 24
+#: Slots that a heavy anchor is dealt over, by document; anchors over this part of a run are heavy at least.
+SLOTS, LEAST_PARTS = 24, 400
 #: A place packs the anchor's word number with how far its first and last window start before it.
 PLACE_BITS = 5
 
@@ -180,7 +180,7 @@ class FingerprintIndex:
     def _write(self, rows: DataFrame) -> None:
         name = f"run_{uuid.uuid4().hex}"
         self.id_type = rows.schema["doc_id"].dataType.simpleString()
-        self.heavy = sorted({*self.heavy, *heavy(rows, "anchor", 4 * self.buckets)})
+        self.heavy = sorted({*self.heavy, *heavy(rows, "anchor", max(LEAST_PARTS, 4 * self.buckets))})
         slot = F.when(F.col("anchor").isin(self.heavy), F.pmod(F.col("key"), F.lit(SLOTS))).otherwise(-1)
         (
             rows.withColumn("slot", slot.cast("int"))
@@ -260,17 +260,20 @@ def _window_rows(texts: DataFrame) -> DataFrame:
         for batch in batches:
             keys, ids, new, places = (batch.column(k) for k in (0, 1, 3, 4))
             for cut in slabs(pc.binary_length(batch.column(2)).to_pylist()):
-                bodies = [expand(t) for t in batch.column(2)[cut].to_pylist()]
-                words, starts = word_hashes(bodies)
-                again, _ = word_hashes(bodies, seed=1)
-                chosen, rows = [], []
-                for row, held in enumerate(places[cut].to_pylist()):
-                    low, high = _windows_of(np.array(held, dtype=np.int64))
+                chosen, local, rows, held, base = [], [], [], [], 0
+                for row, (body, spots) in enumerate(zip(batch.column(2)[cut].to_pylist(), places[cut].to_pylist())):
+                    low, high = _windows_of(np.array(spots, dtype=np.int64))
                     at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high)]))
-                    chosen.append(at + starts[row])
+                    need = np.unique(at[:, None] + np.arange(SPAN))  # words of these windows; no others are hashed
+                    words = expand(body).split()
+                    held.append(b" ".join([words[k] for k in need.tolist()]))
+                    chosen.append(at)
+                    local.append(base + np.searchsorted(need, at))
                     rows.append(np.full(len(at), row))
-                at, row = np.concatenate(chosen), np.concatenate(rows)
-                second = sequence_hashes(again, SPAN)[at] >> np.uint64(32)
+                    base += len(need)
+                words, _ = word_hashes(held)
+                at, row, start = np.concatenate(local), np.concatenate(rows), np.concatenate(chosen)
+                second = sequence_hashes(mixed(words), SPAN)[at] >> np.uint64(32)
                 of = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -279,7 +282,7 @@ def _window_rows(texts: DataFrame) -> DataFrame:
                         new[cut].take(of),
                         keys[cut].take(of),
                         ids[cut].take(of),
-                        pa.array(at - starts[row]),
+                        pa.array(start),
                     ],
                     names=[f.name for f in schema.fields],
                 )

@@ -390,10 +390,10 @@ def test_lm_probabilities_sum_to_one():
 
     bounds = np.array([0, 3, 5, 9])
     gru = Gru.fresh(bounds, 2, np.zeros(5), np.zeros(9), 8, seed=1)
-    states, _ = gru.run(np.array([[11]]), np.zeros((1, 8), np.float32))
+    states, _ = gru.run(np.array([[11]]), np.zeros((8, 1), np.float32))
     classes = np.array([0, 0, 0, 1, 1, 2, 2, 2, 2, 3, 4])
     words = np.array([*range(9), -1, -1])
-    lp = gru.log_probs(np.repeat(states[0], 11, axis=0), classes, words)
+    lp = gru.log_probs(np.repeat(states[0], 11, axis=1), classes, words)
     assert np.exp(lp).sum() == pytest.approx(1, abs=1e-5)
 
 
@@ -442,10 +442,43 @@ def test_lm_state_begins_anew_with_each_document():
 
     gru = Gru.fresh(np.array([0, 3]), 1, np.zeros(2), np.zeros(3), 4, seed=2)
     tokens = np.array([[0, 2], [4, 4], [1, 1]])
-    goes_on = (tokens != 4).astype(np.float32)[:, :, None]
-    out, _ = gru.run(tokens, np.ones((2, 4), np.float32), goes_on=goes_on)
-    alone, _ = gru.run(np.array([[4], [1]]), np.zeros((1, 4), np.float32))
-    assert np.allclose(out[1:, 0], alone[:, 0]) and np.allclose(out[1:, 1], alone[:, 0])
+    goes_on = (tokens != 4).astype(np.float32)
+    out, _ = gru.run(tokens, np.ones((4, 2), np.float32), goes_on=goes_on)
+    alone, _ = gru.run(np.array([[4], [1]]), np.zeros((4, 1), np.float32))
+    assert np.allclose(out[1:, :, 0], alone[:, :, 0]) and np.allclose(out[1:, :, 1], alone[:, :, 0])
+
+
+def test_lm_gradients_are_those_of_the_loss():
+    """Against differences of the loss, for one weight of each kind, with a text that begins inside the window."""
+    import numpy as np
+
+    from folioscope.llm.gru import WEIGHTS, Gru
+
+    rng = np.random.default_rng(4)
+    gru = Gru.fresh(np.array([0, 3, 5]), 2, np.zeros(4), np.zeros(5), 4, seed=3)
+    tokens = rng.integers(0, 7, (6, 3))
+    tokens[3, 1] = 7
+    classes = rng.integers(0, 4, (6, 3))
+    words = np.where(classes == 0, rng.integers(0, 3, (6, 3)), np.where(classes == 1, rng.integers(3, 5, (6, 3)), -1))
+    goes_on = (tokens != 7).astype(np.float32)
+
+    def loss(keep=None):
+        states, _ = gru.run(tokens, np.zeros((4, 3), np.float32), keep, goes_on)
+        return states, gru.loss_back(states.transpose(1, 0, 2).reshape(4, -1), classes.ravel(), words.ravel())
+
+    kept = []
+    states, (_, d_states, grads) = loss(kept)
+    grads |= gru.back(tokens, kept, d_states.reshape(4, 6, 3).transpose(1, 0, 2), goes_on)
+    for name in WEIGHTS:
+        held, step = getattr(gru, name), 1e-2
+        at = np.unravel_index(np.abs(grads[name]).argmax(), held.shape)
+        before = held[at]
+        held[at] = before + step
+        above = loss()[1][0]
+        held[at] = before - step
+        below = loss()[1][0]
+        held[at] = before
+        assert grads[name][at] == pytest.approx((above - below) / (2 * step), rel=0.02, abs=1e-4), name
 
 
 def test_lm_update_count_reads_every_place():

@@ -19,7 +19,8 @@ text as soon as a character is whole.
 
 Defined results: a null or empty text has no tokens; the strings of special
 tokens in a text become those tokens, as the tokenizers library does; rows
-that repeat are encoded alike; an empty table gives no rows.
+that repeat are encoded alike; further columns are not looked at; ids may be of
+any type; a very long text goes through in stretches; an empty table gives no rows.
 """
 
 from __future__ import annotations

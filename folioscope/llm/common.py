@@ -58,6 +58,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def own_row(docs: DataFrame) -> Column:
+    """The caller's row as one struct, so that no working column can clash with one of its own; ``select("row.*")`` gives it back."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row")
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     column = F.col(text) if isinstance(text, str) else text
     return F.coalesce(column.cast("string"), F.lit(""))

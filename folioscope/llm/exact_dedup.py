@@ -7,7 +7,9 @@ join, and appended. Buckets of the index are never shuffled again.
 
 Defined results: a null text counts as empty; empty texts equal each other;
 rows that repeat a doc_id share its verdict; a null doc_id sorts last, so it
-stays only where no row of its group has an id; an empty table gives no rows.
+stays only where no row of its group has an id; ids may be of any ordered type;
+columns of any name are kept as they are; very long texts are hashed whole; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, shared_dir, text_or_empty, written
+from .common import SPACE, cut_by_id, documents, own_row, shared_dir, text_or_empty, written
 
-#: Buckets of an index; about one per 10 million digests expected.
-BUCKETS = 16
+#: Buckets of an index at least, digests a bucket is made for, and Spark's own bound on buckets.
+BUCKETS, BUCKET_DIGESTS, MOST_BUCKETS = 16, 10_000_000, 100_000
+#: Digests with over this part of the rows are told from a table of at most so many rows.
+HEAVY_PARTS = 200
 
 
 def normalised(text: str | Column = "text") -> Column:
@@ -44,8 +48,11 @@ class DigestIndex:
         self.buckets = buckets
 
     @classmethod
-    def fresh(cls, spark: SparkSession, id_type: str = "bigint") -> "DigestIndex":
-        return cls(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}", id_type=id_type)
+    def fresh(cls, digests: DataFrame) -> "DigestIndex":
+        """A new index for about as many digests as ``digests`` has."""
+        spark = digests.sparkSession
+        buckets = min(MOST_BUCKETS, max(BUCKETS, -(-digests.count() // BUCKET_DIGESTS)))
+        return cls(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}", buckets, digests.schema["doc_id"].dataType.simpleString())
 
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
@@ -79,23 +86,24 @@ class DigestIndex:
         return self.read().groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
-def in_id_order(digests: DataFrame, batches: int) -> list[DataFrame]:
-    """Cut a table into batches of ascending doc_id, as days of a crawl would come."""
-    low, high = digests.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None or batches < 2:
-        return [digests]
-    step = (high - low) // batches + 1
-    part = F.coalesce(((F.col("doc_id") - low) / step).cast("long"), F.lit(batches - 1))
-    return [digests.where(part == k) for k in range(batches)]
-
-
 def verdicts(docs: DataFrame, index: DigestIndex | None = None, batches: int = 1) -> DataFrame:
-    """Every row of ``docs`` with the row of its group that stays."""
+    """Every row of ``docs`` with the row of its group that stays.
+
+    Batches are of ascending doc_id, as days of a crawl would come.
+    """
     digests = written(docs.select("doc_id", digest_of().alias("digest")), "digests")
-    index = index or DigestIndex.fresh(docs.sparkSession, digests.schema["doc_id"].dataType.simpleString())
-    for batch in in_id_order(digests, batches):
+    index = index or DigestIndex.fresh(digests)
+    for batch in cut_by_id(digests, batches):
         index.add(batch)
-    return digests.join(index.groups(), "digest").select(
+    groups = index.groups()
+    # fewer digests than HEAVY_PARTS hold so many rows each; their rows meet a table of that size and are not shuffled
+    many = digests.count() // HEAVY_PARTS
+    crowds = written(groups.where(F.col("group_size") > many) if many else groups.limit(0), "crowds")
+    heavy = [r["digest"] for r in crowds.where(F.col("group_size") > many).select("digest").collect()] if many else []
+    crowded = F.col("digest").isin(heavy)
+    told = digests.where(~crowded).join(groups, "digest")
+    told = told.unionByName(digests.where(crowded).join(F.broadcast(crowds), "digest"))
+    return told.select(
         "doc_id",
         "keep_id",
         "group_size",
@@ -105,13 +113,18 @@ def verdicts(docs: DataFrame, index: DigestIndex | None = None, batches: int = 1
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    marked = docs.withColumn("__digest", digest_of())
-    digests = written(marked.select("doc_id", F.col("__digest").alias("digest")), "digests")
-    index = DigestIndex.fresh(docs.sparkSession, digests.schema["doc_id"].dataType.simpleString())
-    keepers = index.add(digests).select(F.col("keep_id").alias("__keep"), F.col("digest").alias("__kd"))
-    stays = F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__digest") == F.col("__kd"))
-    return marked.join(keepers, stays, "left_semi").drop("__digest")
+    """The documents that stay, with all their columns.
+
+    Rows are told from a table of those that go, so texts are shuffled only
+    where that table is too large for Spark to broadcast.
+    """
+    digests = written(docs.select("doc_id", digest_of().alias("digest")), "digests")
+    keepers = DigestIndex.fresh(digests).add(digests).select("digest", "keep_id")
+    gone = digests.join(keepers, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    gone = written(gone.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone")).distinct(), "gone")
+    rows = docs.select(own_row(docs), digest_of().alias("digest"))
+    goes = F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone"))
+    return rows.join(gone, goes, "left_anti").select("row.*")
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

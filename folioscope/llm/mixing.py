@@ -13,16 +13,17 @@ ends is found in the same way, from slices of virtual time.
 
 Defined results: a null or empty text has size 0 and is never taken; a null
 source is a source of its own, last in order; rows that repeat are documents
-of their own here; where there are no words every target is 0; an empty table
-gives no rows.
+of their own here; where there are no words every target is 0; ids may be of any
+type that casts to text; columns of any name are kept as they are; a very long
+text is one document, taken whole or not; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, text_or_empty, written
+from .common import WORD, documents, own_row, text_or_empty, written
 
 #: Weights by the sources' order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -66,14 +67,22 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
+def place_of(seed: str) -> Column:
+    """Where a document stands in its source's queue."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
+
+
+def source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
+
+
 def sized(docs: DataFrame, seed: str) -> DataFrame:
-    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     return docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),
-        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("sk"),
+        source_key().alias("sk"),
         F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"),
-        place.alias("place"),
+        place_of(seed).alias("place"),
     )
 
 
@@ -137,15 +146,18 @@ def plan(docs: DataFrame, seed: str = "mix") -> DataFrame:
 def mixed(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: the rows of ``docs``, repeated as taken.
 
-    Rows that repeat a doc_id are taken as often as the one taken most.
+    A source serves its documents by place, so for each copy there is a last
+    place that is taken: one row per source tells every document's copies, and
+    texts are not shuffled. Rows of one source that share a doc_id share a
+    place, and are taken as often as the one taken most.
     """
-    copies = plan(docs, seed).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    return (
-        docs.join(copies.where("__copies > 0"), F.col("doc_id").eqNullSafe(F.col("__id")))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-        .select(*names)
-    )
+    taken = plan(docs, seed).where("copies > 0")
+    last = [F.max(F.when(F.col("copies") > c, F.col("place"))).alias(f"last{c}") for c in range(MOST)]
+    bounds = written(taken.groupBy("sk").agg(*last), "bounds")
+    has_words = F.rlike(text_or_empty(), F.lit(WORD))
+    rows = docs.where(has_words).select(own_row(docs), source_key().alias("sk"), place_of(seed).alias("place"))
+    copies = sum((F.when(F.col("place") <= F.col(f"last{c}"), 1).otherwise(0) for c in range(MOST)), F.lit(0))
+    return rows.join(bounds, "sk").withColumn("copy", F.explode(F.array_repeat(F.lit(1), copies))).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

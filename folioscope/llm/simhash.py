@@ -17,7 +17,8 @@ smallest, so the links grow with the members and none is lost.
 
 Defined results: a null or empty text has the fingerprint zero and links like
 any other; rows that repeat link to each other; an empty table gives no rows;
-with a null doc_id, the component is named by its smallest known id (null where there is none).
+with a null doc_id, the component is named by its smallest known id (null where there is none);
+ids may be of any ordered type; columns of any name are kept as they are; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty, written
+from .common import documents, own_row, text_or_empty, written
 from .components import components
 
 SEED, SHINGLE, MOST_BITS = 42, 3, 2
@@ -185,9 +186,17 @@ def grouped(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest id; all columns stay."""
-    keep = grouped(docs).select(F.col("component_id").alias("__keep")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
+    """One document of each group, the one with the smallest id; all columns stay.
+
+    Rows are told from a table of the ids that go, so texts are shuffled only
+    where that table is too large for Spark to broadcast.
+    """
+    found = written(grouped(docs), "groups")
+    named = found.select(F.col("component_id").alias("named")).distinct()
+    gone = found.select(F.col("doc_id").alias("gone_id")).distinct()
+    gone = written(gone.join(named, F.col("gone_id").eqNullSafe(F.col("named")), "left_anti"), "gone")
+    rows = docs.select(own_row(docs))
+    return rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

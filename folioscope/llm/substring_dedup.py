@@ -46,7 +46,7 @@ from .passages import in_one_text, mixed, sequence_hashes, stretch_hashes, windo
 SPAN, GRAM = 20, 6
 COUNT = SPAN - GRAM + 1
 #: Buckets of an index at least, bytes of text a bucket is made for, and Spark's own bound on buckets.
-LEAST_BUCKETS, BUCKET_BYTES, MOST_BUCKETS = 8, 128 << 20, 100_000
+LEAST_BUCKETS, BUCKET_BYTES, MOST_BUCKETS = 24, 128 << 20, 100_000
 #: Slots that a heavy anchor is dealt over, by document; anchors over this part of a run are heavy at least.
 SLOTS, LEAST_PARTS = 24, 400
 #: A place packs the anchor's word number with how far its first and last window start before it.
@@ -365,17 +365,15 @@ def deduplicated(
     return _removed(joined, with_text)
 
 
-def deduplicated_in_batches(docs: DataFrame, batches: int = 3, with_text: bool = True) -> DataFrame:
-    """``docs`` cut in batches of ascending doc_id, as days of a crawl would come: each against the runs before it, which are compacted before the last."""
+def deduplicated_in_batches(docs: DataFrame, batches: int = 2, with_text: bool = True) -> DataFrame:
+    """``docs`` cut in batches of ascending doc_id, as days of a crawl would come: each against the runs before it. At the end the runs are compacted to one."""
     index = FingerprintIndex(docs.sparkSession, buckets=buckets_for(docs))
-    cuts = cut_by_id(docs, batches)
     out = before = None
-    for n, batch in enumerate(cuts):
-        if n == len(cuts) - 1:
-            index.compact()
+    for batch in cut_by_id(docs, batches):
         part = written(deduplicated(batch, index, before, with_text), "kept")
         out = part if out is None else out.unionByName(part)
         before = batch if before is None else before.unionByName(batch)
+    index.compact()
     return out
 
 

@@ -281,7 +281,7 @@ def rows_without_repeats(rows, width=20):
 
 @pytest.mark.parametrize("slots", [24, None])
 def test_substring_dedup_of_repeated_rows_and_shared_ids(spark, monkeypatch, slots):
-    """Rows that repeat, ids with several texts, null ids; with every anchor heavy too; in one batch and in three."""
+    """Rows that repeat, ids with several texts, null ids; with every anchor heavy too; in one batch, in two and in three."""
     if slots is None:
         monkeypatch.setattr(substring_dedup, "heavy", lambda rows, key, parts: sorted(r[0] for r in rows.select(key).distinct().collect()))
     rng = random.Random(21)
@@ -290,7 +290,7 @@ def test_substring_dedup_of_repeated_rows_and_shared_ids(spark, monkeypatch, slo
     rows += [(3, f"{passage} {passage}"), (3, f"lead {passage}"), (3, f"lead {passage}")] + [(10 + k, prose(rng, 60)) for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = rows_without_repeats(rows)
-    for got in (substring_dedup.deduplicated(df), substring_dedup.deduplicated_in_batches(df)):
+    for got in (substring_dedup.deduplicated(df), substring_dedup.deduplicated_in_batches(df), substring_dedup.deduplicated_in_batches(df, 3)):
         assert sorted(((r.doc_id, r.kept_text) for r in got.collect()), key=repr) == want
 
 

@@ -30,12 +30,12 @@ def chased(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return now
 
 
-def clusters(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Connected components of undirected edges (a, b): node and smallest node reachable."""
+def clusters(edges: DataFrame) -> DataFrame:
+    """Connected components of undirected edges (a, b): node and smallest node reachable. Goes on until no label changes."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = checkpointed(both)
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label"))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         stepped = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("new"))
         # and the label's own label, so that long chains shrink fast
@@ -45,5 +45,4 @@ def clusters(edges: DataFrame, rounds: int = 64) -> DataFrame:
         changed = jumped.where("new < label").limit(1).count()
         labels = jumped.select("node", F.col("new").alias("label"))
         if not changed:
-            break
-    return labels
+            return labels

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import quote_folded
-from ..session import checkpointed
+from ..session import written
 from .graph import clusters
 
 #: Least length, least share of function words, largest share of unprintable characters, least similarity.
@@ -28,7 +28,7 @@ def function_share(text: Column, words: Column) -> Column:
 
 def holds(text: Column, words: Column) -> Column:
     """Why a text is held back, the first that applies; null where it passes."""
-    odd = F.length(F.regexp_replace(text, r"[^\x00-\x08\x0E-\x1F\x7F]", ""))
+    odd = F.regexp_count(text, F.lit(r"[\p{Cc}\p{Co}\p{Cn}\uFFFD&&[^\n\r\t]]"))
     return (
         F.when(F.length(F.trim(text)) < LEAST_CHARS, "empty")
         .when(function_share(text, words) < LEAST_FUNCTION, "garbled")
@@ -62,6 +62,36 @@ def shingle_set(words: Column, size: int) -> Column:
     return F.array_sort(F.array_distinct(run_hashes(words, size)))
 
 
+def shingle_rows(docs: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, set_key, n and s (the sorted distinct hashes of ``size``-word shingles) of every row, written once; null for texts of under ``size`` words."""
+    held = docs.select("doc_id", shingle_words().alias("w"))
+    # the words are bound, so that Spark builds them once
+    sets = held.select("doc_id", F.when(F.size("w") >= size, shingle_set(F.col("w"), size)).alias("s"))
+    key = F.sha2(F.array_join(F.col("s").cast("array<string>"), ","), 256)
+    return written(sets.select("doc_id", key.alias("set_key"), F.size("s").alias("n"), "s"), "shingles")
+
+
+def _pairs(rows: DataFrame, similar: float) -> DataFrame:
+    """Pairs (a, b, jaccard) of the classes of ``shingle_rows``, by their smallest ids."""
+    classes = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+    sets = rows.join(classes, ["set_key", "doc_id"], "left_semi").select("doc_id", "n", "s").dropDuplicates(["doc_id", "n"])
+    sets = written(sets, "sets")
+    shingles = sets.select("doc_id", "n", F.explode("s").alias("g"))
+    common = shingles.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # rarest first, those of one text before all others: what is left of the prefix falls to the shared ones
+    shared = shingles.join(common, "g").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    left = F.col("n") - F.ceil(F.col("n") * similar) + 1 - (F.col("n") - F.size("o"))
+    first = F.slice("o", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
+    prefix = shared.select("doc_id", "n", F.explode(first).alias("x")).select("doc_id", "n", F.col("x.g").alias("g"))
+    other = prefix.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "g")
+    close = (F.col("doc_id") < F.col("b")) & (F.least("n", "nb") >= F.greatest("n", "nb") * similar)
+    met = prefix.join(other, "g").where(close).select(F.col("doc_id").alias("a"), "b").distinct()
+    ends = [sets.select(F.col("doc_id").alias(end), F.col("s").alias(f"s{end}")) for end in "ab"]
+    both = F.size(F.array_intersect("sa", "sb"))
+    jaccard = both / (F.size("sa") + F.size("sb") - both)
+    return met.join(ends[0], "a").join(ends[1], "b").select("a", "b", F.round(jaccard, 6).alias("jaccard")).where(jaccard >= similar)
+
+
 def shingle_pairs(docs: DataFrame, size: int = 5, similar: float = SIMILAR) -> DataFrame:
     """Pairs of texts whose sets of ``size``-word shingles have a Jaccard similarity of at least ``similar``.
 
@@ -70,23 +100,7 @@ def shingle_pairs(docs: DataFrame, size: int = 5, similar: float = SIMILAR) -> D
     asked must share one of the first few (the prefix filter), so only texts that
     share a rare shingle meet; their sets are then compared whole.
     """
-    words = shingle_words()
-    # Spark may build the shingles before it drops short texts
-    held = docs.select("doc_id", words.alias("w")).where(F.size("w") >= size)
-    sets = held.select("doc_id", shingle_set(F.col("w"), size).alias("s"))
-    sets = sets.groupBy("s").agg(F.min("doc_id").alias("doc_id"))
-    rows = sets.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    common = rows.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ordered = rows.join(common, "g").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
-    first = F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * similar) + 1).cast("int"))
-    prefix = ordered.select("doc_id", "n", F.explode(first).alias("x")).where("x.df > 1").select("doc_id", "n", F.col("x.g").alias("g"))
-    other = prefix.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "g")
-    close = (F.col("doc_id") < F.col("b")) & (F.least("n", "nb") >= F.greatest("n", "nb") * similar)
-    met = prefix.join(other, "g").where(close).select(F.col("doc_id").alias("a"), "b").distinct()
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    jaccard = both / (F.size("sa") + F.size("sb") - both)
-    return met.join(left, "a").join(right, "b").select("a", "b", F.round(jaccard, 6).alias("jaccard")).where(jaccard >= similar)
+    return _pairs(shingle_rows(docs, size), similar)
 
 
 def shingle_members(docs: DataFrame, size: int = 5, similar: float = SIMILAR) -> DataFrame:
@@ -96,13 +110,11 @@ def shingle_members(docs: DataFrame, size: int = 5, similar: float = SIMILAR) ->
     Texts of under ``size`` words have no set, hence no class. A class is met by
     slots of documents, so that many copies fill no single task.
     """
-    held = docs.select("doc_id", shingle_words().alias("w"))
-    joined = F.array_join(shingle_set(F.col("w"), size).cast("array<string>"), ",")
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
-    keyed = checkpointed(held.select("doc_id", F.when(F.size("w") >= size, F.sha2(joined, 256)).alias("set_key"), slot))
+    rows = shingle_rows(docs, size)
+    keyed = rows.select("doc_id", "set_key", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot"))
     slots = keyed.where("set_key IS NOT NULL").groupBy("set_key", "slot").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     classes = slots.groupBy("set_key").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_copies"), F.collect_list("slot").alias("slots"))
-    pairs = checkpointed(shingle_pairs(docs, size, similar).select("a", "b"))
+    pairs = written(_pairs(rows, similar).select("a", "b"), "pairs")
     ends = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b"))
     links = ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
     labels = clusters(pairs).select(F.col("node").alias("class_id"), "label")
@@ -131,7 +143,7 @@ def quotes_found(quotes: DataFrame, texts: DataFrame, words: int = 8) -> DataFra
     cut = F.when(F.col("run") > 0, F.slice("w", F.lit(2), F.abs("run"))).otherwise(F.slice("c", F.lit(1), F.abs("run")))
     keyed = sized.select("item_id", "q", F.xxhash64(F.array_join(cut, " ")).alias("k"))
     runs = sorted(r["run"] for r in sized.select("run").distinct().collect()) or [words]
-    body = texts.select("doc_id", quote_folded(F.col("text")).alias("t"))
+    body = written(texts.select("doc_id", quote_folded(F.col("text")).alias("t")), "folded")
     split = {True: F.split("t", " "), False: F.split("t", "")}
     grams = F.flatten(F.array(*(run_hashes(split[n > 0], abs(n)) for n in runs)))
     # texts are joined again by id, so that no text is repeated for each of its runs

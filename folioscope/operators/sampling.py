@@ -6,16 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SLICE_DIGITS = 4
+
+
 def hash_sample(rows: DataFrame, key: str, seed: str, rate: float) -> DataFrame:
     """The ceil(rate * n) rows with the least digest of seed and key.
 
-    The cut is found as a limit over digests alone, then applied by a compare.
+    The digests' first ``SLICE_DIGITS`` digits are counted, at most 65,536 counts.
+    Slices below the one where the sample ends are taken by a compare; that one
+    alone is sorted.
     """
     ranked = rows.withColumn("digest", F.sha2(F.concat_ws("\x1f", F.lit(seed), F.col(key).cast("string")), 256))
-    wanted = -int(-rows.count() * rate // 1)
-    if not wanted:
-        return ranked.limit(0)
-    return ranked.orderBy("digest", key).limit(wanted)
+    part = F.substring("digest", 1, SLICE_DIGITS)
+    counts = sorted((r["s"], r["n"]) for r in ranked.groupBy(part.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect())
+    left = -int(-sum(n for _, n in counts) * rate // 1)
+    for last, n in counts:
+        if left <= n:
+            return ranked.where(part < last).unionByName(ranked.where(part == last).orderBy("digest", key).limit(left))
+        left -= n
+    return ranked.limit(0)
 
 
 def capped(rows: DataFrame, category: str, provision: str, order: str, cap: int, target: int) -> DataFrame:
@@ -44,9 +53,12 @@ def first_of(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
 
 
 def trap_ids(ids: DataFrame, act: str, number: str) -> DataFrame:
-    """Numbers that an act lacks though their neighbours exist: gaps up to its largest, and the one after it."""
-    per = ids.groupBy(act).agg(F.min(number).alias("low"), F.max(number).alias("high"), F.collect_set(number).alias("have"))
-    wanted = F.array_except(F.sequence(F.col("low"), F.col("high") + 1), F.col("have"))
-    return per.select(act, "high", F.explode(wanted).alias(number)).select(
-        act, number, F.when(F.col(number) > F.col("high"), "overrun").otherwise("gap").alias("kind")
-    )
+    """Numbers that an act lacks though their neighbours exist: gaps up to its largest, and the one after it.
+
+    Each number looks at the next one alone, so an act's numbers are never gathered.
+    """
+    following = F.lead(number).over(Window.partitionBy(act).orderBy(number))
+    steps = ids.distinct().withColumn("next", following)
+    gaps = F.when(F.col("next") > F.col(number) + 1, F.sequence(F.col(number) + 1, F.col("next") - 1)).when(F.col("next").isNull(), F.array(F.col(number) + 1))
+    kind = F.when(F.col("next").isNull(), "overrun").otherwise("gap")
+    return steps.select(act, kind.alias("kind"), F.explode(gaps).alias(number)).select(act, number, "kind")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +26,10 @@ def match_count(text: Column, needle: str) -> Column:
 
 def snippet(text: Column, needle: str, context: int = CONTEXT) -> Column:
     """The first match with its surroundings on one line, with an ellipsis where it is cut."""
-    at = F.instr(F.lower(text), needle)
+    lowered = F.lower(text)
+    # lower case may be longer or shorter than the text; then the place is looked for in the text itself
+    kept = F.regexp_instr(text, F.lit("(?iu)" + re.escape(needle)))
+    at = F.when((F.length(lowered) == F.length(text)) | (kept == 0), F.instr(lowered, needle)).otherwise(kept)
     begin = F.greatest(at - context, F.lit(1))
     body = collapsed(F.substring(text, begin, at - begin + len(needle) + context))
     after = at + len(needle) + context - 1 < F.length(text)

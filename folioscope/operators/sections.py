@@ -33,7 +33,7 @@ def sections(docs: DataFrame) -> DataFrame:
 
     The section test comes before the chapter test; a level-two heading that is
     no section closes what is open and sets the chapter; any other heading opens
-    a block whose id is its slug.
+    a block whose id is its slug, or only closes what is open where it has none.
     """
     rows = lines(docs)
     line = F.col("line")
@@ -54,7 +54,7 @@ def sections(docs: DataFrame) -> DataFrame:
     opened = parts.where("h.s OR h.b")
     label = F.when(F.col("h.s"), section_id(F.regexp_extract("h.line", SECTION, 1))).otherwise(block_id(F.regexp_extract("h.line", BLOCK, 1)))
     heading = F.when(F.col("h.s"), F.regexp_extract("h.line", SECTION, 2)).otherwise(F.regexp_extract("h.line", BLOCK, 1))
-    out = opened.select(
+    out = opened.where(label != "").select(
         "doc_id",
         F.row_number().over(Window.partitionBy("doc_id").orderBy("part")).alias("pos"),
         label.alias("section_id"),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The bound of a quantised entry and the floor of a search score.
 BOUND, FLOOR = 127, 0.25
+#: Query vectors of a block.
+BLOCK = 256
 
 
 def doubles(vector: Column) -> Column:
@@ -26,27 +28,37 @@ def normed(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return vectors.withColumn("v", doubles(F.col(column))).withColumn("norm", norm(F.col("v"))).where("norm > 0")
 
 
-def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", floor: float | None = None) -> DataFrame:
+def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", floor: float | None = None, unique: bool = False) -> DataFrame:
     """The k keys with the highest cosine, ties by key; the floor applies after the limit.
 
-    The query is a literal, so this is a scan and a top-k per task, with no
-    shuffle beyond k rows a task.
+    The query is a literal. Where keys are ``unique``, this is a scan and a top-k
+    per task, with no shuffle beyond k rows a task; otherwise a key's best row is
+    found first.
     """
     q = F.array(*(F.lit(float(x)) for x in query))
     size = sum(x * x for x in query) ** 0.5
     rows = normed(vectors).select(key, F.round(dot(F.col("v"), q) / (F.col("norm") * size), 6).alias("score"))
-    best = rows.groupBy(key).agg(F.max("score").alias("score")).orderBy(F.desc("score"), key).limit(k)
+    per_key = rows if unique else rows.groupBy(key).agg(F.max("score").alias("score"))
+    best = per_key.orderBy(F.desc("score"), key).limit(k)
     return best if floor is None else best.where(F.col("score") >= floor)
 
 
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """For a stated set of query vectors (query_id, embedding), the k nearest others by cosine.
 
-    The queries are gathered to one array that is checked to be small, and all
-    vectors meet it block by block; a partial top-k per task goes before the shuffle.
+    The queries are cut into blocks of about ``BLOCK`` vectors, and every vector
+    meets every block. Both sides are dealt over slots, so blocks are joined by
+    block and slot, by broadcast only where Spark finds them small; a partial
+    top-k per task goes before the shuffle.
     """
-    held = normed(queries).agg(F.collect_list(F.struct("query_id", "v", "norm", "label")).alias("qs"))
-    rows = normed(vectors).crossJoin(F.broadcast(held))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    slots = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
+    held = normed(queries).select(block, F.struct("query_id", "v", "norm", "label").alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs"))
+    held = held.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    dealt = normed(vectors).withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int"))
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    rows = dealt.join(held, ["block", "slot"])
     pairs = rows.select("vec_id", "label", "v", "norm", F.explode("qs").alias("q")).where("vec_id <> q.query_id")
     scored = pairs.select(
         F.col("q.query_id").alias("query_id"),

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import collapsed, content_hash, natural_key, slug
+from ..functions.text import block_id, collapsed, content_hash, document_slug, natural_key, slug
 from ..operators import changes, evalmetrics, graph, observe, quality, sampling, search, sections, usage, vectors, versions
 from ..session import table
 
@@ -46,11 +46,11 @@ def body_search(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("title_search", """
 SELECT p_partkey AS doc_id, p_name AS title, p_brand FROM part
-WHERE contains(lower(p_name), 'part') AND p_size >= 10 ORDER BY doc_id LIMIT 20
+WHERE contains(lower(p_name), 'bolt') AND p_size >= 10 ORDER BY doc_id LIMIT 20
 """)
 def title_search(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").where("p_size >= 10")
-    return search.title_search(parts.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title"), "p_brand"), "PART")
+    return search.title_search(parts.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title"), "p_brand"), "BOLT")
 
 
 @query("recent_changes", """
@@ -93,17 +93,21 @@ def natural_sort(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _manifest(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf, "documents")
-    digest = F.sha2(F.encode("text", "UTF-8"), 256)
-    upstream = docs.where("doc_id % 11 <> 0").select("doc_id", digest.alias("hash"))
-    old = F.when(F.col("doc_id") % 7 == 0, F.lit("old")).otherwise(digest)
-    state = F.when(F.col("doc_id") % 13 == 0, "removed").otherwise("current")
-    return upstream, docs.where("doc_id % 10 <> 0").select("doc_id", "source", old.alias("hash"), state.alias("status"))
+    """Two states of the same customers: their urgent orders as what is upstream now, their high ones as what was known."""
+    orders = table(spark, sf, "orders")
+
+    def state(priority: str) -> DataFrame:
+        return orders.where(F.col("o_orderpriority") == priority).groupBy(F.col("o_custkey").alias("doc_id")).agg(F.count(F.lit(1)).cast("string").alias("hash"))
+
+    status = F.when(F.col("c_acctbal") < 0, "removed").otherwise("current")
+    held = table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), "c_mktsegment", status.alias("status"))
+    return state("1-URGENT"), state("2-HIGH").join(held, "doc_id")
 
 
 _CHANGES = """
-WITH u AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 11 <> 0),
-m AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE sha256(text) END AS h FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 13 <> 0),
+WITH u AS (SELECT o_custkey AS doc_id, count(*) AS h FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
+m AS (SELECT o_custkey AS doc_id, c_mktsegment, count(*) AS h FROM orders JOIN customer ON o_custkey = c_custkey
+  WHERE o_orderpriority = '2-HIGH' AND c_acctbal >= 0 GROUP BY ALL),
 c AS (SELECT coalesce(u.doc_id, m.doc_id) AS doc_id, CASE WHEN m.h IS NULL THEN 'new' WHEN u.h IS NULL THEN 'removed' WHEN u.h <> m.h THEN 'changed' ELSE 'unchanged' END AS change
   FROM u FULL OUTER JOIN m ON u.doc_id = m.doc_id)
 """
@@ -115,13 +119,13 @@ def change_detection(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("mass_removal_ratio", _CHANGES + """
-SELECT source, count(*) AS n_current, CAST(count(c.doc_id) AS BIGINT) AS n_removed, round(count(c.doc_id) / count(*), 6) AS ratio,
+SELECT c_mktsegment, count(*) AS n_current, CAST(count(c.doc_id) AS BIGINT) AS n_removed, round(count(c.doc_id) / count(*), 6) AS ratio,
   count(*) >= 20 AND count(c.doc_id) / count(*) > 0.10 AS fires
-FROM m LEFT JOIN (SELECT doc_id FROM c WHERE change = 'removed') c ON m.doc_id = c.doc_id GROUP BY source
+FROM m LEFT JOIN (SELECT doc_id FROM c WHERE change = 'removed') c ON m.doc_id = c.doc_id GROUP BY c_mktsegment
 """)
 def mass_removal_ratio(spark: SparkSession, sf: str) -> DataFrame:
     upstream, manifest = _manifest(spark, sf)
-    return changes.removal_ratios(changes.detected(upstream, manifest), manifest, "source")
+    return changes.removal_ratios(changes.detected(upstream, manifest), manifest, "c_mktsegment")
 
 
 @query("rename_detection", """
@@ -158,12 +162,12 @@ def orphan_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("section_multiset", """
 WITH e AS (SELECT o_custkey, o_orderpriority, count(*) AS want FROM orders GROUP BY ALL),
-h AS (SELECT o_custkey, o_orderpriority, count(*) AS have FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY ALL)
+h AS (SELECT o_custkey, o_orderpriority, count(*) AS have FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL)
 SELECT o_custkey, o_orderpriority, want - coalesce(have, 0) AS lacking FROM e LEFT JOIN h USING (o_custkey, o_orderpriority) WHERE want > coalesce(have, 0)
 """)
 def section_multiset(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders")
-    return changes.multiset_difference(orders, orders.where("o_orderkey % 3 <> 0"), "o_custkey", "o_orderpriority")
+    return changes.multiset_difference(orders, orders.where("o_orderstatus = 'F'"), "o_custkey", "o_orderpriority")
 
 
 @query("content_hash", """
@@ -343,7 +347,7 @@ def garble_gate(spark: SparkSession, sf: str) -> DataFrame:
 @query("quote_verify", """
 WITH q AS (SELECT item_id, trim(regexp_replace(lower(text), '[ \\t-\\r]+', ' ', 'g')) AS q FROM benchmark),
 t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[ \\t-\\r]+', ' ', 'g')) AS t FROM documents)
-SELECT item_id, doc_id FROM q JOIN t ON contains(t, q) WHERE len(string_split(q, ' ')) >= 8
+SELECT item_id, doc_id FROM q JOIN t ON contains(t, q) WHERE q <> ''
 """)
 def quote_verify(spark: SparkSession, sf: str) -> DataFrame:
     quotes = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
@@ -488,14 +492,14 @@ _COSINE = """round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedd
 SELECT e.vec_id, {_COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, vec_id LIMIT 10
 """)
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.top_k(table(spark, sf, "embeddings"), _query_vector(spark, sf), 10)
+    return vectors.top_k(table(spark, sf, "embeddings"), _query_vector(spark, sf), 10, unique=True)
 
 
 @query("vector_topk_filtered", f"""
 SELECT vec_id, score FROM (SELECT e.vec_id, {_COSINE} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label IN (1, 2, 3) ORDER BY score DESC, vec_id LIMIT 20) WHERE score >= 0.1
 """)
 def vector_topk_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return vectors.top_k(table(spark, sf, "embeddings").where("label IN (1, 2, 3)"), _query_vector(spark, sf), 20, floor=0.1)
+    return vectors.top_k(table(spark, sf, "embeddings").where("label IN (1, 2, 3)"), _query_vector(spark, sf), 20, floor=0.1, unique=True)
 
 
 @query("vector_quantise", """
@@ -551,12 +555,12 @@ def seat_allocation(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("trap_ids", """
-WITH i AS (SELECT DISTINCT p_brand, p_size FROM part WHERE p_partkey % 3 = 0), r AS (SELECT p_brand, min(p_size) AS low, max(p_size) AS high FROM i GROUP BY p_brand),
+WITH i AS (SELECT DISTINCT p_brand, p_size FROM part), r AS (SELECT p_brand, min(p_size) AS low, max(p_size) AS high FROM i GROUP BY p_brand),
 w AS (SELECT p_brand, high, CAST(unnest(range(low, high + 2)) AS INTEGER) AS p_size FROM r)
 SELECT p_brand, p_size, CASE WHEN p_size > high THEN 'overrun' ELSE 'gap' END AS kind FROM w ANTI JOIN i USING (p_brand, p_size)
 """)
 def trap_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return sampling.trap_ids(table(spark, sf, "part").where("p_partkey % 3 = 0").select("p_brand", "p_size").distinct(), "p_brand", "p_size")
+    return sampling.trap_ids(table(spark, sf, "part").select("p_brand", "p_size"), "p_brand", "p_size")
 
 
 # --- metrics -----------------------------------------------------------------------------
@@ -608,22 +612,40 @@ def rate_spread(spark: SparkSession, sf: str) -> DataFrame:
 # --- chains --------------------------------------------------------------------------------
 
 
-@query("redirect_chain", """
-WITH RECURSIVE e AS (SELECT doc_id AS a, doc_id + 1 AS b FROM documents WHERE doc_id % 10 < 7),
-r AS (SELECT a, b, 1 AS steps FROM e UNION ALL SELECT r.a, e.b, r.steps + 1 FROM r JOIN e ON r.b = e.a)
-SELECT a, max(b) AS b, CAST(max(steps) AS BIGINT) AS steps FROM r GROUP BY a
+#: Every order but a customer's last is followed by the next one; every error of a user is put right by the next event.
+_ORDER_EDGES = "SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders QUALIFY b IS NOT NULL"
+
+
+@query("redirect_chain", f"""
+WITH e AS ({_ORDER_EDGES}), o AS (SELECT *, count(*) OVER w AS place, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+SELECT e.a, z.o_orderkey AS b, CAST(z.n - o.place AS BIGINT) AS steps FROM e JOIN o ON e.a = o.o_orderkey JOIN o z ON z.o_custkey = o.o_custkey AND z.place = z.n
 """)
 def redirect_chain(spark: SparkSession, sf: str) -> DataFrame:
-    edges = table(spark, sf, "documents").where("doc_id % 10 < 7").select(F.col("doc_id").alias("a"), (F.col("doc_id") + 1).alias("b"))
-    return graph.chased(edges)
+    following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return graph.chased(table(spark, sf, "orders").select(F.col("o_orderkey").alias("a"), following.alias("b")).where("b IS NOT NULL"))
 
 
 @query("correction_chain", """
-WITH RECURSIVE e AS (SELECT event_id AS a, event_id + 3 AS b FROM events WHERE event_id % 9 < 4),
-r AS (SELECT a, b, 1 AS n FROM e UNION ALL SELECT r.a, e.b, n + 1 FROM r JOIN e ON r.b = e.a)
-SELECT event_id AS record_id, coalesce((SELECT max(b) FROM r WHERE r.a = event_id), event_id) AS in_force FROM events WHERE event_type = 'error'
+WITH e AS (SELECT event_id, user_id, event_type, ts, row_number() OVER w AS place, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT *, min(CASE WHEN event_type <> 'error' OR place = n THEN place END) OVER (PARTITION BY user_id ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ends FROM e)
+SELECT g.event_id AS record_id, z.event_id AS in_force FROM g JOIN e z ON z.user_id = g.user_id AND z.place = g.ends WHERE g.event_type = 'error'
 """)
 def correction_chain(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
-    fixes = events.where("event_id % 9 < 4").select(F.col("event_id").alias("retracts"), (F.col("event_id") + 3).alias("replaced_by"))
-    return observe.corrected(events.where("event_type = 'error'").select(F.col("event_id").alias("record_id")), fixes)
+    following = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    fixes = events.withColumn("replaced_by", following).where("event_type = 'error' AND replaced_by IS NOT NULL")
+    records = events.where("event_type = 'error'").select(F.col("event_id").alias("record_id"))
+    return observe.corrected(records, fixes.select(F.col("event_id").alias("retracts"), "replaced_by"))
+
+
+# --- sections of literal documents ------------------------------------------------------------
+
+
+@query("slug_forms", """
+SELECT * FROM (VALUES ('a', 'skatteloven', '#skatteloven'), ('b', 'lov-om-årsregnskap', '#lov-om-årsregnskap'), ('c', 'rossen-tjïelte', '#rossen-tj-elte'), ('d', 'd', ''),
+  ('e', 'øst-vest-2', '#øst-vest-2'), ('f', 'f', '')) t(doc_id, slug, block)
+""")
+def slug_forms(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [("a", "Skatteloven"), ("b", "Lov om årsregnskap"), ("c", "Rossen tjïelte"), ("d", "---"), ("e", "ØST/VEST  2."), ("f", "")]
+    docs = spark.createDataFrame(rows, "doc_id string, title string")
+    return docs.select("doc_id", document_slug(F.lit(None).cast("string"), F.col("title"), F.col("doc_id")).alias("slug"), block_id(F.col("title")).alias("block"))

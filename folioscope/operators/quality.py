@@ -44,12 +44,17 @@ def line_hits(rows: DataFrame, key: str) -> DataFrame:
     return rows.select(key, "line_no", F.explode(F.array_compact(kinds)).alias("kind"))
 
 
+def run_hash(words: Column, start: Column, size: int) -> Column:
+    """The hash of ``size`` words from ``start`` (from 0), word by word, so that none are joined or copied."""
+    return F.xxhash64(*(F.get(words, start + k) for k in range(size)))
+
+
 def run_hashes(words: Column, size: int) -> Column:
     """Hashes of the runs of ``size`` words; the words are computed once a row, even where Spark moves them into the lambda."""
 
     def hashed(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " ")))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0)))
+        return F.transform(starts, lambda i: run_hash(w, i, size))
 
     return F.transform(F.array(words), hashed)[0]
 
@@ -141,8 +146,9 @@ def quotes_found(quotes: DataFrame, texts: DataFrame, words: int = 8) -> DataFra
     run = F.when(F.size("w") >= 4, F.least(F.size("w") - 2, F.lit(words))).otherwise(-F.least(F.size("c"), F.lit(LETTERS)))
     sized = parts.withColumn("run", run)
     cut = F.when(F.col("run") > 0, F.slice("w", F.lit(2), F.abs("run"))).otherwise(F.slice("c", F.lit(1), F.abs("run")))
-    keyed = sized.select("item_id", "q", F.xxhash64(F.array_join(cut, " ")).alias("k"))
     runs = sorted(r["run"] for r in sized.select("run").distinct().collect()) or [words]
+    hashes = [F.when(F.col("run") == n, run_hash(F.col("cut"), F.lit(0), abs(n))) for n in runs]
+    keyed = sized.withColumn("cut", cut).select("item_id", "q", F.coalesce(*hashes).alias("k"))
     body = written(texts.select("doc_id", quote_folded(F.col("text")).alias("t")), "folded")
     split = {True: F.split("t", " "), False: F.split("t", "")}
     grams = F.flatten(F.array(*(run_hashes(split[n > 0], abs(n)) for n in runs)))

@@ -12,9 +12,9 @@ doc_id, then the earlier start. Runs are never changed; ``compact`` writes many
 as one. An index can be opened again by its path.
 
 Anchors that hold over a quarter of a bucket's share (a sketch over all rows
-names them; their number is bounded) are dealt by document as well, and their
-first occurrences come from grouped minima, which are combined before the
-shuffle. So a passage in a third of all documents fills no single task.
+names them; their number is bounded) are dealt over slots by document: each slot
+finds its own first occurrence, and the least of those is the first of all.
+So a passage in a third of all documents fills no single task.
 
 Defined results: a null or empty text has no words; texts under 20 words lose
 none; rows that share a doc_id are one document with several texts: each row is
@@ -241,13 +241,12 @@ def _marks(index: FingerprintIndex) -> DataFrame:
     light = stepped.withColumn("kinds", kinds).where("seen OR kinds > 1").select(*shown)
     if not heavy_anchors:
         return light
-    crowd = rows.where(is_heavy)
-    # a group of many rows is met by document as well, so its first occurrence goes to every slot
-    deal = F.pmod(F.col("key"), F.lit(SLOTS))
-    first = crowd.groupBy("anchor", "around", "check").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    first = first.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long")))).drop("n")
-    told = crowd.withColumn("deal", deal).join(first, ["anchor", "around", "check", "deal"], "left")
-    return light.unionByName(told.withColumn("seen", F.coalesce(at > F.col("first"), F.lit(False))).select(*shown))
+    # a slot tells all but its own first row of a neighbourhood; those few are then told from the least of them
+    crowd = rows.where(is_heavy).withColumn("seen", at > F.first(at).over(alike))
+    same, leads = ["anchor", "around", "check"], crowd.where("NOT seen").drop("seen")
+    first = leads.groupBy(*same).agg(F.min(at).alias("first"))
+    told = leads.join(first, same).withColumn("seen", at > F.col("first"))
+    return light.unionByName(crowd.where("seen").select(*shown)).unionByName(told.select(*shown))
 
 
 def _window_rows(texts: DataFrame) -> DataFrame:

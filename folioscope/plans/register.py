@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import block_id, collapsed, content_hash, document_slug, natural_key, slug
-from ..operators import changes, evalmetrics, graph, observe, quality, sampling, search, sections, usage, vectors, versions
+from ..operators import audit, changes, citations, evalmetrics, graph, observe, quality, sampling, search, sections, temporal, usage, vectors, versions, workdays
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -649,3 +649,133 @@ def slug_forms(spark: SparkSession, sf: str) -> DataFrame:
     rows = [("a", "Skatteloven"), ("b", "Lov om årsregnskap"), ("c", "Rossen tjïelte"), ("d", "---"), ("e", "ØST/VEST  2."), ("f", "")]
     docs = spark.createDataFrame(rows, "doc_id string, title string")
     return docs.select("doc_id", document_slug(F.lit(None).cast("string"), F.col("title"), F.col("doc_id")).alias("slug"), block_id(F.col("title")).alias("block"))
+
+
+# --- dates, audits and citations ------------------------------------------------------------
+
+
+@query("event_evaluation", """
+WITH e AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'F' THEN CAST(l_shipdate AS DATE) END AS f, l_returnflag = 'A' AS p,
+  CAST(l_shipdate AS DATE) + CAST(l_quantity AS INTEGER) - 25 AS a, DATE '1998-06-01' AS h FROM lineitem)
+SELECT l_orderkey, l_linenumber,
+  CASE WHEN f <= a THEN 'in_force' WHEN f IS NOT NULL OR p THEN 'not_in_force' ELSE 'indeterminate' END AS in_force,
+  CASE WHEN f <= a THEN 'in_effect' WHEN f IS NOT NULL THEN 'not_in_effect' WHEN a > h THEN 'indeterminate' WHEN p THEN 'not_in_effect' ELSE 'indeterminate' END AS status,
+  CASE WHEN f IS NULL AND a > h THEN 'beyond_knowledge_horizon' END AS reason,
+  CASE WHEN a > h THEN 'indeterminate' ELSE 'not_in_effect' END AS never
+FROM e
+""")
+def event_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    items = table(spark, sf, "lineitem")
+    valid_from = F.when(F.col("l_linestatus") == "F", F.to_date("l_shipdate"))
+    marker = F.when(F.col("l_returnflag") == "A", temporal.PENDING).otherwise("absent")
+    at, horizon = F.date_add(F.to_date("l_shipdate"), F.col("l_quantity").cast("int") - 25), F.lit("1998-06-01").cast("date")
+    return items.select(
+        "l_orderkey",
+        "l_linenumber",
+        temporal.in_force(valid_from, marker, at).alias("in_force"),
+        temporal.evaluated(valid_from, marker, at, horizon).alias("e"),
+        temporal.never_in_force(at, horizon).getField("status").alias("never"),
+    ).select("l_orderkey", "l_linenumber", "in_force", "e.status", "e.reason", "never")
+
+
+@query("working_days", """
+WITH days AS (SELECT CAST(unnest(generate_series(DATE '1990-01-01', DATE '2005-12-31', INTERVAL 1 DAY)) AS DATE) AS day),
+sundays AS (SELECT DATE '1990-04-15' AS e UNION ALL SELECT unnest([DATE '1991-03-31', DATE '1992-04-19', DATE '1993-04-11', DATE '1994-04-03', DATE '1995-04-16', DATE '1996-04-07',
+  DATE '1997-03-30', DATE '1998-04-12', DATE '1999-04-04', DATE '2000-04-23', DATE '2001-04-15', DATE '2002-03-31', DATE '2003-04-20', DATE '2004-04-11', DATE '2005-03-27'])),
+moving AS (SELECT e + CAST(unnest([-3, -2, 0, 1, 39, 49, 50]) AS INTEGER) AS day FROM sundays),
+works AS (SELECT day, isodow(day) < 6 AND strftime(day, '%m-%d') NOT IN ('01-01', '05-01', '05-17', '12-25', '12-26') AND day NOT IN (SELECT day FROM moving) AS w FROM days),
+nth AS (SELECT day, w, sum(CAST(w AS INTEGER)) OVER (ORDER BY day) AS n FROM works)
+SELECT o_orderkey, d.day AS due FROM orders o JOIN nth s ON s.day = CAST(o_orderdate AS DATE) JOIN nth d ON d.w AND d.n = s.n + 15
+""")
+def working_days(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("sent"), F.lit(15).alias("n"))
+    return workdays.with_working_day(orders, "sent", "n").select("o_orderkey", "due")
+
+
+def _manifest(spark: SparkSession, sf: str, path: Column) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", "removed").otherwise("current")
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("doc_id"), path.alias("path"), status.alias("status"), F.substring("o_orderpriority", 1, 1).cast("int").alias("renderer_version")
+    )
+
+
+@query("manifest_findings", """
+WITH m AS (SELECT o_orderkey AS doc_id, o_custkey || '/' || o_orderpriority AS path, o_totalprice, CASE WHEN o_orderstatus = 'F' THEN 'removed' ELSE 'current' END AS status, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS v FROM orders),
+f AS (SELECT path FROM m WHERE o_totalprice >= 250000),
+live AS (SELECT path FROM m WHERE status = 'current')
+SELECT doc_id, path, 'tombstoned_but_present' AS kind FROM m WHERE status = 'removed' AND path IN (SELECT path FROM f) AND path NOT IN (SELECT path FROM live)
+UNION ALL SELECT doc_id, path, 'missing_document' FROM m WHERE status = 'current' AND path NOT IN (SELECT path FROM f)
+UNION ALL SELECT doc_id, path, 'stale_render' FROM m WHERE status = 'current' AND path IN (SELECT path FROM f) AND v < 3
+""")
+def manifest_findings(spark: SparkSession, sf: str) -> DataFrame:
+    path = F.concat_ws("/", "o_custkey", "o_orderpriority")
+    files = table(spark, sf, "orders").where("o_totalprice >= 250000").select(path.alias("path"))
+    return audit.document_findings(_manifest(spark, sf, path), files, 3)
+
+
+@query("declared_findings", """
+WITH m AS (SELECT o_orderkey AS doc_id, o_custkey AS path FROM orders WHERE o_orderstatus <> 'F'),
+f AS (SELECT c_custkey AS path, CASE WHEN c_acctbal >= 0 THEN c_custkey END AS declared, substr(lower(n_name), 1, n_regionkey + 1) AS language FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT doc_id, m.path, 'identity_mismatch' AS kind FROM m JOIN f USING (path) WHERE declared <> doc_id
+UNION ALL SELECT doc_id, m.path, 'malformed_language' FROM m JOIN f USING (path) WHERE NOT regexp_full_match(language, '[a-z]{2,3}')
+""")
+def declared_findings(spark: SparkSession, sf: str) -> DataFrame:
+    files = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("path"),
+        F.when(F.col("c_acctbal") >= 0, F.col("c_custkey")).alias("declared_id"),
+        F.lower("n_name").substr(F.lit(1), (F.col("n_regionkey") + 1).cast("int")).alias("language"),
+    )
+    return audit.declared_findings(_manifest(spark, sf, F.col("o_custkey")), files)
+
+
+@query("snapshot_findings", """
+WITH e AS (SELECT *, user_id || '-' || CAST(floor(value / 10) AS BIGINT) AS u FROM events),
+o AS (SELECT u, max(ts) AS at_ FROM e WHERE event_type = 'view' GROUP BY 1),
+t AS (SELECT u, max(ts) AS at_ FROM e WHERE event_type = 'error' GROUP BY 1),
+b AS (SELECT u, max(value % 1) > 0.5 AS bad FROM e WHERE event_type = 'click' GROUP BY 1),
+j AS (SELECT u, o.at_ AS seen, t.at_ AS retired, b.bad FROM o FULL JOIN t USING (u) FULL JOIN b USING (u))
+SELECT sha256(u) AS sha, kind FROM (
+  SELECT u, CASE WHEN retired IS NULL THEN 'missing' ELSE 'removed' END AS kind FROM j WHERE seen IS NOT NULL AND bad IS NULL
+  UNION ALL SELECT u, 'mismatched' FROM j WHERE seen IS NOT NULL AND bad
+  UNION ALL SELECT u, 'orphan' FROM j WHERE seen IS NULL AND bad IS NOT NULL
+  UNION ALL SELECT u, 'unremoved' FROM j WHERE retired IS NOT NULL AND bad IS NOT NULL
+  UNION ALL SELECT u, 'unknown_tombstone' FROM j WHERE retired IS NOT NULL AND seen IS NULL
+  UNION ALL SELECT u, 'late' FROM j WHERE seen > retired)
+""")
+def snapshot_findings(spark: SparkSession, sf: str) -> DataFrame:
+    sha = F.sha2(F.concat_ws("-", "user_id", F.floor(F.col("value") / 10)), 256)
+    events = table(spark, sf, "events").withColumn("sha", sha)
+    log = {kind: events.where(F.col("event_type") == kind).select("sha", F.col("ts").alias("at")) for kind in ("view", "error")}
+    blobs = events.where("event_type = 'click'").select("sha", F.when(F.col("value") % 1 > 0.5, "").otherwise(F.col("sha")).alias("actual"))
+    return audit.snapshot_findings(log["view"], log["error"], blobs)
+
+
+@query("append_only_problems", """
+SELECT l_orderkey AS k, l_linenumber AS rev, CASE WHEN o_orderkey IS NULL THEN 'removed' ELSE 'rewritten' END AS kind
+FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey AND l_linenumber = 1 WHERE o_orderkey IS NULL OR o_orderstatus <> l_linestatus
+""")
+def append_only_problems(spark: SparkSession, sf: str) -> DataFrame:
+    before = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("int").alias("rev"), F.col("l_linestatus").alias("status"))
+    now = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.lit(1).alias("rev"), F.col("o_orderstatus").alias("status"))
+    return audit.rewritten(now, before, ["k", "rev"], "status")
+
+
+@query("cross_references", """
+WITH acts AS (SELECT DISTINCT 'part-' || p_partkey AS slug, p_size < 25 AS complete FROM part WHERE p_retailprice >= 950),
+sections AS (SELECT DISTINCT 'part-' || l_partkey AS slug, CAST(l_linenumber AS VARCHAR) AS section_id FROM lineitem WHERE l_returnflag = 'A'),
+r AS (SELECT l_orderkey AS key, CASE WHEN slug IS NULL THEN 'order-' || l_orderkey ELSE slug END AS target, CAST(l_linenumber AS VARCHAR) AS section_id, slug, complete
+  FROM lineitem LEFT JOIN acts ON slug = 'part-' || l_partkey),
+g AS (SELECT key, target, section_id, any_value(slug) AS slug, bool_and(complete) AS complete, count(*) AS n FROM r GROUP BY 1, 2, 3)
+SELECT key, target, g.section_id, '§ ' || g.section_id AS wording, n,
+  CASE WHEN g.slug IS NULL THEN false WHEN s.slug IS NOT NULL THEN true WHEN complete THEN false END AS valid
+FROM g LEFT JOIN sections s ON s.slug = g.target AND s.section_id = g.section_id
+""")
+def cross_references(spark: SparkSession, sf: str) -> DataFrame:
+    acts = table(spark, sf, "part").where("p_retailprice >= 950").select(F.concat(F.lit("part-"), F.col("p_partkey")).alias("slug"), (F.col("p_size") < 25).alias("complete"))
+    items = table(spark, sf, "lineitem")
+    number, act = F.col("l_linenumber").cast("string"), F.concat(F.lit("part-"), F.col("l_partkey"))
+    sentence = F.concat(F.lit("Se "), F.upper(act), F.lit(" § "), number, F.lit("."))
+    told = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", sentence.alias("said")))).alias("all"))
+    texts = told.select(F.col("l_orderkey").alias("key"), F.concat(F.lit("order-"), F.col("l_orderkey")).alias("slug"), F.array_join(F.col("all.said"), " ").alias("text"))
+    sections_there = items.where("l_returnflag = 'A'").select(act.alias("slug"), number.alias("section_id"))
+    return citations.verdicts(citations.references(texts, acts), acts, sections_there)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import block_id, collapsed, content_hash, document_slug, natural_key, slug
-from ..operators import audit, changes, citations, evalmetrics, graph, observe, quality, sampling, search, sections, temporal, usage, vectors, versions, workdays
+from ..operators import audit, changes, citations, evalmetrics, graph, observe, quality, sampling, scorecard, search, sections, temporal, usage, vectors, versions, workdays
 from ..session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -609,6 +609,112 @@ def rate_spread(spark: SparkSession, sf: str) -> DataFrame:
     return evalmetrics.spread(table(spark, sf, "events"), ["event_type"], "value")
 
 
+# --- scores of two arms ----------------------------------------------------------------------
+
+#: Every order is a case that both arms answered; its numbers stand for what a scorer found. Both engines read this text.
+_ARMS = " UNION ALL ".join(
+    f"""SELECT '{arm}' AS arm, o_orderkey AS case_id, concat('C', o_custkey % 8 + 1) AS category, o_orderkey * 3 + o_custkey + {5 * t} AS k, {3 + t} AS m FROM orders"""
+    for t, arm in enumerate(("control", "treatment"))
+)
+_SCORES = f"""SELECT arm, case_id, category, outcome, CASE outcome WHEN 'PASS' THEN true WHEN 'FAIL' THEN false END AS passed,
+  k % m = 0 AND k % 4 > 0 AS invented, k % 4 AS cited, least(k % 4, k % 3) AS valid, k % 6 AS quotes, least(k % 6, k % 5) AS checkable,
+  least(k % 6, k % 5, k % 4) AS verified, CASE k % 3 WHEN 0 THEN 'fail' WHEN 1 THEN 'pass' END AS claimed,
+  CASE k % 4 WHEN 0 THEN 'unresolved' WHEN 1 THEN 'pass' WHEN 2 THEN 'fail' END AS premise, k % 2 = 0 AS retrieved, k % 7 AS claims, k % 2 AS loose
+FROM (SELECT *, CASE WHEN k % 31 = 0 THEN 'MODEL_ERROR' WHEN k % 37 = 0 THEN 'SCORER_ERROR' WHEN k % 5 = 0 THEN 'UNRESOLVED_SEMANTIC'
+  WHEN k % 5 < 3 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM ({_ARMS}) a) b"""
+_SCORED = f"""WITH scores AS ({_SCORES}), lost AS (SELECT DISTINCT case_id FROM scores WHERE outcome IN ('MODEL_ERROR', 'SCORER_ERROR')),
+scored AS (SELECT * FROM scores WHERE case_id NOT IN (SELECT case_id FROM lost)),
+told AS (SELECT arm, category, unnest([
+  {{'metric': 'unconditional_h1_rate', 'n': CAST(invented AS BIGINT), 'd': 1}},
+  {{'metric': 'citation_coverage', 'n': CAST(cited > 0 AS BIGINT), 'd': 1}},
+  {{'metric': 'citation_hallucination_rate', 'n': CAST(invented AND cited > 0 AS BIGINT), 'd': CAST(cited > 0 AS BIGINT)}},
+  {{'metric': 'citation_accuracy', 'n': valid, 'd': cited}},
+  {{'metric': 'valid_citations_per_answer', 'n': valid, 'd': 1}},
+  {{'metric': 'invalid_citations_per_answer', 'n': cited - valid, 'd': 1}},
+  {{'metric': 'misattribution_rate', 'n': CAST(category = 'C4' AND claimed IS NOT DISTINCT FROM 'fail' AS BIGINT), 'd': CAST(category = 'C4' AS BIGINT)}},
+  {{'metric': 'correct_provision_identification', 'n': CAST(category IN ('C1', 'C2') AND passed IS NOT DISTINCT FROM true AS BIGINT), 'd': CAST(category IN ('C1', 'C2') AS BIGINT)}},
+  {{'metric': 'quote_fidelity', 'n': verified, 'd': checkable}},
+  {{'metric': 'false_premise_rejection_rate', 'n': CAST(category = 'C6' AND premise IS NOT DISTINCT FROM 'pass' AS BIGINT), 'd': CAST(category = 'C6' AND coalesce(premise, 'unresolved') <> 'unresolved' AS BIGINT)}},
+  {{'metric': 'no_invention_rate_resolved_cases', 'n': CAST(category = 'C8' AND passed IS NOT DISTINCT FROM true AS BIGINT), 'd': CAST(category = 'C8' AND passed IS NOT NULL AS BIGINT)}},
+  {{'metric': 'post_direct_retrieval_hallucination_rate', 'n': CAST(retrieved AND (invented OR claimed IS NOT DISTINCT FROM 'fail') AS BIGINT), 'd': CAST(retrieved AS BIGINT)}}
+], recursive := true) FROM scored)"""
+
+
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.sql(_SCORES.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf, "orders"))
+    found = F.when(F.col("invented"), F.array(F.lit("1"))).otherwise(F.array().cast("array<string>"))
+    criteria = F.create_map(F.lit("claimed-attribution-not-asserted"), "claimed", F.lit("false-premise-not-endorsed"), "premise")
+    return rows.select(
+        "arm", "case_id", "category", "outcome", "passed", criteria.alias("criteria"), found.alias("asserted_h1"), F.col("cited").alias("asserted_citations"),
+        F.col("cited").alias("asserted_resolved"), F.col("valid").alias("asserted_valid"), F.col("quotes").alias("quotes_detected"), F.col("checkable").alias("quotes_checkable"),
+        F.col("verified").alias("quotes_verified"), F.col("claims").alias("unresolved_claims"), F.col("loose").alias("unattached_quotes"), "retrieved",
+    )
+
+
+@query("score_rates", _SCORED + """,
+s AS (SELECT arm, metric, CAST(sum(n) AS BIGINT) AS numerator, CAST(sum(d) AS BIGINT) AS denominator FROM told GROUP BY 1, 2),
+p AS (SELECT *, numerator / denominator AS p, CAST(denominator AS DOUBLE) AS t, 3.8414588206941227 AS z2, metric NOT LIKE '%per_answer' AND numerator <= denominator AS fits FROM s)
+SELECT arm, metric, numerator, denominator, round(p, 6) AS rate,
+  CASE WHEN fits THEN round(greatest((p + z2 / (2 * t) - 1.959963984540054 * sqrt(p * (1 - p) / t + z2 / (4 * t * t))) / (1 + z2 / t), 0), 6) END AS ci_low,
+  CASE WHEN fits THEN round(least((p + z2 / (2 * t) + 1.959963984540054 * sqrt(p * (1 - p) / t + z2 / (4 * t * t))) / (1 + z2 / t), 1), 6) END AS ci_high FROM p
+""")
+def score_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return scorecard.rates(scorecard.samples(scorecard.scored(_scores(spark, sf))))
+
+
+@query("score_differences", _SCORED + """,
+r AS (SELECT metric, category, sum(n) FILTER (arm = 'control') / nullif(sum(d) FILTER (arm = 'control'), 0) AS c,
+  sum(n) FILTER (arm = 'treatment') / nullif(sum(d) FILTER (arm = 'treatment'), 0) AS t FROM told GROUP BY 1, 2)
+SELECT metric, category, CASE WHEN metric NOT LIKE 'post%' THEN round(c, 6) END AS control, round(t, 6) AS treatment,
+  CASE WHEN metric NOT LIKE 'post%' THEN round(c - t, 6) END AS delta FROM r
+""")
+def score_differences(spark: SparkSession, sf: str) -> DataFrame:
+    return scorecard.differences(scorecard.samples(scorecard.scored(_scores(spark, sf))), "category")
+
+
+@query("score_eligibility", f"""
+WITH f AS (SELECT case_id, bool_or(outcome = 'MODEL_ERROR') AS m, bool_or(outcome = 'SCORER_ERROR') AS s FROM ({_SCORES}) GROUP BY 1),
+c AS (SELECT count(*) AS pairs_total, count(*) FILTER (NOT m AND NOT s) AS pairs_scored, count(*) FILTER (m) AS model_error_pairs, count(*) FILTER (s AND NOT m) AS scorer_error_pairs FROM f)
+SELECT *, model_error_pairs <= 5 AS model_gate, scorer_error_pairs <= 2 AS scorer_gate, model_error_pairs <= 5 AND scorer_error_pairs <= 2 AS eligible FROM c
+""")
+def score_eligibility(spark: SparkSession, sf: str) -> DataFrame:
+    return scorecard.eligibility(_scores(spark, sf))
+
+
+@query("score_outcomes", f"""
+SELECT arm, category, count(*) FILTER (outcome = 'PASS') AS pass, count(*) FILTER (outcome = 'FAIL') AS fail, count(*) FILTER (outcome = 'UNRESOLVED_SEMANTIC') AS unresolved_semantic,
+  count(*) FILTER (outcome = 'SCORER_ERROR') AS scorer_error, count(*) FILTER (outcome = 'MODEL_ERROR') AS model_error, count(*) AS total FROM ({_SCORES}) GROUP BY 1, 2
+""")
+def score_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    return scorecard.outcome_counts(_scores(spark, sf), "category")
+
+
+@query("score_buckets", _SCORED + """
+SELECT arm, CAST(sum(claims) AS BIGINT) AS unresolved_claims, CAST(sum(loose) AS BIGINT) AS unattached_quotes,
+  CAST(sum(quotes - checkable) AS BIGINT) AS unverifiable_quotes, count(*) FILTER (passed IS NULL) AS cases_unresolved FROM scored GROUP BY arm
+""")
+def score_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return scorecard.buckets(scorecard.scored(_scores(spark, sf)))
+
+
+@query("score_missingness", _SCORED + """,
+o AS (SELECT sum(CASE arm WHEN 'control' THEN n ELSE -n END) AS observed FROM told WHERE metric = 'unconditional_h1_rate'),
+c AS (SELECT count(DISTINCT case_id) AS total, (SELECT count(*) FROM lost) AS gone FROM scores),
+e AS (SELECT count(DISTINCT case_id) FILTER (outcome = 'MODEL_ERROR') AS m,
+  count(DISTINCT case_id) FILTER (outcome = 'SCORER_ERROR' AND case_id NOT IN (SELECT case_id FROM scores WHERE outcome = 'MODEL_ERROR')) AS s FROM scores)
+SELECT gone AS dropped_pairs, round(observed / total, 6) AS delta_all_cases, round((observed - gone) / total, 6) AS worst_low, round((observed + gone) / total, 6) AS worst_high,
+  CASE WHEN gone > 0 THEN CASE WHEN observed > 0 THEN observed > gone WHEN observed < 0 THEN observed + gone < 0 ELSE false END END AS survives, m <= 5 AND s <= 2 AS eligible FROM o, c, e
+""")
+def score_missingness(spark: SparkSession, sf: str) -> DataFrame:
+    return scorecard.missingness(_scores(spark, sf))
+
+
+@query("score_intervals")
+def score_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    of = scorecard.samples(scorecard.scored(_scores(spark, sf)))
+    return scorecard.difference_intervals(of).select(F.lit("both").alias("arm"), "metric", "ci_low", "ci_high").unionByName(scorecard.mean_intervals(of))
+
+
 # --- chains --------------------------------------------------------------------------------
 
 

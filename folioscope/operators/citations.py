@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import section_id
+
 #: Fixed forms: a section reference, the letters of slugs, and how far from a reference its act may be named.
 REFERENCE, SLUG_LETTERS, REACH = r"§\s*(\d+(?:-[\da-z]+)?)", "A-Za-z0-9ÆØÅÄÖÜæøåäöü-", 80
 #: Every text is a row of these: references, words of slug letters, and what lies between.
@@ -72,3 +74,86 @@ def verdicts(refs: DataFrame, acts: DataFrame, sections: DataFrame) -> DataFrame
     met = refs.join(whole, "target", "left").join(there, ["target", "section_id"], "left")
     valid = F.when(F.col("__complete").isNull(), False).when(F.col("__there"), True).when(F.col("__complete"), False)
     return met.withColumn("valid", valid).drop("__complete", "__there")
+
+
+#: Fixed forms: a section as a citation writes it, and the letters a short name or an abbreviation must have.
+CITED, SHORT_NAME, ABBREVIATION = r"§\s*([0-9]+(?:\s*[a-zA-Z](?![\p{L}\d]))?(?:-[0-9]+(?:\s*[a-zA-Z](?![\p{L}\d]))?)*)", 4, 3
+
+
+def names(acts: DataFrame) -> DataFrame:
+    """One row per name: the act with that slug, and the first and last act with it as short name or as abbreviation.
+
+    ``acts`` has a slug per current document. A slug that several documents
+    claim is no act, but its names still count as names. The short name is the
+    slug up to its last hyphen, the abbreviation what follows.
+    """
+    claims = acts.where("slug IS NOT NULL").groupBy("slug").agg((F.count(F.lit(1)) > 1).alias("claimed"))
+    before, after = F.regexp_extract("slug", "^(.*)-[^-]*$", 1), F.regexp_extract("slug", "-([^-]*)$", 1)
+    forms = F.array(*(F.struct(name.alias("name"), F.lit(kind).alias("kind")) for name, kind in ((F.col("slug"), "slug"), (before, "short"), (after, "abbreviation"))))
+    each = claims.select("*", F.inline(forms)).where("name != ''")
+    act, short = F.struct("slug", "claimed"), F.col("kind") != "abbreviation"
+    return each.groupBy("name").agg(
+        F.max(F.when((F.col("kind") == "slug") & ~F.col("claimed"), F.col("slug"))).alias("exact"),
+        F.min(F.when(short, act)).alias("low"), F.max(F.when(short, act)).alias("high"),
+        F.min(F.when(~short, act)).alias("low_abbreviated"), F.max(F.when(~short, act)).alias("high_abbreviated"),
+    )
+
+
+def _named(requests: DataFrame, acts: DataFrame) -> DataFrame:
+    """key, exact, low, high: the longest slug in each citation, and the ends of what its short names name."""
+    word = F.explode(F.regexp_extract_all(F.lower("citation"), F.lit(rf"[{SLUG_LETTERS}]+\.?"), F.lit(0)))
+    words = requests.select("key", word.alias("word")).distinct()
+    dotted = F.col("word").endswith(".")
+    met = words.withColumn("name", F.rtrim("word", F.lit("."))).join(names(acts), "name")
+    counts = F.length("name") >= F.when(dotted, ABBREVIATION).otherwise(SHORT_NAME)
+
+    def end(side: str):
+        return F.when(counts, F.coalesce(F.col(side), F.when(dotted, F.col(f"{side}_abbreviated"))))
+
+    return met.groupBy("key").agg(
+        F.max_by("exact", F.when(F.col("exact").isNotNull(), F.struct(F.length("exact"), "exact"))).alias("exact"), F.min(end("low")).alias("low"), F.max(end("high")).alias("high")
+    )
+
+
+def validated(requests: DataFrame, acts: DataFrame, sections: DataFrame) -> DataFrame:
+    """Whether what each citation cites exists: key, valid, slug, section_id, heading, reason.
+
+    ``requests`` has a citation per key; ``acts`` a slug per current document;
+    ``sections`` slug, section_id and heading of each section. The longest slug
+    that stands in the citation as a word is the act, else the one act that its
+    short names and dotted abbreviations name. A section id may end in a letter
+    after a space; where there is no such section, a last "i" is read as a word.
+    A citation of an act alone is valid if there is the act. Reasons: range (§§),
+    unparsed (neither act nor section), no_act, ambiguous_act, claimed_act,
+    ambiguous_section, no_section. A null citation is an empty one.
+    """
+    asked = requests.select("key", F.coalesce("citation", F.lit("")).alias("citation"))
+    written = F.regexp_extract("citation", CITED, 1)
+    bare = F.regexp_replace(written, r"\s+i$", "")
+    met = asked.join(_named(asked, acts), "key", "left").select(
+        "key", "exact", "low", "high", F.contains("citation", F.lit("§§")).alias("range"),
+        F.when(written != "", section_id(written)).alias("full"), F.when((written != "") & (bare != written), section_id(bare)).alias("bare"),
+    )
+    one = F.when(F.col("low.slug") == F.col("high.slug"), F.col("low"))
+    slug = F.when(~F.col("range"), F.coalesce("exact", F.when(~one["claimed"], one["slug"])))
+    found = sections.groupBy(F.col("slug").alias("act"), F.col("section_id").alias("found")).agg(F.count(F.lit(1)).alias("n"), F.min("heading").alias("heading"))
+    # both readings of an id are looked up at once; the one as written comes first
+    tries = F.array_compact(F.array(F.col("full"), F.col("bare")))
+    told = met.withColumn("slug", slug).withColumn("tries", tries)
+    looked = told.select("key", "slug", F.posexplode("tries").alias("turn", "found")).where("slug IS NOT NULL").withColumnRenamed("slug", "act").join(found, ["act", "found"])
+    best = looked.groupBy("key").agg(F.min(F.struct("turn", "found", "n", "heading")).alias("best"))
+    out = told.join(best, "key", "left")
+    reason = (
+        F.when(F.col("range"), "range")
+        .when(F.col("slug").isNull() & F.col("low").isNotNull() & one.isNull(), "ambiguous_act")
+        .when(F.col("slug").isNull() & F.col("low").isNotNull(), "claimed_act")
+        .when(F.col("slug").isNull() & F.col("full").isNull(), "unparsed")
+        .when(F.col("slug").isNull(), "no_act")
+        .when(F.col("full").isNotNull() & F.col("best").isNull(), "no_section")
+        .when(F.col("best.n") > 1, "ambiguous_section")
+    )
+    cited = F.coalesce("best.found", F.when(F.col("slug").isNotNull(), F.col("bare")), "full")
+    return out.select(
+        "key", reason.isNull().alias("valid"), "slug", F.when(~F.col("range"), cited).alias("section_id"),
+        F.when(reason.isNull(), F.col("best.heading")).alias("heading"), reason.alias("reason"),
+    )

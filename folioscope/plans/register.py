@@ -885,3 +885,30 @@ def cross_references(spark: SparkSession, sf: str) -> DataFrame:
     texts = told.select(F.col("l_orderkey").alias("key"), F.concat(F.lit("order-"), F.col("l_orderkey")).alias("slug"), F.array_join(F.col("all.said"), " ").alias("text"))
     sections_there = items.where("l_returnflag = 'A'").select(act.alias("slug"), number.alias("section_id"))
     return citations.verdicts(citations.references(texts, acts), acts, sections_there)
+
+
+@query("citation_verdicts", """
+WITH acts AS (SELECT p_partkey AS p, p_partkey % 50 AS a FROM part), ends AS (SELECT a, count(*) AS n, min(p) AS p FROM acts GROUP BY 1),
+sections AS (SELECT l_partkey AS p, CAST(l_quantity AS BIGINT) AS q, count(*) AS n, min(l_returnflag) AS heading FROM lineitem GROUP BY 1, 2),
+r AS (SELECT o_orderkey AS key, o_orderkey // 4 % 6 AS form, o_custkey AS c, o_orderkey % 60 AS q FROM orders),
+m AS (SELECT key, form, CASE WHEN form IN (0, 1, 5) THEN acts.p WHEN form = 2 AND ends.n = 1 THEN ends.p END AS p, CASE WHEN form IN (0, 1, 2, 4) THEN q END AS q, ends.n AS same
+  FROM r LEFT JOIN acts ON acts.p = c LEFT JOIN ends ON ends.a = c % 50),
+v AS (SELECT m.*, s.n, s.heading, CASE WHEN form = 3 THEN 'range' WHEN form = 2 AND same > 1 THEN 'ambiguous_act' WHEN m.p IS NULL AND form = 5 THEN 'unparsed' WHEN m.p IS NULL THEN 'no_act'
+  WHEN m.q IS NOT NULL AND s.n IS NULL THEN 'no_section' WHEN s.n > 1 THEN 'ambiguous_section' END AS reason FROM m LEFT JOIN sections s ON s.p = m.p AND s.q = m.q)
+SELECT key, reason IS NULL AS valid, 'lov' || p || '-ab' || (p % 50) AS slug, CASE WHEN p IS NULL AND form = 1 THEN q || 'i' ELSE CAST(q AS VARCHAR) END AS section_id,
+  CASE WHEN reason IS NULL THEN heading END AS heading, reason FROM v
+""")
+def citation_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    def act(number: str) -> Column:
+        return F.concat(F.lit("lov"), number, F.lit("-ab"), F.col(number) % 50)
+
+    acts = table(spark, sf, "part").select(act("p_partkey").alias("slug"))
+    held = table(spark, sf, "lineitem").select(act("l_partkey").alias("slug"), F.col("l_quantity").cast("long").cast("string").alias("section_id"), F.col("l_returnflag").alias("heading"))
+    c, q = F.col("o_custkey"), F.concat(F.lit("§ "), F.col("o_orderkey") % 60)
+    short = F.concat(F.lit("Lov"), c)
+    forms = [
+        F.concat(q, F.lit(" "), act("o_custkey")), F.concat(short, F.lit(" "), q, F.lit(" i")), F.concat(F.lit("se AB"), c % 50, F.lit(". "), q),
+        F.concat(F.lit("§§ 1-2 "), short), q, short,
+    ]
+    citation = F.array(*forms)[F.floor(F.col("o_orderkey") / 4) % 6]
+    return citations.validated(table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), citation.alias("citation")), acts, held)

@@ -21,6 +21,8 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, sql: str | None = None):
     def add(function):
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = function
         if sql:
             ORACLES[name] = sql
@@ -798,7 +800,7 @@ def working_days(spark: SparkSession, sf: str) -> DataFrame:
     return workdays.with_working_day(orders, "sent", "n").select("o_orderkey", "due")
 
 
-def _manifest(spark: SparkSession, sf: str, path: Column) -> DataFrame:
+def _held_orders(spark: SparkSession, sf: str, path: Column) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "removed").otherwise("current")
     return table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("doc_id"), path.alias("path"), status.alias("status"), F.substring("o_orderpriority", 1, 1).cast("int").alias("renderer_version")
@@ -816,7 +818,7 @@ UNION ALL SELECT doc_id, path, 'stale_render' FROM m WHERE status = 'current' AN
 def manifest_findings(spark: SparkSession, sf: str) -> DataFrame:
     path = F.concat_ws("/", "o_custkey", "o_orderpriority")
     files = table(spark, sf, "orders").where("o_totalprice >= 250000").select(path.alias("path"))
-    return audit.document_findings(_manifest(spark, sf, path), files, 3)
+    return audit.document_findings(_held_orders(spark, sf, path), files, 3)
 
 
 @query("declared_findings", """
@@ -831,7 +833,7 @@ def declared_findings(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("c_acctbal") >= 0, F.col("c_custkey")).alias("declared_id"),
         F.lower("n_name").substr(F.lit(1), (F.col("n_regionkey") + 1).cast("int")).alias("language"),
     )
-    return audit.declared_findings(_manifest(spark, sf, F.col("o_custkey")), files)
+    return audit.declared_findings(_held_orders(spark, sf, F.col("o_custkey")), files)
 
 
 @query("snapshot_findings", """

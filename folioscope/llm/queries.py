@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, lm_scoring, mixing, pii, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import bpe, chat, exact_dedup, lm_scoring, merkle, mixing, pii, quality_rules, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op3_mixing": mixing.OP3_SQL,
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
+    "op11_merkle": merkle.OP11_SQL,
 }

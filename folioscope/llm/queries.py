@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, lm_scoring, merkle, mixing, pii, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import bpe, chat, exact_dedup, lm_scoring, merkle, mixing, packing, pii, quality_rules, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm_scoring": lm_scoring.op9_lm_scoring,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_merkle": merkle.op11_merkle,
+    "op12_packing": packing.op12_packing,
 }
 
 ORACLES = {

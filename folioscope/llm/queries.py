@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, lm_scoring, merkle, mixing, packing, pii, quality_rules, simhash, substring_dedup, suffix_dedup
+from . import bpe, chat, exact_dedup, lm_scoring, merkle, mixing, packing, periodic, pii, quality_rules, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_merkle": merkle.op11_merkle,
     "op12_packing": packing.op12_packing,
+    "op13_runs": periodic.op13_runs,
 }
 
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op8_quality_rules": quality_rules.OP8_SQL,
     "op10_exact_dedup": exact_dedup.OP10_SQL,
     "op11_merkle": merkle.OP11_SQL,
+    "op13_runs": periodic.OP13_SQL,
 }

@@ -112,7 +112,8 @@ def built(leaves: DataFrame, most: int, path: str) -> Tree:
 
 def pushed(level: DataFrame, above: DataFrame) -> DataFrame:
     """The children of ``level`` with their proofs: their own siblings before what their parent in ``above`` inherited."""
-    met = level.join(above.withColumnRenamed("pos", "run"), ["sk", "run"])
+    # proofs repeat and are far smaller as files than in memory, so a size told from files must not choose a broadcast
+    met = level.join(above.withColumnRenamed("pos", "run").hint("merge"), ["sk", "run"])
     carried = [c for c in above.columns if c not in ("sk", "pos", "proof")]
     each = met.select("sk", "held", "proof", *carried, F.posexplode("kids").alias("nth", "kid"))
     own = F.struct(

@@ -25,19 +25,23 @@ how the input is split, the number of tokens and the lack of padding do not.
 
 from __future__ import annotations
 
+import re
 from collections import Counter, deque
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer as Library
 
-from .bpe import STRETCH, Tokenizer, default_path, tokenizer
+from .bpe import STRETCH, default_path
 from .common import documents, slabs, text_or_empty, written
 
 #: Context sizes; the id that ends a document; tokens of a training step, about.
@@ -46,6 +50,72 @@ TIERS, END, STEP_TOKENS = (256, 512, 1024, 2048, 4096), 2, 1 << 20
 SLAB = 4 << 20
 #: Bytes of an id.
 WIDE = 4
+#: Words that a task remembers, in each of two generations, and those that are given to the library at once.
+KEPT_WORDS, LOT = 400_000, 20_000
+
+
+class Encoder:
+    """Ids by the tokenizers library, for vocabularies that read words between white space by themselves.
+
+    Every word is encoded once and remembered. New words go to the library in
+    lots; a word with a special token in it goes as a text of its own.
+    """
+
+    def __init__(self, path: str):
+        self.library = Library.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.separator, self.blank = re.compile("[\x1c-\x1f]"), regex.compile(r"\p{White_Space}+")
+
+    def split(self, text: str) -> list[str]:
+        odd = self.separator.search(text)  # str.split() takes these for white space; the vocabulary does not
+        return list(filter(None, self.blank.split(text))) if odd else text.split()
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.words) > KEPT_WORDS:
+            self.older, self.words = self.words, {}
+        known, older = self.words, self.older
+        wanted = words - known.keys()
+        for word in wanted & older.keys():
+            known[word] = older[word]
+        wanted = sorted(wanted - older.keys())
+        whole = [w for w in wanted if any(map(w.__contains__, self.special))]
+        for word, held in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False)):
+            known[word] = np.array(held.ids, "<u4").tobytes()
+        plain = [w for w in wanted if w not in known] if whole else wanted
+        for low in range(0, len(plain), LOT):
+            lot = plain[low : low + LOT]
+            held = self.library.encode(lot, is_pretokenized=True, add_special_tokens=False)
+            raw = np.array(held.ids, "<u4").tobytes()
+            ends = (np.cumsum(np.bincount(held.word_ids, minlength=len(lot))) * WIDE).tolist()
+            known.update(zip(lot, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian 32-bit numbers."""
+        held = [self.split(text) for text in texts]
+        self.learn(set().union(*held))
+        known = self.words.__getitem__
+        return [b"".join(map(known, words)) for words in held]
+
+    def stretches(self, text: str) -> Iterator[str]:
+        """A text in stretches of about ``STRETCH`` characters, cut at white space."""
+        low = 0
+        while len(text) - low > 2 * STRETCH:
+            found = self.blank.search(text, low + STRETCH)
+            if not found:
+                break
+            yield text[low : found.end()]
+            low = found.end()
+        yield text[low:]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One a worker process: what it remembers stays between tasks."""
+    return Encoder(path)
 
 
 class Piece:
@@ -107,7 +177,7 @@ class Pool:
             yield window
 
 
-def id_stretches(tok: Tokenizer, texts: list[str]) -> Iterator[Iterable[bytes]]:
+def id_stretches(tok: Encoder, texts: list[str]) -> Iterator[Iterable[bytes]]:
     """For each text its ids, long texts stretch by stretch."""
     short = [k for k, text in enumerate(texts) if len(text) <= 2 * STRETCH]
     ready = dict(zip(short, tok.encode([texts[k] for k in short])))
@@ -145,7 +215,7 @@ class Task:
             self.rows.append((p.doc[0], p.start, p.length, crc32(p.ids), p.doc[1], size, nth, offset, p.ids))
             offset += p.length
 
-    def feed(self, ids: list, texts: list[str], tok: Tokenizer) -> None:
+    def feed(self, ids: list, texts: list[str], tok: Encoder) -> None:
         most = self.pool.tiers[-1]
         for doc, stretches in zip(ids, id_stretches(tok, texts)):
             full, rest, n = whole_windows(stretches, self.end, most)
@@ -180,7 +250,7 @@ def pieces(docs: DataFrame, path: str | None = None, tiers: tuple[int, ...] = TI
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids + [T.StructField("task", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, task, part, schema = tokenizer(path), Task(tiers, end), 0, None
+        tok, task, part, schema = encoder(path), Task(tiers, end), 0, None
         for batch in batches:
             doc, texts = batch.column(0), batch.column(1)
             if not len(doc):

@@ -25,6 +25,8 @@ how the input is split, the number of tokens and the lack of padding do not.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections import Counter, deque
 from collections.abc import Iterable, Iterator
@@ -40,6 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer as Library
+from tokenizers import normalizers, pre_tokenizers
 
 from .bpe import STRETCH, default_path
 from .common import documents, slabs, text_or_empty, written
@@ -47,58 +50,106 @@ from .common import documents, slabs, text_or_empty, written
 #: Context sizes; the id that ends a document; tokens of a training step, about.
 TIERS, END, STEP_TOKENS = (256, 512, 1024, 2048, 4096), 2, 1 << 20
 #: Bytes of text whose ids a task holds at once.
-SLAB = 4 << 20
+SLAB = 12 << 20
 #: Bytes of an id.
 WIDE = 4
-#: Words that a task remembers, in each of two generations, and those that are given to the library at once.
-KEPT_WORDS, LOT = 400_000, 20_000
+#: Words that a task remembers, in each of two generations, and those that are one text for the library.
+KEPT_WORDS, LOT = 500_000, 100
 
 
 class Encoder:
     """Ids by the tokenizers library, for vocabularies that read words between white space by themselves.
 
-    Every word is encoded once and remembered. New words go to the library in
-    lots; a word with a special token in it goes as a text of its own.
+    Words are runs of anything but ASCII white space. Different ones of a slab are told
+    apart by Arrow, each is encoded once and remembered, and the texts' ids are
+    put together from those of their words all at once. New words go to the
+    library in lots. Printable ASCII words, which normalise to their lower case,
+    go as the pieces that the vocabulary's own pattern cuts them into; tokens
+    that end a piece tell where a word ends. Others go with a word between them that is one
+    token of its own, and words that hold this one or a special token as texts by themselves.
     """
 
+    BETWEEN = "\x00"
+
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.library = Library.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        between = self.library.encode(self.BETWEEN, add_special_tokens=False).ids
+        if len(between) != 1:
+            raise ValueError("the vocabulary has no token for the word between words")
+        self.between = between[0]
+        self.odd = re.compile("|".join(map(re.escape, [self.BETWEEN, *(t.content for t in self.library.get_added_tokens_decoder().values())])))
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.separator, self.blank = re.compile("[\x1c-\x1f]"), regex.compile(r"\p{White_Space}+")
-
-    def split(self, text: str) -> list[str]:
-        odd = self.separator.search(text)  # str.split() takes these for white space; the vocabulary does not
-        return list(filter(None, self.blank.split(text))) if odd else text.split()
-
-    def learn(self, words: set[str]) -> None:
+        self.blank = re.compile("[ \\t-\\r]+")
+        held = json.loads(self.library.to_str())
+        self.cut = regex.compile(held["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "| ")
+        suffix, vocabulary = held["model"]["end_of_word_suffix"], self.library.get_vocab()
+        self.ends_piece = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_piece[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self.of_pieces = Library.from_file(path)
+        self.of_pieces.normalizer, self.of_pieces.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+
+    def _ids(self, of: Library, texts: list[str]) -> np.ndarray:
+        """Of texts together; short ones, as the library's time per character grows with a text."""
+        return np.array(list(chain.from_iterable(e.ids for e in of.encode_batch_fast(texts, add_special_tokens=False))), "<u4")
+
+    def keep(self, words: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        cuts = map(slice, (starts * WIDE).tolist(), (ends * WIDE).tolist())
+        self.words.update(zip(words, map(ids.tobytes().__getitem__, cuts)))
+
+    def learn(self, words: list[str]) -> None:
+        some_odd = self.odd.search(" ".join(words))
+        odd = {w for w in words if self.odd.search(w)} if some_odd else set()
+        for word in odd:
+            self.keep([word], ids := self._ids(self.library, [word]), np.zeros(1, np.int64), np.array([len(ids)]))
+        plain = [w for w in words if w.isascii() and w.isprintable() and w not in odd]
+        if plain:
+            cut = self.cut.findall(" ".join(plain).lower())
+            pieces = [c for c in cut if c != " "]
+            ids = self._ids(self.of_pieces, [" ".join(pieces[k : k + LOT]) for k in range(0, len(pieces), LOT)])
+            between = np.flatnonzero(np.fromiter(map(" ".__eq__, cut), bool, len(cut)))
+            last = np.append(between - np.arange(len(between)), len(pieces)) - 1  # of each word's pieces
+            ends = np.flatnonzero(self.ends_piece[ids])[last] + 1
+            self.keep(plain, ids, np.append(0, ends[:-1]), ends)
+        rest = [w for w in words if not (w.isascii() and w.isprintable()) and w not in odd]
+        if rest:
+            mark = f" {self.BETWEEN} "
+            ids = self._ids(self.library, [mark.join(rest[k : k + LOT]) + mark for k in range(0, len(rest), LOT)])
+            ends = np.flatnonzero(ids == self.between)
+            self.keep(rest, ids, np.append(0, ends[:-1] + 1), ends)
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
         if len(self.words) > KEPT_WORDS:
             self.older, self.words = self.words, {}
-        known, older = self.words, self.older
-        wanted = words - known.keys()
-        for word in wanted & older.keys():
-            known[word] = older[word]
-        wanted = sorted(wanted - older.keys())
-        whole = [w for w in wanted if any(map(w.__contains__, self.special))]
-        for word, held in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False)):
-            known[word] = np.array(held.ids, "<u4").tobytes()
-        plain = [w for w in wanted if w not in known] if whole else wanted
-        for low in range(0, len(plain), LOT):
-            lot = plain[low : low + LOT]
-            held = self.library.encode(lot, is_pretokenized=True, add_special_tokens=False)
-            raw = np.array(held.ids, "<u4").tobytes()
-            ends = (np.cumsum(np.bincount(held.word_ids, minlength=len(lot))) * WIDE).tolist()
-            known.update(zip(lot, map(raw.__getitem__, map(slice, [0, *ends], ends))))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        found = list(map(self.words.get, words))
+        lacking = [k for k, held in enumerate(found) if held is None]
+        if lacking:
+            again = list(map(self.older.get, map(words.__getitem__, lacking)))
+            self.words.update((words[k], held) for k, held in zip(lacking, again) if held is not None)
+            self.learn([words[k] for k, held in zip(lacking, again) if held is None])
+            for k in lacking:
+                found[k] = self.words[words[k]]
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text, as little-endian 32-bit numbers."""
-        held = [self.split(text) for text in texts]
-        self.learn(set().union(*held))
-        known = self.words.__getitem__
-        return [b"".join(map(known, words)) for words in held]
+        lists = pc.ascii_split_whitespace(texts)
+        told = lists.flatten().dictionary_encode()
+        words, nth = told.dictionary.to_numpy(zero_copy_only=False).tolist(), told.indices.to_numpy()
+        held = self.ids_of(words)
+        if "" in words:  # what stands before leading white space
+            held[words.index("")] = b""
+        sizes = np.fromiter(map(len, held), np.int64, len(held)) // WIDE
+        starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(held), "<u4")
+        size = sizes[nth]
+        ends = np.cumsum(size)
+        at = np.repeat(starts[nth] - ends + size, size)
+        at += np.arange(len(at))
+        raw, bounds = flat[at].tobytes(), np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()] * WIDE
+        return [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
     def stretches(self, text: str) -> Iterator[str]:
         """A text in stretches of about ``STRETCH`` characters, cut at white space."""
@@ -177,12 +228,12 @@ class Pool:
             yield window
 
 
-def id_stretches(tok: Encoder, texts: list[str]) -> Iterator[Iterable[bytes]]:
+def id_stretches(tok: Encoder, texts: pa.Array) -> Iterator[Iterable[bytes]]:
     """For each text its ids, long texts stretch by stretch."""
-    short = [k for k, text in enumerate(texts) if len(text) <= 2 * STRETCH]
-    ready = dict(zip(short, tok.encode([texts[k] for k in short])))
-    for k, text in enumerate(texts):
-        yield (ready.pop(k),) if k in ready else (tok.encode([s])[0] for s in tok.stretches(text))
+    long = pc.greater(pc.binary_length(texts), 2 * STRETCH)
+    ready = iter(tok.encode(texts.filter(pc.invert(long))))
+    for text, is_long in zip(texts, long.to_pylist()):
+        yield (tok.encode(pa.array([s]))[0] for s in tok.stretches(text.as_py())) if is_long else (next(ready),)
 
 
 def whole_windows(stretches: Iterable[bytes], end: int, most: int) -> tuple[list[tuple[int, bytes, int]], bytes, int]:
@@ -215,7 +266,7 @@ class Task:
             self.rows.append((p.doc[0], p.start, p.length, crc32(p.ids), p.doc[1], size, nth, offset, p.ids))
             offset += p.length
 
-    def feed(self, ids: list, texts: list[str], tok: Encoder) -> None:
+    def feed(self, ids: list, texts: pa.Array, tok: Encoder) -> None:
         most = self.pool.tiers[-1]
         for doc, stretches in zip(ids, id_stretches(tok, texts)):
             full, rest, n = whole_windows(stretches, self.end, most)
@@ -259,7 +310,7 @@ def pieces(docs: DataFrame, path: str | None = None, tiers: tuple[int, ...] = TI
             kinds = [pa.field("doc_id", doc.type), *(pa.field(c, pa.int64()) for c in longs)]
             schema = pa.schema(kinds + [pa.field("ids", pa.list_(pa.int32()))] * with_ids + [pa.field("task", pa.int64())])
             for cut in slabs(pc.binary_length(texts).to_pylist(), SLAB):
-                task.feed(doc[cut].to_pylist(), texts[cut].to_pylist(), tok)
+                task.feed(doc[cut].to_pylist(), texts[cut], tok)
                 if task.rows:
                     yield task.batch(schema, part)
         task.finish()

@@ -7,6 +7,7 @@ from fractions import Fraction
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm import brute
 
@@ -170,8 +171,9 @@ def test_packing_takes_any_id_and_streams_long_texts(spark, monkeypatch):
     monkeypatch.setattr(packing, "STRETCH", 50)
     tok = packing.Encoder(bpe.default_path())
     text = " ".join(f"w{k}" for k in range(400))
-    held = [b"".join(s) for s in packing.id_stretches(tok, [text, "ab", text])]
-    assert held == tok.encode([text, "ab", text])
+    texts = pa.array([text, "ab", text])
+    held = [b"".join(s) for s in packing.id_stretches(tok, texts)]
+    assert held == tok.encode(texts)
     full, rest, n = packing.whole_windows([held[0]], 2, 64)
     assert n == len(held[0]) // 4 + 1 and b"".join(ids for _, ids, _ in full) + rest == held[0] + (2).to_bytes(4, "little")
     df = spark.createDataFrame([("x", None), ("y", "a b"), (None, "c")], "doc_id string, text string")
@@ -188,10 +190,10 @@ def test_packing_encodes_as_the_library_does(smoke_dir):
     library.no_truncation()
     rng = random.Random(6)
     texts = [t or "" for t in pq.read_table(f"{smoke_dir}/documents.parquet", columns=["text"])["text"].to_pylist()]
-    texts += ["a<|endoftext|>b <x <|", "İstanbul ΣΑΣ ﬁ", "\x1c\x1d x", "don't I'LL 3.14", "a" * 300, " \u3000x", ""]
+    texts += ["a<|endoftext|>b <x <|", "İstanbul ΣΑΣ ﬁ", "\x1c\x1d x", "don't I'LL 3.14", "a" * 300, " \u3000x", "", "  \t", "a\0b \0 c", "\u00a0x\u2003y"]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 0x3400), 32, 0x301, 0x1AC6])) for _ in range(8)) for _ in range(4000)]
     for low in range(0, len(texts), 500):
-        for text, ids in zip(texts[low : low + 500], tok.encode(texts[low : low + 500])):
+        for text, ids in zip(texts[low : low + 500], tok.encode(pa.array(texts[low : low + 500]))):
             assert memoryview(ids).cast("I").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 

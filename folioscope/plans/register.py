@@ -914,3 +914,5 @@ def citation_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     ]
     citation = F.array(*forms)[F.floor(F.col("o_orderkey") / 4) % 6]
     return citations.validated(table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), citation.alias("citation")), acts, held)
+
+from . import walks  # noqa: E402, F401  its queries are added to these

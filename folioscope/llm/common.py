@@ -63,6 +63,11 @@ def own_row(docs: DataFrame) -> Column:
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("row")
 
 
+def one_of_each(rows: DataFrame, *key: str) -> DataFrame:
+    """Of rows (``row`` and ``key``) that are equal in ``key`` one, the same at every run; combined before they are shuffled."""
+    return rows.groupBy(*key).agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")).select("row.*")
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     column = F.col(text) if isinstance(text, str) else text
     return F.coalesce(column.cast("string"), F.lit(""))

@@ -6,7 +6,8 @@ the batch costs one row per task), anti-joined with the index by sort-merge
 join, and appended. Buckets of the index are never shuffled again.
 
 Defined results: a null text counts as empty; empty texts equal each other;
-rows that repeat a doc_id share its verdict; a null doc_id sorts last, so it
+rows that repeat a doc_id share its verdict, but of rows that repeat id and text
+``keep_first`` keeps one; a null doc_id sorts last, so it
 stays only where no row of its group has an id; ids may be of any ordered type;
 columns of any name are kept as they are; very long texts are hashed whole; an
 empty table gives no rows.
@@ -14,12 +15,13 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut_by_id, documents, own_row, shared_dir, text_or_empty, written
+from .common import SPACE, cut_by_id, documents, exists, one_of_each, own_row, shared_dir, text_or_empty, written
 
 #: Buckets of an index at least, digests a bucket is made for, and Spark's own bound on buckets.
 BUCKETS, BUCKET_DIGESTS, MOST_BUCKETS = 16, 10_000_000, 100_000
@@ -36,16 +38,31 @@ def digest_of(text: str | Column = "text") -> Column:
 
 
 class DigestIndex:
-    """``digest, keep_id, n`` of every batch seen, in the shared folder."""
+    """``digest, keep_id, n`` of every batch seen, in the shared folder.
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS, id_type: str = "bigint"):
+    The number of buckets and the type of ids are kept beside the index, so it is
+    opened again by its path alone; other values than the kept ones are refused.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, id_type: str | None = None):
         self.spark, self.path = spark, path
+        asked = {"buckets": buckets, "id_type": id_type}
+        if exists(spark, f"{path}-settings"):
+            kept = json.loads(spark.read.text(f"{path}-settings").first()[0])
+            for name, value in asked.items():
+                if value is not None and value != kept[name]:
+                    raise ValueError(f"the index has {name} {kept[name]}, not {value}")
+        elif exists(spark, path):
+            raise ValueError(f"no settings beside the index at {path}")
+        else:
+            kept = {"buckets": buckets or BUCKETS, "id_type": id_type or "bigint"}
+            spark.range(1).select(F.lit(json.dumps(kept)).alias("value")).coalesce(1).write.text(f"{path}-settings")
+        self.buckets, self.id_type = kept["buckets"], kept["id_type"]
         self.table = f"digests_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.table} (digest STRING, keep_id {id_type}, n BIGINT) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CREATE TABLE IF NOT EXISTS {self.table} (digest STRING, keep_id {self.id_type}, n BIGINT) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
-        self.buckets = buckets
 
     @classmethod
     def fresh(cls, digests: DataFrame) -> "DigestIndex":
@@ -116,15 +133,23 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns.
 
     Rows are told from a table of those that go, so texts are shuffled only
-    where that table is too large for Spark to broadcast.
+    where that table is too large for Spark to broadcast. Rows that repeat both
+    the id and the text that stay are one document, and one of them stays; only such rows are gathered.
     """
     digests = written(docs.select("doc_id", digest_of().alias("digest")), "digests")
     keepers = DigestIndex.fresh(digests).add(digests).select("digest", "keep_id")
     gone = digests.join(keepers, "digest").where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
     gone = written(gone.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone")).distinct(), "gone")
+    again = digests.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = written(again.select(F.col("doc_id").alias("again_id"), F.col("digest").alias("again")), "again")
     rows = docs.select(own_row(docs), digest_of().alias("digest"))
     goes = F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone"))
-    return rows.join(gone, goes, "left_anti").select("row.*")
+    kept = rows.join(gone, goes, "left_anti")
+    if again.isEmpty():
+        return kept.select("row.*")
+    repeats = F.col("row.doc_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again"))
+    # a digest that stays has one id
+    return kept.join(again, repeats, "left_anti").select("row.*").unionByName(one_of_each(kept.join(again, repeats, "left_semi"), "digest"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ differ in at most two bits by construction, and each is linked to the key's
 smallest, so the links grow with the members and none is lost.
 
 Defined results: a null or empty text has the fingerprint zero and links like
-any other; rows that repeat link to each other; an empty table gives no rows;
+any other; rows that repeat link to each other, and ``keep_one`` keeps one of them; an empty table gives no rows;
 with a null doc_id, the component is named by its smallest known id (null where there is none);
 ids may be of any ordered type; columns of any name are kept as they are; very long texts are read whole.
 """
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, own_row, text_or_empty, written
+from .common import documents, one_of_each, own_row, text_or_empty, written
 from .components import components
 
 SEED, SHINGLE, MOST_BITS = 42, 3, 2
@@ -173,30 +173,45 @@ def links(nodes: DataFrame) -> DataFrame:
     return out.union(crowded_links(crowd)) if not crowd.isEmpty() else out
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of every row."""
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component (a fingerprint) and component_id of every row."""
     prints = written(fingerprints(docs), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     found = written(components(links(nodes)), "components")
     named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left")
     named = named.withColumn("component", F.coalesce("component", "fp"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = named.join(ids, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = named.join(ids, "component").select("fp", "component", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "fp", "component", "component_id")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of every row."""
+    return _grouped(docs).drop("component")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest id; all columns stay.
 
     Rows are told from a table of the ids that go, so texts are shuffled only
-    where that table is too large for Spark to broadcast.
+    where that table is too large for Spark to broadcast. Where several rows have
+    an id that stays, these rows alone are told by their own texts: one stays of each group that the id names.
     """
-    found = written(grouped(docs), "groups")
+    found = written(_grouped(docs), "groups")
     named = found.select(F.col("component_id").alias("named")).distinct()
-    gone = found.select(F.col("doc_id").alias("gone_id")).distinct()
-    gone = written(gone.join(named, F.col("gone_id").eqNullSafe(F.col("named")), "left_anti"), "gone")
-    rows = docs.select(own_row(docs))
-    return rows.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")
+    is_named = F.col("doc_id").eqNullSafe(F.col("named"))
+    gone = written(found.join(named, is_named, "left_anti").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
+    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").join(named, is_named, "left_semi")
+    again = written(again.select(F.col("doc_id").alias("again_id")), "again")
+    kept = docs.select(own_row(docs)).join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+    if again.isEmpty():
+        return kept.select("row.*")
+    repeats = F.col("row.doc_id").eqNullSafe(F.col("again_id"))
+    many = kept.join(again, repeats, "left_semi")
+    told = fingerprints(many.select(F.col("row").alias("doc_id"), F.col("row.text").alias("text"))).withColumnRenamed("doc_id", "row")
+    groups = found.select("fp", "component", "component_id").distinct()
+    stay = told.join(groups, "fp").where(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
+    return kept.join(again, repeats, "left_anti").select("row.*").unionByName(one_of_each(stay, "component"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -558,12 +558,27 @@ def test_exact_dedup_takes_string_ids_and_reopens(spark, docs, corpus):
     index = exact_dedup.DigestIndex.fresh(digests)
     index.add(digests.where("doc_id < 'd0200'"))
     spark.sql(f"DROP TABLE {index.table}")
-    again = exact_dedup.DigestIndex(spark, index.path, index.buckets, "string")
+    again = exact_dedup.DigestIndex(spark, index.path)
     fresh = again.add(digests.where("doc_id >= 'd0200'"))
     assert {r.keep_id for r in again.groups().collect()} == {min(ids) for ids in held.values()}
     assert fresh.count() + len({t for t in held if min(held[t]) < "d0200"}) == len(held)
 
 
+def test_digest_index_keeps_its_settings(spark, tmp_path):
+    """Opened by its path alone it has its buckets and id type; others are refused."""
+    path = f"file://{tmp_path}/index"
+    digests = spark.range(200).selectExpr("CAST(id AS STRING) AS doc_id", "sha2(CAST(id AS STRING), 256) AS digest")
+    index = exact_dedup.DigestIndex(spark, path, 40, "string")
+    assert index.add(digests).count() == 200
+    spark.sql(f"DROP TABLE {index.table}")
+    again = exact_dedup.DigestIndex(spark, path)
+    assert (again.buckets, again.id_type) == (40, "string") and again.add(digests).count() == 0
+    assert again.read().where("digest = sha2('7', 256) AND keep_id = '7'").count() == 1
+    for other in ({"buckets": 16}, {"id_type": "bigint"}):
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, path, **other)
+
+
 ODD_COLUMNS = ["key", "n", "row", "digest", "gone", "gone_id", "sk", "place", "copy", "fp", "component_id", "__keep", "__q_text", "__q_rejected", "named", "a.b", "last0"]
 
 
@@ -584,9 +599,9 @@ def test_odd_rows_have_the_defined_results(spark):
         return sorted(((r.doc_id, (r.text or "")[:3]) for r in held), key=repr)
 
     assert told(exact_dedup.verdicts(df), "keep_id", "group_size") == sorted([(None, 1, 3), (1, 1, 3), (1, 1, 3), (1, 1, 1), (2, 2, 2), (None, 2, 2), (3, 3, 1)], key=repr)
-    assert kept(exact_dedup.keep_first(df)) == sorted([(1, "w0x"), (1, "w0x"), (1, "v0x"), (2, ""), (3, "u0 ")], key=repr)
+    assert kept(exact_dedup.keep_first(df)) == sorted([(1, "w0x"), (1, "v0x"), (2, ""), (3, "u0 ")], key=repr)
     assert told(simhash.grouped(df), "component_id") == sorted([(None, 1), (1, 1), (1, 1), (1, 1), (2, 2), (None, 2), (3, 3)], key=repr)
-    assert kept(simhash.keep_one(df)) == sorted([(1, "w0x"), (1, "w0x"), (1, "v0x"), (2, ""), (3, "u0 ")], key=repr)
+    assert kept(simhash.keep_one(df)) == sorted([(1, "w0x"), (1, "v0x"), (2, ""), (3, "u0 ")], key=repr)
     assert kept(quality_rules.keep_good(df)) == sorted([(None, "w0x"), (1, "w0x"), (1, "w0x"), (1, "v0x"), (3, "u0 ")], key=repr)
     sizes = {"w0x": 80, "v0x": 80, "u0 ": 1_000_000, "": 0}
     planned = mixing.plan(df).collect()

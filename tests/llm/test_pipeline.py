@@ -36,7 +36,8 @@ def test_pipeline(spark, tmp_path):
     rows = [(k, prose(rng, rng.randrange(30, 200)), f"s{k % 3}") for k in range(60)]
     rows += [(100 + k, copy, "s0") for k in range(20)] + [(200 + k, copy.replace(" ", "  ", 1) if k % 2 else copy + " end", None) for k in range(6)]
     rows += [(300, None, "s1"), (301, "", "s1"), (302, "a b " * 60, "s1"), (303, prose(rng, 90).upper(), "s1"), (304, "### " + "# $ % x " * 20, "s2")]
-    df = spark.createDataFrame([(d, t, "en", s, len(t or "")) for d, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    twice = rows[:20] + [(100, copy, "s0")] * 30  # rows that repeat id and text are one document
+    df = spark.createDataFrame([(d, t, "en", s, len(t or "")) for d, t, s in rows + twice], "doc_id long, text string, lang string, source string, n_chars long")
     df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
 
     kept = [r for r in rows if good(r[1])]
@@ -69,5 +70,5 @@ def test_pipeline_stages_keep_the_columns(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, "")
             assert docs.columns == [n.split()[0].strip("`") for n in names.split(", ")], name
-        assert {r.doc_id for r in docs.collect()} <= {1}
+        assert [r.doc_id for r in docs.collect()].count(1) <= mixing.MOST and {r.doc_id for r in docs.collect()} <= {1}
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()

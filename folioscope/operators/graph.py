@@ -30,6 +30,32 @@ def chased(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return now
 
 
+def chased_all(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """Every start of ``edges`` (a, b; one b per a): a, b, steps and ``cyclic``. A start that leads into a cycle has no end and no steps."""
+    ends = chased(edges, rounds)
+    met = edges.select("a").distinct().join(ends, "a", "left")
+    return met.withColumn("cyclic", F.col("b").isNull())
+
+
+def redirects(retirements: DataFrame, live: DataFrame) -> DataFrame:
+    """What an old address answers: address, target, outcome.
+
+    ``retirements`` have old, new (null for a removal) and at, with ``at`` later
+    the newer; ``live`` has the addresses that there are now. An address that lives again
+    needs no answer. Of several retirements of an address the newest counts, and a
+    rename leads on to what happened to the new address: moved to a live address,
+    gone where the chain ends elsewhere, or cyclic where it comes back.
+    """
+    here = live.select(F.col("address").alias("old")).distinct()
+    newest = retirements.groupBy("old").agg(F.max_by(F.struct("new"), "at").alias("last")).select("old", F.col("last.new").alias("new"))
+    dead = newest.join(here, "old", "left_anti")
+    ends = chased_all(dead.where("new IS NOT NULL").select(F.col("old").alias("a"), F.col("new").alias("b")))
+    met = dead.join(ends.select(F.col("a").alias("old"), F.col("b").alias("end"), "cyclic"), "old", "left")
+    told = met.join(here.select(F.col("old").alias("end"), F.lit(True).alias("lives")), "end", "left")
+    outcome = F.when(F.col("cyclic"), "cyclic").when(F.col("lives"), "moved").otherwise("gone")
+    return told.select(F.col("old").alias("address"), F.when(F.col("lives"), F.col("end")).alias("target"), outcome.alias("outcome"))
+
+
 def clusters(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): node and smallest node reachable. Goes on until no label changes."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()

@@ -73,16 +73,15 @@ def dropped_triggers(spans: DataFrame, instants: DataFrame, key: str) -> DataFra
 
 
 def corrected(records: DataFrame, corrections: DataFrame, rounds: int = 64) -> DataFrame:
-    """Follow corrections (retracts, replaced_by) to the record in force; a cycle stops where it would repeat.
+    """Follow corrections (retracts, replaced_by) to the record in force. Where they lead into a cycle no record is in force, and ``in_force`` is null.
 
     Chains are halved in each round by joining the map with itself, so a chain of n takes about log n joins.
     """
-    from .graph import chased
+    from .graph import chased_all
 
-    ends = chased(corrections.select(F.col("retracts").alias("a"), F.col("replaced_by").alias("b")), rounds)
-    return records.join(ends.select(F.col("a").alias("record_id"), F.col("b").alias("in_force")), "record_id", "left").withColumn(
-        "in_force", F.coalesce("in_force", "record_id")
-    )
+    ends = chased_all(corrections.select(F.col("retracts").alias("a"), F.col("replaced_by").alias("b")), rounds)
+    met = records.join(ends.select(F.col("a").alias("record_id"), F.col("b").alias("in_force"), "cyclic"), "record_id", "left")
+    return met.withColumn("in_force", F.when(F.col("cyclic").isNull(), F.col("record_id")).otherwise(F.col("in_force"))).drop("cyclic")
 
 
 def unpaired_corrections(retractions: DataFrame, refilings: DataFrame) -> DataFrame:

@@ -52,6 +52,56 @@ def body_search(docs: DataFrame, query: str, limit: int = USUAL) -> DataFrame:
     )
 
 
+#: Characters of a table row that are shown, longest query that markers may interrupt, and the form of a footnote marker.
+ROW_CHARS, TOLERANT, MARKER = 1200, 2000, r"(?:\[\^[^\]\s]{1,16}\])?"
+
+
+def eligible(manifest: DataFrame, dataset: str | None = None) -> DataFrame:
+    """Current records (doc_id, slug, title, status, dataset) of a slug that no other current record claims."""
+    current = manifest.where("status = 'current' AND slug IS NOT NULL")
+    claims = current.groupBy("slug").agg(F.count(F.lit(1)).alias("__claims")).where("__claims = 1")
+    return (current.where(F.col("dataset") == dataset) if dataset else current).join(claims.select("slug"), "slug", "left_semi")
+
+
+def text_search(manifest: DataFrame, bodies: DataFrame, query: str, dataset: str | None = None, limit: int = USUAL) -> DataFrame:
+    """slug, doc_id, title, dataset, match_count and snippet of the eligible documents whose body (doc_id, text) has the query: most matches first, then by slug.
+
+    Case does not matter. A footnote marker may stand anywhere inside a match
+    (in queries of up to ``TOLERANT`` characters). The snippet is the first match on one line with its
+    surroundings; of a match in a table row it is the row. A blank query finds nothing.
+    """
+    needle = query.lower()
+    out = ["slug", "doc_id", "title", "dataset", "match_count", "snippet"]
+    rows = eligible(manifest, dataset).join(bodies.select("doc_id", "text").where("text IS NOT NULL"), "doc_id")
+    if not needle.strip():
+        return rows.limit(0).select(*out[:4], F.lit(0).cast("long").alias("match_count"), F.lit("").alias("snippet"))
+    lowered = F.lower(F.translate("text", "\u0130", "i"))  # the one letter whose lower case is longer
+    marked = F.contains("text", F.lit("[^")) if len(needle) <= TOLERANT else F.lit(False)
+    form = F.lit("(?s)" + MARKER.join(map(re.escape, needle)))
+    count = F.when(marked, F.regexp_count(lowered, form)).otherwise(match_count(lowered, needle)).cast("long")
+    found = rows.withColumn("match_count", count).where("match_count > 0").orderBy(F.desc("match_count"), "slug").limit(bounded(limit))
+    at = F.when(marked, F.regexp_instr(lowered, form)).otherwise(F.instr(lowered, needle))
+    size = F.when(marked, F.length(F.regexp_substr(lowered, form))).otherwise(len(needle))
+    placed = found.withColumn("at", at).withColumn("size", size)
+    # of the line that the match begins in
+    before = F.substring_index(F.substring("text", F.lit(1), F.col("at") - 1), "\n", -1)
+    row = F.substring_index(F.expr("substring(text, at)"), "\n", 1)
+    begin = F.greatest(F.col("at") - CONTEXT, F.lit(1))
+    end = F.col("at") + F.col("size") + CONTEXT
+    window = collapsed(F.substring("text", begin, end - begin))
+    cut = F.concat(F.when(begin > 1, "...").otherwise(""), window, F.when(end - 1 < F.length("text"), "...").otherwise(""))
+    whole = F.concat(before, row)
+    return placed.withColumn("snippet", F.when(whole.startswith("|"), F.substring(collapsed(whole), 1, ROW_CHARS)).otherwise(cut)).select(*out)
+
+
+def record_search(manifest: DataFrame, query: str, dataset: str | None = None, limit: int = USUAL) -> DataFrame:
+    """Current records whose slug and title together have the query, by doc_id; a blank query finds nothing."""
+    rows = manifest.where("status = 'current'")
+    rows = rows.where(F.col("dataset") == dataset) if dataset else rows
+    held = F.lower(F.concat(F.coalesce("slug", F.lit("")), F.lit(" "), F.coalesce("title", F.lit(""))))
+    return rows.where(F.contains(held, F.lit(query.lower())) & F.lit(bool(query.strip()))).orderBy("doc_id").limit(bounded(limit))
+
+
 def title_search(titles: DataFrame, query: str, limit: int = USUAL) -> DataFrame:
     """``titles`` has doc_id, title and what else is to be shown; in id order."""
     hit = F.contains(F.lower("title"), F.lit(query.lower()))

@@ -48,7 +48,7 @@ def sections(docs: DataFrame) -> DataFrame:
     with_chapter = marked.withColumn("parent_chapter", chapter)
     head = F.struct("line_no", "line", "s", "b", "parent_chapter")
     body = F.array_join(
-        F.transform(F.filter(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.lit(True)), lambda x: x["line"]), "\n"
+        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n"
     )
     parts = with_chapter.where("part > 0").groupBy("doc_id", "part").agg(F.min(head).alias("h"), body.alias("whole"))
     opened = parts.where("h.s OR h.b")

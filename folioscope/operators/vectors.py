@@ -80,6 +80,55 @@ def quantised(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return scaled.withColumn("q", F.when(F.col("scale") > 0, entry).otherwise(zeros))
 
 
+def quantised_at(vector: Column, scale: Column) -> Column:
+    """Entries of a vector at a given scale (a float), as bytes."""
+    wide = scale.cast("double")
+    entry = F.transform(doubles(vector), lambda x: F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), F.rint(x / wide).cast("int"))).cast("tinyint"))
+    return F.when(scale > 0, entry).otherwise(F.transform(vector, lambda x: F.lit(0).cast("tinyint")))
+
+
+def loudest(vector: Column) -> Column:
+    return F.aggregate(doubles(vector), F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
+
+
+def quantised_together(rows: DataFrame, document: str, vector: str = "vector") -> DataFrame:
+    """``rows`` with ``scale`` and ``row``: all vectors of a document share the scale, a float, of its largest entry."""
+    top = rows.groupBy(document).agg((F.max(loudest(F.col(vector))) / BOUND).cast("float").alias("scale"))
+    met = rows.join(top, document)
+    return met.withColumn("row", quantised_at(F.col(vector), F.col("scale")))
+
+
+def paid(inputs: DataFrame, prior: DataFrame) -> DataFrame:
+    """The inputs (document, text) that must be embedded: those without a row of their document in ``prior``."""
+    return inputs.join(prior.select("document", "text"), ["document", "text"], "left_anti")
+
+
+def incremental(inputs: DataFrame, prior: DataFrame) -> DataFrame:
+    """document, text, scale, row and how, byte for byte what ``quantised_together`` gives of all ``inputs`` (document, text, vector).
+
+    ``prior`` (document, text, row, scale) is what was stored. A document keeps
+    its scale where a full pass would find the same one: the scale is a positive number, every stored row
+    that reaches the bound is still wanted, and no new vector is
+    louder. Then stored rows are ``reused`` and only new texts are quantised (``fresh``); else all of
+    the document is ``redone``. A document without stored rows is fresh.
+    """
+    held = prior.select("document", "text", F.col("row").alias("__row"), F.col("scale").alias("__scale"))
+    met = inputs.join(held, ["document", "text"], "left")
+    at_bound = F.exists("row", lambda x: F.abs(x.cast("int")) == BOUND)
+    lost = prior.where(at_bound).join(inputs.select("document", "text"), ["document", "text"], "left_anti").groupBy("document").agg(F.count(F.lit(1)).alias("__lost"))
+    kept = prior.groupBy("document").agg(F.max("scale").alias("kept_scale"), F.count_if(at_bound).alias("__loud"))
+    fresh = met.where("__row IS NULL").groupBy("document").agg((F.max(loudest(F.col("vector"))) / BOUND).cast("float").alias("__fresh"))
+    every = inputs.groupBy("document").agg((F.max(loudest(F.col("vector"))) / BOUND).cast("float").alias("full_scale"))
+    told = every.join(kept, "document", "left").join(lost, "document", "left").join(fresh, "document", "left")
+    finite = (F.col("kept_scale") > 0) & (F.col("kept_scale") < float("inf"))
+    keeps = finite & (F.col("__loud") > 0) & F.col("__lost").isNull() & (F.coalesce("__fresh", F.lit(0.0).cast("float")) <= F.col("kept_scale"))
+    scales = told.select("document", F.coalesce(keeps, F.lit(False)).alias("keeps"), "kept_scale", F.when(keeps, F.col("kept_scale")).otherwise(F.col("full_scale")).alias("scale"))
+    out = met.join(scales, "document")
+    reuse = F.col("keeps") & F.col("__row").isNotNull()
+    how = F.when(reuse, "reused").when(F.col("keeps") | F.col("kept_scale").isNull(), "fresh").otherwise("redone")
+    return out.select("document", "text", "scale", F.when(reuse, F.col("__row")).otherwise(quantised_at(F.col("vector"), F.col("scale"))).alias("row"), how.alias("how"))
+
+
 def recall_mrr(ranked: DataFrame, k: int) -> DataFrame:
     """Share of queries with a hit in the first k, and the mean of one over the first hit's rank."""
     first = ranked.groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))

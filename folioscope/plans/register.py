@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import block_id, collapsed, content_hash, document_slug, natural_key, slug
+from ..functions.text import collapsed, content_hash, natural_key, slug
 from ..operators import audit, changes, citations, evalmetrics, graph, observe, quality, sampling, scorecard, search, sections, temporal, usage, vectors, versions, workdays
 from ..session import table
 
@@ -746,19 +746,6 @@ def correction_chain(spark: SparkSession, sf: str) -> DataFrame:
     return observe.corrected(records, fixes.select(F.col("event_id").alias("retracts"), "replaced_by"))
 
 
-# --- sections of literal documents ------------------------------------------------------------
-
-
-@query("slug_forms", """
-SELECT * FROM (VALUES ('a', 'skatteloven', '#skatteloven'), ('b', 'lov-om-årsregnskap', '#lov-om-årsregnskap'), ('c', 'rossen-tjïelte', '#rossen-tj-elte'), ('d', 'd', ''),
-  ('e', 'øst-vest-2', '#øst-vest-2'), ('f', 'f', '')) t(doc_id, slug, block)
-""")
-def slug_forms(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("a", "Skatteloven"), ("b", "Lov om årsregnskap"), ("c", "Rossen tjïelte"), ("d", "---"), ("e", "ØST/VEST  2."), ("f", "")]
-    docs = spark.createDataFrame(rows, "doc_id string, title string")
-    return docs.select("doc_id", document_slug(F.lit(None).cast("string"), F.col("title"), F.col("doc_id")).alias("slug"), block_id(F.col("title")).alias("block"))
-
-
 # --- dates, audits and citations ------------------------------------------------------------
 
 
@@ -915,4 +902,4 @@ def citation_verdicts(spark: SparkSession, sf: str) -> DataFrame:
     citation = F.array(*forms)[F.floor(F.col("o_orderkey") / 4) % 6]
     return citations.validated(table(spark, sf, "orders").select(F.col("o_orderkey").alias("key"), citation.alias("citation")), acts, held)
 
-from . import walks  # noqa: E402, F401  its queries are added to these
+from . import corpus, walks  # noqa: E402, F401  their queries are added to these

@@ -29,7 +29,6 @@ import codecs
 import hashlib
 import json
 import re
-import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -41,6 +40,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer as Library
 
 from .common import documents, slabs, text_or_empty
 
@@ -236,6 +236,9 @@ class Tokenizer:
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.separator = re.compile("[\x1c-\x1f]")
         self.blank = regex.compile(r"\p{White_Space}+")
+        #: What code points normalise to and are cut into is for the library to say: its tables are of another Unicode version than Python's.
+        library = Library.from_file(path)
+        self.normalised, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
@@ -244,9 +247,10 @@ class Tokenizer:
         return piece if piece.isascii() and piece.isprintable() else "".join(map(ALPHABET.__getitem__, piece.encode()))
 
     def word_pieces(self, word: str) -> list[str]:
-        """Pre-tokens of text without white space and special tokens."""
-        plain = word if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ")
-        return self.piece.findall(plain.lower())
+        """Pre-tokens of text without white space and special tokens, of the byte alphabet."""
+        if word.isascii():
+            return list(map(self.symbols, self.piece.findall(word.lower())))
+        return [piece for piece, _ in self.cut(self.normalised(word))]
 
     def parts(self, word: str) -> list[str | int]:
         """A word between white space as pre-tokens and ids of special tokens."""
@@ -276,8 +280,8 @@ class Tokenizer:
         asked = {p for parts in cut.values() for p in parts if type(p) is str} - self.pieces.keys()
         for piece in asked & old_pieces.keys():
             self.pieces[piece] = old_pieces[piece]
-        fresh = sorted((self.symbols(p), p) for p in asked - old_pieces.keys())
-        for (_, piece), ids in zip(fresh, self.merges.transduced([s for s, _ in fresh])):
+        fresh = sorted(asked - old_pieces.keys())
+        for piece, ids in zip(fresh, self.merges.transduced(fresh)):
             self.pieces[piece] = ids
         pieces = self.pieces
         for word, parts in cut.items():

@@ -119,6 +119,21 @@ def test_bpe_equals_the_library(spark, docs, corpus, smoke_dir):
     assert by_id(bpe.encoded(empty(spark))) == {}
 
 
+def test_bpe_of_every_code_point():
+    """Alone and beside others, of the whole first plane and some beyond, as the library has them."""
+    from tokenizers import Tokenizer
+
+    library, made, rng = Tokenizer.from_file(bpe.default_path()), bpe.tokenizer(bpe.default_path()), random.Random(16)
+    points = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000] + [rng.randrange(0x10000, 0x110000) for _ in range(2000)]
+    texts = [chr(c) for c in points] + ["".join(chr(rng.choice(points) if rng.random() < 0.5 else rng.randrange(32, 0x3400)) for _ in range(8)) for _ in range(8000)]
+    texts += [f"a{chr(c)}\u0301 B{chr(c)}" for c in rng.sample(points, 4000)]
+    texts = [t for t in texts if not any(0xD800 <= ord(c) < 0xE000 for c in t)]
+    for low in range(0, len(texts), 2000):
+        lot = texts[low : low + 2000]
+        for text, ids, want in zip(lot, made.encode(lot), library.encode_batch_fast(lot, add_special_tokens=False)):
+            assert memoryview(ids).cast("I").tolist() == want.ids, ascii(text)
+
+
 def test_bpe_streams_long_pieces():
     made = bpe.tokenizer(bpe.default_path())
     from tokenizers import Tokenizer

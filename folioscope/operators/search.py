@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import collapsed
+from ..functions.text import WIDE_SPACES, collapsed
 
 #: Results at most, results unless asked, characters of context to each side.
 MOST, USUAL, CONTEXT = 100, 20, 50
@@ -56,6 +56,11 @@ def body_search(docs: DataFrame, query: str, limit: int = USUAL) -> DataFrame:
 ROW_CHARS, TOLERANT, MARKER = 1200, 2000, r"(?:\[\^[^\]\s]{1,16}\])?"
 
 
+def one_line(text: Column) -> Column:
+    """White space of any script as one space."""
+    return F.trim(F.regexp_replace(text, WIDE_SPACES, " "))
+
+
 def eligible(manifest: DataFrame, dataset: str | None = None) -> DataFrame:
     """Current records (doc_id, slug, title, status, dataset) of a slug that no other current record claims."""
     current = manifest.where("status = 'current' AND slug IS NOT NULL")
@@ -88,10 +93,10 @@ def text_search(manifest: DataFrame, bodies: DataFrame, query: str, dataset: str
     row = F.substring_index(F.expr("substring(text, at)"), "\n", 1)
     begin = F.greatest(F.col("at") - CONTEXT, F.lit(1))
     end = F.col("at") + F.col("size") + CONTEXT
-    window = collapsed(F.substring("text", begin, end - begin))
+    window = one_line(F.substring("text", begin, end - begin))
     cut = F.concat(F.when(begin > 1, "...").otherwise(""), window, F.when(end - 1 < F.length("text"), "...").otherwise(""))
     whole = F.concat(before, row)
-    return placed.withColumn("snippet", F.when(whole.startswith("|"), F.substring(collapsed(whole), 1, ROW_CHARS)).otherwise(cut)).select(*out)
+    return placed.withColumn("snippet", F.when(whole.startswith("|"), F.substring(one_line(whole), 1, ROW_CHARS)).otherwise(cut)).select(*out)
 
 
 def record_search(manifest: DataFrame, query: str, dataset: str | None = None, limit: int = USUAL) -> DataFrame:

@@ -132,9 +132,9 @@ def verdicts(docs: DataFrame, index: DigestIndex | None = None, batches: int = 1
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns.
 
-    Rows are told from a table of those that go, so texts are shuffled only
-    where that table is too large for Spark to broadcast. Rows that repeat both
-    the id and the text that stay are one document, and one of them stays; only such rows are gathered.
+    Rows are told from a table of those that go by a sort-merge join, which shuffles each text once.
+    Rows that repeat both the id and the text that stay are one document, and
+    one of them stays; only such rows are gathered.
     """
     digests = written(docs.select("doc_id", digest_of().alias("digest")), "digests")
     keepers = DigestIndex.fresh(digests).add(digests).select("digest", "keep_id")
@@ -144,7 +144,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     again = written(again.select(F.col("doc_id").alias("again_id"), F.col("digest").alias("again")), "again")
     rows = docs.select(own_row(docs), digest_of().alias("digest"))
     goes = F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.col("digest") == F.col("gone"))
-    kept = rows.join(gone, goes, "left_anti")
+    # as many rows go as there are copies, so their table grows with the input: one plan for every size
+    kept = rows.join(gone.hint("merge"), goes, "left_anti")
     if again.isEmpty():
         return kept.select("row.*")
     repeats = F.col("row.doc_id").eqNullSafe(F.col("again_id")) & (F.col("digest") == F.col("again"))

@@ -132,8 +132,8 @@ def heavy(rows: DataFrame, key: str, parts: int) -> list:
     return sorted(r["item"] for r in found["top"] or [] if r["item"] is not None and r["count"] * parts > found["n"])
 
 
-def first_by_hash(docs: DataFrame, rows: int, total: int) -> list:
-    """Texts of the ``rows`` documents of least hash, of ``total``.
+def first_by_hash(docs: DataFrame, rows: int, total: int, shown: Column) -> list:
+    """``shown`` of the ``rows`` documents of least hash, of ``total``.
 
     Most rows are dropped before tasks send their own, so the driver gets about
     twice ``rows`` however many tasks there are; only where ids repeat so much
@@ -141,7 +141,9 @@ def first_by_hash(docs: DataFrame, rows: int, total: int) -> list:
     """
 
     def least(of: DataFrame) -> list:
-        return [r["text"] for r in of.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text").collect()]
+        # what is shown is made in the tasks, of the few rows that are left
+        told = of.select("doc_id", shown.alias("shown"))
+        return [r["shown"] for r in told.orderBy(F.xxhash64("doc_id"), "doc_id", "shown").limit(rows).select("shown").collect()]
 
     if total <= 2 * rows:
         return least(docs)

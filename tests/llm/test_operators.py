@@ -100,6 +100,33 @@ def test_pii_network_adds_what_patterns_miss(spark):
     assert sum(len(both) for _, both in pii.all_spans(model, clean)) <= 2
 
 
+def test_pii_recall_of_every_form(spark, smoke_dir):
+    """Trained as the query trains, it finds nine of ten of each written-out form in documents it has not seen, exactly, and adds next to nothing elsewhere."""
+    from collections import Counter
+
+    seen = spark.read.parquet(f"{smoke_dir}/documents.parquet")
+    others = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(seen.select("text"), "text", "left_anti").orderBy("doc_id").select("text").collect()
+    others = [r.text for r in others if len(r.text) > 400 and not pii.pattern_spans(r.text)]
+    model, rng = pii.trained(seen), random.Random(77)
+    texts, want = [], []
+    while len(want) < 900:
+        kind, made = pii.invented(rng)
+        if kind < 0 or pii.pattern_spans(made):
+            continue
+        held = rng.choice(others)
+        at = held.find(" ", rng.randrange(len(held) - 300)) + 1
+        texts.append(held[max(0, at - 150) : at] + made + rng.choice([" ", ". ", ", "]) + held[at : at + 100])
+        start = min(at, 150)
+        want.append((kind, start, start + len(made), (kind, "[" in made, made[:1] in "0(" and made[:1])))
+    hits, all_of = Counter(), Counter()
+    for (kind, a, b, form), (_, both) in zip(want, pii.all_spans(model, texts)):
+        form = (kind, form[1], form[2] if kind == 3 else "")
+        all_of[form] += 1
+        hits[form] += (kind, a, b) in both
+    assert len(all_of) == 7 and min(hits[f] / n for f, n in all_of.items()) >= 0.9, {f: (hits[f], n) for f, n in all_of.items()}
+    assert sum(len(both) for _, both in pii.all_spans(model, others)) <= len(others) // 100
+
+
 def test_bpe_equals_the_library(spark, docs, corpus, smoke_dir):
     from tokenizers import Tokenizer
 

@@ -124,6 +124,7 @@ class Encoder:
     def ids_of(self, words: list[str]) -> list[bytes]:
         if len(self.words) > KEPT_WORDS:
             self.older, self.words = self.words, {}
+        self.words[""] = b""  # what stands before leading white space, and all of an empty text
         found = list(map(self.words.get, words))
         lacking = [k for k, held in enumerate(found) if held is None]
         if lacking:
@@ -140,8 +141,6 @@ class Encoder:
         told = lists.flatten().dictionary_encode()
         words, nth = told.dictionary.to_numpy(zero_copy_only=False).tolist(), told.indices.to_numpy()
         held = self.ids_of(words)
-        if "" in words:  # what stands before leading white space
-            held[words.index("")] = b""
         sizes = np.fromiter(map(len, held), np.int64, len(held)) // WIDE
         starts, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(held), "<u4")
         size = sizes[nth]

@@ -4,7 +4,7 @@ A note is a block of lines that are quoted with ``> ``. It is cut into pieces, l
 verbs, acts, brackets and what lies between, and everything is told from the
 pieces' order within the note: the verb that governs an act is the nearest one before it, the
 brackets that follow an act up to the next one are its markers. What stands in
-brackets is neither verb nor act. Notes are short, so windows run over one note each.
+brackets is neither verb nor act. A text and its notes are read within their row.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ COMMENCEMENT_FORM = r"(?:^|[,;]\s*)(ikr\.|i\s?kraft|iverksatt)"
 NEVER_FORM = r"\b(?:ikke\s+satt|ikkje\s+sett)\s+i\s+kraft\b"
 PROVISION_FORM, CHAPTER_FORM = r"^#{2,4}\s+(§{1,2}\s*[^.]+?)\s*(?:\.|$)", r"^##\s+(Kapittel|Kap\.|Del)\s+([^\s.]+)"
 ACT_FORM = r"\b\d{1,2}\s+[a-zæøå]+\.?\s+(?:19|20)\d{2}\s+nr\.\s*\d+"
+LINE_ENDS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 ACT_LINK, NO_HEADING = "lov/", "(document)"
 
 # --- forms made of them -------------------------------------------------------------------------------
@@ -51,7 +52,10 @@ FLAGS = "(?iU)"
 LINK = r"\[[^\]]*\]\([^)]*\)"
 VERB = rf"\*{{0,2}}(?:(?:{FUTURE})\s+)?(?:{_any(KINDS)})\*{{0,2}}(?:\s+i\s+sin\s+helhet)?\s+(?:ved|med)\b"
 HEAD = rf"{FLAGS}^\*{{0,2}}(?:({_any(SCOPES)})\s+)?\*{{0,2}}(?:({FUTURE})\s+)?({_any(KINDS)})\*{{0,2}}(?:\s+i\s+sin\s+helhet)?\s+(?:ved|med)\b"
-PIECE = rf"(?s){FLAGS}(({LINK}|{VERB}|{ACT_FORM}|[()])|(?:(?!{LINK}|{VERB}|{ACT_FORM}|[()]).)+)"
+#: Letters that no form begins with are passed over at once.
+BEGINS = "".join(sorted({w[0].lower() for w in [*KINDS, *FUTURE.split("|")]}))
+PIECE = rf"(?s){FLAGS}(({LINK}|{VERB}|{ACT_FORM}|[()])|(?:[^\[\d()*{BEGINS}]++|(?!{LINK}|{VERB}|{ACT_FORM}|[()]).)++)"
+PIECES = "array<struct<nth:int,piece:string,kind:string,inside:boolean,span:int,is_act:boolean,ref:string,act_no:int,verb:string>>"
 DATE = rf"{FLAGS}\b(\d{{1,2}})\.?\s+({_any(MONTHS)})\.?\s+(\d{{4}})\b"
 
 
@@ -63,52 +67,94 @@ def _flat(text: Column, form: str) -> Column:
     return text.rlike(FLAGS + form)
 
 
+def _heading(line: Column) -> Column:
+    """The provision or chapter that a line is the heading of; null for other lines."""
+    return F.when(_flat(line, PROVISION_FORM), F.trim(F.regexp_extract(line, FLAGS + PROVISION_FORM, 1))).when(_flat(line, CHAPTER_FORM), F.trim(F.regexp_replace(line, "^## ", "")))
+
+
 def lines_with_provision(docs: DataFrame, key: str) -> DataFrame:
     """key, line_no (from 1), line and the provision it stands under: the last heading of a section or chapter at or before it."""
-    rows = docs.select(key, F.posexplode(F.split(F.col("text"), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]")).alias("at", "line"))
-    heading = F.when(_flat(F.col("line"), PROVISION_FORM), F.trim(F.regexp_extract("line", FLAGS + PROVISION_FORM, 1))).when(
-        _flat(F.col("line"), CHAPTER_FORM), F.trim(F.regexp_replace("line", "^## ", ""))
-    )
+    rows = docs.select(key, F.posexplode(F.split(F.col("text"), LINE_ENDS)).alias("at", "line"))
+    heading = _heading(F.col("line"))
     here = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     provision = F.coalesce(F.last(heading, ignorenulls=True).over(here), F.lit(NO_HEADING))
     return rows.select(key, (F.col("at") + 1).alias("line_no"), "line", provision.alias("provision"))
 
 
 def notes(docs: DataFrame, key: str = "key") -> DataFrame:
-    """key, source_line, provision and note of every quoted block of texts (key, text); the key tells texts apart."""
-    rows = lines_with_provision(docs, key)
-    line = Window.partitionBy(key).orderBy("line_no")
-    quoted = (F.col("line") == ">") | F.col("line").startswith("> ")
-    block = F.count_if(~quoted).over(line)
-    held = rows.select("*", block.alias("block")).where(quoted)
-    begun = F.max(F.col("line").startswith("> ")).over(Window.partitionBy(key, "block").orderBy("line_no"))
-    told = held.withColumn("begun", begun).where("begun")
-    words = F.struct("line_no", F.substring("line", F.lit(3), F.length("line")).alias("words"), "provision")
-    met = told.groupBy(key, "block").agg(F.array_sort(F.collect_list(words)).alias("all"))
-    return met.select(key, F.col("all")[0]["line_no"].alias("source_line"), F.col("all")[0]["provision"].alias("provision"), F.array_join(F.col("all.words"), " ").alias("note"))
+    """key, source_line, provision and note of every quoted block of texts (key, text); the key tells texts apart.
+
+    A text is read within its row, so that no line is sorted or shuffled: every
+    line becomes a mark, with separators that no line can hold (it would end there), and the
+    marks are cut first at headings, then at lines that are not quoted.
+    """
+    text = F.split(F.col("text"), LINE_ENDS)
+    marks = F.concat(F.lit(f"{NO_HEADING}\x1c"), F.array_join(F.transform(text, _mark), ""))
+    under = docs.select(key, F.explode(F.split(marks, "\x1d")).alias("under"))
+    blocks = under.select(key, F.substring_index("under", "\x1c", 1).alias("provision"), F.explode(F.regexp_extract_all("under", F.lit(r"\x1e[^\x1c]+"), F.lit(0))).alias("block"))
+    # a note begins with its first line of words
+    begun = blocks.withColumn("block", F.regexp_replace("block", r"^(?:\x1e\d+\|)+", "")).where("block != ''")
+    first = F.regexp_extract("block", r"^\x1e(\d+)", 1).cast("int")
+    words = F.regexp_replace("block", r"\x1e\d+[>|]", "\x1e")
+    return begun.select(key, first.alias("source_line"), "provision", F.translate(F.substring(words, F.lit(2), F.length(words)), "\x1e", " ").alias("note"))
+
+
+def _mark(line: Column, at: Column) -> Column:
+    number = F.concat(F.lit("\x1e"), at + 1)
+    return (
+        F.when(line.startswith("> "), F.concat(number, F.lit(">"), F.substring(line, F.lit(3), F.length(line))))
+        .when(line == ">", F.concat(number, F.lit("|")))
+        .when(line.startswith("#"), F.coalesce(F.concat(F.lit("\x1d"), _heading(line), F.lit("\x1c")), F.lit("\x1c")))
+        .otherwise("\x1c")
+    )
+
+
+def _read(note: Column) -> Column:
+    """The pieces of a note, in order: one fold over them, as notes are short."""
+    whole = lambda piece, form: piece.rlike(rf"(?s){FLAGS}^(?:{form})$")
+
+    def told(piece: Column) -> Column:
+        kind = F.when(piece == "(", "open").when(piece == ")", "close").when(whole(piece, LINK), "link").when(whole(piece, VERB), "verb").when(whole(piece, ACT_FORM), "act").otherwise("text")
+        return F.struct(piece.alias("piece"), kind.alias("kind"))
+
+    def depth(held: Column, kind: Column) -> Column:
+        # a closing bracket that closes nothing does not count
+        return F.when(kind == "open", held["depth"] + 1).when(kind == "close", F.greatest(held["depth"] - 1, F.lit(0))).otherwise(held["depth"])
+
+    def span(held: Column, kind: Column) -> Column:
+        return F.when((kind == "open") & (held["depth"] == 0), held["span"] + 1).otherwise(held["span"])
+
+    def counted(held: Column, x: Column) -> Column:
+        return F.struct(depth(held, x["kind"]).alias("depth"), span(held, x["kind"]).alias("span"))
+
+    def step(held: Column, x: Column) -> Column:
+        kind, now = x["kind"], counted(held, x)
+        within = (now["depth"] > 0) | ((kind == "close") & (held["depth"] == 1))
+        inside = within & (now["span"] > 0) & (now["span"] < held["unclosed"])
+        ref = F.when(kind == "link", F.regexp_extract(x["piece"], r"(?s)^\[[^\]]*\]\(([^)]*)\)$", 1))
+        is_act = ~inside & ((kind == "act") | ((kind == "link") & ref.startswith(ACT_LINK)))
+        verb = F.when((kind == "verb") & ~inside, x["piece"]).otherwise(held["verb"])
+        act_no = held["act_no"] + is_act.cast("int")
+        row = F.struct(
+            F.size(held["all"]).alias("nth"), x["piece"].alias("piece"), kind.alias("kind"), inside.alias("inside"), now["span"].alias("span"), F.coalesce(is_act, F.lit(False)).alias("is_act"),
+            ref.alias("ref"), act_no.alias("act_no"), verb.alias("verb"),
+        )
+        return F.struct(now["depth"].alias("depth"), now["span"].alias("span"), held["unclosed"].alias("unclosed"), act_no.alias("act_no"), verb.alias("verb"), F.concat(held["all"], F.array(row)).alias("all"))
+
+    def folded(pieces: Column) -> Column:
+        zero, none = F.lit(0), F.lit(None).cast("string")
+        # only the last bracket can be left open; the others are closed
+        unclosed = F.aggregate(pieces, F.struct(zero.alias("depth"), zero.alias("span")), counted, lambda end: F.when(end["depth"] > 0, end["span"]).otherwise(1 << 30))
+        begin = F.struct(zero.alias("depth"), zero.alias("span"), unclosed.alias("unclosed"), zero.alias("act_no"), none.alias("verb"), F.array().cast(PIECES).alias("all"))
+        return F.aggregate(pieces, begin, step, lambda end: end["all"])
+
+    # the pieces are bound, so that they are cut once
+    return F.transform(F.array(F.transform(F.regexp_extract_all(note, F.lit(PIECE), F.lit(1)), told)), folded)[0]
 
 
 def pieces(found: DataFrame, key: str = "key") -> DataFrame:
     """The notes' pieces in order: what each is, whether a bracket holds it, which closed bracket, and the acts before it."""
-    cut = found.select(key, "source_line", F.posexplode(F.regexp_extract_all("note", F.lit(PIECE), F.lit(1))).alias("nth", "piece"))
-    whole = lambda form: F.col("piece").rlike(rf"(?s){FLAGS}^(?:{form})$")
-    kind = F.when(F.col("piece") == "(", "open").when(F.col("piece") == ")", "close").when(whole(LINK), "link").when(whole(VERB), "verb").when(whole(ACT_FORM), "act").otherwise("text")
-    note = [key, "source_line"]
-    line = Window.partitionBy(*note).orderBy("nth")
-    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    # a closing bracket that closes nothing does not count
-    deep = cut.withColumn("kind", kind).withColumn("sum", F.sum(step).over(line)).withColumn("depth", F.col("sum") - F.least(F.min("sum").over(line), F.lit(0)))
-    before = F.coalesce(F.lag("depth").over(line), F.lit(0))
-    opens = (F.col("kind") == "open") & (before == 0)
-    closes = (F.col("kind") == "close") & (before == 1)
-    spans = deep.withColumn("span", F.count_if(opens).over(line)).withColumn("closes", closes).withColumn("within", (F.col("depth") > 0) | closes)
-    closed = F.max("closes").over(Window.partitionBy(*note, "span"))
-    inner = spans.withColumn("inside", F.col("within") & closed & (F.col("span") > 0))
-    ref = F.regexp_extract("piece", r"(?s)^\[[^\]]*\]\(([^)]*)\)$", 1)
-    is_act = ~F.col("inside") & ((F.col("kind") == "act") | ((F.col("kind") == "link") & ref.startswith(ACT_LINK)))
-    told = inner.withColumn("is_act", is_act).withColumn("ref", F.when(F.col("kind") == "link", ref)).withColumn("act_no", F.count_if("is_act").over(line))
-    verb = F.when((F.col("kind") == "verb") & ~F.col("inside"), F.col("piece"))
-    return told.withColumn("verb", F.last(verb, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return found.select(key, "source_line", F.inline(_read(F.col("note"))))
 
 
 def marker_class(marker: Column) -> Column:
@@ -149,18 +195,29 @@ def events(docs: DataFrame, key: str = "key") -> DataFrame:
     ``absent``. A written date that no calendar has makes its marker ``unrecognised``.
     """
     found = notes(docs, key)
-    heads = found.where(F.col("note").rlike(HEAD))
     scope = F.coalesce(_looked_up(F.regexp_extract("note", HEAD, 1), SCOPES), F.lit("provision"))
+    heads = found.where(F.col("note").rlike(HEAD)).select(key, "source_line", "provision", scope.alias("scope"), "note", _read(F.col("note")).alias("all"))
+
+    def marked(act: Column) -> Column:
+        inner = F.filter("all", lambda x: x["inside"] & (x["act_no"] == act["act_no"]))
+        spans = F.array_distinct(F.transform(inner, lambda x: x["span"]))
+
+        def of(span: Column) -> Column:
+            marker = F.array_join(F.transform(F.filter(inner, lambda x: x["span"] == span), lambda x: x["piece"]), "")
+            return F.struct(act.alias("act"), span.alias("span"), marker.alias("raw_marker"))
+
+        # an act without a marker has one row
+        return F.transform(F.when(F.size(spans) > 0, spans).otherwise(F.array(F.lit(None).cast("int"))), of)
+
+    each = heads.select(key, "source_line", "provision", "scope", F.col("note").alias("source_note"), F.inline(F.flatten(F.transform(F.filter("all", lambda x: x["is_act"]), marked))))
+    marker = F.when(F.col("span").isNotNull(), F.col("raw_marker"))
+    met = each.select(
+        key, "source_line", "provision", "scope", "source_note", F.col("act.act_no").alias("act_no"), "span", marker.alias("raw_marker"), F.col("act.verb").alias("verb"), F.col("act.ref").alias("amending_act_ref"),
+        F.when(F.col("act.kind") == "link", F.regexp_extract("act.piece", r"(?s)^\[([^\]]*)\]", 1)).otherwise(F.col("act.piece")).alias("amending_act"),
+    )
     note = [key, "source_line"]
-    cut = pieces(heads, key)
-    label = F.regexp_extract("piece", r"(?s)^\[([^\]]*)\]", 1)
-    acts = cut.where("is_act").select(*note, "act_no", F.when(F.col("kind") == "link", label).otherwise(F.col("piece")).alias("amending_act"), F.col("ref").alias("amending_act_ref"), "verb")
-    part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "piece"))), lambda p: p["piece"]), "")
-    markers = cut.where("inside AND act_no > 0").groupBy(*note, "act_no", "span").agg(part.alias("raw_marker"))
-    met = acts.join(markers, [*note, "act_no"], "left").join(heads.select(*note, "provision", scope.alias("scope"), F.col("note").alias("source_note")), note)
     kind, announced = _of_verb(F.col("verb"))
-    said = marker_class(F.col("raw_marker"))
-    told = met.withColumn("marker_class", said)
+    told = met.withColumn("marker_class", marker_class(F.col("raw_marker")))
     known = F.col("marker_class")
     commencement = F.when(known == "explicit_date", "dated").when(known == PENDING, PENDING).when(known.isin("relative", "unrecognised"), "ambiguous").otherwise("unknown")
     return told.select(

@@ -179,24 +179,26 @@ FROM e
 """)
 def amendment_events(spark: SparkSession, sf: str) -> DataFrame:
     """Every order is a text: a provision for each of its items, with a note below whose words follow the item's numbers."""
-    items, n = table(spark, sf, "lineitem"), F.col("l_partkey")
-
     def picked(index: Column, *words: str) -> Column:
         return F.array(*map(F.lit, words))[index]
 
-    month = picked(F.month("l_shipdate") - 1, "januar", "feb", "mars", "apr", "mai", "jun", "juli", "aug", "sept", "okt", "nov", "des")
-    said = F.concat(F.dayofmonth("l_shipdate"), F.lit(". "), month, F.lit(" "), F.year("l_shipdate"))
-    verb = picked((F.col("l_suppkey") % 3).cast("int"), "**Kapitlet endra** med", "**Oppheves** ved", "Føyd  til ved")
-    marker = F.array(
-        F.concat(F.lit(" (ikr. "), said, F.lit(")")), F.lit(" (i kraft fra den tid Kongen bestemmer)"),
-        F.concat(F.lit(" (ikr. samtidig som [lov](lov/x"), "l_suppkey", F.lit("))")), F.lit(""),
-    )[(n % 4).cast("int")]
-    more = F.when(F.col("l_quantity") < 10, ", opphevet ved lov 3 mai 1990 nr. 7 (se § 2, jf. (a) b).").otherwise(".")
-    # the second line of the note begins with the words that follow
-    note = F.concat(F.lit("\n> "), verb, F.lit("\n> lov [lov "), n, F.lit("](lov/"), n, F.lit(")"), marker, more)
-    block = F.concat(F.lit("### § "), "l_linenumber", F.lit(". Om endret ved (noe)\n\n"), F.substring(note, F.lit(2), F.length(note)))
-    whole = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", block.alias("block"))))
-    texts = items.groupBy(F.col("l_orderkey").alias("key")).agg(F.array_join(F.transform(whole, lambda b: b["block"]), "\n").alias("text"))
+    def block(item: Column) -> Column:
+        n, supplier, shipped = item["l_partkey"], item["l_suppkey"], item["l_shipdate"]
+        month = picked(F.month(shipped) - 1, "januar", "feb", "mars", "apr", "mai", "jun", "juli", "aug", "sept", "okt", "nov", "des")
+        said = F.concat(F.dayofmonth(shipped), F.lit(". "), month, F.lit(" "), F.year(shipped))
+        verb = picked((supplier % 3).cast("int"), "**Kapitlet endra** med", "**Oppheves** ved", "Føyd  til ved")
+        marker = F.when(n % 4 == 0, F.concat(F.lit(" (ikr. "), said, F.lit(")"))).when(n % 4 == 1, " (i kraft fra den tid Kongen bestemmer)").when(
+            n % 4 == 2, F.concat(F.lit(" (ikr. samtidig som [lov](lov/x"), supplier, F.lit("))"))
+        )
+        more = F.when(item["l_quantity"] < 10, ", opphevet ved lov 3 mai 1990 nr. 7 (se § 2, jf. (a) b).").otherwise(".")
+        # the second line of the note begins with the words that follow
+        note = F.concat(F.lit("> "), verb, F.lit("\n> lov [lov "), n, F.lit("](lov/"), n, F.lit(")"), F.coalesce(marker, F.lit("")), more)
+        return F.concat(F.lit("### § "), item["l_linenumber"], F.lit(". Om endret ved (noe)\n\n"), note)
+
+    # rows are dealt out as they are, before any text is made of them
+    items = table(spark, sf, "lineitem").repartition("l_orderkey")
+    whole = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")))
+    texts = items.groupBy(F.col("l_orderkey").alias("key")).agg(F.array_join(F.transform(whole, block), "\n").alias("text"))
     at = F.lit("1996-06-30").cast("date")
     found = events.events(texts).withColumn("status", temporal.evaluated(F.col("valid_from"), F.col("marker_class"), at, at)["status"])
     return found.drop("act_no", "span", "source_note", "commencement_kind", "provenance")

@@ -10,6 +10,7 @@ from ..functions.text import block_id, section_id
 #: Fixed forms: a section heading, a chapter heading and any other heading.
 SECTION = r"^#{2,6}\s*§\s*([0-9]+(?:\s*[a-zA-Z])?(?:-[0-9]+(?:\s*[a-zA-Z])?)*)\.?\s*(.*)$"
 CHAPTER, BLOCK = r"^##\s+(.*)$", r"^#{2,6}\s+(.*)$"
+HEADS = "array<struct<at:int,line:string,s:boolean,c:boolean,chapter:string>>"
 
 
 def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -34,65 +35,87 @@ def sections(docs: DataFrame) -> DataFrame:
     The section test comes before the chapter test; a level-two heading that is
     no section closes what is open and sets the chapter; any other heading opens
     a block whose id is its slug, or only closes what is open where it has none.
+    A text is cut within its row: its lines are neither sorted nor shuffled.
     """
-    rows = lines(docs)
-    line = F.col("line")
+    cut = docs.select("doc_id", F.split("text", "\n").alias("lines"))
+    numbered = F.transform("lines", lambda line, at: F.struct(at.alias("at"), line.alias("line")))
+    heads = F.transform(F.filter(numbered, lambda x: x["line"].startswith("##")), lambda x: _head(x["at"], x["line"]))
+    marked = cut.select("doc_id", "lines", F.filter(heads, lambda x: x["s"] | x["c"] | x["b"]).alias("heads"))
+    none = F.struct(F.lit(None).cast("string").alias("chapter"), F.array().cast(HEADS).alias("all"))
+
+    def under(held: Column, x: Column) -> Column:
+        chapter = F.when(x["c"], F.regexp_extract(x["line"], CHAPTER, 1)).otherwise(held["chapter"])
+        row = F.struct(x["at"].alias("at"), x["line"].alias("line"), x["s"].alias("s"), x["c"].alias("c"), chapter.alias("chapter"))
+        return F.struct(chapter.alias("chapter"), F.concat(held["all"], F.array(row)).alias("all"))
+
+    placed = marked.select("doc_id", "lines", F.aggregate("heads", none, under, lambda end: end["all"]).alias("heads"))
+
+    def opened(x: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("heads", k + 1)["at"], F.size("lines"))
+        label = F.when(x["s"], section_id(F.regexp_extract(x["line"], SECTION, 1))).otherwise(block_id(F.regexp_extract(x["line"], BLOCK, 1)))
+        heading = F.when(x["s"], F.regexp_extract(x["line"], SECTION, 2)).otherwise(F.regexp_extract(x["line"], BLOCK, 1))
+        body = F.trim(F.array_join(F.slice("lines", x["at"] + 2, end - x["at"] - 1), "\n"))
+        return F.struct(F.when(~x["c"], label).alias("section_id"), heading.alias("heading"), x["chapter"].alias("parent_chapter"), x["s"].alias("s"), body.alias("body"))
+
+    held = placed.select("doc_id", F.filter(F.transform("heads", opened), lambda x: x["section_id"] != "").alias("parts"))
+    # equal ids come together, each in the order of the text
+    ids = F.array_sort(F.transform("parts", lambda x, k: F.struct(x["section_id"].alias("id"), k.alias("k"))))
+    told = held.select("doc_id", "parts", ids.alias("ids")).select("doc_id", "parts", "ids", F.col("ids.id").alias("names"))
+    nth = F.array_sort(F.transform("ids", lambda x, k: F.struct(x["k"].alias("k"), (k + 2 - F.array_position("names", x["id"])).cast("int").alias("nth"))))
+    counted = told.select("doc_id", "parts", nth.alias("nth"))
+
+    def row(x: Column, k: Column) -> Column:
+        chapter = x["parent_chapter"]
+        return F.struct(
+            (k + 1).alias("pos"), x["section_id"].alias("section_id"), x["heading"].alias("heading"), chapter.alias("parent_chapter"), layer(F.coalesce(chapter, F.lit(""))).alias("layer"),
+            F.when(x["s"], "section").otherwise("block").alias("kind"), x["body"].alias("body"), F.get("nth", k)["nth"].alias("occurrence"),
+        )
+
+    return counted.select("doc_id", F.inline(F.transform("parts", row)))
+
+
+def _head(at: Column, line: Column) -> Column:
     is_section = line.rlike(SECTION)
     is_chapter = ~is_section & line.rlike(CHAPTER)
-    is_block = ~is_section & ~is_chapter & line.rlike(BLOCK)
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    marked = rows.select(
-        "doc_id", "line_no", "line", is_section.alias("s"), is_chapter.alias("c"), is_block.alias("b")
-    ).withColumn("part", F.sum((F.col("s") | F.col("c") | F.col("b")).cast("int")).over(order))
-    chapter = F.last(F.when(F.col("c"), F.regexp_extract("line", CHAPTER, 1)), True).over(order)
-    with_chapter = marked.withColumn("parent_chapter", chapter)
-    head = F.struct("line_no", "line", "s", "b", "parent_chapter")
-    body = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n"
-    )
-    parts = with_chapter.where("part > 0").groupBy("doc_id", "part").agg(F.min(head).alias("h"), body.alias("whole"))
-    opened = parts.where("h.s OR h.b")
-    label = F.when(F.col("h.s"), section_id(F.regexp_extract("h.line", SECTION, 1))).otherwise(block_id(F.regexp_extract("h.line", BLOCK, 1)))
-    heading = F.when(F.col("h.s"), F.regexp_extract("h.line", SECTION, 2)).otherwise(F.regexp_extract("h.line", BLOCK, 1))
-    out = opened.where(label != "").select(
-        "doc_id",
-        F.row_number().over(Window.partitionBy("doc_id").orderBy("part")).alias("pos"),
-        label.alias("section_id"),
-        heading.alias("heading"),
-        "h.parent_chapter",
-        layer(F.coalesce("h.parent_chapter", F.lit(""))).alias("layer"),
-        F.when(F.col("h.s"), "section").otherwise("block").alias("kind"),
-        F.trim(F.expr("substring(whole, length(h.line) + 2)")).alias("body"),
-    )
-    return out.withColumn("occurrence", F.row_number().over(Window.partitionBy("doc_id", "section_id").orderBy("pos")))
+    return F.struct(at.alias("at"), line.alias("line"), is_section.alias("s"), is_chapter.alias("c"), (~is_section & ~is_chapter & line.rlike(BLOCK)).alias("b"))
 
 
 def requested(all_sections: DataFrame, requests: DataFrame) -> DataFrame:
-    """Answer rows of (doc_id, section_id, occurrence or null): found, missing or ambiguous."""
-    n = all_sections.groupBy("doc_id", "section_id").agg(F.count(F.lit(1)).alias("n_same"))
-    wanted = requests.withColumn("section_id", section_id(F.col("section_id"))).join(n, ["doc_id", "section_id"], "left")
+    """Answer rows of (doc_id, section_id, occurrence or null): found, missing or ambiguous.
+
+    Sections are shuffled once: a request meets the occurrence it asks for or,
+    where there is none, the first one, which tells how many there are.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "section_id"))
+    held = all_sections.select("doc_id", "section_id", F.col("occurrence").alias("__o"), "heading", "body", n.alias("n_same"))
+    wanted = requests.withColumn("section_id", section_id(F.col("section_id"))).withColumn("__asked", F.coalesce("occurrence", F.lit(1)))
+    r, s = wanted.alias("r"), held.alias("s")
+    same = (F.col("r.doc_id") == F.col("s.doc_id")) & (F.col("r.section_id") == F.col("s.section_id"))
+    met = F.col("s.__o") == F.when(F.col("r.__asked").between(1, F.col("s.n_same")), F.col("r.__asked")).otherwise(1)
+    found = r.join(s, same & met, "left")
     unsure = (F.col("n_same") > 1) & F.col("occurrence").isNull()
-    body = all_sections.select("doc_id", "section_id", F.col("occurrence").alias("__o"), "heading", "body")
-    asked = wanted.withColumn("__o", F.when(~unsure, F.coalesce("occurrence", F.lit(1))))
-    found = asked.join(body, ["doc_id", "section_id", "__o"], "left")
-    state = F.when(unsure, "ambiguous").when(F.col("body").isNull(), "missing").otherwise("found")
-    return found.select("doc_id", "section_id", "occurrence", state.alias("state"), "n_same", "heading", "body")
+    there = F.col("__o") == F.col("__asked")
+    state = F.when(unsure, "ambiguous").when(there & F.col("body").isNotNull(), "found").otherwise("missing")
+    shown = [F.when(there & ~unsure, F.col(c)).alias(c) for c in ("heading", "body")]
+    return found.select("r.doc_id", "r.section_id", "occurrence", state.alias("state"), "n_same", *shown)
 
 
 def section_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Added, removed and changed sections between two versions of documents.
 
     Repeated ids are paired by equal text first, then by order among the rest.
+    Both versions go through one line of windows, so bodies are shuffled at most once.
     """
-    def keyed(side: DataFrame) -> DataFrame:
-        alike = F.row_number().over(Window.partitionBy("doc_id", "section_id", "body").orderBy("occurrence"))
-        return side.select("doc_id", "section_id", "occurrence", "body", alike.alias("alike"))
-
-    a, b = keyed(before), keyed(after)
-    same = ["doc_id", "section_id", "body", "alike"]
-    rest_a, rest_b = a.join(b.select(*same), same, "left_anti"), b.join(a.select(*same), same, "left_anti")
-    place = F.row_number().over(Window.partitionBy("doc_id", "section_id").orderBy("occurrence"))
-    left = rest_a.select("doc_id", "section_id", place.alias("place"), F.col("body").alias("body_before"))
-    right = rest_b.select("doc_id", "section_id", place.alias("place"), F.col("body").alias("body_after"))
+    sides = [rows.select("doc_id", "section_id", "occurrence", "body", F.lit(side).alias("side")) for side, rows in enumerate((before, after))]
+    both = sides[0].unionByName(sides[1])
+    line = Window.partitionBy("doc_id", "section_id", "body").orderBy("side", "occurrence")
+    every = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.col("side") == 0
+    counted = both.select("*", F.row_number().over(line).alias("nth"), F.count_if(first).over(every).alias("n_before"), F.count_if(~first).over(every).alias("n_after"))
+    # of equal texts as many are paired as both sides have
+    rest = counted.where(F.when(first, F.col("nth") > F.col("n_after")).otherwise(F.col("nth") - F.col("n_before") > F.col("n_before")))
+    place = F.row_number().over(Window.partitionBy("doc_id", "section_id", "side").orderBy("occurrence"))
+    placed = rest.select("doc_id", "section_id", "body", "side", place.alias("place"))
+    met = placed.groupBy("doc_id", "section_id", "place").agg(F.max(F.when(first, F.col("body"))).alias("body_before"), F.max(F.when(~first, F.col("body"))).alias("body_after"))
     kind = F.when(F.col("body_before").isNull(), "added").when(F.col("body_after").isNull(), "removed").otherwise("changed")
-    return left.join(right, ["doc_id", "section_id", "place"], "full_outer").withColumn("change_type", kind)
+    return met.withColumn("change_type", kind)

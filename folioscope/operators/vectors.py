@@ -1,14 +1,19 @@
-"""Exact vector search and quantisation, in built-in functions."""
+"""Exact vector search and quantisation."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: The bound of a quantised entry and the floor of a search score.
 BOUND, FLOOR = 127, 0.25
-#: Query vectors of a block.
-BLOCK = 256
+#: Vectors of a slot, query vectors of a block, those that are multiplied at once, pairs scored at once, and how far below the k-th best a score may be and still round like it.
+SLOT, BLOCK, SLAB, PAIRS, MARGIN = 8192, 4096, 128, 1 << 16, 2e-6
 
 
 def doubles(vector: Column) -> Column:
@@ -46,28 +51,63 @@ def top_k(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", f
 def neighbours(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """For a stated set of query vectors (query_id, embedding), the k nearest others by cosine.
 
-    The queries are cut into blocks of about ``BLOCK`` vectors, and every vector
-    meets every block. Both sides are dealt over slots, so blocks are joined by
-    block and slot, by broadcast only where Spark finds them small; a partial
-    top-k per task goes before the shuffle.
+    The vectors are dealt over slots and the queries over blocks of bounded size;
+    every slot meets every block in a task of its own, as one product of matrices. Of each only what can be among
+    the k best is scored (term by term, as ``dot`` does) and shuffled.
     """
-    blocks = max(1, -(-queries.count() // BLOCK))
-    slots = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")
-    held = normed(queries).select(block, F.struct("query_id", "v", "norm", "label").alias("q")).groupBy("block").agg(F.collect_list("q").alias("qs"))
-    held = held.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    dealt = normed(vectors).withColumn("slot", F.pmod(F.xxhash64("vec_id"), F.lit(slots)).cast("int"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    rows = dealt.join(held, ["block", "slot"])
-    pairs = rows.select("vec_id", "label", "v", "norm", F.explode("qs").alias("q")).where("vec_id <> q.query_id")
-    scored = pairs.select(
-        F.col("q.query_id").alias("query_id"),
-        "vec_id",
-        F.round(dot(F.col("v"), F.col("q.v")) / (F.col("norm") * F.col("q.norm")), 6).alias("score"),
-        (F.col("label") == F.col("q.label")).alias("hit"),
-    )
+    slots, blocks = (max(1, -(-rows.count() // size)) for rows, size in ((vectors, SLOT), (queries, BLOCK)))
+    held = normed(queries).select("query_id", F.col("label").alias("wanted"), "v", "norm", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), _every(slots).alias("slot"))
+    dealt = normed(vectors).select("vec_id", "label", "v", "norm", F.pmod(F.xxhash64("vec_id"), F.lit(slots)).alias("slot"), _every(blocks).alias("block"))
+    key = {name: rows.schema[name].dataType for name, rows in (("query_id", queries), ("vec_id", vectors))}
+    fields = [*(T.StructField(*pair) for pair in key.items()), T.StructField("score", T.DoubleType()), T.StructField("hit", T.BooleanType())]
+
+    def run(found: pa.Table, asked: pa.Table) -> pa.Table:
+        # a side without rows has no columns either
+        return _best(found, asked, k) if len(found) and len(asked) else none
+
+    none = to_arrow_schema(T.StructType(fields)).empty_table()
+
+    scored = dealt.groupBy("slot", "block").cogroup(held.groupBy("slot", "block")).applyInArrow(run, T.StructType(fields))
+    rows = scored.select("query_id", "vec_id", F.round("score", 6).alias("score"), "hit")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _every(n: int) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
+def _best(found: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    """query_id, vec_id, score and hit of all that can be among the k best of a query: by score to six places, then by id."""
+    def matrix(rows: pa.Table) -> np.ndarray:
+        held = rows["v"].combine_chunks()
+        return held.flatten().to_numpy(zero_copy_only=False).reshape(len(held), -1)
+
+    v, q = matrix(found), matrix(asked)
+    ids, of = found["vec_id"].to_numpy(), asked["query_id"].to_numpy()
+    norms, sizes = found["norm"].to_numpy(), asked["norm"].to_numpy()
+    at, to, scores = [np.zeros(0, int)], [np.zeros(0, int)], [np.zeros(0)]
+    for low in range(0, len(q), SLAB):
+        near = (q[low : low + SLAB] / sizes[low : low + SLAB, None]) @ (v / norms[:, None]).T
+        near[of[low : low + SLAB, None] == ids[None, :]] = -np.inf
+        least = np.partition(near, max(0, len(v) - k), axis=1)[:, max(0, len(v) - k)]
+        rows, columns = np.nonzero((near >= least[:, None] - MARGIN) & (near > -np.inf))
+        for part in range(0, len(rows), PAIRS):
+            r, c = rows[part : part + PAIRS] + low, columns[part : part + PAIRS]
+            # a running sum adds in the order of the entries
+            exact = np.cumsum(v[c] * q[r], axis=1)[:, -1] / (norms[c] * sizes[r])
+            # scores of half a step round alike, so of each the least ids are enough
+            step = np.floor(exact * 2e6)
+            order = np.lexsort((ids[c], -step, r))
+            fresh = np.r_[True, (np.diff(r[order]) != 0) | (np.diff(step[order]) != 0)]
+            begin = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))
+            kept = order[np.arange(len(order)) - begin < k]
+            at.append(c[kept])
+            to.append(r[kept])
+            scores.append(exact[kept])
+    c, r = pa.array(np.concatenate(at)), pa.array(np.concatenate(to))
+    hit = pc.equal(found["label"].take(c), asked["wanted"].take(r))
+    return pa.table({"query_id": asked["query_id"].take(r), "vec_id": found["vec_id"].take(c), "score": np.concatenate(scores), "hit": hit})
 
 
 def quantised(vectors: DataFrame, column: str = "embedding") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,12 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import nfkc_folded
+from ..session import written
 from . import citations
 
 #: Endings of the short names that titles hold in brackets.
 SUFFIXES = ("loven", "lova", "forskriften", "forskrifta")
-#: Bytes of names that a task matches at once; more names are matched in lots of this size.
-LOT_BYTES = 32 << 20
+#: Bytes of names that a task matches at once (their automaton takes many times as much); more names are matched in lots of this size.
+LOT_BYTES = 4 << 20
+WORDS = re.compile(r"[\w-]+")
 
 
 def index(acts: DataFrame) -> DataFrame:
@@ -100,16 +103,41 @@ def _found(texts: DataFrame, names: list[str], key: str, resolved: bool) -> Data
     return texts.select(key, F.col("text").cast("string")).mapInArrow(run, T.StructType(fields))
 
 
+def _words(rows: DataFrame, column: str, *kept: str) -> DataFrame:
+    """The words of ``column`` as ``_unit`` tells them, with the ``kept`` columns; each once a batch."""
+    fields = [*(rows.schema[c] for c in kept), T.StructField("word", T.StringType())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *held, texts = (c.to_pylist() for c in batch.columns)
+            met = {(*of, word) for *of, text in zip(*held, texts) if text for word in WORDS.findall(_lowered(text))}
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in met], t) for k, t in enumerate([*(batch.schema.field(k).type for k in range(len(kept))), pa.string()])], names=[f.name for f in fields])
+
+    return rows.select(*kept, F.col(column).cast("string")).mapInArrow(run, T.StructType(fields))
+
+
+def possible(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``names`` (name, each once) whose words all occur in texts: a mention begins and ends at words, so no other name can have one."""
+    there = _words(texts, "text").distinct()
+    told = written(names.select("name", F.col("name").alias("said")), "names")
+    lacking = _words(told, "said", "name").join(there, "word", "left_anti").select("name").distinct()
+    return written(told.select("name").join(lacking, "name", "left_anti"), "names")
+
+
 def scan(texts: DataFrame, names: DataFrame, key: str = "key", lot_bytes: int = LOT_BYTES) -> DataFrame:
     """Every mention of ``names`` (name, folded) in texts (key, text): key, start, end (exclusive) and name; leftmost first, the longest of those, none overlapping.
 
     Texts are read once, and not shuffled, while the names fit into one lot, whose
-    size is looked at before it is sent. More names go in lots of that size;
+    size is looked at before it is sent. Of more names only those whose words
+    the texts have are looked for, in lots of that size;
     then the lots' matches alone are brought together by text. The key tells texts apart.
     Null and empty texts and names have no mentions.
     """
     told = names.where("name != ''").select("name").distinct()
     size = told.agg(F.sum(F.octet_length("name"))).first()[0] or 0
+    if size > lot_bytes:
+        told = possible(told, texts)
+        size = told.agg(F.sum(F.octet_length("name"))).first()[0] or 0
     lots = max(1, -(-size // lot_bytes))
     if lots == 1:
         return _found(texts, [r["name"] for r in told.collect()], key, True)

@@ -2,25 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import section_id
+from .ordering import heavy
 
 #: Fixed forms: a section reference, the letters of slugs, and how far from a reference its act may be named.
 REFERENCE, SLUG_LETTERS, REACH = r"§\s*(\d+(?:-[\da-z]+)?)", "A-Za-z0-9ÆØÅÄÖÜæøåäöü-", 80
-#: Every text is a row of these: references, words of slug letters, and what lies between.
-PIECES = rf"(?s)§\s*\d+(?:-[\da-z]+)?|[{SLUG_LETTERS}]+|[^§{SLUG_LETTERS}]+|§"
+#: The word that nothing but blanks divides from what follows.
+LAST_WORD, BLANKS = rf"(?<![{SLUG_LETTERS}])[{SLUG_LETTERS}]++\s*+\z", " \t\n\x0b\f\r"
+#: Words in over 1/``COMMON`` of all places are looked up before the others.
+COMMON = 200
 
 
-def pieces(texts: DataFrame, key: str) -> DataFrame:
-    """One row per piece with where it begins and how many references come before it."""
-    cut = texts.select(key, "slug", F.posexplode(F.regexp_extract_all("text", F.lit(PIECES), F.lit(0))).alias("pos", "piece"))
-    order = Window.partitionBy(key).orderBy("pos")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    is_ref = F.col("piece").rlike(rf"^{REFERENCE}$")
-    told = cut.select("*", is_ref.alias("is_ref"), F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)).alias("begin"))
-    return told.withColumn("n_before", F.coalesce(F.sum(F.col("is_ref").cast("long")).over(before), F.lit(0)))
+def mentions(texts: DataFrame, key: str) -> DataFrame:
+    """key, slug and ``refs`` of texts with a reference: each one's wording, the words within its reach before and after it, and ``owner``.
+
+    The owner is the word directly before the next reference where it begins within reach; it is then
+    the last of the words after. A text is read within its row: it is cut at its references.
+    """
+    cut = texts.select(key, "slug", F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(0)).alias("wordings"), F.split("text", REFERENCE).alias("gaps"))
+
+    def words(part: Column) -> Column:
+        return F.regexp_extract_all(F.lower(part), F.lit(rf"[{SLUG_LETTERS}]+"), F.lit(0))
+
+    def near_end(gap: Column) -> Column:
+        return F.struct(gap.alias("gap"), words(F.left(gap, F.lit(REACH))).alias("after"), F.regexp_extract(gap, LAST_WORD, 0).alias("last"))
+
+    def around(x: Column, at: Column) -> Column:
+        begin = F.length(x["gap"]) - F.length(x["last"])
+        owner = F.when((x["last"] != "") & (at < F.size("wordings")) & (begin < REACH), F.lower(F.rtrim(x["last"], F.lit(BLANKS))))
+        before = F.when(F.length(x["gap"]) <= REACH, x["after"]).otherwise(words(F.right(x["gap"], F.lit(REACH))))
+        return F.struct(before.alias("before"), x["after"].alias("after"), owner.alias("owner"))
+
+    def told(held: Column) -> Column:
+        return F.transform(F.col("wordings"), lambda w, i: F.struct(w.alias("wording"), held[i]["before"].alias("before"), held[i + 1]["after"].alias("after"), held[i + 1]["owner"].alias("owner")))
+
+    # what is read of a gap is bound, so that Spark reads it once
+    refs = F.transform(F.array(F.transform(F.transform("gaps", near_end), around)), told)[0]
+    return cut.where(F.size("wordings") > 0).select(key, "slug", refs.alias("refs"))
 
 
 def references(texts: DataFrame, acts: DataFrame, key: str = "key") -> DataFrame:
@@ -29,38 +50,29 @@ def references(texts: DataFrame, acts: DataFrame, key: str = "key") -> DataFrame
     A reference means the longest other act named within reach of it, else its
     own. Neighbouring references do not share words: its reach ends at theirs,
     and at an act named directly before the next one. A word that reach cuts
-    counts as what is left of it. Texts without a reference, empty and null ones give no row.
+    counts as what is left of it. Texts without a reference, empty and null ones give no row;
+    the key tells texts apart. The words of a text meet the acts once, and those that are acts come back to it.
     """
     known = acts.select(F.col("slug").alias("word")).distinct()
-    all_pieces = pieces(texts, key)
-    order = Window.partitionBy(key).orderBy("pos")
-    end = F.col("begin") + F.length("piece")
-    placed = (
-        all_pieces.withColumn("word", F.lower("piece"))
-        .join(known.withColumn("named", F.lit(True)), "word", "left")
-        .withColumn("last_end", F.max(F.when(F.col("is_ref"), end)).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("next_start", F.min(F.when(F.col("is_ref"), F.col("begin"))).over(order.rowsBetween(1, Window.unboundedFollowing)))
-    )
-    blank = F.trim(F.regexp_replace(F.lead("piece").over(order), r"\s+", "")) == ""
-    owns = F.col("named") & (F.lead("is_ref").over(order) | (blank & F.lead("is_ref", 2).over(order)))
-    owned = placed.withColumn("owner_start", F.min(F.when(owns, F.col("begin"))).over(Window.partitionBy(key, "n_before", "is_ref")))
-    words = owned.where(~F.col("is_ref") & F.col("word").rlike(rf"^[{SLUG_LETTERS}]+$"))
-    after_to = F.least("next_start", "owner_start", F.col("last_end") + REACH)
-    before_from = F.greatest("last_end", F.col("next_start") - REACH)
-    skipped = F.greatest(before_from - F.col("begin"), F.lit(0)).cast("int")
-    near_last = words.where(F.col("begin") < after_to).select(
-        key, "slug", F.col("n_before").alias("ref"), "begin", F.substring("word", F.lit(1), (after_to - F.col("begin")).cast("int")).alias("word")
-    )
-    near_next = words.where(F.col("next_start").isNotNull() & (skipped < F.length("word"))).select(
-        key, "slug", (F.col("n_before") + 1).alias("ref"), "begin", F.substring("word", skipped + 1, F.length("word")).alias("word")
-    )
-    candidates = near_last.unionByName(near_next).where("word != slug").join(known, "word", "left_semi")
-    best = candidates.groupBy(key, "ref").agg(F.max_by("word", F.struct(F.length("word"), -F.col("begin"))).alias("other"))
-    refs = all_pieces.where("is_ref").select(
-        key, "slug", (F.col("n_before") + 1).alias("ref"), F.col("piece").alias("wording"), F.regexp_extract("piece", REFERENCE, 1).alias("section_id")
+    found = mentions(texts, key)
+    every = F.flatten(F.transform("refs", lambda r: F.concat(r["before"], r["after"], F.array_compact(F.array(r["owner"])))))
+    words = found.select(key, F.explode(F.array_distinct(every)).alias("word"))
+    common = heavy(words, "word", COMMON)
+    common_acts = [r["word"] for r in known.where(F.col("word").isin(common)).collect()]
+    met = words.where(~F.col("word").isin(common)).join(known, "word", "left_semi").groupBy(key).agg(F.collect_list("word").alias("named"))
+
+    def is_act(word: Column) -> Column:
+        return F.coalesce(F.array_contains("named", word), F.lit(False)) | word.isin(common_acts)
+
+    each = found.join(met, key, "left").select(key, "slug", "named", F.posexplode("refs").alias("ref", "r"))
+    owned = F.coalesce(is_act(F.col("r.owner")), F.lit(False))
+    after = F.when(owned, F.slice("r.after", F.lit(1), F.greatest(F.size("r.after") - 1, F.lit(0)))).otherwise(F.col("r.after"))
+    others = F.filter(F.concat("r.before", after), lambda w: (w != F.col("slug")) & is_act(w))
+    longest = F.aggregate(others, F.lit(None).cast("string"), lambda held, w: F.when(F.length(w) > F.coalesce(F.length(held), F.lit(0)), w).otherwise(held))
+    told = each.select(
+        key, F.coalesce(longest, "slug").alias("target"), F.regexp_extract("r.wording", REFERENCE, 1).alias("section_id"), F.col("r.wording").alias("wording"), "ref"
     )
-    met = refs.join(best, [key, "ref"], "left").withColumn("target", F.coalesce("other", "slug"))
-    return met.groupBy(key, "target", "section_id").agg(F.min_by("wording", "ref").alias("wording"), F.count(F.lit(1)).alias("n"))
+    return told.groupBy(key, "target", "section_id").agg(F.min_by("wording", "ref").alias("wording"), F.count(F.lit(1)).alias("n"))
 
 
 def verdicts(refs: DataFrame, acts: DataFrame, sections: DataFrame) -> DataFrame:

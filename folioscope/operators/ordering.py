@@ -1,4 +1,4 @@
-"""Places in one order over all rows, without bringing them together."""
+"""Places in one order over all rows, without bringing them together, and what many rows share."""
 
 from __future__ import annotations
 
@@ -11,6 +11,15 @@ from ..session import written
 TASK_BITS = 33
 
 
+def heavy(rows: DataFrame, key: str, parts: int) -> list:
+    """Values of ``key`` that may be in over 1/``parts`` of the rows, at most 2 * ``parts`` of them.
+
+    A frequent-items sketch over all rows: each task sends one of fixed size, and it errs by far less than a share.
+    """
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k({key}, {2 * parts}, {100 * parts})").alias("top")).first()
+    return sorted(r["item"] for r in found["top"] or [] if r["item"] is not None and r["count"] * parts > found["n"])
+
+
 def numbered(rows: DataFrame, order: list[str], place: str, weight: Column | None = None, before: str | None = None) -> DataFrame:
     """``rows`` with ``place``, from 0 on, by ``order``; with ``weight``, also the sum of it over earlier rows as ``before``.
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import quote_folded
 from ..session import written
@@ -13,6 +18,8 @@ from .graph import clusters
 LEAST_CHARS, LEAST_FUNCTION, MOST_UNPRINTABLE, SIMILAR = 200, 0.05, 0.01, 0.8
 #: Copies of one text are dealt over so many slots.
 SLOTS = 24
+#: Sets looked at at once, what rounding may add, and prefixes that a shingle may be in before it comes last; rounds of counting, and shingles that come last, at most.
+LOT, SLACK, OFTEN, ROUNDS, MOST_COMMON = 1024, 1e-6, 50, 6, 200_000
 #: Short quotes are looked up by so many characters at most.
 LETTERS = 16
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
@@ -76,34 +83,105 @@ def shingle_rows(docs: DataFrame, size: int = 5) -> DataFrame:
     return written(sets.select("doc_id", key.alias("set_key"), F.size("s").alias("n"), "s"), "shingles")
 
 
+def prefix_size(n, similar: float):
+    """So many of a set's ``n`` shingles, first in any order common to all sets, hold one of every set as similar as asked."""
+    return n - np.ceil(n * similar - SLACK).astype(np.int64) + 1
+
+
+def prefixed(s: pa.ListArray, similar: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted sets, none empty: all shingles, which of them are in their set's prefix, the prefixes' sizes and their last places in the order.
+
+    The order is by hash, with the shingles of ``common`` (sorted) after all others.
+    """
+    offsets = s.offsets.to_numpy().astype(np.int64)
+    values = s.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    starts, n = offsets[:-1] - offsets[0], np.diff(offsets)
+    size = prefix_size(n, similar)
+    late = np.zeros(len(values), dtype=bool)
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] == values
+    early = np.cumsum(~late)
+    before = np.concatenate([[0], early])[starts]
+    rank = early - np.repeat(before, n)
+    held = np.concatenate([early[starts[1:] - 1], early[-1:]]) - before
+    # those that are late have the places after the set's early ones
+    inside = np.arange(len(values)) - np.repeat(starts, n) + 1
+    rank = np.where(late, inside - rank + np.repeat(held, n), rank)
+    taken = rank <= np.repeat(size, n)
+    places = (values >> 3) + np.where(late, 1 << 61, 0)
+    return values, taken, size, np.maximum.reduceat(np.where(taken, places, places.min()), starts)
+
+
+def _lots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, LOT):
+            yield batch.slice(low, LOT)
+
+
+def common_shingles(rows: DataFrame, similar: float) -> np.ndarray:
+    """Shingles that more than ``OFTEN`` sets have in their prefix, sorted. They come last in the order, which brings others into prefixes; these are counted in their turn.
+
+    Only the pairs that are compared in vain depend on what is found here.
+    """
+    common, last = np.zeros(0, dtype=np.int64), None
+    for _ in range(ROUNDS):
+
+        def fresh(batches: Iterator[pa.RecordBatch], common=common, last=last) -> Iterator[pa.RecordBatch]:
+            for lot in _lots(batches):
+                values, taken, *_ = prefixed(lot.column("s"), similar, common)
+                if last is not None:
+                    taken &= ~prefixed(lot.column("s"), similar, last)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(values[taken])], names=["g"])
+
+        counts = rows.select("s").mapInArrow(fresh, "g long").groupBy("g").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > OFTEN)
+        found = np.array([r["g"] for r in counts.orderBy(F.desc("df"), "g").limit(MOST_COMMON).collect()], dtype=np.int64)
+        common, last = np.union1d(common, found), common
+        if len(common) == len(last) or len(common) >= MOST_COMMON:
+            break
+    return common
+
+
 def _pairs(rows: DataFrame, similar: float) -> DataFrame:
     """Pairs (a, b, jaccard) of the classes of ``shingle_rows``, by their smallest ids."""
-    classes = rows.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
-    sets = rows.join(classes, ["set_key", "doc_id"], "left_semi").select("doc_id", "n", "s").dropDuplicates(["doc_id", "n"])
-    sets = written(sets, "sets")
-    shingles = sets.select("doc_id", "n", F.explode("s").alias("g"))
-    common = shingles.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # rarest first, those of one text before all others: what is left of the prefix falls to the shared ones
-    shared = shingles.join(common, "g").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
-    left = F.col("n") - F.ceil(F.col("n") * similar) + 1 - (F.col("n") - F.size("o"))
-    first = F.slice("o", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
-    prefix = shared.select("doc_id", "n", F.explode(first).alias("x")).select("doc_id", "n", F.col("x.g").alias("g"))
-    other = prefix.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "g")
-    close = (F.col("doc_id") < F.col("b")) & (F.least("n", "nb") >= F.greatest("n", "nb") * similar)
-    met = prefix.join(other, "g").where(close).select(F.col("doc_id").alias("a"), "b").distinct()
-    ends = [sets.select(F.col("doc_id").alias(end), F.col("s").alias(f"s{end}")) for end in "ab"]
+    held = rows.where("set_key IS NOT NULL")
+    common = common_shingles(held, similar)
+    schema = T.StructType([*held.select("set_key", "doc_id", "n").schema.fields, T.StructField("last", T.LongType()), T.StructField("first", T.ArrayType(T.LongType()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lot in _lots(batches):
+            values, taken, size, last = prefixed(lot.column("s"), similar, common)
+            first = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(values[taken]))
+            yield pa.RecordBatch.from_arrays([*(lot.column(c) for c in ("set_key", "doc_id", "n")), pa.array(last), first], names=schema.names)
+
+    # copies are folded while only prefixes move
+    folded = held.select("set_key", "doc_id", "n", "s").mapInArrow(cut, schema).groupBy("set_key")
+    classes = folded.agg(F.min("doc_id").alias("doc_id"), *(F.any_value(c).alias(c) for c in ("n", "last", "first")))
+    prefix = classes.select("doc_id", "n", "last", F.explode("first").alias("g"))
+    ends = [prefix.select(F.col("doc_id").alias(e), F.col("n").alias(f"n{e}"), F.col("last").alias(f"last{e}"), "g") for e in "ab"]
+    close = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * similar - SLACK)
+    met = ends[0].join(ends[1], "g").where(close).groupBy("a", "na", "lasta", "b", "nb", "lastb").agg(F.count(F.lit(1)).alias("c"))
+    # of the prefix that ends first, what the other one has not got is not in the other set at all
+    rest = {e: F.ceil(F.col(f"n{e}") * similar - SLACK) - 1 for e in "ab"}
+    most = F.col("c") + F.when(F.col("lasta") < F.col("lastb"), rest["a"]).when(F.col("lasta") > F.col("lastb"), rest["b"]).otherwise(F.greatest(*rest.values()))
+    likely = met.where(most >= (F.col("na") + F.col("nb")) * similar / (1 + similar) - SLACK)
+    likely = written(likely.select("a", "na", "b", "nb"), "likely")
+    # only the sets of such pairs are moved whole
+    asked = likely.select(F.col("a").alias("doc_id"), F.col("na").alias("n")).union(likely.select("b", "nb")).distinct()
+    sets = held.select("doc_id", "n", "s").join(asked, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n"])
+    whole = [sets.select(F.col("doc_id").alias(e), F.col("n").alias(f"n{e}"), F.col("s").alias(f"s{e}")) for e in "ab"]
     both = F.size(F.array_intersect("sa", "sb"))
     jaccard = both / (F.size("sa") + F.size("sb") - both)
-    return met.join(ends[0], "a").join(ends[1], "b").select("a", "b", F.round(jaccard, 6).alias("jaccard")).where(jaccard >= similar)
+    return likely.join(whole[0], ["a", "na"]).join(whole[1], ["b", "nb"]).select("a", "b", F.round(jaccard, 6).alias("jaccard")).where(jaccard >= similar)
 
 
 def shingle_pairs(docs: DataFrame, size: int = 5, similar: float = SIMILAR) -> DataFrame:
     """Pairs of texts whose sets of ``size``-word shingles have a Jaccard similarity of at least ``similar``.
 
     Only different sets are paired: copies are folded to the one with the
-    smallest id, and ``shingle_members`` says which texts it stands for. A set's rarest shingles come first, and two sets as similar as
-    asked must share one of the first few (the prefix filter), so only texts that
-    share a rare shingle meet; their sets are then compared whole.
+    smallest id, and ``shingle_members`` says which texts it stands for. Two sets as similar as
+    asked must share one of the first few shingles (the prefix filter) in any order that is the same for all: here by hash,
+    with those that many prefixes have last. How many they share there bounds what they share
+    at all; the sets of pairs that may be similar are then compared whole.
     """
     return _pairs(shingle_rows(docs, size), similar)
 

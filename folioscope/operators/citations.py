@@ -112,19 +112,27 @@ def names(acts: DataFrame) -> DataFrame:
 
 
 def _named(requests: DataFrame, acts: DataFrame) -> DataFrame:
-    """key, exact, low, high: the longest slug in each citation, and the ends of what its short names name."""
-    word = F.explode(F.regexp_extract_all(F.lower("citation"), F.lit(rf"[{SLUG_LETTERS}]+\.?"), F.lit(0)))
-    words = requests.select("key", word.alias("word")).distinct()
+    """key, exact, low, high: the longest slug in each citation, and the ends of what its short names name.
+
+    Words that many citations have meet the names by a broadcast, so that they fill no single task.
+    """
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("citation"), F.lit(rf"[{SLUG_LETTERS}]+\.?"), F.lit(0))))
     dotted = F.col("word").endswith(".")
-    met = words.withColumn("name", F.rtrim("word", F.lit("."))).join(names(acts), "name")
-    counts = F.length("name") >= F.when(dotted, ABBREVIATION).otherwise(SHORT_NAME)
+    words = requests.select("key", word.alias("word")).select("key", dotted.alias("dotted"), F.rtrim("word", F.lit(".")).alias("name"))
+    held = names(acts)
+    common = heavy(words, "name", COMMON)
+    is_common = F.col("name").isin(common)
+    met = words.where(~is_common).join(held.where(~is_common), "name")
+    if common:
+        met = met.unionByName(words.where(is_common).join(F.broadcast(held.where(is_common)), "name"))
+    counts = F.length("name") >= F.when(F.col("dotted"), ABBREVIATION).otherwise(SHORT_NAME)
 
     def end(side: str):
-        return F.when(counts, F.coalesce(F.col(side), F.when(dotted, F.col(f"{side}_abbreviated"))))
+        return F.when(counts, F.coalesce(F.col(side), F.when(F.col("dotted"), F.col(f"{side}_abbreviated"))))
 
-    return met.groupBy("key").agg(
-        F.max_by("exact", F.when(F.col("exact").isNotNull(), F.struct(F.length("exact"), "exact"))).alias("exact"), F.min(end("low")).alias("low"), F.max(end("high")).alias("high")
-    )
+    # rows that tell nothing go before they are sorted
+    told = met.select("key", "exact", end("low").alias("low"), end("high").alias("high")).where("exact IS NOT NULL OR low IS NOT NULL")
+    return told.groupBy("key").agg(F.max_by("exact", F.when(F.col("exact").isNotNull(), F.struct(F.length("exact"), "exact"))).alias("exact"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def validated(requests: DataFrame, acts: DataFrame, sections: DataFrame) -> DataFrame:
@@ -149,22 +157,25 @@ def validated(requests: DataFrame, acts: DataFrame, sections: DataFrame) -> Data
     one = F.when(F.col("low.slug") == F.col("high.slug"), F.col("low"))
     slug = F.when(~F.col("range"), F.coalesce("exact", F.when(~one["claimed"], one["slug"])))
     found = sections.groupBy(F.col("slug").alias("act"), F.col("section_id").alias("found")).agg(F.count(F.lit(1)).alias("n"), F.min("heading").alias("heading"))
-    # both readings of an id are looked up at once; the one as written comes first
-    tries = F.array_compact(F.array(F.col("full"), F.col("bare")))
-    told = met.withColumn("slug", slug).withColumn("tries", tries)
-    looked = told.select("key", "slug", F.posexplode("tries").alias("turn", "found")).where("slug IS NOT NULL").withColumnRenamed("slug", "act").join(found, ["act", "found"])
-    best = looked.groupBy("key").agg(F.min(F.struct("turn", "found", "n", "heading")).alias("best"))
-    out = told.join(best, "key", "left")
-    reason = (
+    unnamed = (
         F.when(F.col("range"), "range")
         .when(F.col("slug").isNull() & F.col("low").isNotNull() & one.isNull(), "ambiguous_act")
         .when(F.col("slug").isNull() & F.col("low").isNotNull(), "claimed_act")
         .when(F.col("slug").isNull() & F.col("full").isNull(), "unparsed")
         .when(F.col("slug").isNull(), "no_act")
-        .when(F.col("full").isNotNull() & F.col("best").isNull(), "no_section")
-        .when(F.col("best.n") > 1, "ambiguous_section")
     )
-    cited = F.coalesce("best.found", F.when(F.col("slug").isNotNull(), F.col("bare")), "full")
+    # what was named is not carried on
+    told = met.withColumn("slug", slug).select("key", "range", "full", "bare", "slug", unnamed.alias("unnamed"))
+    # both readings of an id are looked up at once; the one as written comes first
+    tries = F.array_compact(F.array("full", "bare"))
+    looked = told.where("slug IS NOT NULL").select("key", F.col("slug").alias("act"), F.posexplode(tries).alias("turn", "found")).join(found, ["act", "found"])
+    # a key has two rows at most: they are sorted where they meet, not where they are looked up
+    best = looked.select("key", F.struct("turn", "n", "heading").alias("hit")).repartition("key").groupBy("key").agg(F.min("hit").alias("best"))
+    out = told.join(best, "key", "left")
+    reason = F.coalesce(
+        "unnamed", F.when(F.col("full").isNotNull() & F.col("best").isNull(), "no_section").when(F.col("best.n") > 1, "ambiguous_section")
+    )
+    cited = F.coalesce(F.get(tries, F.col("best.turn")), F.when(F.col("slug").isNotNull(), F.col("bare")), "full")
     return out.select(
         "key", reason.isNull().alias("valid"), "slug", F.when(~F.col("range"), cited).alias("section_id"),
         F.when(reason.isNull(), F.col("best.heading")).alias("heading"), reason.alias("reason"),

@@ -5,30 +5,49 @@ state, and tail classes, whose words share a fixed distribution given by
 counts. The probability of a word is that of its class given the state times
 that of the word in its class.
 
-States are held as (units, places): gates, classes and words are stretches of
-memory, and sums over them run along the places.
+Methods take and give states as (units, places). In memory a place's units lie
+together, gates lie one after the other, and scores are made for ``STRETCH``
+places at a time, so that what a step works on stays in a core's cache.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
 
 F32 = np.float32
+#: Places whose scores are made at once.
+STRETCH = 2048
 WEIGHTS = ("inputs", "hidden", "to_class", "class_bias", "to_word", "word_bias")
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    """Over the first axis."""
-    x = x - x.max(axis=0)
-    x -= np.log(np.exp(x).sum(axis=0))
-    return x
-
-
 def places_of(states: np.ndarray) -> np.ndarray:
     """(steps, units, rows) as (units, places)."""
-    return states.transpose(1, 0, 2).reshape(states.shape[1], -1)
+    return states.transpose(0, 2, 1).reshape(-1, states.shape[1]).T
+
+
+def stretches(low: int, high: int) -> list[tuple[int, int]]:
+    return [(a, min(a + STRETCH, high)) for a in range(low, high, STRETCH)]
+
+
+def log_mass(x: np.ndarray, at: np.ndarray, shift: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of scores ``x`` (choices, places) those of the targets ``at``, and the sums of all in powers of e; ``x`` is overwritten by the powers.
+
+    With ``shift`` scores count from each place's greatest.
+    """
+    if shift:
+        x -= x.max(axis=0)
+    aim = x[at, np.arange(x.shape[1])]
+    np.exp(x, out=x)
+    return aim, x.sum(axis=0)
+
+
+def may_overflow(weights: np.ndarray) -> bool:
+    """Whether scores by these ``weights`` (choices, units and bias) can leave what powers of e hold with ease; units are within -1 and 1."""
+    return float(np.abs(weights).sum(axis=1).max()) > 40
 
 
 @dataclass
@@ -78,123 +97,157 @@ class Gru:
         """Updates in which ``train`` reads each of ``n`` places."""
         return max(1, -(-(-(-n // rows)) // steps))
 
+    def by_gate(self, weights: np.ndarray) -> np.ndarray:
+        """(n, 3H) as (3, n, H)."""
+        return np.ascontiguousarray(weights.reshape(len(weights), 3, self.size).transpose(1, 0, 2))
+
     def run(self, tokens: np.ndarray, h: np.ndarray, keep: list | None = None, goes_on: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """States (steps, units, rows) after each of ``tokens`` (steps, rows), and the last; ``keep`` gets what the backward pass needs.
 
         ``goes_on`` (steps, rows) is 0 where a text begins, which clears the state.
         """
-        size, across = self.size, self.hidden.T.copy()
-        out = np.empty((len(tokens), size, tokens.shape[1]), dtype=F32)
-        for t in range(len(tokens)):
-            x = self.inputs.take(tokens[t], axis=0).T
-            if goes_on is not None:
-                h = h * goes_on[t]
-            u = across @ h
-            gates = u[: 2 * size] + x[: 2 * size]
-            gates *= 0.5
-            np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5
-            z, un = gates[:size], u[2 * size :]
-            n = gates[size:] * un
-            n += x[2 * size :]
-            np.tanh(n, out=n)
-            new = h - n
-            new *= z
-            new += n
-            if keep is not None:
-                keep.append((h, gates, n, un))
-            out[t] = h = new
-        return out, h
+        inputs, across = self.by_gate(self.inputs), self.by_gate(self.hidden)
+        # gates are 1 / (1 + exp(-x)): numpy's exp takes less time than its tanh
+        inputs[:2] *= -1
+        across[:2] *= -1
+        h = np.ascontiguousarray(h.T, dtype=F32)
+        out = np.empty((*tokens.shape, self.size), dtype=F32)
+        with np.errstate(over="ignore"):  # a gate of 0
+            for t in range(len(tokens)):
+                x = inputs.take(tokens[t], axis=1)
+                if goes_on is not None and not goes_on[t].all():
+                    h = h * goes_on[t][:, None]
+                u = np.matmul(h, across)
+                gates, un = u[:2], u[2]
+                gates += x[:2]
+                np.exp(gates, out=gates)
+                gates += 1
+                np.reciprocal(gates, out=gates)
+                n = gates[1] * un
+                n += x[2]
+                np.tanh(n, out=n)
+                new = np.subtract(h, n, out=out[t])
+                new *= gates[0]
+                new += n
+                if keep is not None:
+                    keep.append((h, gates, n, un))
+                h = new
+        return out.transpose(0, 2, 1), h.T
 
     def back(self, tokens: np.ndarray, kept: list, d_out: np.ndarray, goes_on: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients of the inputs and of the hidden weights; ``d_out`` is (steps, units, rows)."""
-        size, rows = self.size, tokens.shape[1]
-        d_x = np.empty((len(tokens), rows, 3 * size), dtype=F32)
-        d_hidden = np.zeros((3 * size, size), dtype=F32)
-        dx = np.empty((3 * size, rows), dtype=F32)
-        dh = np.zeros((size, rows), dtype=F32)
-        for t in range(len(tokens) - 1, -1, -1):
+        size, (steps, rows) = self.size, tokens.shape
+        d_out, to_state = np.ascontiguousarray(d_out.transpose(0, 2, 1)), self.by_gate(self.hidden).transpose(0, 2, 1)
+        d_x = np.empty((3, steps, rows, size), dtype=F32)
+        d_u = np.empty((3, rows, size), dtype=F32)
+        d_hidden = np.zeros((3, size, size), dtype=F32)
+        dh = np.zeros((rows, size), dtype=F32)
+        for t in range(steps - 1, -1, -1):
             h, gates, n, un = kept[t]
-            z, r = gates[:size], gates[size:]
             dh += d_out[t]
-            slope = 1 - gates
-            dn = dh * slope[:size]
-            dn *= 1 - n * n
+            slope, dn = d_u[:2], d_u[2]
+            np.subtract(1, gates, out=slope)
+            np.multiply(n, n, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= slope[0]
+            dn *= dh
             slope *= gates
-            slope[:size] *= h - n
-            slope[:size] *= dh
-            slope[size:] *= un
-            slope[size:] *= dn
-            dx[: 2 * size] = slope
-            dx[2 * size :] = dn
-            d_x[t] = dx.T
-            dx[2 * size :] *= r
-            d_hidden += dx @ h.T
-            dh *= z
-            dh += self.hidden @ dx
-            dh *= goes_on[t]
+            slope[0] *= h - n
+            slope[0] *= dh
+            slope[1] *= un
+            slope[1] *= dn
+            d_x[:, t] = d_u
+            dn *= gates[1]
+            d_hidden += np.matmul(h.T, d_u)
+            dh *= gates[0]
+            for part in np.matmul(d_u, to_state):
+                dh += part
+            if not goes_on[t].all():
+                dh *= goes_on[t][:, None]
         # sums by token: sorted, then one sum for each stretch of equal tokens
         flat, d_in = tokens.ravel(), np.zeros_like(self.inputs)
-        order = np.argsort(flat, kind="stable")
+        order = self.sorted_by(flat, len(self.inputs))
         of = flat[order]
         first = np.concatenate([[0], np.nonzero(of[1:] != of[:-1])[0] + 1])
-        d_in[of[first]] = np.add.reduceat(d_x.reshape(-1, 3 * size).take(order, axis=0), first, axis=0)
-        return {"inputs": d_in, "hidden": d_hidden.T}
+        for k in range(3):
+            d_in[of[first], k * size : (k + 1) * size] = np.add.reduceat(d_x[k].reshape(-1, size).take(order, axis=0), first, axis=0)
+        return {"inputs": d_in, "hidden": d_hidden.transpose(1, 0, 2).reshape(size, 3 * size)}
+
+    @staticmethod
+    def sorted_by(numbers: np.ndarray, below: int) -> np.ndarray:
+        """Places in the order of their numbers, equal ones as they come; short integers are sorted by their digits."""
+        return np.argsort(numbers.astype(np.int16) if below < 1 << 15 else numbers, kind="stable")
 
     def by_class(self, classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
         """The places in the order of their classes, and for head classes of several words: the stretch of that order and the words."""
-        order = np.argsort(classes, kind="stable")
+        order = self.sorted_by(classes, len(self.class_bias))
         cuts = np.searchsorted(classes[order], np.arange(len(self.bounds)))
         parts = [(int(cuts[c]), int(cuts[c + 1]), int(self.bounds[c]), int(self.bounds[c + 1])) for c in range(len(self.bounds) - 1)]
         return order, [p for p in parts if p[1] > p[0] and p[3] - p[2] > 1]
 
+    def with_ones(self, states: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """(places, units and one) of ``states`` (units, places) in this order; the one meets the bias."""
+        held = np.ones((len(order), self.size + 1), dtype=F32)
+        held[:, :-1] = states.T.take(order, axis=0)
+        return held
+
+    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and bias by class and by word, (choices, units and one)."""
+        return np.vstack([self.to_class, self.class_bias]).T.copy(), np.column_stack([self.to_word, self.word_bias])
+
     def log_probs(self, states: np.ndarray, classes: np.ndarray, words: np.ndarray) -> np.ndarray:
         """Natural log of each target's class and, for head words, of the word in its class. ``words`` is -1 in tail classes; states are (units, places)."""
-        lp = log_softmax(self.to_class.T @ states + self.class_bias[:, None])
-        out = lp[classes, np.arange(len(classes))].astype(np.float64)
         order, parts = self.by_class(classes)
-        states, words, inside = states.take(order, axis=1), words[order], np.zeros(len(order))
-        for a, b, low, high in parts:
-            lp = log_softmax(self.to_word[low:high] @ states[:, a:b] + self.word_bias[low:high, None])
-            inside[a:b] = lp[words[a:b] - low, np.arange(b - a)]
-        out[order] += inside
+        held, classes, words = self.with_ones(states, order), classes[order], words[order]
+        found, (by_class, by_word) = np.zeros(len(order)), self.outputs()
+
+        def add(weights: np.ndarray, a: int, b: int, at: np.ndarray, shift: bool) -> None:
+            aim, mass = log_mass(weights @ held[a:b].T, at, shift)
+            found[a:b] += aim - np.log(mass)
+
+        shift = may_overflow(by_class)
+        for a, b in stretches(0, len(order)):
+            add(by_class, a, b, classes[a:b], shift)
+        for begin, end, low, high in parts:
+            shift = may_overflow(by_word[low:high])
+            for a, b in stretches(begin, end):
+                add(by_word[low:high], a, b, words[a:b] - low, shift)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def loss_back(self, states: np.ndarray, classes: np.ndarray, words: np.ndarray) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
         """Mean loss of the targets, its gradient by state (units, places), and by the output weights."""
         n = len(classes)
-        every = np.arange(n)
-
-        def sloped(x: np.ndarray, at: tuple[np.ndarray, np.ndarray]) -> tuple[float, np.ndarray]:
-            """Loss of the targets ``at`` and its gradient by the scores ``x``, which are overwritten."""
-            x -= x.max(axis=0)
-            aim = x[at]
-            np.exp(x, out=x)
-            mass = x.sum(axis=0)
+        order, parts = self.by_class(classes)
+        held, classes, words = self.with_ones(states, order), classes[order], words[order]
+        d_held = np.zeros((n, self.size), dtype=F32)
+        by_class, by_word = self.outputs()
+        d_class, d_word = np.zeros_like(by_class), np.zeros_like(by_word)
+
+        def sloped(weights: np.ndarray, a: int, b: int, at: np.ndarray, shift: bool, d_weights: np.ndarray) -> float:
+            """Loss of the targets ``at``; adds its gradients by the weights and by the states."""
+            x = weights @ held[a:b].T
+            aim, mass = log_mass(x, at, shift)
             loss = float((np.log(mass) - aim).sum(dtype=np.float64))
             mass *= n
-            x /= mass
-            x[at] -= F32(1 / n)
-            return loss, x
-
-        x = self.to_class.T @ states
-        x += self.class_bias[:, None]
-        total, d = sloped(x, (classes, every))
-        grads = {"to_class": states @ d.T, "class_bias": d.sum(axis=1), "to_word": np.zeros_like(self.to_word), "word_bias": np.zeros_like(self.word_bias)}
-        d_states = self.to_class @ d
-        order, parts = self.by_class(classes)
-        held, words, d_held = states.take(order, axis=1), words[order], np.zeros_like(states)
-        for a, b, low, high in parts:
-            x = self.to_word[low:high] @ held[:, a:b]
-            x += self.word_bias[low:high, None]
-            loss, d = sloped(x, (words[a:b] - low, every[: b - a]))
-            total += loss
-            grads["to_word"][low:high] = d @ held[:, a:b].T
-            grads["word_bias"][low:high] = d.sum(axis=1)
-            np.matmul(self.to_word[low:high].T, d, out=d_held[:, a:b])
-        d_states[:, order] += d_held
-        return total / n, d_states, grads
+            x *= np.reciprocal(mass, out=mass)
+            x[at, np.arange(b - a)] -= F32(1 / n)
+            d_weights += x @ held[a:b]
+            d_held[a:b] += x.T @ weights[:, :-1]
+            return loss
+
+        shift, total = may_overflow(by_class), 0.0
+        for a, b in stretches(0, n):
+            total += sloped(by_class, a, b, classes[a:b], shift, d_class)
+        for begin, end, low, high in parts:
+            shift = may_overflow(by_word[low:high])
+            for a, b in stretches(begin, end):
+                total += sloped(by_word[low:high], a, b, words[a:b] - low, shift, d_word[low:high])
+        d_states = np.empty_like(d_held)
+        d_states[order] = d_held
+        grads = {"to_class": d_class[:, :-1].T, "class_bias": d_class[:, -1], "to_word": d_word[:, :-1], "word_bias": d_word[:, -1]}
+        return total / n, d_states.T, grads
 
     def train(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], updates: int, rows: int = 64, steps: int = 32, rate: float = 0.01, seed: int = 1) -> float:
         """Adam over windows of ``steps``; each row reads one text after the other and carries its state from window to window.
@@ -219,39 +272,54 @@ class Gru:
             kept: list = []
             states, last = self.run(tokens, h, kept, goes_on)
             loss, d_states, grads = self.loss_back(places_of(states), classes.ravel(), words.ravel())
-            grads |= self.back(tokens, kept, d_states.reshape(self.size, steps, rows).transpose(1, 0, 2), goes_on)
+            grads |= self.back(tokens, kept, d_states.T.reshape(steps, rows, self.size).transpose(0, 2, 1), goes_on)
             step_rate = rate * min(1.0, 2.0 * (1 - (update - 1) / updates))
             for k in names:
-                g = np.clip(grads[k], -1, 1)
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.999 * v[k] + 0.001 * g * g
-                held = getattr(self, k)
-                held -= (step_rate * (m[k] / (1 - 0.9**update)) / (np.sqrt(v[k] / (1 - 0.999**update)) + 1e-8)).astype(F32)
+                g, held = np.clip(grads[k], -1, 1), getattr(self, k)
+                m[k] *= 0.9
+                m[k] += 0.1 * g
+                g *= g
+                g *= 0.001
+                v[k] *= 0.999
+                v[k] += g
+                np.sqrt(v[k], out=g)
+                g *= 1 / math.sqrt(1 - 0.999**update)
+                g += 1e-8
+                np.divide(m[k], g, out=g)
+                g *= step_rate / (1 - 0.9**update)
+                held -= g
             h, place = last, (place + steps) % length
             if update > 0.9 * updates:
                 late.append(loss)
         return float(np.mean(late))
 
-    def score(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int = 512, steps: int = 64) -> np.ndarray:
-        """Natural log probability of each whole text; windows of ``steps``, the state carried across."""
+    def score(self, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rows: int = 512, steps: int = 32) -> np.ndarray:
+        """Natural log probability of each whole text. Each row reads one text after the other, in windows of ``steps``, the state carried across.
+
+        A text goes to the row that has least so far, the longest first, so that rows end at about the same place.
+        """
         lengths = np.array([len(text[0]) for text in texts], dtype=np.int64)
-        starts = np.cumsum(lengths) - lengths
-        lanes = [np.concatenate(part) for part in zip(*texts)]
-        order = np.argsort(-lengths, kind="stable")  # the longest come first
-        out = np.zeros(len(texts))
-        for k in range(0, len(order), rows):
-            group = order[k : k + rows]
-            size, begin = lengths[group], starts[group]
-            total, h = np.zeros(len(group)), np.zeros((self.size, len(group)), dtype=F32)
-            for low in range(0, int(size[0]), steps):
-                live = int((size > low).sum())
-                place = low + np.arange(min(steps, int(size[0]) - low))[:, None]
-                used = place < size[:live]
-                at = np.where(used, begin[:live] + place, 0)
-                states, h = self.run(lanes[0][at], h[:, :live])
-                held = np.nonzero(used.ravel())[0]
-                flat = at.ravel()[held]
-                lp = self.log_probs(places_of(states).take(held, axis=1), lanes[1][flat], lanes[2][flat])
-                total[:live] += np.bincount(held % live, weights=lp, minlength=live)
-            out[group] = total
+        least = [(0, row) for row in range(max(1, min(rows, int(lengths.sum() // lengths.max()))))]
+        read: list[list[int]] = [[] for _ in least]
+        for k in np.argsort(-lengths, kind="stable").tolist():
+            held, row = least[0]
+            read[row].append(k)
+            heapq.heapreplace(least, (held + int(lengths[k]), row))
+        read.sort(key=lambda row: -sum(lengths[row]))
+        size = np.array([lengths[row].sum() for row in read])
+        begin, order = np.cumsum(size) - size, np.concatenate(read)
+        inputs, classes, words = (np.concatenate(part) for part in zip(*[texts[k] for k in order]))
+        of = np.repeat(order.astype(np.int32), lengths[order])
+        out, h, start = np.zeros(len(texts)), np.zeros((self.size, len(size)), dtype=F32), len(self.inputs) - 1
+        for low in range(0, int(size[0]), steps):
+            live = int((size > low).sum())
+            place = low + np.arange(min(steps, int(size[0]) - low))[:, None]
+            used = place < size[:live]
+            at = np.where(used, begin[:live] + place, 0)
+            tokens = inputs[at]
+            states, h = self.run(tokens, h[:, :live], goes_on=(tokens != start).astype(F32))
+            held = np.nonzero(used.ravel())[0]
+            flat = at.ravel()[held]
+            lp = self.log_probs(places_of(states)[:, held], classes[flat], words[flat])
+            out += np.bincount(of[flat], weights=lp, minlength=len(out))
         return out

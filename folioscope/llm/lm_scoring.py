@@ -69,21 +69,28 @@ def tail_classes(tokens: pa.Array) -> np.ndarray:
     return ending_classes()[np.where(np.diff(ends) > 1, held[ends[1:] - 2] * 256 + last, 65536 + last)]
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    out = text.lower().split()  # of bytes: ASCII alone
-    out.append(END)
-    return out
+def numbers_of(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct tokens of the texts (bytes), the number of each token in order, and where each text starts (one more than texts).
 
-
-def numbers_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct tokens of the texts, the number of each token in order, and where each text starts (one more than texts)."""
-    tokens: list[bytes] = []
-    starts = [0]
-    for text in texts:
-        tokens += tokens_of(text)
-        starts.append(len(tokens))
-    held = pa.array(tokens, pa.large_binary()).dictionary_encode()
-    return held.dictionary.cast(pa.binary()), held.indices.to_numpy(), np.array(starts)
+    Arrow cuts the words and numbers them, so no token is an object of Python's.
+    """
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    # of bytes: ASCII alone is lowered, and white space is ASCII's
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.binary()).view(pa.string())))
+    held = cut.flatten().dictionary_encode()
+    words, numbers = held.dictionary, held.indices.to_numpy()
+    # white space at either end leaves an empty word
+    empty = pc.index(words, "").as_py()
+    real = np.ones(len(numbers), dtype=bool) if empty < 0 else numbers != empty
+    starts = np.concatenate([[0], np.cumsum(real)])[cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+    numbers = numbers[real]
+    if empty >= 0:
+        words = pa.concat_arrays([words[:empty], words[empty + 1 :]])
+        numbers = numbers - (numbers > empty)
+    end = len(words)
+    tokens = pa.concat_arrays([words.cast(pa.binary()), pa.array([END], pa.binary())])
+    return tokens, np.insert(numbers, starts[1:], end), starts + np.arange(len(starts))
 
 
 @dataclass
@@ -103,12 +110,14 @@ class Model:
         tail = tail_classes(tokens) + HEAD_CLASSES
         return np.where(word >= 0, self.class_of[np.maximum(word, 0)] if len(self.class_of) else 0, tail), word
 
-    def sequence(self, at: np.ndarray, classes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Inputs (each the token before, first the start), target classes and target words."""
-        c, w = classes[at], words[at]
+    def sequences(self, at: np.ndarray, starts: np.ndarray, classes: np.ndarray, words: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text inputs (each the token before, first the start), target classes and target words."""
+        c, w = classes.astype(np.int16)[at], words.astype(np.int16)[at]
         k = len(self.class_of)
-        shown = np.where(w >= 0, w, k + c - HEAD_CLASSES)
-        return np.concatenate([[k + TAIL_CLASSES], shown[:-1]]), c, w
+        shown = np.empty_like(w)
+        shown[1:] = np.where(w >= 0, w, c + (k - HEAD_CLASSES))[:-1]
+        shown[starts[:-1]] = k + TAIL_CLASSES
+        return [(shown[a:b], c[a:b], w[a:b]) for a, b in zip(starts, starts[1:])]
 
 
 def split(docs: DataFrame) -> DataFrame:
@@ -124,7 +133,7 @@ def counted(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cut in slabs(pc.binary_length(batch.column(0)).to_pylist(), 8 << 20):
-                tokens, numbers, _ = numbers_of(batch.column(0)[cut].to_pylist())
+                tokens, numbers, _ = numbers_of(batch.column(0)[cut])
                 yield pa.RecordBatch.from_arrays([tokens, pa.array(np.bincount(numbers, minlength=len(tokens)))], names=["token", "c"])
 
     parts = rows.where("NOT held_out").select("text").mapInArrow(run, "token binary, c long")
@@ -184,10 +193,8 @@ def trained(model: Model, rows: DataFrame, block_bytes: int, groups: int) -> Gru
                 continue
             part, lengths = batch.column(1)[0].as_py(), pc.binary_length(batch.column(0)).to_pylist()
             for cut in slabs(lengths, 8 << 20):
-                distinct, numbers, starts = numbers_of(batch.column(0)[cut].to_pylist())
-                classes, words = m.numbered(distinct)
-                for a, b in zip(starts, starts[1:]):
-                    texts.append(tuple(x.astype(np.int32) for x in m.sequence(numbers[a:b], classes, words)))
+                distinct, numbers, starts = numbers_of(batch.column(0)[cut])
+                texts += m.sequences(numbers, starts, *m.numbered(distinct))
                 size += sum(lengths[cut])
                 if size >= block_bytes:
                     n, size = n + learn(), 0
@@ -230,7 +237,7 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def distinct(table: pa.Table) -> pa.Table:
         out = None
         for cut in slabs(pc.binary_length(table.column("text")).to_pylist(), 8 << 20):
-            tokens, _, _ = numbers_of(table.column("text")[cut].to_pylist())
+            tokens, _, _ = numbers_of(table.column("text")[cut])
             out = tokens if out is None else pc.unique(pa.concat_arrays([out, tokens]))
         return pa.table({"block": pa.repeat(table.column("block")[0], len(out)), "token": out})
 
@@ -243,29 +250,23 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         m = held.value
         tokens = right.column("token").combine_chunks()
-        place = dict(zip(tokens.to_pylist(), range(len(tokens)))).__getitem__
         c = np.nan_to_num(right.column("c").to_numpy().astype(np.float64))
         base = np.log10((c + ADD) / (m.n + ADD * (m.v + 1)))
         classes, words = m.numbered(tokens)
         tail = np.maximum(classes - HEAD_CLASSES, 0)
         inside = np.where(words >= 0, 0.0, np.log10((c + ADD) / (m.tail_n[tail] + ADD * (m.tail_v[tail] + 1))))
-        sums, model_sum = [], []
-        for cut in slabs(pc.binary_length(left.column("text")).to_pylist(), 4 << 20):  # no block's sequences are held whole
-            texts = []
-            shown, numbers, starts = numbers_of(left.column("text")[cut].to_pylist())
-            every = np.fromiter(map(place, shown.to_pylist()), dtype=np.int64, count=len(shown))[numbers]
-            for a, b in zip(starts, starts[1:]):
-                at = every[a:b]
-                sums.append((len(at), int((c[at] > 0).sum()), float(base[at].sum()), float(inside[at].sum())))
-                if m.gru:
-                    texts.append(m.sequence(at, classes, words))
+        sums, texts = [], []
+        for cut in slabs(pc.binary_length(left.column("text")).to_pylist(), 8 << 20):  # no block's numbers of tokens are held whole
+            shown, numbers, starts = numbers_of(left.column("text")[cut])
+            at = pc.index_in(shown, value_set=tokens).to_numpy()[numbers]
+            sums.append([np.diff(starts), *(np.add.reduceat(x[at], starts[:-1]) for x in ((c > 0).astype(np.int64), base, inside))])
             if m.gru:
-                model_sum.append(m.gru.score(texts) / math.log(10))
-        n, known_n, base_sum, inside_sum = zip(*sums)
-        model_sum = np.concatenate(model_sum) + np.array(inside_sum) if m.gru else np.array(base_sum)
+                texts += m.sequences(at, starts, classes, words)
+        n, known_n, base_sum, inside_sum = (np.concatenate(x) for x in zip(*sums))
+        model_sum = m.gru.score(texts) / math.log(10) + inside_sum if m.gru else base_sum
         return pa.table({
             "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(n, pa.int64()),
-            "n_known": pa.array(known_n, pa.int64()), "train_tokens": pa.array([m.n] * len(n), pa.int64()),
+            "n_known": pa.array(known_n, pa.int64()), "train_tokens": pa.repeat(pa.scalar(m.n, pa.int64()), len(n)),
             "base_score": pa.array(base_sum, pa.float64()), "score": pa.array(model_sum, pa.float64()),
         })
 

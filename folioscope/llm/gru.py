@@ -20,7 +20,7 @@ import numpy as np
 
 F32 = np.float32
 #: Places whose scores are made at once.
-STRETCH = 2048
+STRETCH = 4096
 WEIGHTS = ("inputs", "hidden", "to_class", "class_bias", "to_word", "word_bias")
 
 
@@ -318,8 +318,10 @@ class Gru:
             at = np.where(used, begin[:live] + place, 0)
             tokens = inputs[at]
             states, h = self.run(tokens, h[:, :live], goes_on=(tokens != start).astype(F32))
-            held = np.nonzero(used.ravel())[0]
-            flat = at.ravel()[held]
-            lp = self.log_probs(places_of(states)[:, held], classes[flat], words[flat])
+            places, flat = places_of(states), at.ravel()
+            if not used.all():
+                held = np.nonzero(used.ravel())[0]
+                places, flat = places.T.take(held, axis=0).T, flat[held]
+            lp = self.log_probs(places, classes[flat], words[flat])
             out += np.bincount(of[flat], weights=lp, minlength=len(out))
         return out

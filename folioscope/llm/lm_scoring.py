@@ -93,6 +93,12 @@ def numbers_of(texts: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray,
     return tokens, np.insert(numbers, starts[1:], end), starts + np.arange(len(starts))
 
 
+def together(parts: list[pa.Array]) -> tuple[pa.Array, list[np.ndarray]]:
+    """Distinct tokens of the parts, as they come, and for each part their numbers."""
+    held = pa.chunked_array(parts).dictionary_encode().unify_dictionaries()
+    return held.chunk(0).dictionary, [chunk.indices.to_numpy() for chunk in held.chunks]
+
+
 @dataclass
 class Model:
     gru: Gru | None
@@ -123,7 +129,7 @@ class Model:
 def split(docs: DataFrame) -> DataFrame:
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     return docs.select(
-        "doc_id", (F.pmod(crc, F.lit(10)) == 0).alias("held_out"), F.encode(text_or_empty(), "UTF-8").alias("text")
+        "doc_id", (F.pmod(crc, F.lit(10)) == 0).alias("held_out"), text_or_empty().cast("binary").alias("text")
     )
 
 
@@ -132,9 +138,16 @@ def counted(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cut in slabs(pc.binary_length(batch.column(0)).to_pylist(), 8 << 20):
-                tokens, numbers, _ = numbers_of(batch.column(0)[cut])
-                yield pa.RecordBatch.from_arrays([tokens, pa.array(np.bincount(numbers, minlength=len(tokens)))], names=["token", "c"])
+            lengths = pc.binary_length(batch.column(0)).to_pylist()
+            for wide in slabs(lengths, 8 << 20):
+                held, parts, counts = batch.column(0)[wide], [], []
+                for cut in slabs(lengths[wide]):
+                    tokens, numbers, _ = numbers_of(held[cut])
+                    parts.append(tokens)
+                    counts.append(np.bincount(numbers, minlength=len(tokens)))
+                tokens, places = together(parts)
+                c = np.bincount(np.concatenate(places), weights=np.concatenate(counts), minlength=len(tokens))
+                yield pa.RecordBatch.from_arrays([tokens, pa.array(c.astype(np.int64))], names=["token", "c"])
 
     parts = rows.where("NOT held_out").select("text").mapInArrow(run, "token binary, c long")
     return parts.groupBy("token").agg(F.sum("c").alias("c"))
@@ -192,7 +205,7 @@ def trained(model: Model, rows: DataFrame, block_bytes: int, groups: int) -> Gru
             if not batch.num_rows:
                 continue
             part, lengths = batch.column(1)[0].as_py(), pc.binary_length(batch.column(0)).to_pylist()
-            for cut in slabs(lengths, 8 << 20):
+            for cut in slabs(lengths):
                 distinct, numbers, starts = numbers_of(batch.column(0)[cut])
                 texts += m.sequences(numbers, starts, *m.numbered(distinct))
                 size += sum(lengths[cut])
@@ -235,10 +248,8 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     dealt = dealt.repartition(blocks, "block")
 
     def distinct(table: pa.Table) -> pa.Table:
-        out = None
-        for cut in slabs(pc.binary_length(table.column("text")).to_pylist(), 8 << 20):
-            tokens, _, _ = numbers_of(table.column("text")[cut])
-            out = tokens if out is None else pc.unique(pa.concat_arrays([out, tokens]))
+        parts = [numbers_of(table.column("text")[cut])[0] for cut in slabs(pc.binary_length(table.column("text")).to_pylist())]
+        out = pc.unique(pa.chunked_array(parts))
         return pa.table({"block": pa.repeat(table.column("block")[0], len(out)), "token": out})
 
     # broadcasting is left to Spark's own check of sizes
@@ -255,10 +266,12 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         classes, words = m.numbered(tokens)
         tail = np.maximum(classes - HEAD_CLASSES, 0)
         inside = np.where(words >= 0, 0.0, np.log10((c + ADD) / (m.tail_n[tail] + ADD * (m.tail_v[tail] + 1))))
+        cuts = [numbers_of(left.column("text")[cut]) for cut in slabs(pc.binary_length(left.column("text")).to_pylist())]
+        # the joined tokens come first, so they keep their numbers
+        _, (_, *places) = together([tokens, *(shown for shown, _, _ in cuts)])
         sums, texts = [], []
-        for cut in slabs(pc.binary_length(left.column("text")).to_pylist(), 8 << 20):  # no block's numbers of tokens are held whole
-            shown, numbers, starts = numbers_of(left.column("text")[cut])
-            at = pc.index_in(shown, value_set=tokens).to_numpy()[numbers]
+        for place, (_, numbers, starts) in zip(places, cuts):
+            at = place[numbers]
             sums.append([np.diff(starts), *(np.add.reduceat(x[at], starts[:-1]) for x in ((c > 0).astype(np.int64), base, inside))])
             if m.gru:
                 texts += m.sequences(at, starts, classes, words)

@@ -270,7 +270,8 @@ def scored(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         # the joined tokens come first, so they keep their numbers
         _, (_, *places) = together([tokens, *(shown for shown, _, _ in cuts)])
         sums, texts = [], []
-        for place, (_, numbers, starts) in zip(places, cuts):
+        for place in places:
+            _, numbers, starts = cuts.pop(0)  # let go of as it is read
             at = place[numbers]
             sums.append([np.diff(starts), *(np.add.reduceat(x[at], starts[:-1]) for x in ((c > 0).astype(np.int64), base, inside))])
             if m.gru:

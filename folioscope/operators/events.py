@@ -1,8 +1,8 @@
 """Amendment events of documents: what the notes below their provisions say was changed, by which act, and from when.
 
-A note is a block of lines that are quoted with ``> ``. It is cut into pieces, links,
-verbs, acts, brackets and what lies between, and everything is told from the
-pieces' order within the note: the verb that governs an act is the nearest one before it, the
+A note is a block of lines that are quoted with ``> ``. Marks are set in it at links,
+verbs, acts, brackets and what lies between, and everything is told from their
+order within the note: the verb that governs an act is the nearest one before it, the
 brackets that follow an act up to the next one are its markers. What stands in
 brackets is neither verb nor act. A text and its notes are read within their row.
 """
@@ -31,8 +31,8 @@ MONTHS = {
     "august": 8, "aug": 8, "september": 9, "sept": 9, "sep": 9, "oktober": 10, "okt": 10, "november": 11, "nov": 11, "desember": 12, "des": 12,
 }
 FUTURE = r"Vert|Blir|Vil\s+bli"
-PENDING_FORM = r"\bden\s+ti(d|den|l)\b.{0,20}\b(Kongen|departementet)\b|Kongen\s+fastset"
-RELATIVE_FORM = r"\bsamtidig\s+(som|med)\b|\bsame\s+tid\s+som\b|\bfrå\s+same\s+tid\b"
+PENDING_FORM = r"(?-i:(?=[dDkK\u212A]))(?:\bden\s+ti(d|den|l)\b.{0,20}\b(Kongen|departementet)\b|Kongen\s+fastset)"
+RELATIVE_FORM = r"(?-i:(?=[sS\u017FfF]))(?:\bsamtidig\s+(som|med)\b|\bsame\s+tid\s+som\b|\bfrå\s+same\s+tid\b)"
 COMMENCEMENT_FORM = r"(?:^|[,;]\s*)(ikr\.|i\s?kraft|iverksatt)"
 NEVER_FORM = r"\b(?:ikke\s+satt|ikkje\s+sett)\s+i\s+kraft\b"
 PROVISION_FORM, CHAPTER_FORM = r"^#{2,4}\s+(§{1,2}\s*[^.]+?)\s*(?:\.|$)", r"^##\s+(Kapittel|Kap\.|Del)\s+([^\s.]+)"
@@ -44,7 +44,11 @@ ACT_LINK, NO_HEADING = "lov/", "(document)"
 
 
 def _any(words) -> str:
-    return "|".join(sorted(map(lambda w: w.replace(" ", r"\s+"), words), key=len, reverse=True))
+    """Alternatives, longest first; a letter that several begin with is looked at once."""
+    by = {}
+    for word in sorted(words, key=len, reverse=True):
+        by.setdefault(word[0], []).append(word[1:].replace(" ", r"\s+"))
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items())
 
 
 #: Case does not matter, and letters of all scripts are letters.
@@ -52,11 +56,12 @@ FLAGS = "(?iU)"
 LINK = r"\[[^\]]*\]\([^)]*\)"
 VERB = rf"\*{{0,2}}(?:(?:{FUTURE})\s+)?(?:{_any(KINDS)})\*{{0,2}}(?:\s+i\s+sin\s+helhet)?\s+(?:ved|med)\b"
 HEAD = rf"{FLAGS}^\*{{0,2}}(?:({_any(SCOPES)})\s+)?\*{{0,2}}(?:({FUTURE})\s+)?({_any(KINDS)})\*{{0,2}}(?:\s+i\s+sin\s+helhet)?\s+(?:ved|med)\b"
-#: Letters that no form begins with are passed over at once.
-BEGINS = "".join(sorted({w[0].lower() for w in [*KINDS, *FUTURE.split("|")]}))
-PIECE = rf"(?s){FLAGS}(({LINK}|{VERB}|{ACT_FORM}|[()])|(?:[^\[\d()*{BEGINS}]++|(?!{LINK}|{VERB}|{ACT_FORM}|[()]).)++)"
-PIECES = "array<struct<nth:int,piece:string,kind:string,inside:boolean,span:int,is_act:boolean,ref:string,act_no:int,verb:string>>"
-DATE = rf"{FLAGS}\b(\d{{1,2}})\.?\s+({_any(MONTHS)})\.?\s+(\d{{4}})\b"
+SCOPE = rf"{FLAGS}^\*{{0,2}}({_any(SCOPES)})\s+"
+#: Verbs, acts, and what else is not plain text. Letters that none begins with are passed over at once: the first two of each word.
+FIRST, SECOND = ("".join(sorted({w[k].lower() for w in [*KINDS, *FUTURE.split("|")]})) for k in (0, 1))
+ACT = rf"\[[^\]]*\]\((?-i:{ACT_LINK})[^)]*\)|{ACT_FORM}"
+TOKEN = rf"{FLAGS}(?=(?-i:[\[\d()*{FIRST}{FIRST.upper()}]))(?=[\[\d()*]|.[{SECOND}])(?:({VERB})|({ACT})|({LINK}|[()]))"
+DATE = rf"{FLAGS}(?=\d)\b(\d{{1,2}})\.?\s+({_any(MONTHS)})\.?\s+(\d{{4}})\b"
 
 
 def _looked_up(word: Column, table: dict) -> Column:
@@ -88,103 +93,102 @@ def notes(docs: DataFrame, key: str = "key") -> DataFrame:
     line becomes a mark, with separators that no line can hold (it would end there), and the
     marks are cut first at headings, then at lines that are not quoted.
     """
-    text = F.split(F.col("text"), LINE_ENDS)
-    marks = F.concat(F.lit(f"{NO_HEADING}\x1c"), F.array_join(F.transform(text, _mark), ""))
-    under = docs.select(key, F.explode(F.split(marks, "\x1d")).alias("under"))
-    blocks = under.select(key, F.substring_index("under", "\x1c", 1).alias("provision"), F.explode(F.regexp_extract_all("under", F.lit(r"\x1e[^\x1c]+"), F.lit(0))).alias("block"))
-    # a note begins with its first line of words
-    begun = blocks.withColumn("block", F.regexp_replace("block", r"^(?:\x1e\d+\|)+", "")).where("block != ''")
-    first = F.regexp_extract("block", r"^\x1e(\d+)", 1).cast("int")
-    words = F.regexp_replace("block", r"\x1e\d+[>|]", "\x1e")
-    return begun.select(key, first.alias("source_line"), "provision", F.translate(F.substring(words, F.lit(2), F.length(words)), "\x1e", " ").alias("note"))
+    # the other ends of lines; a form of one letter is cut at without being made anew for each text
+    lines = F.split(F.regexp_replace("text", r"[\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029](?:(?<=\r)\n)?+", "\n"), "\n")
+    marks = F.concat(F.lit(f"{NO_HEADING}\x1c"), F.array_join(F.transform(lines, _mark), ""))
+    # a note begins with its first line of words, and has one number and a blank between lines
+    begun = F.regexp_replace(marks, r"\x1c(?:\x1e\d++\|)++", "\x1c")
+    blocks = F.regexp_replace(begun, r"\x1e(?<!\x1c\x1e)\d++(?:> |\|)", " ")
+    under = docs.select(key, F.explode(F.split(blocks, "\x1d")).alias("under"))
+    each = under.select(key, F.substring_index("under", "\x1c", 1).alias("provision"), F.explode(F.regexp_extract_all("under", F.lit(r"\x1e([^\x1c]++)"), F.lit(1))).alias("block"))
+    number = F.substring_index("block", ">", 1)
+    return each.select(key, number.cast("int").alias("source_line"), "provision", F.substring("block", F.length(number) + 3, F.length("block")).alias("note"))
 
 
 def _mark(line: Column, at: Column) -> Column:
-    number = F.concat(F.lit("\x1e"), at + 1)
+    number = (at + 1).cast("string")
     return (
-        F.when(line.startswith("> "), F.concat(number, F.lit(">"), F.substring(line, F.lit(3), F.length(line))))
-        .when(line == ">", F.concat(number, F.lit("|")))
+        F.when(line.startswith("> "), F.concat(F.lit("\x1e"), number, line))
+        .when(line == ">", F.concat(F.lit("\x1e"), number, F.lit("|")))
         .when(line.startswith("#"), F.coalesce(F.concat(F.lit("\x1d"), _heading(line), F.lit("\x1c")), F.lit("\x1c")))
         .otherwise("\x1c")
     )
 
 
-def _read(note: Column) -> Column:
-    """The pieces of a note, in order: one fold over them, as notes are short."""
-    whole = lambda piece, form: piece.rlike(rf"(?s){FLAGS}^(?:{form})$")
+def _read(found: DataFrame) -> DataFrame:
+    """Notes with ``read``: the note, where verbs stand between \x1c and \x1d, acts between \x0b and \x1e, and brackets between \n and \r.
 
-    def told(piece: Column) -> Column:
-        kind = F.when(piece == "(", "open").when(piece == ")", "close").when(whole(piece, LINK), "link").when(whole(piece, VERB), "verb").when(whole(piece, ACT_FORM), "act").otherwise("text")
-        return F.struct(piece.alias("piece"), kind.alias("kind"))
-
-    def depth(held: Column, kind: Column) -> Column:
-        # a closing bracket that closes nothing does not count
-        return F.when(kind == "open", held["depth"] + 1).when(kind == "close", F.greatest(held["depth"] - 1, F.lit(0))).otherwise(held["depth"])
-
-    def span(held: Column, kind: Column) -> Column:
-        return F.when((kind == "open") & (held["depth"] == 0), held["span"] + 1).otherwise(held["span"])
+    No note holds these, as a line would end there. What stands in a bracket is not
+    marked, and the last bracket, if it is left open, is none. Only brackets are gone
+    through in order; all else is told by expressions over the whole note.
+    """
+    marked = F.regexp_replace("note", TOKEN, "\x1c$1\x1d$2\x1e$3")
+    for form, mark in (("\x1c\x1d\x1e[", "["), ("\x1c\x1d\x1e(", "\x0c\n"), ("\x1c\x1d\x1e)", "\x0c\r"), ("\x1c\x1d", "\x0b"), ("\x1d\x1e", "\x1d")):
+        marked = F.replace(marked, F.lit(form), F.lit(mark))
 
-    def counted(held: Column, x: Column) -> Column:
-        return F.struct(depth(held, x["kind"]).alias("depth"), span(held, x["kind"]).alias("span"))
+    def bare(part: Column) -> Column:
+        return F.when(part.rlike("[\n\r\x1c\x0b]"), F.translate(part, "\n\r\x1c\x1d\x0b\x1e", "()")).otherwise(part)
 
-    def step(held: Column, x: Column) -> Column:
-        kind, now = x["kind"], counted(held, x)
-        within = (now["depth"] > 0) | ((kind == "close") & (held["depth"] == 1))
-        inside = within & (now["span"] > 0) & (now["span"] < held["unclosed"])
-        ref = F.when(kind == "link", F.regexp_extract(x["piece"], r"(?s)^\[[^\]]*\]\(([^)]*)\)$", 1))
-        is_act = ~inside & ((kind == "act") | ((kind == "link") & ref.startswith(ACT_LINK)))
-        verb = F.when((kind == "verb") & ~inside, x["piece"]).otherwise(held["verb"])
-        act_no = held["act_no"] + is_act.cast("int")
-        row = F.struct(
-            F.size(held["all"]).alias("nth"), x["piece"].alias("piece"), kind.alias("kind"), inside.alias("inside"), now["span"].alias("span"), F.coalesce(is_act, F.lit(False)).alias("is_act"),
-            ref.alias("ref"), act_no.alias("act_no"), verb.alias("verb"),
-        )
-        return F.struct(now["depth"].alias("depth"), now["span"].alias("span"), held["unclosed"].alias("unclosed"), act_no.alias("act_no"), verb.alias("verb"), F.concat(held["all"], F.array(row)).alias("all"))
+    def state(depth: Column, done: Column, held: Column) -> Column:
+        return F.struct(depth.alias("depth"), done.alias("done"), held.alias("held"))
 
-    def folded(pieces: Column) -> Column:
-        zero, none = F.lit(0), F.lit(None).cast("string")
-        # only the last bracket can be left open; the others are closed
-        unclosed = F.aggregate(pieces, F.struct(zero.alias("depth"), zero.alias("span")), counted, lambda end: F.when(end["depth"] > 0, end["span"]).otherwise(1 << 30))
-        begin = F.struct(zero.alias("depth"), zero.alias("span"), unclosed.alias("unclosed"), zero.alias("act_no"), none.alias("verb"), F.array().cast(PIECES).alias("all"))
-        return F.aggregate(pieces, begin, step, lambda end: end["all"])
+    def step(now: Column, part: Column) -> Column:
+        depth, done, held = now["depth"], now["done"], now["held"]
+        return (
+            F.when(part.startswith("\n"), state(depth + 1, done, F.concat(held, part)))
+            .when(~part.startswith("\r"), state(depth, part, held))
+            .when(depth == 1, state(F.lit(0), F.concat(done, F.lit("\n("), bare(_cut(held, 1)), F.lit(")"), part), F.lit("")))
+            .when(depth > 1, state(depth - 1, done, F.concat(held, part)))
+            # a closing bracket that closes nothing does not count
+            .otherwise(state(depth, F.concat(done, F.lit(")"), _cut(part, 1)), held))
+        )
 
-    # the pieces are bound, so that they are cut once
-    return F.transform(F.array(F.transform(F.regexp_extract_all(note, F.lit(PIECE), F.lit(1)), told)), folded)[0]
+    # the marked note is bound, so that its marks are set once
+    parts, end = F.split("marked", "\x0c"), lambda now: F.when(now["depth"] > 0, F.concat(now["done"], F.translate(now["held"], "\n\r", "()"))).otherwise(now["done"])
+    nested = F.aggregate(parts, state(F.lit(0), F.lit(""), F.lit("")), step, end)
+    return found.withColumn("marked", marked).withColumn("read", F.when(F.contains("marked", F.lit("\x0c")), nested).otherwise(F.col("marked"))).drop("marked")
 
 
-def pieces(found: DataFrame, key: str = "key") -> DataFrame:
-    """The notes' pieces in order: what each is, whether a bracket holds it, which closed bracket, and the acts before it."""
-    return found.select(key, "source_line", F.inline(_read(F.col("note"))))
+def _cut(text: Column, n: int) -> Column:
+    """``text`` without its first ``n`` letters."""
+    return F.substring(text, F.lit(n + 1), F.length(text))
 
 
 def marker_class(marker: Column) -> Column:
     """What a bracket says of commencement, by its form, never by there being a year in it; the first that fits of pending, relative and dated."""
-    body = _marker_body(marker)
+    return _class(marker, _marker_body(marker), lambda body: F.when(_date(_written(body)).isNotNull(), "explicit_date").otherwise("unrecognised"))
+
+
+def _class(marker: Column, body: Column, otherwise) -> Column:
     return (
         F.when(marker.isNull(), "absent")
         .when(~_flat(body, COMMENCEMENT_FORM), "not_a_commencement_marker")
         .when(_flat(body, PENDING_FORM), PENDING)
         .when(_flat(body, RELATIVE_FORM), "relative")
-        .when(marker_date(marker).isNotNull(), "explicit_date")
-        .otherwise("unrecognised")
+        .otherwise(otherwise(body))
     )
 
 
 def _marker_body(marker: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(marker, r"\[([^\]]*)\]\([^)]*\)", "$1"), r"^[() ]+|[() ]+$", "")
+    return F.btrim(F.regexp_replace(marker, r"\[([^\]]*)\]\([^)]*\)", "$1"), F.lit("() "))
 
 
 def marker_date(marker: Column) -> Column:
     """The first written date of a bracket; null where there is no such day."""
-    body = _marker_body(marker)
-    day, month, year = (F.regexp_extract(body, DATE, k) for k in (1, 2, 3))
+    return _date(_written(_marker_body(marker)))
+
+
+def _written(body: Column) -> Column:
+    return F.regexp_extract(body, DATE, 0)
+
+
+def _date(written: Column) -> Column:
+    day, month, year = (F.regexp_extract(written, DATE, k) for k in (1, 2, 3))
     return F.try_to_date(F.concat_ws("-", year, _looked_up(month, MONTHS).cast("string"), day), "yyyy-M-d")
 
 
-def _of_verb(piece: Column) -> tuple[Column, Column]:
-    word = F.regexp_extract(piece, rf"{FLAGS}({_any(KINDS)})", 1)
-    future = _flat(piece, rf"^\*{{0,2}}(?:{FUTURE})\s") | F.lower(word).isin(*ANNOUNCED)
-    return _looked_up(word, KINDS), future
+def _word(verb: Column) -> Column:
+    return F.regexp_extract(verb, rf"{FLAGS}({_any(KINDS)})", 1)
 
 
 def events(docs: DataFrame, key: str = "key") -> DataFrame:
@@ -194,38 +198,36 @@ def events(docs: DataFrame, key: str = "key") -> DataFrame:
     several markers gives a row for each, one without gives a row with marker class
     ``absent``. A written date that no calendar has makes its marker ``unrecognised``.
     """
-    found = notes(docs, key)
-    scope = F.coalesce(_looked_up(F.regexp_extract("note", HEAD, 1), SCOPES), F.lit("provision"))
-    heads = found.where(F.col("note").rlike(HEAD)).select(key, "source_line", "provision", scope.alias("scope"), "note", _read(F.col("note")).alias("all"))
-
-    def marked(act: Column) -> Column:
-        inner = F.filter("all", lambda x: x["inside"] & (x["act_no"] == act["act_no"]))
-        spans = F.array_distinct(F.transform(inner, lambda x: x["span"]))
-
-        def of(span: Column) -> Column:
-            marker = F.array_join(F.transform(F.filter(inner, lambda x: x["span"] == span), lambda x: x["piece"]), "")
-            return F.struct(act.alias("act"), span.alias("span"), marker.alias("raw_marker"))
-
-        # an act without a marker has one row
-        return F.transform(F.when(F.size(spans) > 0, spans).otherwise(F.array(F.lit(None).cast("int"))), of)
-
-    each = heads.select(key, "source_line", "provision", "scope", F.col("note").alias("source_note"), F.inline(F.flatten(F.transform(F.filter("all", lambda x: x["is_act"]), marked))))
-    marker = F.when(F.col("span").isNotNull(), F.col("raw_marker"))
+    note = [key, "source_line", "provision", "scope", "source_note"]
+    scope = F.coalesce(_looked_up(F.regexp_extract("note", SCOPE, 1), SCOPES), F.lit("provision"))
+    read = _read(notes(docs, key).where(F.col("note").rlike(HEAD))).select(key, "source_line", "provision", scope.alias("scope"), F.col("note").alias("source_note"), "read")
+    acts = read.select(*note, "read", F.posexplode(F.split("read", "\x0b")).alias("act_no", "part")).where("act_no > 0")
+    acts = acts.withColumn("before", F.call_function("substring_index", F.col("read"), F.lit("\x0b"), F.col("act_no")))
+    verb = F.when(F.contains("before", F.lit("\x1c")), F.substring_index(F.substring_index("before", "\x1c", -1), "\x1d", 1))
+    opened = F.length("before") - F.length(F.replace("before", F.lit("\n"), F.lit("")))
+    act = F.substring_index("part", "\x1e", 1)
+    told = acts.select(*note, "act_no", "part", act.alias("act"), verb.alias("verb"), _word(verb).alias("word"), opened.alias("opened"))
+    each = told.select(*note, "act_no", "act", "verb", "word", "opened", F.posexplode_outer(F.regexp_extract_all("part", F.lit("\n([^\r]*+)\r"), F.lit(1))).alias("nth", "raw_marker"))
+    # what is read by forms is bound, so that it is read once
+    kind, announced = _looked_up(F.col("word"), KINDS), _flat(F.col("verb"), rf"^\*{{0,2}}(?:{FUTURE})\s") | F.lower("word").isin(*ANNOUNCED)
+    is_link, name = F.col("act").startswith("["), F.substring(F.substring_index("act", "]", 1), F.lit(2), F.length("act"))
     met = each.select(
-        key, "source_line", "provision", "scope", "source_note", F.col("act.act_no").alias("act_no"), "span", marker.alias("raw_marker"), F.col("act.verb").alias("verb"), F.col("act.ref").alias("amending_act_ref"),
-        F.when(F.col("act.kind") == "link", F.regexp_extract("act.piece", r"(?s)^\[([^\]]*)\]", 1)).otherwise(F.col("act.piece")).alias("amending_act"),
+        *note, kind.alias("kind"), announced.alias("announced"), F.when(is_link, name).otherwise(F.col("act")).alias("amending_act"),
+        F.when(is_link, F.substring("act", F.length(name) + 4, F.length("act") - F.length(name) - 4)).alias("amending_act_ref"), "act_no", (F.col("opened") + F.col("nth") + 1).alias("span"),
+        "raw_marker", _marker_body(F.col("raw_marker")).alias("body"),
     )
-    note = [key, "source_line"]
-    kind, announced = _of_verb(F.col("verb"))
-    told = met.withColumn("marker_class", marker_class(F.col("raw_marker")))
+    dated = met.withColumn("form", _class(F.col("raw_marker"), F.col("body"), lambda body: F.lit("dated")))
+    dated = dated.withColumn("valid_from", F.when(F.col("form") == "dated", _date(_written(F.col("body")))))
+    known = F.when(F.col("form") != "dated", F.col("form")).when(F.col("valid_from").isNotNull(), "explicit_date").otherwise("unrecognised")
+    told = dated.withColumn("marker_class", known)
     known = F.col("marker_class")
     commencement = F.when(known == "explicit_date", "dated").when(known == PENDING, PENDING).when(known.isin("relative", "unrecognised"), "ambiguous").otherwise("unknown")
     return told.select(
-        *note, "provision", "scope", kind.alias("kind"), announced.alias("announced"), "amending_act", "amending_act_ref", "act_no", "span", "marker_class",
+        key, "source_line", "provision", "scope", "kind", "announced", "amending_act", "amending_act_ref", "act_no", "span", "marker_class",
         commencement.alias("commencement_kind"),
-        F.nullif(F.regexp_extract("raw_marker", r"(?s)\[[^\]]*\]\(([^)]*)\)", 1), F.lit("")).alias("commencement_instrument"),
+        F.when(F.contains("raw_marker", F.lit("](")), F.nullif(F.regexp_extract("raw_marker", r"(?s)\[[^\]]*\]\(([^)]*)\)", 1), F.lit(""))).alias("commencement_instrument"),
         F.when(commencement == "unknown", "deterministically_derived").otherwise("source_explicit").alias("provenance"),
-        F.when(known == "explicit_date", marker_date(F.col("raw_marker"))).alias("valid_from"), "raw_marker", "source_note",
+        "valid_from", "raw_marker", "source_note",
     )
 
 
@@ -246,14 +248,11 @@ def problems(docs: DataFrame, key: str = "key") -> DataFrame:
     note, out = [key, "source_line"], [key, "source_line", "provision", "kind", "raw_value"]
     is_head = F.col("note").rlike(HEAD)
     of_head = F.when(is_head, _looked_up(F.regexp_extract("note", HEAD, 3), KINDS))
-    cut = pieces(found, key)
-    verb_kind = F.when((F.col("kind") == "verb") & ~F.col("inside"), _of_verb(F.col("piece"))[0])
-    by_note = cut.groupBy(*note).agg(
-        F.collect_set(verb_kind).alias("kinds"), F.max("act_no").alias("acts"), F.count_if((F.col("kind") == "open") & F.col("inside") & (F.col("act_no") == 0)).alias("early")
-    )
-    met = found.join(by_note, note, "left")
-    kinds = F.array_distinct(F.array_compact(F.concat(F.coalesce("kinds", F.array().cast("array<string>")), F.array(of_head))))
-    names = [(~is_head, "unrecognised_note"), (F.size(kinds) > 1, "mixed_kind_note"), (F.col("early") > 0, "marker_before_act"), (F.coalesce("acts", F.lit(0)) == 0, "no_amending_act")]
+    met = _read(found)
+    verbs = F.regexp_extract_all("read", F.lit("\x1c([^\x1d]*+)\x1d"), F.lit(1))
+    kinds = F.array_distinct(F.array_compact(F.concat(F.transform(verbs, lambda v: _looked_up(_word(v), KINDS)), F.array(of_head))))
+    begin = F.substring_index("read", "\x0b", 1)
+    names = [(~is_head, "unrecognised_note"), (F.size(kinds) > 1, "mixed_kind_note"), (F.contains(begin, F.lit("\n")), "marker_before_act"), (begin == F.col("read"), "no_amending_act")]
     kind = F.explode(F.array_compact(F.array(*(F.when(holds, name) for holds, name in names)))).alias("kind")
     of_notes = met.select(*note, "provision", kind, F.col("note").alias("raw_value"))
     made = events(docs, key)

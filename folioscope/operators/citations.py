@@ -6,42 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import section_id
+from ..session import written
 from .ordering import heavy
 
 #: Fixed forms: a section reference, the letters of slugs, and how far from a reference its act may be named.
 REFERENCE, SLUG_LETTERS, REACH = r"§\s*(\d+(?:-[\da-z]+)?)", "A-Za-z0-9ÆØÅÄÖÜæøåäöü-", 80
-#: The word that nothing but blanks divides from what follows.
-LAST_WORD, BLANKS = rf"(?<![{SLUG_LETTERS}])[{SLUG_LETTERS}]++\s*+\z", " \t\n\x0b\f\r"
+#: The word that nothing but blanks divides from what follows, and these; it is looked for from the end.
+LAST_WORD, BLANKS = rf"(?s)^(?:.*[^{SLUG_LETTERS}])?([{SLUG_LETTERS}]++\s*+)\z", " \t\n\x0b\f\r"
 #: Words in over 1/``COMMON`` of all places are looked up before the others.
 COMMON = 200
 
 
 def mentions(texts: DataFrame, key: str) -> DataFrame:
-    """key, slug and ``refs`` of texts with a reference: each one's wording, the words within its reach before and after it, and ``owner``.
+    """key, slug, ``wordings``, ``gaps`` and ``words`` of texts with a reference: the references, what stands between them, and the words in it.
 
-    The owner is the word directly before the next reference where it begins within reach; it is then
-    the last of the words after. A text is read within its row: it is cut at its references.
+    Of a gap, before, between and after the references, there are its beginning and, if it is longer,
+    its end, in lower case and within reach, and ``owner``: the word directly before the next reference
+    where it begins within reach of the one before; it is then the last word of the beginning. A text is read within its row.
     """
-    cut = texts.select(key, "slug", F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(0)).alias("wordings"), F.split("text", REFERENCE).alias("gaps"))
+    cut = texts.select(key, "slug", F.regexp_extract_all("text", F.lit(REFERENCE), F.lit(0)).alias("wordings"), F.split("text", REFERENCE).alias("parts"))
 
-    def words(part: Column) -> Column:
-        return F.regexp_extract_all(F.lower(part), F.lit(rf"[{SLUG_LETTERS}]+"), F.lit(0))
+    def owner(gap: Column) -> Column:
+        last = F.regexp_extract(gap, LAST_WORD, 1)
+        return F.transform(F.array(last), lambda w: F.when((w != "") & (F.length(gap) - F.length(w) < REACH), F.lower(F.rtrim(w, F.lit(BLANKS)))))[0]
 
-    def near_end(gap: Column) -> Column:
-        return F.struct(gap.alias("gap"), words(F.left(gap, F.lit(REACH))).alias("after"), F.regexp_extract(gap, LAST_WORD, 0).alias("last"))
+    def near(gap: Column, at: Column) -> Column:
+        end = F.when(F.length(gap) > REACH, F.lower(F.right(gap, F.lit(REACH))))
+        return F.struct(F.lower(F.left(gap, F.lit(REACH))).alias("begin"), end.alias("end"), F.when((at > 0) & (at < F.size("wordings")), owner(gap)).alias("owner"))
 
-    def around(x: Column, at: Column) -> Column:
-        begin = F.length(x["gap"]) - F.length(x["last"])
-        owner = F.when((x["last"] != "") & (at < F.size("wordings")) & (begin < REACH), F.lower(F.rtrim(x["last"], F.lit(BLANKS))))
-        before = F.when(F.length(x["gap"]) <= REACH, x["after"]).otherwise(words(F.right(x["gap"], F.lit(REACH))))
-        return F.struct(before.alias("before"), x["after"].alias("after"), owner.alias("owner"))
+    read = cut.where(F.size("wordings") > 0).select(key, "slug", "wordings", F.transform("parts", near).alias("gaps"))
+    every = F.concat_ws(" ", "gaps.begin", "gaps.end", "gaps.owner")
+    return read.withColumn("words", F.array_distinct(_words(every)))
 
-    def told(held: Column) -> Column:
-        return F.transform(F.col("wordings"), lambda w, i: F.struct(w.alias("wording"), held[i]["before"].alias("before"), held[i + 1]["after"].alias("after"), held[i + 1]["owner"].alias("owner")))
 
-    # what is read of a gap is bound, so that Spark reads it once
-    refs = F.transform(F.array(F.transform(F.transform("gaps", near_end), around)), told)[0]
-    return cut.where(F.size("wordings") > 0).select(key, "slug", refs.alias("refs"))
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(rf"[{SLUG_LETTERS}]+"), F.lit(0))
 
 
 def references(texts: DataFrame, acts: DataFrame, key: str = "key") -> DataFrame:
@@ -51,27 +50,25 @@ def references(texts: DataFrame, acts: DataFrame, key: str = "key") -> DataFrame
     own. Neighbouring references do not share words: its reach ends at theirs,
     and at an act named directly before the next one. A word that reach cuts
     counts as what is left of it. Texts without a reference, empty and null ones give no row;
-    the key tells texts apart. The words of a text meet the acts once, and those that are acts come back to it.
+    the key tells texts apart. What is read of a text is written, as it is asked for three times. The words
+    of a text meet the acts once, and those that are acts come back to it.
     """
     known = acts.select(F.col("slug").alias("word")).distinct()
-    found = mentions(texts, key)
-    every = F.flatten(F.transform("refs", lambda r: F.concat(r["before"], r["after"], F.array_compact(F.array(r["owner"])))))
-    words = found.select(key, F.explode(F.array_distinct(every)).alias("word"))
+    found = written(mentions(texts, key), "mentions")
+    words = found.select(key, F.explode("words").alias("word"))
     common = heavy(words, "word", COMMON)
     common_acts = [r["word"] for r in known.where(F.col("word").isin(common)).collect()]
     met = words.where(~F.col("word").isin(common)).join(known, "word", "left_semi").groupBy(key).agg(F.collect_list("word").alias("named"))
-
-    def is_act(word: Column) -> Column:
-        return F.coalesce(F.array_contains("named", word), F.lit(False)) | word.isin(common_acts)
-
-    each = found.join(met, key, "left").select(key, "slug", "named", F.posexplode("refs").alias("ref", "r"))
-    owned = F.coalesce(is_act(F.col("r.owner")), F.lit(False))
-    after = F.when(owned, F.slice("r.after", F.lit(1), F.greatest(F.size("r.after") - 1, F.lit(0)))).otherwise(F.col("r.after"))
-    others = F.filter(F.concat("r.before", after), lambda w: (w != F.col("slug")) & is_act(w))
-    longest = F.aggregate(others, F.lit(None).cast("string"), lambda held, w: F.when(F.length(w) > F.coalesce(F.length(held), F.lit(0)), w).otherwise(held))
-    told = each.select(
-        key, F.coalesce(longest, "slug").alias("target"), F.regexp_extract("r.wording", REFERENCE, 1).alias("section_id"), F.col("r.wording").alias("wording"), "ref"
-    )
+    here = F.concat(F.coalesce("named", F.array().cast("array<string>")), F.array(*map(F.lit, common_acts)).cast("array<string>"))
+    refs = F.transform("wordings", lambda w, i: F.struct(w.alias("wording"), F.col("gaps")[i].alias("before"), F.col("gaps")[i + 1].alias("after")))
+    each = found.drop("words").join(met, key, "left").select(key, "slug", here.alias("named"), F.posexplode(refs).alias("ref", "r"))
+    # words are cut anew, as a gap's beginning and end are shuffled for less than its words
+    after, owned = _words(F.col("r.after.begin")), F.coalesce(F.array_contains("named", F.col("r.after.owner")), F.lit(False))
+    cut = each.select(key, "slug", "named", "ref", "r.wording", owned.alias("owned"), _words(F.coalesce("r.before.end", "r.before.begin")).alias("before"), after.alias("after"))
+    free = F.when(F.col("owned"), F.slice("after", F.lit(1), F.greatest(F.size("after") - 1, F.lit(0)))).otherwise(F.col("after"))
+    near = cut.select(key, "slug", "ref", "wording", F.array_intersect(F.concat("before", free), "named").alias("near"))
+    longest = F.aggregate(F.filter("near", lambda w: w != F.col("slug")), F.lit(None).cast("string"), lambda held, w: F.when(F.length(w) > F.coalesce(F.length(held), F.lit(0)), w).otherwise(held))
+    told = near.select(key, F.coalesce(F.when(F.size("near") > 0, longest), "slug").alias("target"), F.regexp_extract("wording", REFERENCE, 1).alias("section_id"), "wording", "ref")
     return told.groupBy(key, "target", "section_id").agg(F.min_by("wording", "ref").alias("wording"), F.count(F.lit(1)).alias("n"))
 
 

@@ -869,8 +869,8 @@ def cross_references(spark: SparkSession, sf: str) -> DataFrame:
     acts = table(spark, sf, "part").where("p_retailprice >= 950").select(F.concat(F.lit("part-"), F.col("p_partkey")).alias("slug"), (F.col("p_size") < 25).alias("complete"))
     items = table(spark, sf, "lineitem")
     number, act = F.col("l_linenumber").cast("string"), F.concat(F.lit("part-"), F.col("l_partkey"))
-    # sentences are made where an order's items have met
-    told = items.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("all"))
+    # sentences are made where an order's items have met; rows are dealt out before they are brought together
+    told = items.repartition("l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("all"))
     sentences = F.transform("all", lambda x: F.concat(F.lit("Se PART-"), x["l_partkey"], F.lit(" § "), x["l_linenumber"], F.lit(".")))
     texts = told.select(F.col("l_orderkey").alias("key"), F.concat(F.lit("order-"), F.col("l_orderkey")).alias("slug"), F.array_join(sentences, " ").alias("text"))
     sections_there = items.where("l_returnflag = 'A'").select(act.alias("slug"), number.alias("section_id"))

@@ -195,9 +195,9 @@ def amendment_events(spark: SparkSession, sf: str) -> DataFrame:
         note = F.concat(F.lit("> "), verb, F.lit("\n> lov [lov "), n, F.lit("](lov/"), n, F.lit(")"), F.coalesce(marker, F.lit("")), more)
         return F.concat(F.lit("### § "), item["l_linenumber"], F.lit(". Om endret ved (noe)\n\n"), note)
 
-    # rows are dealt out as they are, before any text is made of them
-    items = table(spark, sf, "lineitem").repartition("l_orderkey")
-    whole = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")))
+    # rows are dealt out as they are, before any text is made of them, and to all tasks: few bytes here are much work
+    items = table(spark, sf, "lineitem").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_orderkey")
+    whole = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")))
     texts = items.groupBy(F.col("l_orderkey").alias("key")).agg(F.array_join(F.transform(whole, block), "\n").alias("text"))
     at = F.lit("1996-06-30").cast("date")
     found = events.events(texts).withColumn("status", temporal.evaluated(F.col("valid_from"), F.col("marker_class"), at, at)["status"])
